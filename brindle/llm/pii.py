@@ -42,7 +42,7 @@ _IP = re.compile(r"([0-9]++)(?:(\.[0-9]++)(\.[0-9]++)(\.[0-9]++))?")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\s]*[0-9][^\s]*")
+_REST = re.compile(r"\S*+")
 _ZEROED = str.maketrans("123456789", "0" * 9)
 _EDGE = ".,;:!?()[]{}<>\"'`*#%&$|"
 
@@ -97,9 +97,15 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     """(start, end, pattern, instance, seed): the base spans, and tokens with a digit that overlap none of them."""
     out = [(a, b, context(text, a), f"{KINDS[k]}:{text[a:b].lower()}", True) for a, k, b in spans]
     taken, i = sorted((a, b) for a, _, b in spans), 0
-    for m in _TOKEN.finditer(text):
-        a = m.start() + len(m[0]) - len(m[0].lstrip(_EDGE))
-        b = a + len(m[0].strip(_EDGE))
+    at = 0
+    while m := _DIGIT.search(text, at):  # the token around the next digit
+        a = m.start()
+        while a > at and not text[a - 1].isspace():
+            a -= 1
+        at = _REST.match(text, m.start()).end()
+        token = text[a:at]
+        a += len(token) - len(token.lstrip(_EDGE))
+        b = a + len(token.strip(_EDGE))
         while i < len(taken) and taken[i][1] <= a:
             i += 1
         if 5 <= b - a <= 64 and not any(x < b for x, _ in taken[i : i + 1]):
