@@ -1,7 +1,8 @@
 """WARC archives: records with revisits, and reading by boundary-chain verification.
 
 Writing is all DataFrame expressions and Spark's text writer, whose line separator is the record's closing blank line.
-Pages with equal payloads are found by digest (one map-side aggregation) and joined back under a salted key.
+Pages with equal payloads are found by digest (one map-side aggregation). Groups of more than one are joined back by a
+broadcast while they are few, so that payloads are not shuffled at all, and under a salted key beyond that.
 
 Reading splits archives natively at the magic ``WARC/1.``, also inside of payloads. Each piece is a *candidate* record
 with an offset and, by its Content-Length, the offset of its successor. Only what the chain of successors from the file's
@@ -26,8 +27,8 @@ from .common import shared_path, shared_root, stored
 MAGIC = "WARC/1."
 END = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Parts that the rows of one payload digest are dealt to.
-SALTS = 16
+#: Groups of equal payloads (about 60 bytes each) up to which they are broadcast; parts that the rows of one are dealt to beyond.
+MAX_BROADCAST, SALTS = 100_000, 16
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -41,10 +42,14 @@ def base32_sha1(payload: Column) -> Column:
 def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """(value): each page as a WARC record without its closing blank line."""
     rows = pages.select(F.col(key).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), "[\\r\\n]", "").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("body"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("body"))).withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("digest", base32_sha1(F.col("body")))
     groups = rows.groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    groups = groups.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.join(groups, ["digest", "salt"], "left")
+    groups = stored(groups.drop("n"), "warc-groups")
+    if groups.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        rows = rows.join(F.broadcast(groups), "digest", "left")
+    else:
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     size = F.octet_length("body")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit(END))
@@ -111,7 +116,8 @@ def reachable(candidates: DataFrame) -> DataFrame:
     jumps = candidates.filter("successor <> offset + length").select("file", F.col("successor").alias("offset"), F.lit(True).alias("entered")).distinct()
     nodes = nodes.join(jumps, ["file", "offset"], "left")
     head = F.when(~F.col("adjacent") | F.col("entered").isNotNull(), F.col("offset"))
-    nodes = nodes.withColumn("run", F.last(head, ignorenulls=True).over(inner)).select("file", "offset", "run", "successor").checkpoint()
+    nodes = nodes.withColumn("run", F.last(head, ignorenulls=True).over(inner)).select("file", "offset", "run", "successor")
+    nodes = stored(nodes, "warc-runs")
     step = nodes.groupBy("file", "run").agg(F.max_by("successor", "offset").alias("to"))
     reached = step.filter("run = 0").select("file", "run")
     count = -1
@@ -134,7 +140,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     parsed = stored(_parsed(_pieces(spark, path)), "warc-pieces")
     placed = _placed(parsed).filter("span is not null").withColumn("successor", F.col("offset") + F.col("span"))
-    placed = placed.checkpoint() if shared_root(spark) else placed
     chain = reachable(placed.select("file", "block", "offset", "length", "successor"))
     found = placed.join(chain, ["file", "offset"], "left_semi")
     columns = ["file", "offset", "type", "record_id", "refers_to", "url", "stated_bytes", "stated_digest", "bytes", "digest"]
