@@ -18,13 +18,14 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,12 @@ MAGIC = b"PFB1"
 BLOCK = 256
 PERCENTILE = 90
 #: Ids after which a segment is closed, and words whose ids a worker keeps.
-SEGMENT_IDS, CACHED_WORDS = 1 << 19, 400_000
+SEGMENT_IDS, CACHED_WORDS = 1 << 19, 800_000
+#: Bytes of text encoded at once: the more, the fewer different words are looked up.
+BATCH_BYTES = 8 << 20
+#: A blank beside white space, in RE2's syntax.
+BLANKS = r" [\s\x0b\x1c-\x1f\x{85}\pZ]|[\s\x0b\x1c-\x1f\x{85}\pZ] "
+MARKS = (".", ",", ";", ":", "!", "?")
 SEGMENT = "part int, segment int, first long, n_ids long, body binary"
 
 
@@ -67,7 +73,8 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> t
     packed: list[bytes] = [b""] * len(rows)
     for w in np.unique(width).tolist():
         own = np.flatnonzero(width == w)
-        bits = np.unpackbits(rest[own].astype(">u4").view(np.uint8).reshape(len(own), block, 4), axis=2)[:, :, 32 - w :]
+        unit = 2 if w <= 16 else 4  # exceptions lose their high bits here
+        bits = np.unpackbits(rest[own].astype(f">u{unit}").view(np.uint8).reshape(len(own), block, unit), axis=2)[:, :, 8 * unit - w :]
         data = np.packbits(bits.reshape(len(own), -1), axis=1)
         for i, b in zip(own.tolist(), data):
             packed[i] = b.tobytes()
@@ -88,9 +95,10 @@ def unpack(starts: np.ndarray, data: bytes, n: int, block: int = BLOCK) -> np.nd
     for w in np.unique(width).tolist():
         own = np.flatnonzero(width == w)
         bits = np.unpackbits(raw[start[own, None] + 7 + np.arange(w * block // 8)], axis=1).reshape(len(own), block, w)
-        full = np.zeros((len(own), block, 32), np.uint8)
-        full[:, :, 32 - w :] = bits
-        out[own] = np.packbits(full, axis=2).view(">u4")[:, :, 0]
+        unit = 2 if w <= 16 else 4
+        full = np.zeros((len(own), block, 8 * unit), np.uint8)
+        full[:, :, 8 * unit - w :] = bits
+        out[own] = np.packbits(full, axis=2).view(f">u{unit}")[:, :, 0]
     total = int(counts.sum())
     if total:
         row = np.repeat(np.arange(blocks), counts)
@@ -101,12 +109,11 @@ def unpack(starts: np.ndarray, data: bytes, n: int, block: int = BLOCK) -> np.nd
     return (out + low[:, None]).reshape(-1)[:n]
 
 
-def segment(keys: list[int | None], ids: list[bytes]) -> bytes:
-    """A segment of the ids of documents, each as little-endian uint32."""
-    starts, data = pack(np.frombuffer(b"".join(ids), "<u4"))
-    lengths = np.array([len(x) // 4 for x in ids], "<u8")
+def segment(keys: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """A segment of the ids of documents, ``lengths`` of each."""
+    starts, data = pack(ids)
     nulls = np.packbits([k is None for k in keys]).tobytes()
-    return b"".join((MAGIC, struct.pack("<IQI", len(keys), int(lengths.sum()), BLOCK), np.array([k or 0 for k in keys], "<i8").tobytes(), nulls, lengths.tobytes(), starts.astype("<u8").tobytes(), data))
+    return b"".join((MAGIC, struct.pack("<IQI", len(keys), len(ids), BLOCK), np.array([k or 0 for k in keys], "<i8").tobytes(), nulls, lengths.astype("<u8").tobytes(), starts.astype("<u8").tobytes(), data))
 
 
 def opened(body: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -127,10 +134,12 @@ def opened(body: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 class LibraryEncoder(dict):
-    """Ids of texts by the tokenizers library, as little-endian bytes, with those of recurring words kept.
+    """Ids of texts by the tokenizers library, with those of recurring words kept.
 
-    A single blank between two other characters always begins a new word for a byte-level tokenizer, so that a text may
-    be cut there and each part encoded on its own; where white space stands in a row, the library gets the whole text.
+    A blank between two characters that are no white space always begins a new word for a byte-level tokenizer, so that a
+    text may be cut there and each word encoded on its own, with its blank. Texts where blanks meet other white space, or
+    with special tokens, are encoded as a whole. Arrow cuts a batch of texts and finds its different words; these are looked
+    up here (as a dictionary, this maps words behind a blank to the bytes of their ids), and numpy gathers the ids.
     """
 
     def __init__(self, path: str):
@@ -141,24 +150,57 @@ class LibraryEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = regex.compile("|".join([r"\s\s|[\x1c-\x1f]|^\s|\s$", *map(regex.escape, special)])).search
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # byte-level models write a byte that is no printable character as the next free one from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.tokenize, self.pre_tokens = self.model.tokenize, regex.compile(public_tokenizers.PATTERN).findall
+
+    def __missing__(self, word: str) -> bytes:
+        """A new word of Latin script goes to the library's model in its pre-tokens; any other goes through the whole library."""
+        body, mark = (word[:-1], word[-1]) if word[-1:] in MARKS else (word, "")
+        if not word or max(word) >= "\u0250":
+            (out,) = self.batch([f" {word}"])
+        else:
+            parts = (f" {body}", mark) if body.isalpha() else self.pre_tokens(f" {word}")
+            ids = [t.id for p in parts if p for t in self.tokenize((p if p.isascii() else p.encode().decode("latin-1")).translate(self.shown))]
+            out = array("I", ids).tobytes()
+        if len(word) <= 64:
+            self[word] = out
+        return out
 
-    def learn(self, words: list[str]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self[word] = np.array(e.ids, "<u4").tobytes()
+    def batch(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.StringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each followed by ``end_id`` if there is one, and their number for each text."""
         if len(self) > CACHED_WORDS:
             self.clear()
-        split = [[t] if not t or self.whole(t) else (p := t.split(" "))[:1] + list(map(" ".__add__, p[1:])) for t in texts]
-        once = {s[0] for s, t in zip(split, texts) if len(s) == 1 and len(t) > 64}
-        missing = set(chain.from_iterable(split)).difference(self)
-        self.learn(list(missing))
-        out = [b"".join(map(self.__getitem__, s)) for s in split]
-        for t in once:
-            self.pop(t, None)
-        return out
+        n = len(texts)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        whole = pc.match_substring_regex(texts, BLANKS)
+        for token in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        offsets, words = offsets - offsets[0], cut.flatten()
+        firsts = [t if w else f for t, w, f in zip(texts.to_pylist(), whole.to_pylist(), words.take(pa.array(offsets[:-1])).to_pylist())] if pc.any(whole).as_py() else words.take(pa.array(offsets[:-1])).to_pylist()
+        coded = words.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        # the first word of each text has no blank before it: it has an entry of its own, as the end has
+        entries = [*map(self.__getitem__, known), *self.batch(firsts), np.array([] if end_id is None else [end_id], "<u4").tobytes()]
+        codes = coded.indices.to_numpy().astype(np.int64)
+        codes[offsets[:-1]] = len(known) + np.arange(n)
+        codes = np.insert(codes, offsets[1:], len(entries) - 1)
+        offsets = offsets + np.arange(n + 1)
+        size = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        begin = np.cumsum(size) - size
+        sizes = size[codes]
+        at = np.cumsum(sizes)
+        ids = np.frombuffer(b"".join(entries), "<u4")[np.repeat(begin[codes] - at + sizes, sizes) + np.arange(at[-1])]
+        return ids, np.diff(np.concatenate(([0], at))[offsets])
 
 
 @lru_cache(maxsize=1)
@@ -168,27 +210,25 @@ def encoder(path: str) -> LibraryEncoder:
 
 def write(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
     """The ids of each text and ``end_id``, in ascending order of ``key``, as segments below ``path``."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(vocabulary), TaskContext.get().partitionId()
         number = first = size = 0
-        keys: list[int | None] = []
-        ids: list[bytes] = []
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
         def close() -> pa.RecordBatch:
-            row = [[part], [number], [first], [size], [segment(keys, ids)]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "segment", "first", "n_ids", "body"])
-
-        for batch in slices(batches):
-            for k, x in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist())):
-                keys.append(k)
-                ids.append(x + end)
-                size += len(ids[-1]) // 4
-                if size >= SEGMENT_IDS:
-                    yield close()
-                    number, first, size, keys, ids = number + 1, first + size, 0, [], []
-        if keys:
+            keys, ids, lengths = zip(*held)
+            body = segment([k for part in keys for k in part], np.concatenate(lengths), np.concatenate(ids))
+            row = zip(([part], [number], [first], [size], [body]), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in row], names=["part", "segment", "first", "n_ids", "body"])
+
+        for batch in slices(batches, limit=BATCH_BYTES):
+            held.append((batch.column(0).to_pylist(), *own.encode(batch.column(1), end_id)))
+            size += len(held[-1][1])
+            if size >= SEGMENT_IDS:
+                yield close()
+                number, first, size, held = number + 1, first + size, 0, []
+        if held:
             yield close()
 
     rows = df.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
