@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from .common import slices, stored, text_of
 
 #: Labelled rows of each class, features, and rows of a feature at least.
-MAX_ROWS, MAX_FEATURES, MIN_ROWS = 10_000, 20_000, 5
+MAX_ROWS, MAX_FEATURES, MIN_ROWS = 10_000, 4_096, 5
 #: A feature stays if its shares among toxic and other rows differ by this many standard errors.
-MIN_Z = 4.0
+MIN_Z = 6.0
 THRESHOLD = 0.7
 #: Weights of the counterfactual, the lasso and the ridge term; steps of the optimiser.
 COUNTERFACTUAL, LASSO, RIDGE, STEPS = 2.0, 3e-5, 1e-4, 800
 PREFIXES = (4, 5, 6)
-CACHED_WORDS = 400_000
+CACHED_WORDS, CUT_ROWS = 200_000, 256
 FOLDS, HELD_OUT = 3, 1
 
 #: Identity terms, each swapped for another of its row.
@@ -159,12 +159,20 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     share = (F.col("n1") + F.col("n0")) / (n1 + n0)
     z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
     counts = counts.filter(F.col("n1") + F.col("n0") >= MIN_ROWS).select("feature", F.abs(z).alias("z")).filter(F.col("z") >= MIN_Z)
-    keep = counts.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature")
-    named = sorted({f for w in SWAP for f in word_features(w)})
-    keep = keep.unionByName(df.sparkSession.createDataFrame([(f,) for f in named], "feature long")).distinct()
-    every = F.broadcast(keep.agg(F.collect_set("feature").alias("keep")))  # bounded by MAX_FEATURES
-    cut = rows.join(every).select("toxic", "weight", F.array_intersect("features", "keep").alias("features"), F.when(F.col("swapped").isNotNull(), F.array_intersect("swapped", "keep")).alias("swapped"))
-    return fit([tuple(r) for r in cut.orderBy("toxic", F.xxhash64("features"), F.col("features").cast("string")).collect()])
+    best = counts.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature").collect()
+    keep = {r.feature for r in best} | {f for w in SWAP for f in word_features(w)}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, CUT_ROWS):
+                part = batch.slice(i, CUT_ROWS)
+                own = [sorted(keep.intersection(f)) for f in part.column(2).to_pylist()]
+                swapped = [None if f is None else sorted(keep.intersection(f)) for f in part.column(3).to_pylist()]
+                cols = [pa.array(x, pa.list_(pa.int64())) for x in (own, swapped)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=part.schema.names)
+
+    small = rows.mapInArrow(cut, rows.schema).toArrow()
+    return fit(sorted(zip(*(small.column(i).to_pylist() for i in range(4))), key=lambda r: (r[0], r[1], r[2], r[3] or [])))
 
 
 SCORED = "doc_id long, score double"
