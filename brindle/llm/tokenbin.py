@@ -40,9 +40,9 @@ MAGIC = b"PFB1"
 BLOCK = 256
 PERCENTILE = 90
 #: Ids after which a segment is closed, and words whose ids a worker keeps.
-SEGMENT_IDS, CACHED_WORDS = 1 << 19, 800_000
+SEGMENT_IDS, CACHED_WORDS = 1 << 19, 400_000
 #: Bytes of text encoded at once: the more, the fewer different words are looked up.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 #: A blank beside white space, in RE2's syntax.
 BLANKS = r" [\s\x0b\x1c-\x1f\x{85}\pZ]|[\s\x0b\x1c-\x1f\x{85}\pZ] "
 MARKS = (".", ",", ";", ":", "!", "?")
@@ -191,9 +191,9 @@ class LibraryEncoder(dict):
         known = coded.dictionary.to_pylist()
         # the first word of each text has no blank before it: it has an entry of its own, as the end has
         entries = [*map(self.__getitem__, known), *self.batch(firsts), np.array([] if end_id is None else [end_id], "<u4").tobytes()]
-        codes = coded.indices.to_numpy().astype(np.int64)
+        codes = coded.indices.to_numpy().astype(np.int32)
         codes[offsets[:-1]] = len(known) + np.arange(n)
-        codes = np.insert(codes, offsets[1:], len(entries) - 1)
+        codes = np.insert(codes, offsets[1:], np.int32(len(entries) - 1))
         offsets = offsets + np.arange(n + 1)
         size = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
         begin = np.cumsum(size) - size
