@@ -1,0 +1,660 @@
+"""Registered queries: every operator over the driver's tables, with DuckDB SQL of the same result.
+
+The driver's tables hold no source code and no traces. Each query therefore maps a table to the schema that its operator
+takes, and says how; the operators themselves are tested on code, traces and reports in ``tests/``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.functions import paths, text
+from brindle.functions.structure import extract
+from brindle.functions.text import STOP_WORDS
+from brindle.operators import commit, coverage, graph, patterns, search, symbols, trace, validation
+from brindle.sources import changes, hunks, reports
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its own name, with its SQL if there is one."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- search -----------------------------------------------------------------------------------------------------------
+
+QUESTION = "the token and that loser or that and license ention"
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_WORDS = f"""words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9_]+'), lambda w: w <> '' AND w NOT IN ({_STOP})) AS w FROM documents)"""
+_BM25 = f"""{_WORDS},
+flat AS (SELECT doc_id, unnest(w) AS term FROM words),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM flat GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM words),
+raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+asked AS (SELECT term, count(*) AS times FROM (SELECT unnest(list_filter(regexp_split_to_array('{QUESTION}', '[^a-z0-9_]+'), lambda w: w <> '' AND w NOT IN ({_STOP}))) AS term) GROUP BY term),
+part AS (SELECT tf.doc_id, times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / avgdl)) AS s FROM tf JOIN asked USING (term) JOIN idf USING (term) JOIN words USING (doc_id), st),
+bm25 AS (SELECT words.doc_id, coalesce(sum(s), 0) AS score FROM words LEFT JOIN part USING (doc_id) GROUP BY words.doc_id)"""
+
+
+@query(f"WITH {_WORDS}, flat AS (SELECT doc_id, unnest(w) AS term FROM words) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM flat GROUP BY term")
+def tok_terms(spark, d):
+    """TXT1: term and document frequencies of the inverted index."""
+    postings = search.index(table(spark, d, "documents"))["postings"]
+    return postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm25 ORDER BY round(score, 6) DESC, doc_id LIMIT 20")
+def bm25_topk(spark, d):
+    """TXT2, TOP1: BM25 over documents."""
+    scored = search.bm25(table(spark, d, "documents"), QUESTION).select("doc_id", F.round("score", 6).alias("score"))
+    return search.top(scored, 20, "doc_id")
+
+
+_COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
+
+
+@query(f"SELECT b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY score DESC, b.vec_id LIMIT 10")
+def vec_topk(spark, d):
+    """TXT4, TOP2: the nearest vectors of the vector with id 0."""
+    vectors = table(spark, d, "embeddings")
+    one = vectors.filter("vec_id = 0").select(F.col("embedding").alias("q"))
+    scored = vectors.join(F.broadcast(one)).select("vec_id", F.round(search.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    return search.top(scored, 10, "vec_id")
+
+
+@query(f"""SELECT query, vec_id, score, rank FROM (SELECT a.vec_id AS query, b.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank
+FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5""")
+def vec_knn_join(spark, d):
+    """GR11: the five nearest vectors of every vector whose id is divisible by 50."""
+    vectors = table(spark, d, "embeddings")
+    return search.nearest(vectors.filter("vec_id % 50 = 0"), vectors, 5)
+
+
+@query(f"""WITH {_BM25},
+kw AS (SELECT doc_id AS name, score FROM bm25 ORDER BY round(score, 6) DESC, doc_id LIMIT 50),
+vec AS (SELECT b.vec_id AS name, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY score DESC, b.vec_id LIMIT 50)
+SELECT name, round(sum(score), 6) AS score FROM (SELECT name, 0.6 * score AS score FROM vec UNION ALL SELECT name, 0.4 * score FROM kw) GROUP BY name ORDER BY round(sum(score), 6) DESC, name LIMIT 20""")
+def hybrid_topk(spark, d):
+    """JN5, TOP3: documents by keywords and vectors, where doc_id and vec_id name the same symbol."""
+    scored = search.bm25(table(spark, d, "documents"), QUESTION).select(F.col("doc_id").alias("name"), "score")
+    keyword = scored.orderBy(F.desc(F.round("score", 6)), "name").limit(50)
+    vectors = table(spark, d, "embeddings")
+    one = vectors.filter("vec_id = 0").select(F.col("embedding").alias("q"))
+    near = vectors.join(F.broadcast(one)).select(F.col("vec_id").alias("name"), F.round(search.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    hits = search.hybrid(search.top(near, 50, "name"), keyword).select("name", F.round("score", 6).alias("score"))
+    return search.top(hits, 20, "name")
+
+
+# --- graph: suppliers, parts, nations as nodes, foreign keys as edges ----------------------------------------------------
+
+_GRAPH = """nodes AS (SELECT 'r' || r_regionkey AS id, 'Repository' AS label, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'File', n_name FROM nation
+UNION ALL SELECT 's' || s_suppkey, 'Function', s_name FROM supplier UNION ALL SELECT 'p' || p_partkey, 'Class', p_name FROM part UNION ALL SELECT 'c' || c_custkey, 'Module', c_name FROM customer),
+edges AS (SELECT DISTINCT * FROM (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'CONTAINS' AS type FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'DEFINES' FROM supplier
+UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey, 'CALLS' FROM lineitem UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'IMPORTS' FROM orders))"""
+
+
+def _graph(spark: SparkSession, d: str) -> graph.Graph:
+    """Regions, nations, suppliers, parts and customers as nodes; edges by key; orders are ends of edges but no nodes."""
+    t = lambda name: table(spark, d, name)
+    node = lambda name, prefix, key, label, shown: t(name).select(F.concat(F.lit(prefix), key).alias("id"), F.lit(label).alias("label"), F.col(shown).alias("name"))
+    edge = lambda name, a, src, b, dst, kind: t(name).select(F.concat(F.lit(a), src).alias("src"), F.concat(F.lit(b), dst).alias("dst"), F.lit(kind).alias("type"))
+    nodes = node("region", "r", "r_regionkey", "Repository", "r_name").unionByName(node("nation", "n", "n_nationkey", "File", "n_name")).unionByName(node("supplier", "s", "s_suppkey", "Function", "s_name"))
+    nodes = nodes.unionByName(node("part", "p", "p_partkey", "Class", "p_name")).unionByName(node("customer", "c", "c_custkey", "Module", "c_name"))
+    edges = edge("nation", "r", "n_regionkey", "n", "n_nationkey", "CONTAINS").unionByName(edge("supplier", "n", "s_nationkey", "s", "s_suppkey", "DEFINES"))
+    edges = edges.unionByName(edge("lineitem", "s", "l_suppkey", "p", "l_partkey", "CALLS")).unionByName(edge("orders", "c", "o_custkey", "o", "o_orderkey", "IMPORTS")).distinct()
+    return graph.Graph(nodes.withColumn("path", F.col("id")), edges.withColumn("count", F.lit(None).cast("long")))
+
+
+@query(f"WITH {_GRAPH} SELECT label, count(*) AS n FROM nodes GROUP BY label")
+def label_counts(spark, d):
+    """AGG1: nodes by label."""
+    return graph.label_counts(_graph(spark, d).nodes)
+
+
+@query(f"WITH {_GRAPH} SELECT type, count(*) AS n FROM edges GROUP BY type")
+def edge_type_counts(spark, d):
+    """AGG1: edges by type."""
+    return graph.type_counts(_graph(spark, d).edges)
+
+
+@query(f"WITH {_GRAPH} SELECT src AS id, count(*) AS n FROM edges WHERE type = 'CALLS' GROUP BY src ORDER BY n DESC, id LIMIT 10")
+def top_degree(spark, d):
+    """AGG5: nodes with the most outgoing edges."""
+    return graph.top_degree(_graph(spark, d).edges.filter("type = 'CALLS'"), "src", 10)
+
+
+@query(f"""WITH {_GRAPH}, both_ AS (SELECT dst AS id, src AS neighbour, 'caller' AS direction FROM edges WHERE type = 'CALLS' UNION ALL SELECT src, dst, 'callee' FROM edges WHERE type = 'CALLS')
+SELECT id, neighbour, max(direction) AS direction FROM both_ GROUP BY ALL""")
+def expand_1hop(spark, d):
+    """JN4, GR2, WIN3: callers and callees of every supplier and part."""
+    g = _graph(spark, d)
+    return graph.neighbours(g.edges, g.nodes.select("id"))
+
+
+@query(f"WITH {_GRAPH} SELECT id, label, name FROM nodes WHERE label <> 'Repository' AND id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)")
+def orphans(spark, d):
+    """JN16: nodes without edges."""
+    return graph.orphans(_graph(spark, d)).select("id", "label", "name")
+
+
+@query(f"WITH {_GRAPH} SELECT src, dst, type FROM edges WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes)")
+def dangling(spark, d):
+    """JN17: edges whose end is no node."""
+    return graph.dangling(_graph(spark, d))
+
+
+@query(f"""WITH {_GRAPH} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges,
+(SELECT count(*) FROM nodes WHERE label <> 'Repository' AND id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)) AS orphans,
+(SELECT count(*) FROM edges WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes)) AS dangling, false AS sound""")
+def integrity(spark, d):
+    """GR9: the integrity report."""
+    return graph.integrity(_graph(spark, d))
+
+
+_GONE = "gone AS (SELECT id FROM nodes WHERE label IN ('Function', 'Class') AND right(name, 1) IN ('1', '3'))"
+
+
+@query(f"""WITH {_GRAPH}, {_GONE} SELECT type, count(*) AS n FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone) GROUP BY type""")
+def invalidate_edges(spark, d):
+    """GR4, GR5: edges that are left when symbols whose names end in 1 or 3 go."""
+    g = _graph(spark, d)
+    changed = g.nodes.filter(F.right("name", F.lit(1)).isin("1", "3")).select("path")
+    return graph.type_counts(graph.invalidate(g, changed).edges)
+
+
+@query(f"""WITH {_GRAPH}, {_GONE}, hit AS (SELECT src, dst, type, dst AS other FROM edges WHERE src IN (SELECT id FROM gone) UNION SELECT src, dst, type, src FROM edges WHERE dst IN (SELECT id FROM gone))
+SELECT (SELECT count(*) FROM (SELECT DISTINCT src, dst, type FROM hit)) AS relationships, (SELECT count(DISTINCT other) FROM hit) AS neighbours, (SELECT count(*) FROM gone) AS nodes""")
+def invalidation_impact(spark, d):
+    """AGG29, AGG30: what removing those symbols touches."""
+    g = _graph(spark, d)
+    ids = graph.symbols_of(g, g.nodes.filter(F.right("name", F.lit(1)).isin("1", "3")).select("path"))
+    return graph.impact(g, ids).select("relationships", "neighbours").join(graph.removal_counts(g, ids).select("nodes"))
+
+
+@query("""WITH c AS (SELECT DISTINCT p_brand AS caller, p_type AS callee FROM part), f AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS name FROM part WHERE p_size = 1 UNION SELECT CAST(p_partkey AS VARCHAR), p_type FROM part WHERE p_size = 2)
+SELECT DISTINCT a.id AS src, b.id AS dst, 'CALLS' AS type FROM c JOIN f a ON a.name = c.caller JOIN f b ON b.name = c.callee""")
+def resolve_by_name(spark, d):
+    """JN1: calls from brands to types, resolved by name to the parts of sizes 1 and 2 that stand for definitions."""
+    part = table(spark, d, "part")
+    calls = part.select(F.col("p_brand").alias("caller"), F.lit("").alias("from_path"), F.col("p_type").alias("callee"))
+    of = lambda size, name: part.filter(F.col("p_size") == size).select(F.col("p_partkey").cast("string").alias("id"), F.col(name).alias("name"), F.lit("").alias("path"))
+    return graph.resolve_calls(calls, of(1, "p_brand").union(of(2, "p_type")).distinct())
+
+
+_EVENTS = """ev AS (SELECT user_id AS run, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'call' ELSE 'return' END AS event, event_type AS func, CAST(event_id % 5 AS INTEGER) AS depth FROM events)"""
+_PAIRS = f"""{_EVENTS}, st AS (SELECT run, depth + 1 AS k, seq, func AS parent, NULL AS child FROM ev WHERE event = 'call' UNION ALL SELECT run, depth, seq, NULL, func FROM ev WHERE event = 'return'),
+lk AS (SELECT child, last_value(parent IGNORE NULLS) OVER (PARTITION BY run, k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS caller FROM st),
+pairs AS (SELECT caller, child AS callee, count(*) AS n FROM lk WHERE child IS NOT NULL AND caller IS NOT NULL GROUP BY ALL)"""
+
+
+def _trace(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a trace of each user: even ids call, odd ids return, depth is the id modulo 5."""
+    kind = F.when(F.col("event_id") % 2 == 0, "call").otherwise("return")
+    return table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), kind.alias("event"), F.col("event_type").alias("func"), (F.col("event_id") % 5).cast("int").alias("depth"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return trace.call_pairs(_trace(spark, d))
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM pairs")
+def call_pairs(spark, d):
+    """WIN1, JN20, AGG2: who returned to whom, from call depths."""
+    return _pairs(spark, d)
+
+
+_FUNCS = "fn AS (SELECT caller AS f FROM pairs UNION SELECT callee FROM pairs)"
+
+
+@query(f"WITH {_PAIRS}, {_FUNCS} SELECT (SELECT count(*) FROM pairs) AS unique_pairs, (SELECT count(*) FROM fn) AS functions, CAST((SELECT sum(n) FROM pairs) AS BIGINT) AS invocations")
+def pair_totals(spark, d):
+    """AGG2: totals."""
+    return trace.pair_totals(_pairs(spark, d))
+
+
+@query(f"WITH {_PAIRS} SELECT callee AS func, CAST(sum(n) AS BIGINT) AS calls FROM pairs GROUP BY callee ORDER BY calls DESC, func LIMIT 10")
+def most_called(spark, d):
+    """AGG3: most called functions."""
+    return trace.most_called(_pairs(spark, d))
+
+
+@query(f"WITH {_PAIRS} SELECT callee AS func, count(DISTINCT caller) AS callers FROM pairs GROUP BY callee ORDER BY callers DESC, func LIMIT 10")
+def most_callers(spark, d):
+    """AGG4: functions with the most callers."""
+    return trace.most_callers(_pairs(spark, d))
+
+
+@query(f"WITH {_PAIRS}, {_FUNCS} SELECT round((SELECT count(*) FROM pairs) / (SELECT count(*) FROM fn), 2) AS avg_callees, round((SELECT count(*) FROM pairs) / (SELECT count(*) FROM fn), 2) AS avg_callers")
+def degree_averages(spark, d):
+    """AGG6: mean callees and callers of a function."""
+    return trace.degree_averages(_pairs(spark, d))
+
+
+@query(f"""WITH {_PAIRS}, {_FUNCS} SELECT f AS func, coalesce((SELECT string_agg(DISTINCT callee, ',' ORDER BY callee) FROM pairs WHERE caller = f), '') AS calls_to,
+coalesce((SELECT string_agg(DISTINCT caller, ',' ORDER BY caller) FROM pairs WHERE callee = f), '') AS called_by, CAST(coalesce((SELECT sum(n) FROM pairs WHERE caller = f), 0) AS BIGINT) AS frequency FROM fn""")
+def adjacency(spark, d):
+    """AGG7: neighbours and call counts of each function, lists joined by commas."""
+    rows = trace.adjacency(_pairs(spark, d))
+    total = F.aggregate(F.map_values("call_frequency"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("func", F.array_join("calls_to", ",").alias("calls_to"), F.array_join("called_by", ",").alias("called_by"), total.alias("frequency"))
+
+
+@query("""WITH h AS (SELECT user_id, event_type, count(*) FILTER (WHERE event_id % 2 = 0) AS a, count(*) FILTER (WHERE event_id % 2 = 1) AS b FROM events GROUP BY ALL)
+SELECT CAST(user_id AS VARCHAR) AS src, event_type AS dst, 'DYNAMICALLY_CALLS' AS type, a + b AS count, CASE WHEN a = 0 THEN 'created' WHEN b = 0 THEN 'kept' ELSE 'updated' END AS state FROM h""")
+def edge_upsert_counts(spark, d):
+    """AGG8: even events as edges that exist, odd ones as new counts."""
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("src"), F.col("event_type").alias("dst"), F.lit("DYNAMICALLY_CALLS").alias("type"), (F.col("event_id") % 2).alias("odd"))
+    old = rows.filter("odd = 0").groupBy("src", "dst", "type").agg(F.count(F.lit(1)).alias("count"))
+    return graph.accumulate(old, rows.filter("odd = 1").withColumn("n", F.lit(1)))
+
+
+_CALLS = "calls AS (SELECT 'f' || user_id AS func, event_id, event_type AS a0, CASE WHEN value > 50 THEN 'big' ELSE 'small' END AS a1 FROM events)"
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    """Events as calls of a function for each user with two arguments: the event's type and the size of its value."""
+    size = F.when(F.col("value") > 50, "big").otherwise("small")
+    return table(spark, d, "events").select(F.concat(F.lit("f"), "user_id").alias("func"), F.array("event_type", size).alias("arg_types"))
+
+
+@query(f"""WITH {_CALLS}, a AS (SELECT func, 0 AS arg, a0 AS type FROM calls UNION ALL SELECT func, 1, a1 FROM calls), n AS (SELECT func, arg, type, count(*) AS n FROM a GROUP BY ALL),
+r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY func, arg) AS BIGINT) AS observations, row_number() OVER (PARTITION BY func, arg ORDER BY n DESC, type) AS rank FROM n)
+SELECT func, arg, observations, string_agg(type || ':' || n, ',' ORDER BY rank) AS types FROM r WHERE rank <= 5 GROUP BY ALL""")
+def argument_types(spark, d):
+    """AGG10: the five most frequent types of each argument, listed as type:count."""
+    rows = trace.argument_types(_calls(spark, d))
+    return rows.select("func", "arg", "observations", F.array_join(F.transform("types", lambda t: F.concat_ws(":", t["type"], t["n"].cast("string"))), ",").alias("types"))
+
+
+@query(f"""WITH {_CALLS}, s AS (SELECT func, '(' || a0 || ', ' || a1 || ')' AS signature, count(*) AS n FROM calls GROUP BY ALL)
+SELECT func, signature, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY func ORDER BY n DESC, signature) AS rank FROM s) WHERE rank <= 3""")
+def top_signatures(spark, d):
+    """AGG11: the three most frequent signatures of each function."""
+    return trace.top_signatures(_calls(spark, d))
+
+
+@query(f"WITH {_CALLS}, a AS (SELECT func, a0 AS type FROM calls UNION SELECT func, a1 FROM calls) SELECT type, count(*) AS functions FROM a GROUP BY type ORDER BY functions DESC, type LIMIT 10")
+def type_prevalence(spark, d):
+    """AGG12: types by the number of functions that saw them."""
+    return trace.type_prevalence(_calls(spark, d))
+
+
+@query(f"WITH {_CALLS}, a AS (SELECT func, a0 AS type FROM calls UNION SELECT func, a1 FROM calls), t AS (SELECT func, count(*) AS types FROM a GROUP BY func) SELECT types, count(*) AS functions FROM t GROUP BY types")
+def type_diversity(spark, d):
+    """AGG13: functions by their number of different types."""
+    return trace.type_diversity(_calls(spark, d))
+
+
+@query(f"WITH {_CALLS} SELECT func, count(DISTINCT a0 || '|' || a1) AS n_signatures, count(DISTINCT a0 || '|' || a1) > 1 AS is_polymorphic FROM calls GROUP BY func")
+def polymorphic(spark, d):
+    """AGG14: whether a function was seen with more than one signature."""
+    return trace.polymorphic(_calls(spark, d))
+
+
+@query("SELECT count(*) AS total_events, count(*) FILTER (WHERE role = 'user') AS call_events, count(*) FILTER (WHERE role = 'assistant') AS return_events, coalesce(max(turn), 0) AS max_depth FROM conversations")
+def trace_summary(spark, d):
+    """AGG15: conversations as traces: users call, assistants return, turns are depths."""
+    kind = F.when(F.col("role") == "user", "call").when(F.col("role") == "assistant", "return")
+    return trace.summary(table(spark, d, "conversations").select(kind.alias("event"), F.col("turn").alias("depth")))
+
+
+# --- coverage: orders as files, line numbers as lines, returned lines as executed ones ------------------------------------
+
+
+def _coverage(spark: SparkSession, d: str) -> DataFrame:
+    lines = lambda when: F.sort_array(F.collect_set(F.when(when, F.col("l_linenumber"))))
+    returned = F.col("l_returnflag") == "R"
+    return table(spark, d, "lineitem").groupBy(F.concat(F.lit("src/f"), "l_orderkey", F.lit(".py")).alias("path")).agg(lines(returned).alias("executed_lines"), lines(~returned).alias("missing_lines"))
+
+
+_COV = """cov AS (SELECT 'src/f' || l_orderkey || '.py' AS path, count(DISTINCT l_linenumber) FILTER (WHERE l_returnflag = 'R') AS covered, count(DISTINCT l_linenumber) FILTER (WHERE l_returnflag <> 'R') AS missing FROM lineitem GROUP BY 1)"""
+
+
+@query(f"WITH {_COV} SELECT path, covered, missing, coalesce(round(covered / nullif(covered + missing, 0) * 100, 2), 0) AS percent FROM cov")
+def coverage_by_file(spark, d):
+    """AGG16: coverage of each file."""
+    return coverage.by_file(_coverage(spark, d))
+
+
+@query(f"WITH {_COV} SELECT count(*) AS files, CAST(sum(covered) AS BIGINT) AS covered, CAST(sum(missing) AS BIGINT) AS missing, round(sum(covered) / sum(covered + missing) * 100, 2) AS percent FROM cov")
+def coverage_overall(spark, d):
+    """AGG16: coverage of all files."""
+    return coverage.overall(_coverage(spark, d))
+
+
+@query("""SELECT o_orderkey AS name FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_linenumber BETWEEN 2 AND 4)""")
+def coverage_semi(spark, d):
+    """JN7: each order as a function from line 2 to 4; those with an executed line."""
+    functions = table(spark, d, "orders").select(F.concat(F.lit("app/f"), "o_orderkey", F.lit(".py")).alias("path"), F.col("o_orderkey").alias("name"), F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
+    return coverage.covered_functions(functions, _coverage(spark, d)).select("name")
+
+
+@query("SELECT 'src/c' || c_custkey || '.py' AS path FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def uncovered_anti(spark, d):
+    """JN12: customers as sources, orders as tests that map to them."""
+    name = lambda c: F.concat(F.lit("src/c"), c, F.lit(".py"))
+    mapping = table(spark, d, "orders").select(name("o_custkey").alias("source"))
+    return coverage.uncovered_sources(table(spark, d, "customer").select(name("c_custkey").alias("path")), mapping)
+
+
+@query("""SELECT DISTINCT 'tests/test_' || o_orderkey || '.py' AS test, 'src/c' || c_custkey || '.py' AS source FROM orders JOIN customer ON o_custkey = c_custkey""")
+def test_mapping(spark, d):
+    """JN11: tests import modules named after customers."""
+    imports = table(spark, d, "orders").select(F.concat(F.lit("tests/test_"), "o_orderkey", F.lit(".py")).alias("test"), F.concat(F.lit("c"), "o_custkey").alias("module"))
+    return coverage.tested_sources(table(spark, d, "customer").select(F.concat(F.lit("src/c"), "c_custkey", F.lit(".py")).alias("path")), imports)
+
+
+# --- symbol diffs: customers as symbols of nations in two snapshots -------------------------------------------------------
+
+_DIFF = """o AS (SELECT * FROM customer WHERE c_custkey % 7 <> 0), n AS (SELECT * FROM customer WHERE c_custkey % 5 <> 0),
+df AS (SELECT coalesce(o.c_nationkey, n.c_nationkey) AS path, coalesce(o.c_name, n.c_name) AS name, CASE WHEN coalesce(o.c_mktsegment, n.c_mktsegment) < 'C' THEN 'class' ELSE 'function' END AS symbol_type,
+CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL THEN 'removed' WHEN n.c_acctbal < 0 THEN 'modified' END AS change_type FROM o FULL JOIN n ON o.c_custkey = n.c_custkey)"""
+
+
+def _diff(spark: SparkSession, d: str) -> DataFrame:
+    """Two snapshots of customers: the old lacks keys divisible by 7, the new those divisible by 5, and negative balances changed a signature."""
+    kind = F.when(F.col("c_mktsegment") < "C", "class").otherwise("function")
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("path"), F.col("c_name").alias("name"), kind.alias("symbol_type"), F.col("c_name").alias("signature"), F.lit(None).cast("string").alias("docstring"), "c_custkey", "c_acctbal")
+    old = rows.filter("c_custkey % 7 <> 0")
+    new = rows.filter("c_custkey % 5 <> 0").withColumn("signature", F.when(F.col("c_acctbal") < 0, F.concat("signature", F.lit("*"))).otherwise(F.col("signature")))
+    return symbols.diff(old, new).drop("old_signature", "new_signature")
+
+
+@query(f"WITH {_DIFF} SELECT * FROM df WHERE change_type IS NOT NULL")
+def snapshot_diff(spark, d):
+    """JN6: added, removed and modified symbols."""
+    return _diff(spark, d)
+
+
+_SUMMARY = ", ".join([f"count(*) FILTER (WHERE change_type = '{k}') AS {k}" for k in symbols.KINDS] + [f"count(*) FILTER (WHERE change_type = '{k}' AND symbol_type = '{s}') AS {k}_{n}" for s, n in (("function", "functions"), ("class", "classes")) for k in symbols.KINDS])
+
+
+@query(f"WITH {_DIFF} SELECT path, count(*) AS total, {_SUMMARY} FROM df WHERE change_type IS NOT NULL GROUP BY path")
+def diff_summary(spark, d):
+    """AGG18: changes by file and kind."""
+    return symbols.summary(_diff(spark, d), "path")
+
+
+@query(f"""WITH {_DIFF}, s AS (SELECT path, name[-2:] AS bucket, count(*) AS total, count(*) FILTER (WHERE change_type = 'removed') AS removed, count(*) FILTER (WHERE change_type = 'modified') AS modified FROM df WHERE change_type IS NOT NULL GROUP BY ALL)
+SELECT path, bucket, CASE WHEN total <= 2 THEN 'low' WHEN total <= 5 THEN 'medium' ELSE 'high' END AS impact_level, removed > 0 AS has_removals, modified > 0 AS has_modifications FROM s""")
+def change_impact(spark, d):
+    """AGG19: impact levels of small groups of changes."""
+    rows = symbols.summary(_diff(spark, d).withColumn("bucket", F.right("name", F.lit(2))), "path", "bucket")
+    return symbols.impact(rows).select("path", "bucket", "impact_level", "has_removals", "has_modifications")
+
+
+# --- staged changes: orders as files of a customer's commit, lines as hunks -----------------------------------------------
+
+_STAGED = """h AS (SELECT l_orderkey, count(*) AS hunks FROM lineitem GROUP BY 1),
+staged AS (SELECT o_custkey AS commit_id, 'o' || o_orderkey AS path, CASE WHEN o_orderstatus = 'F' THEN 'other' ELSE 'python' END AS language, coalesce(hunks, 0) AS hunks, CASE WHEN o_orderpriority LIKE '1%' THEN 3 ELSE 0 END AS symbols,
+CASE WHEN o_orderpriority LIKE '2%' THEN NULL ELSE coalesce(hunks, 0) END AS additions FROM orders LEFT JOIN h ON l_orderkey = o_orderkey),
+sm AS (SELECT commit_id, count(*) AS files, count(*) FILTER (WHERE language = 'python') AS python_files, CAST(sum(hunks) AS BIGINT) AS hunks, CAST(sum(symbols) AS BIGINT) AS symbols, CAST(coalesce(sum(additions), 0) AS BIGINT) AS additions, CAST(0 AS BIGINT) AS deletions FROM staged GROUP BY 1),
+fi AS (SELECT commit_id, 'warning' AS severity, '*' AS affected_file, 'large-symbol-scope' AS matched_pattern FROM sm WHERE symbols > 5 UNION ALL SELECT commit_id, 'warning', path, 'large-file-diff' FROM staged WHERE hunks > 8)"""
+
+
+def _staged(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    rows = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    urgent = F.col("o_orderpriority").startswith("1")
+    return rows.select(
+        F.col("o_custkey").alias("commit_id"), F.concat(F.lit("o"), "o_orderkey").alias("path"), F.when(F.col("o_orderstatus") == "F", "other").otherwise("python").alias("language"),
+        F.array_repeat(F.lit("hunk"), F.col("n")).alias("hunks"), F.when(urgent, F.array_repeat(F.lit("symbol"), 3)).otherwise(F.array()).alias("changedSymbols"),
+        F.when(~F.col("o_orderpriority").startswith("2"), F.col("n")).alias("additions"), F.lit(None).cast("int").alias("deletions"),
+    )
+
+
+@query(f"WITH {_STAGED} SELECT * FROM sm")
+def staged_summary(spark, d):
+    """AGG20: summaries of commits."""
+    return commit.summarize(_staged(spark, d), "commit_id")
+
+
+@query(f"WITH {_STAGED} SELECT * FROM fi")
+def scope_findings(spark, d):
+    """AGG22: findings on the size of commits."""
+    return commit.scope_findings(_staged(spark, d), "commit_id").select("commit_id", "severity", "affected_file", "matched_pattern")
+
+
+@query(f"WITH {_STAGED} SELECT sm.commit_id, CASE WHEN EXISTS (SELECT 1 FROM fi WHERE fi.commit_id = sm.commit_id) OR symbols > 5 OR files > 8 THEN 'review' ELSE 'ready' END AS recommendation FROM sm")
+def recommend(spark, d):
+    """AGG21: recommendations for commits."""
+    staged = _staged(spark, d)
+    return commit.recommend(commit.summarize(staged, "commit_id"), commit.scope_findings(staged, "commit_id"), None, "commit_id").select("commit_id", "recommendation")
+
+
+def _ignored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Events as findings; errors are ignored by pattern, findings of users divisible by 10 with views once."""
+    rows = table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("affected_file"), F.lit(None).cast("string").alias("affected_symbol"), F.col("event_type").alias("matched_pattern"), F.lit("r").alias("reason"), "event_id")
+    once = rows.filter("matched_pattern = 'view' and affected_file like '%0'").select(F.lit("once").alias("type"), commit.finding_key().alias("key")).distinct()
+    return commit.split_ignored(rows, once.unionByName(spark.createDataFrame([("pattern", "error")], "type string, key string")))
+
+
+@query("SELECT event_id FROM events WHERE event_type <> 'error' AND NOT (event_type = 'view' AND user_id % 10 = 0)")
+def ignore_active(spark, d):
+    """JN18: findings that no decision suppresses."""
+    return _ignored(spark, d)[0].select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'error' OR (event_type = 'view' AND user_id % 10 = 0)")
+def ignore_suppressed(spark, d):
+    """JN18: findings that a decision suppresses."""
+    return _ignored(spark, d)[1].select("event_id")
+
+
+# --- validation: users as patches, events as issues ----------------------------------------------------------------------
+
+_ISSUES = """iss AS (SELECT user_id AS patch, CASE event_type WHEN 'click' THEN 'basic' WHEN 'view' THEN 'lint' WHEN 'signup' THEN 'lint' ELSE 'type' END AS stage,
+CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'error' WHEN event_type = 'signup' AND event_id % 11 = 0 THEN 'error' WHEN event_id % 2 = 0 THEN 'warning' ELSE 'note' END AS severity FROM events),
+stg AS (SELECT patch, stage, position, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'note') AS notes
+FROM (SELECT DISTINCT user_id AS patch FROM events) CROSS JOIN (VALUES ('basic', 0), ('lint', 1), ('type', 2)) s(stage, position) LEFT JOIN iss USING (patch, stage) GROUP BY ALL)"""
+
+
+def _stages(spark: SparkSession, d: str) -> DataFrame:
+    kind, number = F.col("event_type"), F.col("event_id")
+    stage = F.when(kind == "click", "basic").when(kind.isin("view", "signup"), "lint").otherwise("type")
+    severity = F.when(((kind == "error") & (number % 3 == 0)) | ((kind == "signup") & (number % 11 == 0)), "error").when(number % 2 == 0, "warning").otherwise("note")
+    issues = table(spark, d, "events").select(F.col("user_id").alias("patch"), stage.alias("stage"), severity.alias("severity"))
+    return validation.stage_rows(issues.select("patch"), issues)
+
+
+@query(f"WITH {_ISSUES} SELECT patch, stage, errors, warnings, notes, errors = 0 AS passed FROM stg")
+def severity_rollup(spark, d):
+    """AGG26: issues of each patch and stage by severity."""
+    return _stages(spark, d).drop("position")
+
+
+_ROLL = "SELECT patch, count(*) AS stages_run, count(*) FILTER (WHERE errors = 0) AS stages_passed, count(*) FILTER (WHERE errors > 0) AS stages_failed, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(warnings) AS BIGINT) AS warnings, CAST(sum(notes) AS BIGINT) AS notes, bool_and(errors = 0) AS passed"
+
+
+@query(f"WITH {_ISSUES} {_ROLL} FROM stg GROUP BY patch")
+def stage_rollup(spark, d):
+    """AGG27: all stages of each patch."""
+    return validation.roll_up(_stages(spark, d))
+
+
+@query(f"WITH {_ISSUES}, f AS (SELECT *, min(CASE WHEN errors > 0 THEN position END) OVER (PARTITION BY patch) AS stop FROM stg) {_ROLL} FROM f WHERE stop IS NULL OR position <= stop GROUP BY patch")
+def stage_rollup_early_stop(spark, d):
+    """AGG27: stages up to the first failed one."""
+    return validation.roll_up(_stages(spark, d), continue_on_errors=False)
+
+
+# --- text, paths, parsers -------------------------------------------------------------------------------------------------
+
+_LINES = r"""ln AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents),
+ind AS (SELECT *, length(text) - length(regexp_replace(text, '^\s+', '')) AS indent, trim(regexp_replace(text, '[\t\r\f\x0b]', ' ', 'g')) = '' AS blank FROM ln),
+nx AS (SELECT *, first_value(CASE WHEN NOT blank THEN indent END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_indent, regexp_replace(text, '\s+$', '') AS bare FROM ind),
+st AS (SELECT *, NOT blank AND regexp_replace(bare, '^\s+', '')[1] <> '#' AS code, regexp_replace(bare, '^\s+', '') AS stripped, regexp_matches(text, '^\s*(if|elif|else|for|while|def|class|with|try|except|finally)\b') AS block FROM nx)"""
+
+
+@query(rf"""WITH {_LINES}
+SELECT doc_id, line, 'indentation' AS issue_type, 'warning' AS severity FROM st WHERE NOT blank AND contains(text, chr(9)) AND contains(left(text, indent), ' ')
+UNION ALL SELECT doc_id, line, 'incomplete_block', 'error' FROM st WHERE code AND block AND NOT ends_with(bare, ':')
+UNION ALL SELECT doc_id, line, 'incomplete_block', 'warning' FROM st WHERE code AND block AND ends_with(bare, ':') AND coalesce(next_indent, 0) <= indent
+UNION ALL SELECT doc_id, line, 'common_issue', 'warning' FROM st WHERE code AND contains(text, '::')
+UNION ALL SELECT doc_id, line, 'common_issue', 'warning' FROM st WHERE code AND contains(stripped, ' if ') AND NOT contains(stripped, '==') AND NOT contains(stripped, '!=') AND regexp_matches(stripped, 'if\s+\w+\s*=\s*')""")
+def line_rules(spark, d):
+    """EXT14, WIN6: the line rules over the lines of documents."""
+    return text.line_rules(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "line", "issue_type", "severity")
+
+
+@query("SELECT page_id, regexp_extract(url, '[^/]*$') AS base, NOT regexp_matches(url, '/(test|tests)/') AND regexp_matches(url, '/(de|fr)/') AS kept FROM pages")
+def path_rules(spark, d):
+    """TXT8, TXT9, FLT4, SRC4: base names of page urls, and those in folders de or fr that are no tests."""
+    url = F.col("url")
+    glob = paths.glob_regex("**/{de,fr}/**")
+    return table(spark, d, "pages").select("page_id", paths.basename(url).alias("base"), (~paths.in_folders(url, ("test", "tests")) & url.rlike(glob)).alias("kept"))
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'renamed' WHEN 'O' THEN 'modified' ELSE 'added' END AS change_type, 'new/' || o_orderkey || '.py' AS path,
+CASE o_orderstatus WHEN 'F' THEN 'old/' || o_orderkey || '.py' END AS old_path FROM orders""")
+def name_status(spark, d):
+    """SRC6, SRC15: orders as lines of a name-status report."""
+    path = F.concat(F.lit("new/"), "o_orderkey", F.lit(".py"))
+    line = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("R100\told/"), "o_orderkey", F.lit(".py\t"), path)).when(F.col("o_orderstatus") == "O", F.concat(F.lit("M\t"), path)).otherwise(F.concat(F.lit("?? "), path))
+    rows = changes.name_status(table(spark, d, "orders").select(line.alias("value")))
+    return rows.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("id"), "change_type", "path", "old_path")
+
+
+@query("""SELECT l_orderkey AS run, 'f' || l_partkey || '.py' AS file, l_linenumber AS line, CAST(l_quantity AS INTEGER) AS "column", l_returnflag || '5' || l_linenumber AS code, 'shipped ' || l_linestatus AS message,
+CASE l_returnflag WHEN 'N' THEN 'warning' ELSE 'note' END AS severity FROM lineitem""")
+def lint_lines(spark, d):
+    """SRC10, AGG26: order lines as lines of a linter's text."""
+    line = F.concat(F.lit("f"), "l_partkey", F.lit(".py:"), "l_linenumber", F.lit(":"), F.col("l_quantity").cast("int"), F.lit(": "), "l_returnflag", F.lit("5"), "l_linenumber", F.lit(" shipped "), "l_linestatus")
+    return reports.lint(table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run")).agg(F.array_join(F.collect_list(line), "\n").alias("stdout")))
+
+
+@query("""SELECT user_id AS run, 'f' || event_id || '.py' AS file, CAST(event_id AS INTEGER) AS line, 'error' AS severity, event_type || ' seen' AS message, CASE WHEN event_id % 2 = 0 THEN 'attr-defined' END AS code FROM events""")
+def type_check_lines(spark, d):
+    """SRC11: events as lines of a type checker."""
+    line = F.concat(F.lit("f"), "event_id", F.lit(".py:"), "event_id", F.lit(": error: "), "event_type", F.lit(" seen"), F.when(F.col("event_id") % 2 == 0, "  [attr-defined]").otherwise(""))
+    rows = table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(F.array_join(F.collect_list(line), "\n").alias("stdout"))
+    return reports.type_check(rows).drop("column")
+
+
+@query("""SELECT o_custkey AS run, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS INTEGER) AS passed, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS INTEGER) AS failed, CAST(count(*) AS INTEGER) AS total,
+count(*) FILTER (WHERE o_orderstatus = 'F') = 0 AND count(*) FILTER (WHERE o_orderstatus = 'O') > 0 AS all_passed FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY o_custkey""")
+def test_summaries(spark, d):
+    """SRC12: open and filled orders of a customer as passed and failed tests."""
+    rows = table(spark, d, "orders").filter(F.col("o_orderstatus").isin("O", "F")).groupBy(F.col("o_custkey").alias("run")).agg(F.count_if(F.col("o_orderstatus") == "O").alias("p"), F.count_if(F.col("o_orderstatus") == "F").alias("f"))
+    said = rows.select("run", F.concat(F.lit("== "), "p", F.lit(" passed, "), "f", F.lit(" failed in 0.12s ==")).alias("stdout"))
+    return reports.test_summary(said).select("run", "passed", "failed", "total", "all_passed")
+
+
+@query("""SELECT o_orderkey AS path, CAST(1 AS BIGINT) AS hunk, CAST(o_orderkey % 100 + 1 AS INTEGER) AS "oldStart", string_agg(CAST(o_orderkey % 100 + rn AS VARCHAR), ',' ORDER BY rn) AS added
+FROM orders JOIN (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem) ON l_orderkey = o_orderkey GROUP BY ALL""")
+def parse_hunks(spark, d):
+    """SRC14: each order's lines as a hunk that adds them after line o_orderkey % 100."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("k"))
+    start = (F.col("o_orderkey") % 100).cast("int") + 1
+    patch = F.concat(F.lit("@@ -"), start, F.lit(",0 +"), start, F.lit(","), F.size("k"), F.lit(" @@\n"), F.array_join(F.transform("k", lambda k: F.concat(F.lit("+line "), k)), "\n"))
+    rows = table(spark, d, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("path"), patch.alias("patch"))
+    return hunks.parse_hunks(rows).select("path", F.col("hunk"), "oldStart", F.array_join("changedNewLines", ",").alias("added"))
+
+
+# --- structure: parts as generated source files ----------------------------------------------------------------------------
+
+
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    """Each part as a file with a class, a function that calls another part's, and an import."""
+    key = F.col("p_partkey")
+    code = F.concat(
+        F.lit("import m"), key % 10, F.lit("\n\n\nclass C"), key, F.lit("(C"), key - 1, F.lit("):\n    pass\n\n\ndef f"), key, F.lit("(a, b=1):\n    if a and b:\n        return f"), key + 1, F.lit("(a)\n    return b\n")
+    )
+    return table(spark, d, "part").select(F.concat(F.lit("src/p"), key, F.lit(".py")).alias("path"), code.alias("content"))
+
+
+@query("SELECT 'src/p' || p_partkey || '.py' AS path, 'f' || p_partkey AS name, 8 AS start_line, 11 AS end_line, 'def f' || p_partkey || '(a, b)' AS signature, 3 AS complexity, 'f' || (p_partkey + 1) AS calls FROM part")
+def extract_functions(spark, d):
+    """EXT1-EXT9: functions of generated files, with complexity and calls."""
+    rows = extract(_code(spark, d))
+    deep = rows.select("path", F.inline("deep")).filter("symbol_type = 'function'")
+    return deep.select("path", F.col("symbol_name").alias("name"), "start_line", "end_line", "signature", F.col("cyclomatic_complexity").alias("complexity"), F.array_join(F.transform("functions_called", lambda c: c["function_name"]), ",").alias("calls"))
+
+
+@query("""SELECT type, n FROM (SELECT 'CONTAINS' AS type, count(*) AS n FROM part UNION ALL SELECT 'DEFINES', 2 * count(*) FROM part UNION ALL SELECT 'IMPORTS', count(*) FROM part
+UNION ALL SELECT 'CALLS', count(*) FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 UNION ALL SELECT 'INHERITS', count(*) FROM part a JOIN part b ON b.p_partkey = a.p_partkey - 1) WHERE n > 0""")
+def graph_build(spark, d):
+    """GR1, JN1-JN3: the graph of generated files, edges by type."""
+    return graph.type_counts(graph.build(extract(_code(spark, d))).edges)
+
+
+@query()
+def pattern_findings(spark, d):
+    """GR11, AGG23-AGG25: each generated function with an even key against siblings that another file shape gives. No SQL: code is parsed."""
+    code = _code(spark, d).withColumn("path", F.concat(F.lit("g"), (F.crc32(F.col("path").cast("binary")) % 97).cast("string")))
+    named = code.select("path", F.regexp_extract("content", r"def (\w+)", 1).alias("name"), F.regexp_replace("content", r"(?s)^.*\n(?=def )", "").alias("content"))
+    changed = named.filter(F.col("name").rlike("[02468]$")).withColumn("content", F.replace("content", F.lit("return b"), F.lit("raise ValueError(b)")))
+    return patterns.detect(changed, named)
+
+
+@query()
+def diff_stats(spark, d):
+    """TXT5, TXT6, FLT8: each document against its text in lower case. No SQL: a sequence matcher."""
+    docs = table(spark, d, "documents").filter("text is not null")
+    stats = text.diff_stats(F.col("text"), F.lower("text"))
+    return docs.select("doc_id", stats.alias("s")).select("doc_id", "s.*", text.significant(F.col("s")).alias("significant"))
+
+
+# --- keys and time ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, source, rank FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 8")
+def sibling_limit(spark, d):
+    """JN14, TOP4: at most eight documents of each source, by id."""
+    from pyspark.sql import Window as W
+
+    rank = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
+    return table(spark, d, "documents").select("doc_id", "source", rank.cast("long").alias("rank")).filter("rank <= 8")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
+def dedup_first(spark, d):
+    """WIN2: the first event of each user and type."""
+    return validation.first(table(spark, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def latest_per_key(spark, d):
+    """STR3: the latest event of each user."""
+    return validation.latest(table(spark, d, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def recent_window(spark, d):
+    """FLT6: events of the hour before the last event."""
+    events = table(spark, d, "events").withColumn("updated_at", F.col("ts").cast("timestamp"))
+    now = F.broadcast(events.agg(F.max("updated_at").alias("now")))
+    return graph.recently_updated(events.join(now), F.col("now")).select("event_id")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 100")
+def last_events(spark, d):
+    """WIN5: the last hundred events."""
+    return validation.ring(table(spark, d, "events").select("event_id", "event_type"), 100, "event_id")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
