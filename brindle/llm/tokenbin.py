@@ -16,6 +16,7 @@ stand together in the order of their texts; an empty table gives empty files; ex
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
 from array import array
@@ -39,13 +40,12 @@ END_ID = 2
 MAGIC = b"PFB1"
 BLOCK = 256
 PERCENTILE = 90
-#: Ids after which a segment is closed, and words whose ids a worker keeps.
-SEGMENT_IDS, CACHED_WORDS = 1 << 19, 400_000
+#: Ids after which a segment is closed, and words of a generation, of which a worker keeps the ids of two.
+SEGMENT_IDS, CACHED_WORDS = 1 << 19, 300_000
 #: Bytes of text encoded at once: the more, the fewer different words are looked up.
 BATCH_BYTES = 3 << 20
 #: A blank beside white space, in RE2's syntax.
 BLANKS = r" [\s\x0b\x1c-\x1f\x{85}\pZ]|[\s\x0b\x1c-\x1f\x{85}\pZ] "
-MARKS = (".", ",", ";", ":", "!", "?")
 SEGMENT = "part int, segment int, first long, n_ids long, body binary"
 
 
@@ -155,27 +155,54 @@ class LibraryEncoder(dict):
         # byte-level models write a byte that is no printable character as the next free one from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.blank, self.tails, self.old = self.shown[32], {}, {}
         self.tokenize, self.pre_tokens = self.model.tokenize, regex.compile(public_tokenizers.PATTERN).findall
 
     def __missing__(self, word: str) -> bytes:
-        """A new word of Latin script goes to the library's model in its pre-tokens; any other goes through the whole library."""
-        body, mark = (word[:-1], word[-1]) if word[-1:] in MARKS else (word, "")
-        if not word or max(word) >= "\u0250":
-            (out,) = self.batch([f" {word}"])
-        else:
-            parts = (f" {body}", mark) if body.isalpha() else self.pre_tokens(f" {word}")
-            ids = [t.id for p in parts if p for t in self.tokenize((p if p.isascii() else p.encode().decode("latin-1")).translate(self.shown))]
-            out = array("I", ids).tobytes()
+        """A new word of Latin letters, with marks behind it or not, goes to the library's model in its pre-tokens; any other goes through the whole library."""
+        out = self.old.get(word)
+        if out is None:
+            body = word.rstrip(string.punctuation)
+            if not body.isalpha():
+                out = self.other(word)
+            elif len(body) < len(word):
+                out = (self.get(body) or self.letters(body)) + self.tail(word[len(body) :])
+            else:
+                out = self.letters(word)
         if len(word) <= 64:
             self[word] = out
         return out
 
+    def letters(self, word: str) -> bytes:
+        """The ids of a word of letters, with a blank before it."""
+        if word.isascii():
+            return array("I", [t.id for t in self.tokenize(self.blank + word)]).tobytes()
+        if max(word) >= "\u0250":
+            return self.batch([f" {word}"])[0]
+        return array("I", [t.id for t in self.tokenize(self.blank + word.encode().decode("latin-1").translate(self.shown))]).tobytes()
+
+    def tail(self, marks: str) -> bytes:
+        """The ids of ASCII marks that stand behind a word."""
+        if marks not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[marks] = array("I", [t.id for t in self.tokenize(marks)]).tobytes()
+        return self.tails[marks]
+
+    def other(self, word: str) -> bytes:
+        """The ids of a word that is more than letters, with a blank before it."""
+        if not word or max(word) >= "\u0250":
+            return self.batch([f" {word}"])[0]
+        parts = (p.encode().decode("latin-1").translate(self.shown) for p in self.pre_tokens(f" {word}"))
+        return array("I", [t.id for p in parts for t in self.tokenize(p)]).tobytes()
+
     def batch(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.StringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each followed by ``end_id`` if there is one, and their number for each text."""
-        if len(self) > CACHED_WORDS:
+        if len(self) > CACHED_WORDS:  # words of the last generation move up when they are met again
+            self.old = dict(self)
             self.clear()
         n = len(texts)
         if not n:
