@@ -14,13 +14,14 @@ from brindle.functions import paths
 def load_directory(spark: SparkSession, folder: str, pattern: str = "*.py") -> DataFrame:
     """Every file below ``folder`` that matches ``pattern``, with its path relative to it. Raises ValueError if there is none.
 
-    Whole files are read by Spark, so that any store works; unreadable files are skipped.
+    Whole files are read by Spark, so that any store works; files that cannot be read or are no UTF-8 are skipped.
     """
     root = folder.rstrip("/")
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True).text(root)
-    full = F.col("_metadata.file_path")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True).load(root)
+    raw = raw.filter(F.is_valid_utf8(F.col("content").cast("string")))
+    full = F.col("path")
     inside = F.locate(f"{root.split('://')[-1]}/", full)
-    files = raw.select(F.when(inside > 0, F.substring(full, inside + len(root.split("://")[-1]) + 1, F.length(full))).otherwise(full).alias("path"), F.col("value").alias("content"))
+    files = raw.select(F.when(inside > 0, F.substring(full, inside + len(root.split("://")[-1]) + 1, F.length(full))).otherwise(full).alias("path"), F.col("content").cast("string").alias("content"))
     if files.isEmpty():
         raise ValueError(f"no {pattern} file below {folder}")
     return files
