@@ -19,6 +19,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Weight of a source with n rows when none are given: n ** TEMPER.
 TEMPER = 0.5
 #: Sources up to which the table of rates (under 100 bytes a row) is broadcast; salts beyond.
@@ -58,9 +60,10 @@ def rates(df: DataFrame, source: str = "source", weights: Mapping[str, float] |
         weight = F.lit(0.0)
         for name, w in weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
-    counts = counts.withColumn("weight", weight)
-    total = counts.agg(F.sum("n").alias("rows"), F.sum("weight").alias("weights"))
-    return counts.join(F.broadcast(total)).select("source", "n", (F.col("rows") * scale * F.col("weight") / F.col("weights") / F.col("n")).alias("rate"))
+    counts = stored(counts.withColumn("weight", weight), "mixing-counts")
+    total = counts.agg(F.sum("n").alias("rows"), F.sum("weight").alias("weights")).first()  # two numbers
+    share = F.col("weight") / F.lit(total.weights or 1.0) / F.col("n")
+    return counts.select("source", "n", (F.lit(float(total.rows or 0) * scale) * share).alias("rate"))
 
 
 def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping[str, float] | None = None, scale: float = 1.0, seed: int = 17) -> DataFrame:
@@ -68,7 +71,7 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Map
     names = [c for c in df.columns if c not in ("copy", "shuffle_key")]
     means = rates(df, source, weights, scale).withColumn("__draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_MEAN)).cast("int"))
     means = means.select(F.col("source").alias("__source"), "__draws", distribution(F.col("rate") / F.col("__draws")).alias("__cdf"))
-    means = means.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else means
+    means = stored(means, "mixing-means")
     own = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     if means.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         joined = df.join(F.broadcast(means), F.col(source).cast("string").eqNullSafe(F.col("__source")))

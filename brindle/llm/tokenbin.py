@@ -15,11 +15,11 @@ stand together in the order of their texts; an empty table gives empty files; ex
 
 from __future__ import annotations
 
+import gc
 import os
 import string
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,9 +41,9 @@ MAGIC = b"PFB1"
 BLOCK = 256
 PERCENTILE = 90
 #: Ids after which a segment is closed, and words of a generation, of which a worker keeps the ids of two.
-SEGMENT_IDS, CACHED_WORDS = 1 << 19, 300_000
+SEGMENT_IDS, CACHED_WORDS = 1 << 19, 450_000
 #: Bytes of text encoded at once: the more, the fewer different words are looked up.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 5 << 20
 #: A blank beside white space, in RE2's syntax.
 BLANKS = r" [\s\x0b\x1c-\x1f\x{85}\pZ]|[\s\x0b\x1c-\x1f\x{85}\pZ] "
 SEGMENT = "part int, segment int, first long, n_ids long, body binary"
@@ -155,6 +155,7 @@ class LibraryEncoder(dict):
         # byte-level models write a byte that is no printable character as the next free one from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.raw = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.blank, self.tails, self.old = self.shown[32], {}, {}
         self.tokenize, self.pre_tokens = self.model.tokenize, regex.compile(public_tokenizers.PATTERN).findall
 
@@ -176,17 +177,19 @@ class LibraryEncoder(dict):
     def letters(self, word: str) -> bytes:
         """The ids of a word of letters, with a blank before it."""
         if word.isascii():
-            return array("I", [t.id for t in self.tokenize(self.blank + word)]).tobytes()
-        if max(word) >= "\u0250":
+            shown = self.blank + word
+        elif max(word) < "\u0250":
+            shown = self.blank + word.encode().decode("latin-1").translate(self.shown)
+        else:
             return self.batch([f" {word}"])[0]
-        return array("I", [t.id for t in self.tokenize(self.blank + word.encode().decode("latin-1").translate(self.shown))]).tobytes()
+        return b"".join([self.raw[t.id] for t in self.tokenize(shown)])
 
     def tail(self, marks: str) -> bytes:
         """The ids of ASCII marks that stand behind a word."""
         if marks not in self.tails:
             if len(self.tails) > 10_000:
                 self.tails.clear()
-            self.tails[marks] = array("I", [t.id for t in self.tokenize(marks)]).tobytes()
+            self.tails[marks] = b"".join([self.raw[t.id] for t in self.tokenize(marks)])
         return self.tails[marks]
 
     def other(self, word: str) -> bytes:
@@ -194,7 +197,7 @@ class LibraryEncoder(dict):
         if not word or max(word) >= "\u0250":
             return self.batch([f" {word}"])[0]
         parts = (p.encode().decode("latin-1").translate(self.shown) for p in self.pre_tokens(f" {word}"))
-        return array("I", [t.id for p in parts for t in self.tokenize(p)]).tobytes()
+        return b"".join([self.raw[t.id] for p in parts for t in self.tokenize(p)])
 
     def batch(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -215,7 +218,7 @@ class LibraryEncoder(dict):
         offsets, words = offsets - offsets[0], cut.flatten()
         firsts = [t if w else f for t, w, f in zip(texts.to_pylist(), whole.to_pylist(), words.take(pa.array(offsets[:-1])).to_pylist())] if pc.any(whole).as_py() else words.take(pa.array(offsets[:-1])).to_pylist()
         coded = words.dictionary_encode()
-        known = coded.dictionary.to_pylist()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
         # the first word of each text has no blank before it: it has an entry of its own, as the end has
         entries = [*map(self.__getitem__, known), *self.batch(firsts), np.array([] if end_id is None else [end_id], "<u4").tobytes()]
         codes = coded.indices.to_numpy().astype(np.int32)
@@ -240,6 +243,7 @@ def write(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", voc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(vocabulary), TaskContext.get().partitionId()
+        gc.disable()  # nothing here is cyclic, and the words kept are many objects to look through
         number = first = size = 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
@@ -257,6 +261,7 @@ def write(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", voc
                 number, first, size, held = number + 1, first + size, 0, []
         if held:
             yield close()
+        gc.enable()
 
     rows = df.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -156,11 +156,12 @@ def _joined(spark: SparkSession, path: str, torn: DataFrame) -> DataFrame:
     pieces = _pieces(spark, path).join(torn.select("file").distinct(), "file", "left_semi").withColumn("length", (F.octet_length("body") + len(MAGIC)).cast("long"))
     pieces = stored(pieces, "warc-bodies")
     placed = _placed(pieces)
-    starts = torn.select("file", "offset", "span", F.lit(None).cast("string").alias("body"), F.lit(0).alias("piece"))
-    every = placed.select("file", "offset", F.lit(None).cast("long").alias("span"), "body", F.lit(1).alias("piece"))
+    starts = torn.select("file", "offset", "span", F.lit(0).alias("piece"))
+    every = placed.select("file", "offset", F.lit(None).cast("long").alias("span"), F.lit(1).alias("piece"))
     order = W.partitionBy("file").orderBy("offset", "piece")
     owner = F.last(F.when(F.col("piece") == 0, F.struct("offset", "span")), ignorenulls=True).over(order)
-    spread = starts.unionByName(every).withColumn("own", owner).filter("piece = 1 and offset >= own.offset and offset < own.offset + own.span")
+    owned = starts.unionByName(every).withColumn("own", owner).filter("piece = 1 and offset >= own.offset and offset < own.offset + own.span")
+    spread = owned.select("file", "offset", "own").join(placed.select("file", "offset", "body"), ["file", "offset"])  # bodies don't pass the window
     whole = spread.groupBy("file", F.col("own.offset").alias("start"), F.col("own.span").alias("size")).agg(F.sort_array(F.collect_list(F.struct("offset", "body"))).alias("parts"))
     body = F.array_join(F.transform("parts", lambda p: p["body"]), MAGIC)
     return _parsed(whole.select("file", F.col("start").alias("offset"), body.alias("body"))).filter("whole")

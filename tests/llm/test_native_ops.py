@@ -1,0 +1,106 @@
+"""Secret scan and mixing: expressions only, edge cases and brute force."""
+
+import hashlib
+import math
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from brindle.llm import mixing, secrets
+
+HEX = hashlib.sha1(b"secret").hexdigest()
+TEXTS = [
+    f'the key token = "{HEX}" of the end',
+    f"see commit {HEX} by the author",
+    "card 4845168114407329 and nothing else",
+    None,
+    "",
+    f"é {HEX[:32]} token = \"{HEX}\"",
+    "-----BEGIN RSA PRIVATE KEY-----\nabc",
+    'password = "changeme_example_password1"',
+    "x" * 300_000,
+    "id AKIA" + HEX[:16].upper() + " end",
+]
+
+
+def test_findings_and_positions(spark, docs):
+    rows = secrets.scan(docs(TEXTS, start=1, score="clash")).collect()
+    by_doc = {}
+    for r in rows:
+        assert TEXTS[r.doc_id][r.start : r.stop] == r.candidate
+        by_doc.setdefault(r.doc_id, []).append((r.candidate, r.is_secret))
+    assert by_doc[0] == [(HEX, True)] and by_doc[1] == [(HEX, False)] and by_doc[2] == [("4845168114407329", False)]
+    assert dict(by_doc[5])[HEX] and by_doc[6][0][1] and not by_doc[7][0][1] and by_doc[9][0][1]
+    assert 3 not in by_doc and 4 not in by_doc and 8 not in by_doc
+
+
+def test_redaction_keeps_everything_else(spark, docs):
+    df = docs(TEXTS, start=1)
+    got = {r.doc_id: r for r in secrets.redact(df).collect()}
+    assert len(got) == len(TEXTS) and secrets.redact(df).columns == df.columns
+    assert got[0].text == 'the key token = "[SECRET]" of the end' and got[0].n_chars == len(got[0].text)
+    for i in (1, 2, 3, 4, 7, 8):
+        assert got[i].text == TEXTS[i]
+    assert secrets.redact(df.limit(0)).count() == 0 and secrets.scan(df.limit(0)).count() == 0
+    assert secrets.redact(df.unionByName(df)).count() == 2 * len(TEXTS)
+    assert secrets.scan(df.drop("source"), path=None).count() == secrets.scan(df).count()
+
+
+def test_no_python_in_the_plan(spark, docs):
+    plan = secrets.scan(docs(TEXTS))._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_forest_on_held_out_findings(spark):
+    every = secrets.labelled_findings(spark, 6000).withColumn("n", F.monotonically_increasing_id())
+    forest = secrets.compiled(secrets.fit(every.filter("n % 3 <> 0").drop("n")), "x.features")
+    held = every.filter("n % 3 = 0")
+    scored = held.withColumn("x", F.struct(secrets._features(F.col("found"), F.col("left"), F.col("right"), F.col("path")).alias("features"))).select("secret", F.expr(forest).alias("score"))
+    assert scored.filter((F.col("score") >= 0.5) == (F.col("secret") == 1)).count() / held.count() > 0.97
+
+
+def brute_counts(rows, rates, seed=17):
+    out = Counter()
+    for key, source in rows:
+        rate = rates[source]
+        draws = max(1, math.ceil(rate / mixing.MAX_MEAN))
+        for i in range(1, draws + 1):
+            u = int(hashlib.md5(f"{seed}:{'null' if key is None else key}:{i}".encode()).hexdigest()[:13], 16) / 2**52
+            k, p = 0, math.exp(-rate / draws)
+            total = p
+            while u >= total and k < 10_000:
+                k += 1
+                p *= rate / draws / k
+                total += p
+            out[key] += k
+    return out
+
+
+def test_mixing_against_brute_force(spark, docs):
+    df = docs(["t"] * 3000, copy="clash")
+    got = mixing.mix(df)
+    n = Counter(r.source for r in df.collect())
+    weight = {s: c**0.5 for s, c in n.items()}
+    rates = {s: 3000 * weight[s] / sum(weight.values()) / n[s] for s in n}
+    expected = brute_counts([(r.doc_id, r.source) for r in df.collect()], rates)
+    rows = got.collect()
+    assert Counter(r.doc_id for r in rows) == +expected
+    assert all(sorted(c) == list(range(1, len(c) + 1)) for c in [[r.copy for r in rows if r.doc_id == i] for i in range(0, 3000, 100)])
+    total = Counter(r.source for r in rows)
+    for s in n:
+        assert abs(total[s] - rates[s] * n[s]) < 5 * math.sqrt(rates[s] * n[s])
+    order = [r.doc_id for r in rows]
+    assert order != sorted(order)  # a global shuffle
+
+
+def test_mixing_weights_large_means_and_salted_join(spark, docs, monkeypatch):
+    df = docs(["t"] * 40)
+    heavy = mixing.mix(df, weights={"src0": 1.0}, scale=200.0)
+    assert {r.source for r in heavy.select("source").distinct().collect()} == {"src0"}
+    assert abs(heavy.count() - 8000) < 500
+    plain = sorted(map(tuple, mixing.mix(df).collect()), key=repr)
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 0)
+    assert sorted(map(tuple, mixing.mix(df).collect()), key=repr) == plain
+    assert mixing.mix(df.limit(0)).count() == 0
+    keys = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert mixing.mix(keys).columns[:5] == df.columns
