@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, media, mixing, pii, quality, secrets, simhash, tokenbin, toxicity, warc
+from . import bpe, media, mixing, pii, quality, secrets, simhash, sql, tokenbin, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality": sql.QUALITY, "op9_warc": sql.WARC, "op10_mixing": sql.MIXING}
