@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: A private key's first line; a quoted value; a run of 16 or more token characters with a digit among them.
+#: A private key's first line; a quoted value that is not the mark of an earlier redaction; a run of 16 or more token characters with a digit among them.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?<=[\"'])[^\"'\s]{8,256}(?=[\"'])"
+    r"|(?<=[\"'])(?!\[SECRET\])[^\"'\s]{8,256}(?=[\"'])"
     r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 )
 #: Characters of context on each side.
