@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def create_session(app: str = "brindle", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution, Arrow and the RocksDB state store; ``conf`` overrides with dots written as ``__``."""
@@ -18,3 +22,14 @@ def create_session(app: str = "brindle", master: str | None = None, **conf: str)
     if master:
         builder = builder.master(master)
     return builder.config(map=settings).getOrCreate()
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Lets Python workers of this session import the library from where the driver has it, whatever the driver's folder is.
+
+    That is enough where workers see the driver's files; on a cluster, ship the repository or put it on PYTHONPATH there.
+    """
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
