@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: A private key's first line; a quoted value that is not the mark of an earlier redaction; a run of 16 or more token characters with a digit among them.
+#: A private key's first line; prefixes that are issued; a quoted value that is not the mark of an earlier redaction; a value behind =; a run of 16 or more token characters with a digit among them.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,250})"
     r"|(?<=[\"'])(?!\[SECRET\])[^\"'\s]{8,256}(?=[\"'])"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
+    r"|(?<==)[^\s\"'&;,<>()]{8,256}"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
 #: Characters of context on each side.
 CONTEXT = 64
@@ -93,6 +95,9 @@ LABELLED = (
     (1, "access_key => '", "concat('sk_live_', left(b, 24))", "'", "billing.rb"),
     (1, "{w}\n", "'-----BEGIN RSA PRIVATE KEY-----'", "\n", "id_rsa"),
     (1, "client_secret: ", "left(b, 30)", "\n{w}", "app.yaml"),
+    (1, "{w} {w} password=", "left(h, 18)", " {w}", "src8"),
+    (1, "{w}. PASSWORD=", "concat(left(b, 8), '!', left(h, 3))", " {w}", "src2"),
+    (1, "token=", "left(h, 32)", "&{w}", "notes"),
     (0, "commit ", "left(h, 40)", " by {w}", "src3"),
     (0, "sha256: ", "h", "\n", "package.lock"),
     (0, "{w} checksum ", "left(h, 32)", " {w}", "README.md"),
@@ -109,6 +114,9 @@ LABELLED = (
     (0, "{w} '", "'message_{w}_content_2'", "' {w}", "src/i18n.py"),
     (0, "version: ", "concat('release-', left(translate(h, 'abcdef', '012345'), 8), '-build')", " {w}", "changelog"),
     (0, "{w} {w} ", "left(h, 32)", " {w}", "src9"),
+    (0, "{w} page=", "concat('section-', left(h, 2), '-overview')", " {w}", "src5"),
+    (0, "{w}?ref=", "concat('newsletter_', translate(left(h, 4), 'abcdef', '012345'))", " {w}", "src5"),
+    (0, "{w} width=", "concat('calc-100-percent-', left(h, 1))", " {w}", "style.css"),
     (0, 'href="', "'http://site.example/page?item=12345'", '"', "src/page.html"),
 )
 
