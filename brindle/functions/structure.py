@@ -71,6 +71,7 @@ class _Walk(ast.NodeVisitor):
         return "\n".join(self.lines[node.lineno - 1 : node.end_lineno])
 
     def function(self, node: Def) -> None:
+        nested = None in self.owner
         self.calls.append([])
         self.owner.append(None)
         self.generic_visit(node)
@@ -78,7 +79,7 @@ class _Walk(ast.NodeVisitor):
         held = self.owner[-1] if self.owner else None
         self.functions.append(
             {
-                "name": node.name, "start_line": node.lineno, "end_line": node.end_lineno, "is_async": isinstance(node, ast.AsyncFunctionDef), "class_name": held,
+                "name": node.name, "start_line": node.lineno, "end_line": node.end_lineno, "is_async": isinstance(node, ast.AsyncFunctionDef), "is_nested": nested, "class_name": held,
                 "parameters": _parameters(node.args), "return_annotation": _text(node.returns), "signature": signature(node), "docstring": ast.get_docstring(node),
                 "content": self.slice(node), "calls": self.calls.pop(),
             }

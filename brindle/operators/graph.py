@@ -41,11 +41,9 @@ def build(extracted: DataFrame, repository: str = "repository", identity: str =
 
     Functions are the top-level ones. ``resolve="name"`` links a call to every function of that name; ``"same_file_first"``
     to those of the caller's file if it has any. Names are joined, so that nothing depends on the order of files.
+    The extraction is read once for each kind of node: pass a stored or cached table, or files are parsed so often.
     """
-    functions = extracted.select("path", F.inline("functions")).filter("class_name is null")
-    outer = extracted.select(F.col("path").alias("p"), F.inline("functions")).select("p", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    nested = functions.join(outer, (F.col("path") == F.col("p")) & (F.col("start_line") > F.col("s")) & (F.col("end_line") <= F.col("e")), "left_semi").select("path", "name", "start_line")
-    functions = functions.join(nested, ["path", "name", "start_line"], "left_anti").withColumn("id", symbol_id("Function", identity))
+    functions = extracted.select("path", F.inline("functions")).filter("class_name is null and not is_nested").withColumn("id", symbol_id("Function", identity))
     classes = extracted.select("path", F.inline("classes")).withColumn("id", symbol_id("Class", identity))
     files = extracted.select("path", node_id("File", F.col("path")).alias("id"))
     imports = extracted.select("path", F.inline("imports")).filter("module is not null")

@@ -45,17 +45,20 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -
     Document frequencies of *all* terms are aggregated, since the floor of negative idf values is their mean.
     """
     spark = docs.sparkSession
-    asked = Counter(w for w in spark.range(1).select(tokens(F.lit(query)).alias("w")).first()["w"])
+    asked = Counter(spark.range(1).select(tokens(F.lit(query)).alias("w")).first()["w"])
     words = docs.select(key, tokens(F.col(text)).alias("words"))
-    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    terms = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    known = idf(terms, stats.select("n")).filter(F.col("term").isin(*asked))
+    # one pass counts documents by term; an entry without a term, which no token is, brings the number of documents and of words
+    entries = F.concat(F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("size"))), F.array(F.struct(F.lit("").alias("term"), F.size("words").alias("size"))))
+    counts = words.select(F.inline(entries)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("size").alias("size"))
+    stats = counts.filter("term = ''").select(F.col("df").alias("n"), (F.col("size") / F.col("df")).alias("avgdl"))
+    known = idf(counts.filter("term <> ''").select("term", "df"), stats.select("n")).filter(F.col("term").isin(*asked))
     weights = known.agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))  # at most as many as the query has words
-    rows = words.join(F.broadcast(stats.select("avgdl"))).join(F.broadcast(weights))
+    hits = F.filter("words", lambda w: w.isin(*asked)) if asked else F.array().cast("array<string>")
+    rows = words.select(key, F.size("words").alias("dl"), hits.alias("hits")).join(F.broadcast(stats.select("avgdl"))).join(F.broadcast(weights))
 
     def part(term: str, times: int) -> Column:
-        tf = F.size(F.filter("words", lambda w: w == term)).cast("double")
-        scale = K1 * (1 - B + B * F.size("words") / F.col("avgdl"))
+        tf = F.size(F.filter("hits", lambda w: w == term)).cast("double")
+        scale = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
         return times * F.coalesce(F.try_element_at(F.col("idf"), F.lit(term)) * tf * (K1 + 1) / (tf + scale), F.lit(0.0))
 
     score = F.lit(0.0)

@@ -38,6 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores, dealt to all cores. Larger tables are read where they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- search -----------------------------------------------------------------------------------------------------------
 
 QUESTION = "the token and that loser or that and license ention"
@@ -58,14 +64,14 @@ bm25 AS (SELECT words.doc_id, coalesce(sum(s), 0) AS score FROM words LEFT JOIN
 @query(f"WITH {_WORDS}, flat AS (SELECT doc_id, unnest(w) AS term FROM words) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM flat GROUP BY term")
 def tok_terms(spark, d):
     """TXT1: term and document frequencies of the inverted index."""
-    postings = search.index(table(spark, d, "documents"))["postings"]
+    postings = search.index(spread(table(spark, d, "documents")))["postings"]
     return postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm25 ORDER BY round(score, 6) DESC, doc_id LIMIT 20")
 def bm25_topk(spark, d):
     """TXT2, TOP1: BM25 over documents."""
-    scored = search.bm25(table(spark, d, "documents"), QUESTION).select("doc_id", F.round("score", 6).alias("score"))
+    scored = search.bm25(spread(table(spark, d, "documents")), QUESTION).select("doc_id", F.round("score", 6).alias("score"))
     return search.top(scored, 20, "doc_id")
 
 
@@ -95,7 +101,7 @@ vec AS (SELECT b.vec_id AS name, {_COS} AS score FROM embeddings a, embeddings b
 SELECT name, round(sum(score), 6) AS score FROM (SELECT name, 0.6 * score AS score FROM vec UNION ALL SELECT name, 0.4 * score FROM kw) GROUP BY name ORDER BY round(sum(score), 6) DESC, name LIMIT 20""")
 def hybrid_topk(spark, d):
     """JN5, TOP3: documents by keywords and vectors, where doc_id and vec_id name the same symbol."""
-    scored = search.bm25(table(spark, d, "documents"), QUESTION).select(F.col("doc_id").alias("name"), "score")
+    scored = search.bm25(spread(table(spark, d, "documents")), QUESTION).select(F.col("doc_id").alias("name"), "score")
     keyword = scored.orderBy(F.desc(F.round("score", 6)), "name").limit(50)
     vectors = table(spark, d, "embeddings")
     one = vectors.filter("vec_id = 0").select(F.col("embedding").alias("q"))
@@ -513,7 +519,7 @@ UNION ALL SELECT doc_id, line, 'common_issue', 'warning' FROM st WHERE code AND
 UNION ALL SELECT doc_id, line, 'common_issue', 'warning' FROM st WHERE code AND contains(stripped, ' if ') AND NOT contains(stripped, '==') AND NOT contains(stripped, '!=') AND regexp_matches(stripped, 'if\s+\w+\s*=\s*')""")
 def line_rules(spark, d):
     """EXT14, WIN6: the line rules over the lines of documents."""
-    return text.line_rules(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "line", "issue_type", "severity")
+    return text.line_rules(spread(table(spark, d, "documents")), "doc_id", "text").select("doc_id", "line", "issue_type", "severity")
 
 
 @query("SELECT page_id, regexp_extract(url, '[^/]*$') AS base, NOT regexp_matches(url, '/(test|tests)/') AND regexp_matches(url, '/(de|fr)/') AS kept FROM pages")
@@ -579,7 +585,7 @@ def _code(spark: SparkSession, d: str) -> DataFrame:
     code = F.concat(
         F.lit("import m"), key % 10, F.lit("\n\n\nclass C"), key, F.lit("(C"), key - 1, F.lit("):\n    pass\n\n\ndef f"), key, F.lit("(a, b=1):\n    if a and b:\n        return f"), key + 1, F.lit("(a)\n    return b\n")
     )
-    return table(spark, d, "part").select(F.concat(F.lit("src/p"), key, F.lit(".py")).alias("path"), code.alias("content"))
+    return spread(table(spark, d, "part")).select(F.concat(F.lit("src/p"), key, F.lit(".py")).alias("path"), code.alias("content"))
 
 
 @query("SELECT 'src/p' || p_partkey || '.py' AS path, 'f' || p_partkey AS name, 8 AS start_line, 11 AS end_line, 'def f' || p_partkey || '(a, b)' AS signature, 3 AS complexity, 'f' || (p_partkey + 1) AS calls FROM part")
@@ -594,7 +600,7 @@ def extract_functions(spark, d):
 UNION ALL SELECT 'CALLS', count(*) FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 UNION ALL SELECT 'INHERITS', count(*) FROM part a JOIN part b ON b.p_partkey = a.p_partkey - 1) WHERE n > 0""")
 def graph_build(spark, d):
     """GR1, JN1-JN3: the graph of generated files, edges by type."""
-    return graph.type_counts(graph.build(extract(_code(spark, d))).edges)
+    return graph.type_counts(graph.build(extract(_code(spark, d)).cache()).edges)
 
 
 @query()

@@ -5,7 +5,7 @@ PARAMETER = "struct<name:string,kind:string,annotation:string,default:string>"
 
 FILES = "path string, content string"
 FUNCTION = (
-    f"struct<name:string,start_line:int,end_line:int,is_async:boolean,class_name:string,parameters:array<{PARAMETER}>,"
+    f"struct<name:string,start_line:int,end_line:int,is_async:boolean,is_nested:boolean,class_name:string,parameters:array<{PARAMETER}>,"
     f"return_annotation:string,signature:string,docstring:string,content:string,calls:array<{CALL}>>"
 )
 CLASS = "struct<name:string,start_line:int,end_line:int,bases:array<string>,methods:array<string>,docstring:string,content:string>"
