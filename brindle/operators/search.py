@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brindle.functions.text import tokens
+from brindle.functions.text import STOP_WORDS, TOKEN_BREAK, tokens
 from brindle.functions.vectors import cosine
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -46,12 +46,13 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -
     """
     spark = docs.sparkSession
     asked = Counter(spark.range(1).select(tokens(F.lit(query)).alias("w")).first()["w"])
-    words = docs.select(key, tokens(F.col(text)).alias("words"))
-    # one pass counts documents by term; an entry without a term, which no token is, brings the number of documents and of words
-    entries = F.concat(F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("size"))), F.array(F.struct(F.lit("").alias("term"), F.size("words").alias("size"))))
-    counts = words.select(F.inline(entries)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("size").alias("size"))
-    stats = counts.filter("term = ''").select(F.col("df").alias("n"), (F.col("size") / F.col("df")).alias("avgdl"))
-    known = idf(counts.filter("term <> ''").select("term", "df"), stats.select("n")).filter(F.col("term").isin(*asked))
+    # exploding a list of one keeps the optimizer from cutting the text into words anew for each use of them
+    words = docs.select(key, F.explode(F.array(tokens(F.col(text)))).alias("words"))
+    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl"))
+    # stop words go behind the explode, where the filter is compiled
+    flat = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_BREAK))).alias("term"))
+    counts = flat.filter((F.col("term") != "") & ~F.col("term").isin(*STOP_WORDS)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    known = idf(counts, stats.select("n")).filter(F.col("term").isin(*asked))
     weights = known.agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))  # at most as many as the query has words
     hits = F.filter("words", lambda w: w.isin(*asked)) if asked else F.array().cast("array<string>")
     rows = words.select(key, F.size("words").alias("dl"), hits.alias("hits")).join(F.broadcast(stats.select("avgdl"))).join(F.broadcast(weights))
