@@ -135,9 +135,9 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, total): how often each of ``patterns(pattern)`` stands before a word in the texts of ``texts(text)``."""
     slot = F.crc32(F.col("pattern").cast("binary")) % SLOTS
-    rows = patterns.select(slot.alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
-    bits = bytearray(SLOTS // 8 + 4096)
-    for bucket, data in rows.collect():  # at most SLOTS / 32768 rows of 4096 bytes; bucket b begins at slot 32768 (b - 1)
+    rows = patterns.select(slot.alias("s")).groupBy(F.expr("bitmap_bucket_number(s + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s + 1))").alias("bits"))
+    bits = bytearray(SLOTS // 8)
+    for bucket, data in rows.collect():  # at most SLOTS / 32768 rows of 4096 bytes; Spark counts from 1: s + 1 is bit s, bucket b begins at slot 32768 (b - 1)
         bits[4096 * (bucket - 1) : 4096 * bucket] = data
     bitmap = bytes(bits)
 

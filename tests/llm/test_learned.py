@@ -1,10 +1,12 @@
 """PII and toxicity: brute force for base spans, planted patterns, held-out accuracy, counterfactual pairs."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -64,6 +66,26 @@ def test_bootstrapping(spark, docs):
     assert pii.extract(df.limit(0)).count() == 0 and pii.extract(df.unionByName(df)).count() == 2 * len(texts)
 
 
+def test_occurrences_against_brute_force(spark):
+    slot = lambda p: zlib.crc32(p.encode()) % pii.SLOTS
+    names = ("".join(w) + " of" for w in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=6))
+    first = next(p for p in names if slot(p) == 0)  # the first and the last bit of a bucket
+    last = next(p for p in names if slot(p) % 32768 == 32767)
+    patterns = [first, last, "write to", "ticket no", "^ ^", "^ all", "never there"]
+    texts = [f"all {first} them {last} him", "please write to me", "Write  TO\nyou", "ticket no 5 ticket no 6", "", "ticket no"] * 3
+    brute = Counter()
+    for t in texts:
+        words = ["^", "^", *t.lower().split()]
+        brute.update(p for p in map(" ".join, zip(words, words[1:-1])) if p in patterns)
+    got = pii.occurrences(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(p,) for p in patterns], "pattern string"))
+    assert {r.pattern: r.total for r in got.collect()} == brute and len(brute) == 6
+
+
+def test_seeds_before_ordinary_words_do_not_make_a_pattern_reliable(spark, docs):
+    texts = [f"you may write to user{i}@mail.example.com" for i in range(4)] + ["you may write to them"] * 20 + ["you may write to badge-7700"]
+    assert {r.n_id for r in pii.extract(docs(texts)).collect()} == {0}
+
+
 INSULTS, WORDS = ("idiot", "moron", "scum"), [f"w{i}" for i in range(300)]
 
 
