@@ -6,8 +6,9 @@ broadcast while they are few, so that payloads are not shuffled at all, and unde
 
 Reading splits archives natively at the magic ``WARC/1.``, also inside of payloads. Each piece is a *candidate* record
 with an offset and, by its Content-Length, the offset of its successor. Only what the chain of successors from the file's
-start reaches is a record. Chains are followed by pointer jumping over runs of adjacent candidates: a run within one file
-block is one node, so that the rounds are logarithmic in the number of blocks, not of records. A payload that holds the
+start reaches is a record. A header that holds the magic, say in its url, goes on in the pieces behind, up to the next
+blank line. Chains are followed by pointer jumping over runs of adjacent candidates: a run within one file
+block is one node, so that the rounds are logarithmic in the number of blocks, not of records. A record that holds the
 magic spans several pieces and is put together in a second pass over its file.
 
 Defined results: a null payload is the empty payload; a null url is the empty one; a page with a null id has no id to be
@@ -83,7 +84,12 @@ def _parsed(df: DataFrame) -> DataFrame:
     """``df`` with the fields of the record that begins at the magic before each ``body``, as far as the piece holds it."""
     cut = F.instr("body", END)
     df = df.withColumn("head", F.when(cut > 0, F.substring("body", F.lit(1), cut - 1)))
-    df = df.withColumn("content", F.when(F.col("head").rlike("^[01]\\r\\n"), _field("Content-Length").try_cast("long")))
+    opens = F.col("body").rlike("^[01]\\r\\n")
+    df = df.withColumn("content", F.when(opens, _field("Content-Length").try_cast("long")))
+    # for a header that goes on behind a magic: no line begins or ends at the magics around the piece
+    lines = F.concat(F.lit(MAGIC), F.coalesce(F.concat("head", F.lit("\r\n")), F.concat("body", F.lit(MAGIC))))
+    size = "(?im)^Content-Length:[ \\t]*([^\\r\\n]*)"
+    df = df.withColumns({"opens": opens, "ends": F.octet_length("head").cast("long"), "size": F.when(F.regexp_extract(lines, size, 0) != "", F.regexp_extract(lines, size, 1))})
     df = df.withColumn("span", len(MAGIC) + F.octet_length("head") + 2 * len(END) + F.col("content"))
     block = F.substring(F.col("body").cast("binary"), F.octet_length("head") + len(END) + 1, F.col("content").cast("int"))
     df = df.withColumn("whole", F.coalesce(F.octet_length("body") + len(MAGIC) == F.col("span"), F.lit(False)))
@@ -93,7 +99,7 @@ def _parsed(df: DataFrame) -> DataFrame:
     payload = F.when(is_http, F.expr(f"substring(record, instr(cast(record as string), '\\r\\n\\r\\n') + {len(END)})")).otherwise(F.col("record"))
     stated = F.regexp_extract(F.when(is_http, F.substring(F.col("record").cast("string"), F.lit(1), http)).otherwise(""), "(?im)^Content-Length:[ \\t]*([0-9]+)", 1).try_cast("long")
     return df.select(
-        *[c for c in ("file", "block", "n", "offset") if c in df.columns], (F.octet_length("body") + len(MAGIC)).cast("long").alias("length"), "span", "whole",
+        *[c for c in ("file", "block", "n", "offset") if c in df.columns], (F.octet_length("body") + len(MAGIC)).cast("long").alias("length"), "span", "whole", "opens", "ends", "size",
         F.lower(_field("WARC-Type")).alias("type"), _field("WARC-Record-ID").alias("record_id"), _field("WARC-Refers-To").alias("refers_to"), _field("WARC-Target-URI").alias("url"),
         F.regexp_replace(_field("WARC-Payload-Digest"), "(?i)^sha1:", "").alias("stated_digest"), stated.alias("stated_bytes"), F.octet_length(payload).cast("long").alias("bytes"), base32_sha1(payload).alias("digest"),
     )
@@ -108,6 +114,21 @@ def _placed(pieces: DataFrame) -> DataFrame:
     return rows.join(blocks, ["file", "block"]).withColumn("offset", F.col("__from") + F.col("__before") - len(MAGIC)).drop("__before", "__from")
 
 
+def _headed(placed: DataFrame) -> DataFrame:
+    """``placed`` with the spans of those candidates too whose header holds the magic and so goes on in the pieces behind."""
+    if placed.filter("opens and ends is null").isEmpty():
+        return placed
+    inner = W.partitionBy("file", "block").orderBy("n")
+    # a piece without the blank line, and the piece after it; of a block's first piece that isn't known
+    near = placed.withColumn("after", F.coalesce(F.lag(F.col("ends").isNull()).over(inner), F.lit(True))).filter("ends is null or after")
+    back = W.partitionBy("file").orderBy(F.col("offset").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    end = F.last(F.when(F.col("ends").isNotNull(), F.struct("offset", "ends")), ignorenulls=True).over(back)
+    size = F.last(F.when(F.col("size").isNotNull(), F.struct("offset", F.col("size").try_cast("long").alias("content"))), ignorenulls=True).over(back)
+    near = near.select("file", "offset", "opens", F.col("ends").alias("own"), end.alias("end"), size.alias("size")).filter("opens and own is null and size.offset <= end.offset")
+    spans = near.select("file", "offset", (F.col("end.offset") + len(MAGIC) + F.col("end.ends") + 2 * len(END) + F.col("size.content") - F.col("offset")).alias("__span"))
+    return placed.join(spans, ["file", "offset"], "left").withColumn("span", F.coalesce("span", "__span")).drop("__span")
+
+
 def reachable(candidates: DataFrame) -> DataFrame:
     """(file, offset) of the candidates (file, block, offset, length, successor) that the chain from offset 0 of each file reaches."""
     shared_root(candidates.sparkSession)
@@ -139,7 +160,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Size and digest are those of the payload as read; of a revisit, which holds none, those that its headers state.
     """
     parsed = stored(_parsed(_pieces(spark, path)), "warc-pieces")
-    placed = _placed(parsed).filter("span is not null").withColumn("successor", F.col("offset") + F.col("span"))
+    placed = _headed(_placed(parsed)).filter("span is not null").withColumn("successor", F.col("offset") + F.col("span"))
     chain = reachable(placed.select("file", "block", "offset", "length", "successor"))
     found = placed.join(chain, ["file", "offset"], "left_semi")
     columns = ["file", "offset", "type", "record_id", "refers_to", "url", "stated_bytes", "stated_digest", "bytes", "digest"]

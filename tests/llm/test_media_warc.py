@@ -176,6 +176,30 @@ def test_warc_round_trip(spark, monkeypatch, split, broadcast):
     assert len(rows) == len(pages)
 
 
+URLS = ["http://h/WARC/1.0", "WARC/1.", "http://h/WARC/1.0/WARC/1.1?q=WARC/1.", "http://h/plain", "%57ARC/1.0", "WARC/1.Content-Length: 7", "WARC/1.0 Content-Length: 7", "http://h/é/WARC/1.0", "http://h/WARC/1.0"]
+
+
+@pytest.mark.parametrize("split", ["128m", "300b"])
+def test_magic_in_urls(spark, split):
+    bodies = ["<p>one</p>", None, inner_record("fake"), "WARC/1.0\r\nno header", "two", "WARC/1.0\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n", "é", "<p>one</p>", "last"]
+    df = spark.createDataFrame(list(zip(range(len(URLS)), URLS, bodies)), "page_id long, url string, html string")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = warc.page_records(df.coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r.page_id, r.url) for r in rows) == list(enumerate(URLS))
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows} == expected_records(bodies)
+
+
+def test_magic_in_other_headers(spark, tmp_path):
+    odd = inner_record("first").replace("WARC-Record-ID", "X-Software: WARC/1.0\r\nWARC-Record-ID") + inner_record("second").replace("\r\n\r\n", "\r\nX-Last: a WARC/1.\r\n\r\n", 1)
+    (tmp_path / "a.warc").write_bytes((odd + inner_record("third")).encode())
+    assert [(r.record_id, r.payload_bytes) for r in warc.read(spark, str(tmp_path)).orderBy("offset").collect()] == [("<urn:page:99>", n) for n in (5, 6, 5)]
+
+
 def test_warc_edges(spark):
     assert warc.page_records(pages_df(spark, ["a"]).limit(0)).count() == 0
     df = pages_df(spark, ["a", "a", "b"]).withColumn("page_id", F.when(F.col("page_id") > 0, F.col("page_id")))
