@@ -26,9 +26,9 @@ from .common import text_of
 #: A private key's first line; prefixes that are issued; a quoted value that is not the mark of an earlier redaction; a value behind =; a run of 16 or more token characters with a digit among them.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,250})"
-    r"|(?<=[\"'])(?!\[SECRET\])[^\"'\s]{8,256}(?=[\"'])"
-    r"|(?<==)[^\s\"'&;,<>()]{8,256}"
+    r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)"
+    r"|(?<=[\"'])(?!\[SECRET\])[^\"'\s]{8,}+(?=[\"'])"
+    r"|(?<==)[^\s\"'&;,<>()]{8,}+"
     r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
 #: Characters of context on each side.
@@ -80,6 +80,8 @@ def _features(found: Column, left: Column, right: Column, path: Column) -> Colum
     )
 
 
+#: In SQL over h and b, 65 to 320 hex digits and base64 characters.
+_LONG_H, _LONG_B = (f"left(repeat({c}, 8), 65 + cast(conv(left(h, 2), 16, 10) as int))" for c in "hb")
 #: Shapes of labelled findings as (secret, left, candidate in SQL over h and b, right, path). h: 64 hex digits, b: 43 base64 characters.
 LABELLED = (
     (1, 'token = "', "left(h, 40)", '"', "src/app.py"),
@@ -118,6 +120,12 @@ LABELLED = (
     (0, "{w}?ref=", "concat('newsletter_', translate(left(h, 4), 'abcdef', '012345'))", " {w}", "src5"),
     (0, "{w} width=", "concat('calc-100-percent-', left(h, 1))", " {w}", "style.css"),
     (0, 'href="', "'http://site.example/page?item=12345'", '"', "src/page.html"),
+    (1, "{w} token=", _LONG_H, " {w}", "src6"),
+    (0, "{w} ", _LONG_H, " {w}", "src6"),
+    (1, 'api_key = "', f"concat('eyJ', left(b, 33), '.', {_LONG_H}, '.', b)", '"', "src/app.py"),
+    (1, "{w} ", f"concat('ghp_', {_LONG_H})", " {w}", "notes"),
+    (0, 'src="', f"concat('data:image/png;base64,', {_LONG_B})", '"', "src/page.html"),
+    (1, "{w} ", f"concat('xoxb-', {_LONG_H})", " {w}", "src10"),
 )
 
 

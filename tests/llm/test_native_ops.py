@@ -4,6 +4,7 @@ import hashlib
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import mixing, secrets
@@ -49,6 +50,17 @@ def test_redaction_keeps_everything_else(spark, docs):
     assert secrets.scan(df.drop("source"), path=None).count() == secrets.scan(df).count()
 
 
+@pytest.mark.parametrize("n", [300, 5000])
+def test_long_values_are_whole(spark, docs, n):
+    value = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(n // 64 + 1))[:n]
+    dotted = "eyJ" + ".".join(value[i : i + 100] for i in range(0, n, 100))
+    cases = [(f"the token={value} end", value), (f'api_key = "{dotted}" end', dotted), (f"a ghp_{value} end", "ghp_" + value), (f"a xoxb-{value} end", "xoxb-" + value)]
+    texts = [t for t, _ in cases]
+    rows = {r.doc_id: r for r in secrets.scan(docs(texts)).collect()}
+    assert {i: (r.candidate, r.is_secret) for i, r in rows.items()} == {i: (v, True) for i, (_, v) in enumerate(cases)}
+    assert {r.doc_id: r.text for r in secrets.redact(docs(texts)).collect()} == {i: t.replace(v, secrets.MARK) for i, (t, v) in enumerate(cases)}
+
+
 def test_no_python_in_the_plan(spark, docs):
     plan = secrets.scan(docs(TEXTS))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
