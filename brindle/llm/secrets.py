@@ -126,6 +126,12 @@ LABELLED = (
     (1, "{w} ", f"concat('ghp_', {_LONG_H})", " {w}", "notes"),
     (0, 'src="', f"concat('data:image/png;base64,', {_LONG_B})", '"', "src/page.html"),
     (1, "{w} ", f"concat('xoxb-', {_LONG_H})", " {w}", "src10"),
+    (1, '{"client_secret": "', "left(h, 40)", '"}', "config/app.json"),
+    (0, '{"{w}": "{w}", "sha256": "', "h", '"}', "package.json"),
+    (1, '{"id": 7, "password": "', "left(h, 32)", '", "{w}": 1}', "src11"),
+    (0, '{"commit_id": "', "left(h, 40)", '", "{w}": "', "src3"),
+    (1, '"client_id": "{w}", "access_token": "', "left(b, 40)", '"', "src13"),
+    (0, '{"secret": "{w}", "checksum": "', "left(h, 32)", '"}', "src11"),
 )
 
 
@@ -175,7 +181,14 @@ def _found(df: DataFrame, text: str, path: str | None, forest: str | None) -> Da
     df = df.withColumn("__cands", F.regexp_extract_all(body, F.lit(CANDIDATE), 0))
     df = df.withColumn("__pieces", F.when(F.size("__cands") == 0, F.array(body)).otherwise(F.split(body, CANDIDATE, -1)))
     zipped = F.arrays_zip(F.col("__cands").alias("found"), F.slice("__pieces", 1, F.size("__cands")).alias("left"), F.slice("__pieces", 2, F.size("__cands")).alias("right"))
-    df = df.withColumn("__zip", F.transform(zipped, lambda x: F.struct(x["found"].alias("found"), F.length(x["left"]).alias("gap"), F.right(x["left"], F.lit(CONTEXT)).alias("left"), F.left(x["right"], F.lit(CONTEXT)).alias("right"), where.alias("path"))))
+    df = df.withColumn("__ends", F.transform(zipped, lambda x: F.right(F.concat(F.right(x["left"], F.lit(CONTEXT)), F.right(x["found"], F.lit(CONTEXT))), F.lit(CONTEXT))))
+
+    def left(piece: Column, i: Column) -> Column:
+        """The text before candidate ``i``. Candidates have 8 characters or more, so that as many as CONTEXT // 8 before it make up the context."""
+        n = F.least(i, F.lit(CONTEXT // 8))
+        return F.right(F.concat(F.array_join(F.slice("__ends", i - n + 1, n), ""), F.right(piece, F.lit(CONTEXT))), F.lit(CONTEXT))
+
+    df = df.withColumn("__zip", F.transform(zipped, lambda x, i: F.struct(x["found"].alias("found"), F.length(x["left"]).alias("gap"), left(x["left"], i).alias("left"), F.left(x["right"], F.lit(CONTEXT)).alias("right"), where.alias("path"))))
     df = df.withColumn("__seen", F.transform("__zip", lambda x: F.struct(x["found"].alias("found"), x["gap"].alias("gap"), _features(x["found"], x["left"], x["right"], x["path"]).alias("features"))))
     df = df.withColumn("__scored", F.expr(f"transform(__seen, x -> named_struct('found', x.found, 'gap', x.gap, 'score', {forest}))"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,found:string,score:double>>").alias("out"))

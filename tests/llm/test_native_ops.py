@@ -61,6 +61,14 @@ def test_long_values_are_whole(spark, docs, n):
     assert {r.doc_id: r.text for r in secrets.redact(docs(texts)).collect()} == {i: t.replace(v, secrets.MARK) for i, (t, v) in enumerate(cases)}
 
 
+def test_context_reaches_over_earlier_candidates(spark, docs):
+    texts = [f'{{"{k}": "{HEX}"}}' for k in ("client_secret", "password", "access_token", "api_key")] + [f'{{"commit_sha1": "{HEX}"}}', f'x = "abcdefg1""abcdefg2""abcdefg3" {HEX}']
+    rows = secrets.scan(docs(texts)).collect()
+    assert all(texts[r.doc_id][r.start : r.stop] == r.candidate for r in rows)
+    assert {r.doc_id: r.is_secret for r in rows if r.candidate == HEX} == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False}
+    assert not any(r.is_secret for r in rows if r.candidate != HEX)
+
+
 def test_no_python_in_the_plan(spark, docs):
     plan = secrets.scan(docs(TEXTS))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
