@@ -1,11 +1,17 @@
 """Secret scans: a regular expression proposes candidates, a random forest removes the false positives.
 
-Everything is a DataFrame expression: candidates, their neighbouring words and the features are array expressions of the
-row, and the forest is compiled into one SQL ``CASE`` expression. The scan is therefore a single narrow pass without a
-shuffle; text never leaves the JVM. Only training runs jobs of its own, over a bounded table of labelled findings.
+Everything is a DataFrame expression: one pass of the regular expression marks the candidates of a text, neighbouring
+words and features are array expressions of the row, and the forest is compiled into one SQL ``CASE`` expression. The scan
+is therefore a single narrow pass without a shuffle; text never leaves the JVM. Only training runs jobs of its own, over a
+bounded table of labelled findings.
+
+Candidates have no upper length: private keys as whole blocks; prefixes that are issued; any value that is assigned to a
+key that names a secret, quoted or not; other quoted values and values behind ``=`` from 8 characters; runs of 16 or more
+token characters with a digit. Quoted text that no such key names and that holds blanks is prose and no candidate.
 
 Features: length, shares of character classes, class transitions, distinct characters, coverage by dictionary words,
-shape (hex, UUID, issued prefix), an assignment and telling words next to the candidate, and the path.
+shape (hex, UUID, issued prefix, reference to a variable), an assignment and telling words among the neighbouring words,
+and the path. Neighbours are whole words, however long.
 
 Defined results: a null text has no findings; a null path is the empty path; an empty table gives an empty result;
 repeated rows are scanned each on its own; other columns pass through ``redact`` and never reach ``scan``.
@@ -23,36 +29,47 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: A private key's first line; prefixes that are issued; a quoted value that is not the mark of an earlier redaction; a value behind =; a run of 16 or more token characters with a digit among them.
-CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)"
-    r"|(?<=[\"'])(?!\[SECRET\])[^\"'\s]{8,}+(?=[\"'])"
-    r"|(?<==)[^\s\"'&;,<>()]{8,}+"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
-)
-#: Characters of context on each side.
-CONTEXT = 64
-MARK = "[SECRET]"
-THRESHOLD = 0.5
-#: Labelled findings that the forest is fitted on at most, its trees and their depth.
-MAX_FINDINGS, TREES, DEPTH = 6000, 25, 6
-
 #: Words that name a secret, words that name something public, words of identifiers.
-SECRET_WORDS = "api.?key|access.?key|auth|bearer|client.?secret|credential|passwd|password|private.?key|pwd|secret|token"
+SECRET_WORDS = "access.?key|api.?key|auth|bearer|client.?secret|credential|passphrase|passwd|password|private.?key|pwd|secret|token"
 PUBLIC_WORDS = "build|checksum|commit|digest|etag|example|fingerprint|guid|hash|id|invoice|md5|order|placeholder|request|revision|sample|sha1|sha256|trace|uuid|version"
 DICTIONARY = (
-    "about account address admin after all and any api app are auth back bar base before branch build but cache call change check class client code color config content "
-    "copy count create current data date default delete demo dev dist docs down dummy else email empty error example false file first font for form from get guide has "
-    "have header here home host html http icon image import index info input insert item java key label last left lib line link list load local log login main make "
-    "message method model module name new next node not null number object old online only open option other page path phone php place public query random read release "
-    "report request result right role root run sample save script secret select server service session set site size some source start state static status step string "
-    "style sub system table tag temp test text that the there this time title token top true type update url use user value version view was web when width will with "
-    "word work world write xml year you your zone"
+    "about account address admin after all and any api app are auth back bar base before branch build but cache call change changeme check class client code color config "
+    "content copy count create current data date default delete demo dev dist docs down dummy else email empty env environ error example false file first font for form from "
+    "get getenv guide has have header here home host html http icon image import index info input insert is it item java key label last left lib line link list load local "
+    "log login main make me message method model module my name new next no node none not null number object of old on online only open option or os other page param password "
+    "path phone php place private public query random read release report request required result right role root run sample save script secret select self server service "
+    "session set site size some source start state static status step str string style sub system table tag temp test text that the there this time title to token top true "
+    "type undefined update url use user value var version view was web when width will with word work world write xml xxxx year you your zone"
 )
 PUBLIC_PATHS = "test|spec|example|fixture|sample|docs?/|readme|node_modules|vendor|\\.lock|\\.min\\.|changelog"
 ISSUED = "^(AKIA[0-9A-Z]{12}|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ[A-Za-z0-9_-]+|-----BEGIN )"
-FEATURES = "length digits upper lower other transitions distinct dictionary hex uuid issued assigned secret_word public_word public_path".split()
+MARK = "[SECRET]"
+THRESHOLD = 0.5
+
+_BOUND = "PRIVATE KEY[A-Z ]*+-----"
+#: (what stands before, the candidate) of each kind; a match is both, in groups of their own. No kind repeats a group, so that long texts need no stack.
+KINDS = (
+    # a private key to its closing line, or as far as its lines go
+    ("", rf"-----BEGIN [A-Z0-9 ]*?{_BOUND}(?:[\r\n]*+(?:Proc-Type:[^\n]*+\n)?+(?:DEK-Info:[^\n]*+\n)?+[^-]*+-----END [A-Z0-9 ]*?{_BOUND}|[A-Za-z0-9+/=\r\n]*(?=[\r\n]|$)|)"),
+    # prefixes that are issued
+    ("", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)"),
+    # a value assigned to a key that names a secret
+    (rf"(?=[abcpstABCPST])(?i:{SECRET_WORDS})[\w.-]*+[\"']?+[ \t]*+(?:=>|:=|==?|:)[ \t]*+(?:(?i:bearer|basic|token)[ \t]++)?+[\"']?+", r"(?!\[SECRET\])(?:(?<=\")[^\"\n]++(?=\")|(?<=')[^'\n]++(?=')|[^\s\"'&;,<>()]++)"),
+    # another quoted value that is no key; one behind =; a run of token characters with a digit
+    ("", r"(?<=[\"'])(?!\[SECRET\])[^\"'\s]{8,}+(?=[\"'](?!\s*+:))|(?<==)[^\s\"'&;,<>()]{8,}+|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"),
+)
+#: What every text with a candidate holds, found in a fraction of the time.
+HINT = "[0-9=:\"']|AKIA|gh[pousr]_|xox|-----BEGIN "
+CANDIDATE = "|".join(f"({before})({found})" for before, found in KINDS)
+#: What surrounds a candidate while a text is cut: a noncharacter, which texts do not hold. A text that does is cut by positions.
+_CUT = "\ufdd0"
+_SURROUNDED = "".join(f"${2 * i + 1}" for i in range(len(KINDS))) + _CUT + "".join(f"${2 * i + 2}" for i in range(len(KINDS))) + _CUT
+#: Words of context on each side.
+WORDS = 4
+#: Labelled findings that the forest is fitted on at most, its trees and their depth.
+MAX_FINDINGS, TREES, DEPTH = 6000, 25, 7
+
+FEATURES = "length digits upper lower other transitions distinct dictionary hex uuid issued variable assigned secret_word public_word public_path".split()
 
 
 def _features(found: Column, left: Column, right: Column, path: Column) -> Column:
@@ -60,7 +77,9 @@ def _features(found: Column, left: Column, right: Column, path: Column) -> Colum
     n = F.length(found).cast("double")
     share = lambda pattern: F.regexp_count(found, F.lit(pattern)) / n
     flag = lambda c: c.cast("double")
-    near = F.lower(F.concat_ws(" ", left, F.substring(right, 1, 24)))
+    near = F.lower(F.concat_ws(" ", left, right))
+    words = F.split(F.lower(F.regexp_replace(found, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")
+    known = F.aggregate(F.filter(words, lambda w: w.isin(*DICTIONARY.split())), F.lit(0), lambda a, w: a + F.length(w))
     return F.array(
         n,
         share("[0-9]"),
@@ -68,13 +87,14 @@ def _features(found: Column, left: Column, right: Column, path: Column) -> Colum
         share("[a-z]"),
         share("[^A-Za-z0-9]"),
         share("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])|[A-Z](?=[a-z])"),
-        F.size(F.array_distinct(F.split(F.substring(found, 1, 64), ""))) / F.least(n, F.lit(64.0)),
-        1 - F.length(F.regexp_replace(F.lower(found), "|".join(sorted((w for w in DICTIONARY.split() if len(w) > 2), key=len, reverse=True)), "")) / n,
+        F.size(F.array_distinct(F.split(found, ""))) / F.least(n, F.lit(64.0)),
+        known / n,
         flag(found.rlike("^[0-9a-fA-F]+$")),
         flag(found.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
         flag(found.rlike(ISSUED)),
-        flag(left.rlike("(=|:|=>)\\s*[\"']?$")),
-        flag(F.lower(left).rlike(f"(?:{SECRET_WORDS})\\W{{0,6}}$")),
+        flag(found.rlike("^[$%{<*\\[]|\\w[.]\\w|[\\[\\]{}]$")),
+        flag(left.rlike("(=|:|=>)\\s*(?i:bearer |basic |token )?[\"']?$")),
+        flag(F.lower(left).rlike(f"(?:{SECRET_WORDS})[\\w.-]*+\\W*(?:(?:bearer|basic|token)\\s+)?[\"']?$")),
         flag(near.rlike(f"(?<![a-z])(?:{PUBLIC_WORDS})(?![a-z])")),
         flag(F.lower(path).rlike(PUBLIC_PATHS)),
     )
@@ -132,6 +152,24 @@ LABELLED = (
     (0, '{"commit_id": "', "left(h, 40)", '", "{w}": "', "src3"),
     (1, '"client_id": "{w}", "access_token": "', "left(b, 40)", '"', "src13"),
     (0, '{"secret": "{w}", "checksum": "', "left(h, 32)", '"}', "src11"),
+    (1, "{w} ", f"concat('-----BEGIN RSA PRIVATE KEY-----', chr(10), 'MII', {_LONG_B}, chr(10), b, chr(10), '-----END RSA PRIVATE KEY-----')", " {w}", "src14"),
+    (1, "password: ", "concat(left(h, 4), '!', left(b, 6), '#')", "\n{w}", "app.yaml"),
+    (1, "{w} {w} api_key: ", "concat('k', left(h, 11))", " {w}", "src15"),
+    (1, "{w} password=", "concat('{w}', left(translate(h, 'abcdef', '123456'), 2))", " {w}", "src16"),
+    (1, "{w} pwd: ", "left(b, 8)", "\n", "conf/app.yml"),
+    (1, 'passphrase = "', "concat('{w} ', left(h, 2), ' {w}{w} ', left(b, 3))", '"', "src/vault.py"),
+    (1, "secret => '", "concat(left(b, 5), '$', left(h, 5))", "'", "billing.rb"),
+    (0, "{w} token: ", "'{w}'", " {w} {w}", "src1"),
+    (0, "{w} the password: ", "'{w}{w}{w}'", " {w}", "src2"),
+    (0, "{w} the secret = ", "'{w}{w}'", " {w}", "src2"),
+    (0, "password = ", "element_at(array('None', 'null', 'true', 'false', 'undefined', 'str', 'string', 'required'), 1 + cast(conv(substr(h, 5, 2), 16, 10) as int) % 8)", ",", "src/app.py"),
+    (0, "api_key: ", "concat('$', '{', upper('{w}'), '_KEY}')", "\n", "app.yaml"),
+    (0, "token = ", "'os.environ[{w}.key]'", " {w}", "src/app.py"),
+    (0, "password=", "'config.get_password'", " {w}", "src/db.go"),
+    (0, "{w} tokens: ", "left(translate(h, 'abcdef', '012345'), 3)", " {w}", "src3"),
+    (0, "auth = ", "'request.headers.auth'", "\n", "src/api.py"),
+    (0, 'password: "', "'Enter your password here'", '"', "src/i18n.py"),
+    (0, "secret: ", "'********'", " {w}", "logs/app.txt"),
 )
 
 
@@ -173,32 +211,66 @@ def _default_forest(application: str) -> str:
     return compiled(fit(labelled_findings(spark)), "x.features")
 
 
-def _found(df: DataFrame, text: str, path: str | None, forest: str | None) -> DataFrame:
-    """``df`` with __pieces, the text between candidates, and __findings, its candidates with positions in code points and scores."""
-    forest = forest or _default_forest(df.sparkSession.sparkContext.applicationId)
-    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
-    body = text_of(text)
-    df = df.withColumn("__cands", F.regexp_extract_all(body, F.lit(CANDIDATE), 0))
-    df = df.withColumn("__pieces", F.when(F.size("__cands") == 0, F.array(body)).otherwise(F.split(body, CANDIDATE, -1)))
-    zipped = F.arrays_zip(F.col("__cands").alias("found"), F.slice("__pieces", 1, F.size("__cands")).alias("left"), F.slice("__pieces", 2, F.size("__cands")).alias("right"))
-    df = df.withColumn("__ends", F.transform(zipped, lambda x: F.right(F.concat(F.right(x["left"], F.lit(CONTEXT)), F.right(x["found"], F.lit(CONTEXT))), F.lit(CONTEXT))))
+def _parts(body: Column) -> Column:
+    """The text before the first candidate, the candidate, the text up to the next, and so on: an odd number of strings."""
+    return F.when(body.rlike(HINT), F.split(F.regexp_replace(body, CANDIDATE, _SURROUNDED), _CUT, -1)).otherwise(F.array(body))
+
+
+def _starts(parts: Column) -> Column:
+    """How many code points stand before each part: sums over chunks of the square root of their number, then within a chunk."""
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    lengths = F.transform(parts, lambda p: F.length(p))
+
+    def chunked(x: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(x["n"]) - 1) / x["k"]).cast("int")), lambda c: total(F.slice(x["n"], c * x["k"] + 1, x["k"])))
+        return once(sums, lambda s: F.struct(x["n"].alias("n"), x["k"].alias("k"), F.transform(s, lambda _, c: total(F.slice(s, F.lit(1), c))).alias("base")))
+
+    def placed(x: Column) -> Column:
+        return F.transform(x["n"], lambda _, i: F.get(x["base"], F.floor(i / x["k"]).cast("int")) + total(F.slice(x["n"], i - i % x["k"] + 1, i % x["k"])))
+
+    return once(once(once(lengths, lambda n: F.struct(n.alias("n"), F.ceil(F.sqrt(F.size(n))).cast("int").alias("k"))), chunked), placed)
 
-    def left(piece: Column, i: Column) -> Column:
-        """The text before candidate ``i``. Candidates have 8 characters or more, so that as many as CONTEXT // 8 before it make up the context."""
-        n = F.least(i, F.lit(CONTEXT // 8))
-        return F.right(F.concat(F.array_join(F.slice("__ends", i - n + 1, n), ""), F.right(piece, F.lit(CONTEXT))), F.lit(CONTEXT))
 
-    df = df.withColumn("__zip", F.transform(zipped, lambda x, i: F.struct(x["found"].alias("found"), F.length(x["left"]).alias("gap"), left(x["left"], i).alias("left"), F.left(x["right"], F.lit(CONTEXT)).alias("right"), where.alias("path"))))
-    df = df.withColumn("__seen", F.transform("__zip", lambda x: F.struct(x["found"].alias("found"), x["gap"].alias("gap"), _features(x["found"], x["left"], x["right"], x["path"]).alias("features"))))
-    df = df.withColumn("__scored", F.expr(f"transform(__seen, x -> named_struct('found', x.found, 'gap', x.gap, 'score', {forest}))"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,found:string,score:double>>").alias("out"))
+def _first_words(piece: Column) -> Column:
+    return F.substring_index(F.ltrim(F.translate(piece, "\t\r\n", "   ")), " ", WORDS)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["found"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("stop"), x["found"].alias("found"), x["score"].alias("score"))).alias("out"))
 
-    return df.withColumn("__findings", F.aggregate("__scored", start, step)["out"])
+def _last_words(piece: Column) -> Column:
+    """The last words of a piece; white space at its end is kept, one blank for each."""
+    return F.substring_index(F.translate(piece, "\t\r\n", "   "), " ", -WORDS - 1)
+
+
+def _found(df: DataFrame, text: str, path: str | None, forest: str | None) -> DataFrame:
+    """``df`` with __parts, texts and candidates in turn, and __findings, the candidates with positions in code points and scores."""
+    forest = forest or _default_forest(df.sparkSession.sparkContext.applicationId)
+    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
+    body = text_of(text)
+    # exploding a list of one keeps the optimizer from cutting the text anew for each use of its parts; lambdas refer to
+    # their own arguments alone, since what they took from outside would be computed for each element
+    df = df.withColumn("__parts", F.explode(F.array(_parts(F.replace(body, F.lit(_CUT), F.lit(" "))))))
+    df = df.withColumn("__at", F.explode(F.array(_starts(F.col("__parts")))))
+    own = F.zip_with("__parts", "__at", lambda p, at: F.substring(body, at + 1, F.length(p)))
+    df = df.withColumn("__parts", F.explode(F.array(F.when(body.contains(_CUT), own).otherwise(F.col("__parts")))))
+    odd = lambda a: F.filter(a, lambda _, i: i % 2 == 1)
+    even = lambda a: F.filter(a, lambda _, i: i % 2 == 0)
+    n = F.floor(F.size("__parts") / 2).cast("int")
+    before = F.slice(even(F.col("__parts")), 1, n)
+    cut = F.arrays_zip(odd(F.col("__parts")).alias("found"), odd(F.col("__at")).alias("start"), before.alias("before"), F.slice(even(F.col("__parts")), 2, n).alias("right"))
+    df = df.withColumn("__cut", F.explode(F.array(cut)))
+    # the words before a candidate: those behind the candidate before it, and what stands before that
+    df = df.withColumn("__ends", F.explode(F.array(F.transform("__cut", lambda x: _last_words(F.concat(x["before"], x["found"]))))))
+    shifted = [F.concat(F.array_repeat(F.lit(""), F.least(n, F.lit(k))), F.slice("__ends", 1, F.greatest(n - k, F.lit(0)))).alias(f"end{k}") for k in range(WORDS, 0, -1)]
+    df = df.withColumn("__near", F.arrays_zip(F.col("__cut").alias("cut"), *shifted))
+
+    def seen(x: Column) -> Column:
+        left = _last_words(F.concat(*[x[f"end{k}"] for k in range(WORDS, 0, -1)], x["cut"]["before"]))
+        return F.struct(x["cut"]["found"].alias("found"), x["cut"]["start"].alias("start"), left.alias("left"), _first_words(x["cut"]["right"]).alias("right"), where.alias("path"))
+
+    df = df.withColumn("__seen", F.transform("__near", seen))
+    df = df.withColumn("__seen", F.transform("__seen", lambda x: F.struct(x["found"].alias("found"), x["start"].alias("start"), _features(x["found"], x["left"], x["right"], x["path"]).alias("features"))))
+    scored = F.expr(f"transform(__seen, x -> named_struct('start', x.start, 'stop', x.start + length(x.found), 'found', x.found, 'score', {forest}))")
+    return df.withColumn("__findings", F.explode(F.array(scored)))
 
 
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = "source", forest: str | None = None) -> DataFrame:
@@ -213,7 +285,8 @@ def redact(df: DataFrame, text: str = "text", path: str | None = "source", chars
     """``df`` with every secret in its text replaced by ``MARK``; rows and columns stay, ``chars`` is counted anew where the text changed."""
     names = df.columns
     found = _found(df, text, path, forest)
-    shown = F.zip_with("__pieces", "__findings", lambda p, f: F.concat(p, F.when(f.isNull(), "").when(f["score"] >= THRESHOLD, MARK).otherwise(f["found"])))
+    scores = F.concat(F.array(F.lit(0.0)), F.flatten(F.transform("__findings", lambda f: F.array(f["score"], F.lit(0.0)))))  # of each part
+    shown = F.zip_with("__parts", scores, lambda p, score: F.when(score >= THRESHOLD, MARK).otherwise(p))
     changed = F.exists("__findings", lambda f: f["score"] >= THRESHOLD)
     found = found.withColumn("__new", F.when(changed, F.array_join(shown, "")))
     out = {text: F.coalesce("__new", text)}

@@ -69,6 +69,41 @@ def test_context_reaches_over_earlier_candidates(spark, docs):
     assert not any(r.is_secret for r in rows if r.candidate != HEX)
 
 
+KEY = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(hashlib.sha512(str(i).encode()).hexdigest() for i in range(20)) + "\n-----END RSA PRIVATE KEY-----"
+SHORT = ("password=hunter2", "api_key: ab12cd34ef56", "password: Xq9!kfjeWz2#", '{"password": "k3y x9 z!"}', "secret => 'a1$b2'", "pwd: s3cr3t9x", "db_password := p4ssw0rt")
+
+
+def test_keys_are_whole_and_short_values_are_found(spark, docs):
+    texts = [f"the {KEY} and on", f'"key": "{KEY.replace(chr(10), chr(92) + "n")}"', KEY.rsplit("\n", 1)[0] + "\nthe words go on", *SHORT]
+    got = {r.doc_id: r.text for r in secrets.redact(docs(texts)).collect()}
+    assert got[0] == "the [SECRET] and on" and got[1] == '"key": "[SECRET]"' and got[2] == "[SECRET]\nthe words go on"
+    values = [t.split(":= ")[-1].split("=> ")[-1].split(": ")[-1].split("password=")[-1].strip("'\"}") for t in SHORT]
+    assert [got[i + 3] for i in range(len(SHORT))] == [t.replace(v, secrets.MARK) for t, v in zip(SHORT, values)]
+
+
+PLAIN = ("the token: that is", "password = None", "password: str = required", "token = os.environ['TOKEN']", "api_key: ${API_KEY}", 'label "password": "Enter your password here"', "a secret: the ing", "see https://the.example/page/12 now", "[SECRET] token = \"[SECRET]\"")
+
+
+def test_plain_assignments_stay(spark, docs):
+    assert {r.doc_id: r.text for r in secrets.redact(docs(list(PLAIN))).collect()} == dict(enumerate(PLAIN))
+
+
+def test_neighbours_are_whole_words_and_cut_marks_in_texts_are_harmless(spark, docs):
+    long = "x" * 500
+    texts = [f"commit {long} {long} {HEX} by", f"{secrets._CUT} é token={HEX[:18]} {secrets._CUT} and password=hunter2", f"token=\n\t {HEX}"]
+    rows = {(r.doc_id, r.candidate): r for r in secrets.scan(docs(texts)).collect()}
+    assert all(texts[i][r.start : r.stop] == c for (i, c), r in rows.items())
+    assert not rows[0, HEX].is_secret and rows[1, HEX[:18]].is_secret and rows[1, "hunter2"].is_secret
+    assert {r.doc_id: r.text for r in secrets.redact(docs(texts)).collect()}[1] == f"{secrets._CUT} é token=[SECRET] {secrets._CUT} and password=[SECRET]"
+
+
+def test_runs_are_linear(spark, docs):
+    n = 200_000
+    texts = ["-" * n, "a" * n, "9" * n, '"' * n, "token=" * (n // 6), 'password="' * (n // 10), "-----BEGIN PRIVATE KEY-----" * (n // 27), "-----BEGIN RSA PRIVATE KEY-----\n" + "a-" * n, " =" * n, "'a1 " * (n // 4)]
+    assert secrets.redact(docs(texts)).count() == len(texts)
+    assert secrets.scan(docs(texts)).count() >= 0
+
+
 def test_no_python_in_the_plan(spark, docs):
     plan = secrets.scan(docs(TEXTS))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
