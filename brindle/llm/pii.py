@@ -1,9 +1,10 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of further identifiers.
 
-Base spans are seeds. The two words before an occurrence are its lexical *pattern*, the token its *instance*. Patterns,
-instances and their counts form a bipartite graph, which Spark scores in rounds: a pattern is as reliable as the share
-of all its occurrences in the corpus that reliable instances follow; an instance that no seed vouches for is as reliable
-as its best pattern. Tokens with digits that follow a reliable pattern of enough different instances become further
+Base spans are seeds. The two words before the word that an occurrence begins in are its lexical *pattern*, the token its
+*instance*. Patterns, instances and their counts form a bipartite graph, which Spark scores in rounds: a pattern is as
+reliable as the share of all its occurrences in the corpus that reliable instances follow; an instance that no seed
+vouches for is as reliable as its best pattern. Beliefs are whole hundredths that only rise, and rounds go on until none
+changes. Tokens with digits, of any length, that follow a reliable pattern of enough different instances become further
 spans of kind ``id``. Counting *all* occurrences of a pattern, also before ordinary words, keeps "of the" out.
 
 Texts are read twice in narrow passes: for spans and candidates, and to count pattern occurrences. The second gets the
@@ -30,10 +31,10 @@ from .common import slices, stored, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = "id"
-#: Different instances that a pattern needs, reliability it needs, rounds of scoring.
-SUPPORT, RELIABLE, ROUNDS = 3, 0.5, 3
-#: Characters of context read before a token; slots of the bitmap of supported patterns; counts a task holds at once.
-CONTEXT, SLOTS, HELD = 96, 1 << 20, 100_000
+#: Different instances that a pattern needs, and the reliability that it and they need, in hundredths.
+SUPPORT, RELIABLE, SURE = 3, 50, 100
+#: Slots of the bitmap of supported patterns; counts a task holds at once.
+SLOTS, HELD = 1 << 20, 100_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -88,28 +89,47 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def context(text: str, start: int) -> str:
-    """The pattern of what begins at ``start``: the two words before, in lower case with digits as 0; ^ where there are fewer."""
-    words = text[max(0, start - CONTEXT) : start].split()[-2:]
+    """The pattern of the word that begins at ``start``: the two words before, in lower case with digits as 0; ^ where there are fewer."""
+    size = 32
+    while True:
+        words = text[max(0, start - size) : start].split()
+        if size >= start or len(words) > 2:  # the first of three may be cut
+            break
+        size *= 4
+    words = words[-2:]
     return " ".join(["^"] * (2 - len(words)) + words).lower().translate(_ZEROED)
 
 
+class _Words:
+    """The word around a place and its pattern; places are asked for in ascending order, so that each word is looked at once."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end, self.pattern = text, 0, 0, ""
+
+    def around(self, at: int) -> "_Words":
+        if at >= self.end:
+            start = at
+            while start > self.end and not self.text[start - 1].isspace():
+                start -= 1
+            self.start, self.end, self.pattern = start, _REST.match(self.text, at).end(), context(self.text, start)
+        return self
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, bool]]:
     """(start, end, pattern, instance, seed): the base spans, and tokens with a digit that overlap none of them."""
-    out = [(a, b, context(text, a), f"{KINDS[k]}:{text[a:b].lower()}", True) for a, k, b in spans]
+    word = _Words(text)
+    out = [(a, b, word.around(a).pattern, f"{KINDS[k]}:{text[a:b].lower()}", True) for a, k, b in spans]
     taken, i = sorted((a, b) for a, _, b in spans), 0
-    at = 0
-    while m := _DIGIT.search(text, at):  # the token around the next digit
-        a = m.start()
-        while a > at and not text[a - 1].isspace():
-            a -= 1
-        at = _REST.match(text, m.start()).end()
-        token = text[a:at]
-        a += len(token) - len(token.lstrip(_EDGE))
+    word = _Words(text)
+    while m := _DIGIT.search(text, word.end):
+        word.around(m.start())
+        token = text[word.start : word.end]
+        a = word.start + len(token) - len(token.lstrip(_EDGE))
         b = a + len(token.strip(_EDGE))
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if 5 <= b - a <= 64 and not any(x < b for x, _ in taken[i : i + 1]):
-            out.append((a, b, context(text, a), f"{EXTRA}:{text[a:b].lower()}", False))
+        if not any(x < b for x, _ in taken[i : i + 1]):
+            out.append((a, b, word.pattern, f"{EXTRA}:{text[a:b].lower()}", False))
     return out
 
 
@@ -164,25 +184,27 @@ def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def reliable_patterns(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(pattern, reliability): patterns that discover, from candidates (pattern, instance, seed) and the texts they are from."""
+    """(pattern, reliability in hundredths): patterns that discover, from candidates (pattern, instance, seed) and the texts they are from."""
     edges = found.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
     edges = stored(edges, "pii-edges")
     wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"), F.sum("n").alias("own")).filter(F.col("instances") >= SUPPORT)
     wide = stored(wide, "pii-patterns")
     totals = occurrences(texts, wide.select("pattern"))
-    # an occurrence glued to other characters is no word, and counts as far as it was found
+    # a word that holds several base spans counts as often
     wide = wide.join(totals, "pattern", "left").select("pattern", F.greatest("own", F.coalesce("total", F.lit(0))).alias("total"))
     edges = stored(edges.join(wide, "pattern"), "pii-graph")
-    believed = edges.filter("seed").select("instance", F.lit(1.0).alias("belief")).distinct()
-    for i in range(ROUNDS):
-        weighed = edges.join(believed, "instance")
-        scored = weighed.groupBy("pattern").agg((F.sum(F.col("n") * F.col("belief")) / F.first("total")).alias("reliability"), F.count_if(F.col("belief") >= RELIABLE).alias("instances"))
+    # an instance is known by its name, which begins with its kind: every edge of one is a seed's, or none
+    believed, state = edges.filter("seed").select("instance", F.lit(SURE).cast("long").alias("belief")).distinct(), None
+    while True:
+        scored = edges.join(believed, "instance").groupBy("pattern").agg(F.floor(F.sum(F.col("n") * F.col("belief")) / F.first("total")).alias("reliability"), F.count_if(F.col("belief") >= RELIABLE).alias("instances"))
         patterns = stored(scored.filter(F.col("instances") >= SUPPORT).select("pattern", "reliability"), "pii-scores")
-        if i + 1 < ROUNDS:
-            seen = edges.join(patterns, "pattern").groupBy("instance").agg(F.max("reliability").alias("best"), F.max("seed").alias("seed"))
-            believed = seen.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("best")).alias("belief")).unionByName(edges.filter("seed").select("instance", F.lit(1.0).alias("belief")))
-            believed = stored(believed.groupBy("instance").agg(F.max("belief").alias("belief")), "pii-beliefs")
-    return patterns.filter(F.col("reliability") >= RELIABLE)
+        best = edges.filter("not seed").join(patterns, "pattern").groupBy("instance").agg(F.max("reliability").alias("belief"))
+        seeds = edges.filter("seed").select("instance", F.lit(SURE).cast("long").alias("belief")).distinct()
+        believed = stored(seeds.unionByName(best.filter("belief > 0")), "pii-beliefs")
+        now = tuple(believed.agg(F.count(F.lit(1)), F.sum("belief")).first())
+        if now == state:
+            return patterns.filter(F.col("reliability") >= RELIABLE)
+        state = now
 
 
 def extract(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -66,6 +66,57 @@ def test_bootstrapping(spark, docs):
     assert pii.extract(df.limit(0)).count() == 0 and pii.extract(df.unionByName(df)).count() == 2 * len(texts)
 
 
+def test_contexts_and_tokens_of_any_length():
+    long = "w" * 5000
+    for n in (0, 1, 40, 5000):
+        text = f"{'x' * n} {long}  \t{long} id-{'7' * n}1, (5) {long}"
+        words = text.split()
+        got = pii.candidates(text, [])
+        assert [(text[a:b], p) for a, b, p, _, _ in got] == [(f"id-{'7' * n}1", " ".join(words[-5:-3] if n == 0 else words[1:3])), ("5", f"{long} id-{'0' * n}0,")]
+    glued = "mail to:" + ",".join(f"u{i}@x.org" for i in range(3))
+    assert {p for _, _, p, _, _ in pii.candidates(glued, pii.base_spans(glued))} == {"^ mail"}
+
+
+def brute_reliable(texts):
+    """The pattern-instance graph by dictionaries, in rounds until nothing changes."""
+    edges, total, seeds = Counter(), Counter(), set()
+    for t in texts:
+        for _, _, pattern, instance, seed in pii.candidates(t, pii.base_spans(t)):
+            edges[pattern, instance] += 1
+            if seed:
+                seeds.add(instance)
+        words = ["^", "^", *re.sub("[0-9]", "0", t.lower()).split()]
+        total.update(map(" ".join, zip(words, words[1:-1])))
+    wide = {p for p, n in Counter(p for p, _ in edges).items() if n >= pii.SUPPORT}
+    total = {p: max(total[p], sum(n for (q, _), n in edges.items() if q == p)) for p in wide}
+    belief, before = {i: 100 for _, i in edges if i in seeds}, None
+    while belief != before:
+        before = dict(belief)
+        of = {p: [(i, n) for (q, i), n in edges.items() if q == p] for p in wide}
+        score = {p: sum(n * belief.get(i, 0) for i, n in of[p]) // total[p] for p in wide if sum(belief.get(i, 0) >= 50 for i, _ in of[p]) >= pii.SUPPORT}
+        for p, r in score.items():
+            for i, _ in of[p]:
+                if i not in seeds:
+                    belief[i] = max(belief.get(i, 0), r)
+    return {p: r for p, r in score.items() if r >= 50}
+
+
+def test_graph_against_brute_force(spark):
+    draw = random.Random(5)
+    heads = ["write to", "card no", "mail at", "of the", "ref is", "badge of"]
+    texts = []
+    for _ in range(400):
+        i = draw.randrange(6)
+        value = draw.choice([f"u{draw.randrange(40)}@x.org", f"id{draw.randrange(25)}", f"k-{draw.randrange(25)}", draw.choice(("dogs", "them", "you"))]) if i < 5 else f"id{draw.randrange(25)}"
+        if draw.random() < (0.8, 0.7, 0.6, 0.1, 0.4, 0.0)[i]:
+            value = f"u{draw.randrange(40)}@x.org" if i < 3 else f"id{draw.randrange(25)}"
+        texts.append(f"so {heads[i]} {value} and on")
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = spark.createDataFrame([(p, i, s) for t in texts for _, _, p, i, s in pii.candidates(t, pii.base_spans(t))], "pattern string, instance string, seed boolean")
+    got = {r.pattern: r.reliability for r in pii.reliable_patterns(found, frame).collect()}
+    assert got == brute_reliable(texts) and len(got) >= 3
+
+
 def test_occurrences_against_brute_force(spark):
     slot = lambda p: zlib.crc32(p.encode()) % pii.SLOTS
     names = ("".join(w) + " of" for w in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=6))
