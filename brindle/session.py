@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +35,21 @@ def reach_workers(spark: SparkSession) -> None:
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own on a local master where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = os.path.join(tempfile.gettempdir(), f"brindle-{spark.sparkContext.applicationId}")
+        spark.conf.set("spark.checkpoint.dir", root)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder for a table that one call writes and reads again."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -48,3 +48,10 @@ def watch(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
 
 def event_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("change_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def times(df: DataFrame, key: str, tie: str, ts: str = "ts") -> DataFrame:
+    """``df`` with epoch_ms, the time in milliseconds, and seconds_since, the whole seconds since the row before of the same key."""
+    at = F.col(ts).cast("timestamp")
+    before = F.lag(at).over(W.partitionBy(key).orderBy(at, tie))
+    return df.withColumn("epoch_ms", F.unix_millis(at)).withColumn("seconds_since", F.timestamp_diff("SECOND", before, at))

@@ -41,13 +41,15 @@ def parse_hunks(diffs: DataFrame, key: str = "path", patch: str = "patch") -> Da
 def changed_symbols(hunks: DataFrame, new_symbols: DataFrame, old_symbols: DataFrame | None = None, key: str = "path") -> DataFrame:
     """(key, name, type, start_line, end_line, changedLines): symbols that a changed line falls into.
 
-    New line numbers meet new symbols, old line numbers the old ones, so that deletions count. Joined by path with the range behind it.
+    New line numbers meet new symbols, old line numbers the old ones, so that deletions count. A file is one row
+    of changed lines, which each of its symbols filters.
     """
 
     def touched(lines: str, symbols: DataFrame) -> DataFrame:
-        changed = hunks.select(key, F.explode(lines).alias("changed"))
-        on = symbols.select(key, "name", "type", "start_line", "end_line")
-        return changed.join(on, key).filter(F.col("changed").between(F.col("start_line"), F.col("end_line")))
+        changed = hunks.select(key, F.explode(lines).alias("line")).groupBy(key).agg(F.collect_set("line").alias("lines"))
+        on = symbols.select(key, "name", "type", "start_line", "end_line").join(changed, key)
+        inside = F.filter("lines", lambda n: n.between(F.col("start_line"), F.col("end_line")))
+        return on.select(key, "name", "type", "start_line", "end_line", F.explode(inside).alias("changed"))
 
     rows = touched("changedNewLines", new_symbols)
     if old_symbols is not None:

@@ -1,15 +1,23 @@
-"""Tables on disk with atomic replacement: a version folder for each write, and a pointer to the current one.
+"""Tables on disk that change together: fresh folders for what is written, and one pointer to all that is current.
 
-There is no transactional table format here, so that a write goes to a fresh folder through Spark's committer, and only
-then the pointer moves. Readers see the old or the new version, never a mixture; a failed write leaves the pointer alone.
+There is no transactional table format here. A commit writes its rows through Spark's committer into fresh folders, and
+only then creates one small file, the next manifest: for each table its schema and the folder of each of its parts, and
+the number of the batch that wrote it. Readers see the tables before or after a commit, never a mixture; a commit that
+fails before its manifest leaves nothing but folders that no manifest names. There is one writer at a time.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Manifests, and the folders that they alone name, that stay for readers who have them open.
+KEPT = 2
+WHOLE = "whole"
 
 
 class Store:
@@ -19,35 +27,91 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _fs(self, path: str):
-        jvm = self.spark._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
-    def _pointers(self, name: str) -> list[str]:
-        fs, path = self._fs(f"{self.root}/{name}/current")
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+    def _numbers(self) -> list[int]:
+        fs, path = self._fs(f"{self.root}/_manifests")
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit()) if fs.exists(path) else []
+
+    def _manifest(self, number: int | None = None) -> dict:
+        if number is None:
+            numbers = self._numbers()
+            if not numbers:
+                return {"batch": None, "tables": {}}
+            number = numbers[-1]
+        fs, path = self._fs(f"{self.root}/_manifests/{number:012d}")
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _point(self, manifest: dict) -> None:
+        numbers = self._numbers()
+        number = numbers[-1] + 1 if numbers else 0
+        fs, path = self._fs(f"{self.root}/_manifests/{number:012d}")
+        _, draft = self._fs(f"{self.root}/_manifests/.{uuid.uuid4().hex}")
+        stream = fs.create(draft)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        if not fs.rename(draft, path):  # whole or not at all
+            raise RuntimeError(f"another writer made manifest {number}")
+        stale = numbers[: -KEPT + 1] if KEPT > 1 else numbers
+        named = {folder for n in [*numbers[len(stale) :], number] for t in self._manifest(n)["tables"].values() for folder in t["parts"].values()}
+        for old in stale:
+            for folder in {f for t in self._manifest(old)["tables"].values() for f in t["parts"].values()} - named:
+                fs.delete(self._fs(f"{self.root}/{folder}")[1], True)
+            fs.delete(self._fs(f"{self.root}/_manifests/{old:012d}")[1], False)
+
+    @property
+    def batch(self) -> int | None:
+        """The number of the last batch that was committed with one."""
+        return self._manifest()["batch"]
+
+    def tables(self) -> list[str]:
+        return sorted(self._manifest()["tables"])
 
     def exists(self, name: str) -> bool:
-        return bool(self._pointers(name))
+        return name in self._manifest()["tables"]
 
-    def read(self, name: str) -> DataFrame:
-        pointers = self._pointers(name)
-        if not pointers:
+    def read(self, name: str, parts: list[str] | None = None) -> DataFrame:
+        """A table, or those of its ``parts`` that there are."""
+        table = self._manifest()["tables"].get(name)
+        if table is None:
             raise FileNotFoundError(f"{self.root}/{name}")
-        return self.spark.read.parquet(f"{self.root}/{name}/{pointers[-1].split('-', 1)[1]}")
-
-    def write(self, name: str, df: DataFrame, partition_by: str | None = None) -> None:
-        """Replaces the table by ``df``, which may read the table itself."""
-        version = f"v{uuid.uuid4().hex}"
-        writer = df.write.partitionBy(partition_by) if partition_by else df.write
-        writer.parquet(f"{self.root}/{name}/{version}")
-        old = self._pointers(name)
-        number = int(old[-1].split("-")[0]) + 1 if old else 0
-        fs, pointer = self._fs(f"{self.root}/{name}/current/{number:012d}-{version}")
-        fs.create(pointer).close()  # the highest number is current: creating one file is atomic
-        for stale in old[:-1]:  # the last version stays for readers that have it open
-            for path in (f"{self.root}/{name}/current/{stale}", f"{self.root}/{name}/{stale.split('-', 1)[1]}"):
-                fs.delete(self._fs(path)[1], True)
+        schema = StructType.fromJson(table["schema"])
+        folders = [f for part, f in table["parts"].items() if parts is None or part in parts]
+        reader = self.spark.read.schema(schema)
+        return reader.parquet(*[f"{self.root}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+
+    def commit(self, whole: dict[str, DataFrame] | None = None, parts: dict[str, tuple[DataFrame, str, list[str]]] | None = None, batch: int | None = None) -> None:
+        """Replaces tables in one step. ``whole``: by name, all rows. ``parts``: by name, rows, the column that holds their part, and the parts they replace.
+
+        A frame may read the tables that it replaces. Of a table with parts, all others stay as they are and are not read.
+        """
+        manifest = self._manifest()
+        tables = dict(manifest["tables"])
+        for name, df in (whole or {}).items():
+            folder = f"{name}/v{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.root}/{folder}")
+            tables[name] = {"schema": df.schema.jsonValue(), "parts": {WHOLE: folder}}
+        for name, (df, column, replaced) in (parts or {}).items():
+            folder = f"{name}/v{uuid.uuid4().hex}"
+            df.write.partitionBy(column).parquet(f"{self.root}/{folder}")
+            fs, path = self._fs(f"{self.root}/{folder}")
+            written = {n.split("=", 1)[1]: f"{folder}/{n}" for n in (s.getPath().getName() for s in fs.listStatus(path)) if n.startswith(f"{column}=")}
+            kept = {p: f for p, f in tables.get(name, {"parts": {}})["parts"].items() if p not in replaced}
+            tables[name] = {"schema": df.drop(column).schema.jsonValue(), "parts": kept | written}
+        self._point({"batch": manifest["batch"] if batch is None else batch, "tables": tables})
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """Replaces one table by ``df``, which may read the table itself."""
+        self.commit({name: df})
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """Adds rows to a table, as a part of their own."""
+        self.commit(parts={name: (df.withColumn("__part", F.lit(uuid.uuid4().hex)), "__part", [])})
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> dict[str, int]:
         """Rows of ``rows`` replace those of the same keys. Returns how many were created and updated."""
@@ -62,11 +126,9 @@ class Store:
 
     def reset(self, *names: str) -> dict[str, int]:
         """Removes tables; how many rows each held."""
-        counts = {}
-        for name in names:
-            counts[name] = self.read(name).count() if self.exists(name) else 0
-            fs, path = self._fs(f"{self.root}/{name}")
-            fs.delete(path, True)
+        counts = {name: self.read(name).count() if self.exists(name) else 0 for name in names}
+        manifest = self._manifest()
+        self._point(manifest | {"tables": {n: t for n, t in manifest["tables"].items() if n not in names}})
         return counts
 
 

@@ -1,8 +1,10 @@
-"""The maintenance loop: a stream of file changes keeps the extraction table and the graph current.
+"""The maintenance loop: a stream of file changes keeps the extraction table current, and with it the graph.
 
-Each micro-batch takes the latest change of each path, replaces the rows of those paths in the extraction table, and
-builds the graph from it. Both are written as new versions behind a pointer (see ``sources.sinks``), so that a batch that
-is retried after a failure writes the same rows again. Offsets and exactly-once progress are the checkpoint's.
+The extraction table has a part for each hash of a path. A micro-batch reads and rewrites the parts of the paths that it
+touches, and no other: its cost follows the changes, not the repository. Rewritten parts, the symbol changes of the batch
+and its number become visible by one pointer (see ``sources.sinks``), so that a batch that is retried after a failure
+either finds itself committed, or nothing of it. The graph is a view over the extraction table: names are resolved by two
+joins when it is read, since a new definition in one file can add edges between others; ``publish`` stores it.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,11 +24,18 @@ from brindle.operators import symbols as S
 from brindle.operators.validation import latest
 from brindle.sources.sinks import Store
 
+#: Parts of the extraction table. It is fixed with the first batch of a store.
+PARTS = 64
+
 
 @dataclass
 class Config:
     max_files_per_batch: int = 1000
     interval: str = "2 seconds"
+    #: Seconds to wait before a failed stream is started again, which double up to the last; failures in a row that end it.
+    wait: float = 1.0
+    longest_wait: float = 60.0
+    attempts: int = 5
     repository: str = "repository"
     identity: str = "path"
     resolve: str = "name"
@@ -39,31 +48,72 @@ class Metrics:
     symbols: int = 0
     milliseconds: int = 0
     last_batch: int = -1
+    last_file: str | None = None
     events: list[tuple[float, str, str]] = field(default_factory=list)
 
     def log(self, kind: str, message: str) -> None:
         self.events = [*self.events, (time.time(), kind, message)][-100:]
 
 
-def apply_changes(store: Store, changes: DataFrame, config: Config = Config(), metrics: Metrics | None = None) -> DataFrame:
-    """Applies a batch of changes (file_path, change_type, ts, old_path, content) and returns the symbol changes of it.
+def part_of(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(PARTS)).cast("string")
+
+
+def settled(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((path, content), (path, origin)) of a batch: for each path that changes what it holds in the end, null for nothing; and renames without content.
 
-    Deletions and the old paths of renames drop their rows; the rest is parsed. Applying a batch twice changes nothing more.
+    A rename takes its old path away at its time. Of one path the last change counts; one that is neither a deletion nor a
+    rename and comes without its content says nothing yet. A rename without content moves what the old path held before
+    the batch.
     """
-    spark = changes.sparkSession
-    last = latest(changes, ["file_path"], F.col("ts"), F.coalesce("content", F.lit("")))
-    kept = last.filter("change_type <> 'deleted' and content is not null")
-    fresh = extract(kept.select(F.col("file_path").alias("path"), "content"))
-    touched = last.select(F.col("file_path").alias("path")).union(last.filter("old_path is not null").select("old_path")).distinct()
-    old = store.read("extracted") if store.exists("extracted") else spark.createDataFrame([], schemas.EXTRACTED)
-    before = S.snapshot(old.join(touched, "path", "left_semi"))
-    differences = S.diff(before, S.snapshot(fresh))
-    store.write("symbol_changes", differences)
-    store.write("extracted", old.join(touched, "path", "left_anti").unionByName(fresh))
-    graph = G.build(store.read("extracted"), config.repository, config.identity, config.resolve)
-    store.write("nodes", graph.nodes)
-    store.write("edges", graph.edges)
-    return store.read("symbol_changes")
+    own = changes.select(F.col("file_path").alias("path"), "ts", "content", F.when(F.col("change_type") == "renamed", F.col("old_path")).alias("origin"), (F.col("change_type") == "deleted").alias("gone"))
+    away = changes.filter("change_type = 'renamed' and old_path is not null").select(F.col("old_path").alias("path"), "ts", F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("origin"), F.lit(True).alias("gone"))
+    every = own.unionByName(away).filter("gone or content is not null or origin is not null")
+    # at one time, what gives content comes after what takes a path away
+    last = latest(every, ["path"], F.col("ts"), ~F.col("gone"), F.coalesce("content", F.lit("")))
+    moved = "not gone and content is null"
+    return last.select("path", F.when(~F.col("gone"), F.col("content")).alias("content")).filter("path is not null"), last.filter(moved).select("path", "origin")
+
+
+def apply_changes(store: Store, changes: DataFrame, config: Config = Config(), batch: int | None = None) -> DataFrame:
+    """Applies a batch of changes (file_path, change_type, ts, old_path, content) and returns its symbol changes.
+
+    A batch of a number that the store has seen, or of an earlier one, is not applied again.
+    """
+    if batch is not None and store.batch is not None and batch <= store.batch:
+        return store.read("symbol_changes", [str(batch)])
+    held, moved = settled(changes)
+    held, moved = held.cache(), moved.cache()
+    try:
+        paths = held.select("path").union(moved.select(F.col("origin").alias("path"))).distinct()
+        parts = [r[0] for r in paths.select(part_of(F.col("path"))).distinct().collect()]  # at most PARTS
+        old = store.read("extracted", parts) if store.exists("extracted") else store.spark.createDataFrame([], schemas.EXTRACTED)
+        parsed = extract(held.filter("content is not null")).cache()  # two tables are written from it
+        came = old.join(moved.withColumnRenamed("path", "__new"), F.col("path") == F.col("origin")).withColumn("path", F.col("__new")).select(*old.columns)
+        fresh = parsed.unionByName(came)
+        before = S.snapshot(old.join(held, "path", "left_semi"))
+        differences = S.diff(before, S.snapshot(fresh)).withColumn("batch", F.lit(str(-1 if batch is None else batch)))
+        after = old.join(held, "path", "left_anti").unionByName(fresh).withColumn("part", part_of(F.col("path")))
+        number = str(-1 if batch is None else batch)
+        store.commit(parts={"extracted": (after, "part", parts), "symbol_changes": (differences, "batch", [number])}, batch=batch)
+        parsed.unpersist()
+    finally:
+        held.unpersist(), moved.unpersist()
+    return store.read("symbol_changes", [number])
+
+
+def graph(store: Store, config: Config = Config()) -> G.Graph:
+    """The graph of what the store holds now."""
+    return G.build(store.read("extracted"), config.repository, config.identity, config.resolve)
+
+
+def publish(store: Store, config: Config = Config()) -> None:
+    """Stores the graph as the tables ``nodes`` and ``edges``, both in one step."""
+    now = graph(store, config)
+    store.commit({"nodes": now.nodes, "edges": now.edges})
+
+
+METRICS = "processed long, failed long, symbols long, milliseconds long, last_batch long, last_file string"
 
 
 class MaintenanceLoop:
@@ -71,16 +121,19 @@ class MaintenanceLoop:
 
     def __init__(self, source: Callable[[], DataFrame], store: Store, checkpoint: str, config: Config | None = None):
         self.source, self.store, self.checkpoint = source, store, checkpoint
-        self.config, self.metrics = config or Config(), Metrics()
+        self.config = config or Config()
+        self.metrics = self._load()
         self.query: StreamingQuery | None = None
         self.started = 0.0
 
     def _batch(self, changes: DataFrame, number: int) -> None:
         began = time.monotonic()
         try:
-            n = changes.count()
+            seen = changes.agg(F.count(F.lit(1)).alias("n"), F.max_by("file_path", "ts").alias("last")).first()
+            n = seen.n
             if n:
-                self.metrics.symbols += apply_changes(self.store, changes, self.config).count()
+                self.metrics.symbols += apply_changes(self.store, changes, self.config, number).count()
+                self.metrics.last_file = seen.last
             self.metrics.processed += n
             self.metrics.last_batch = number
             self.metrics.log("batch", f"{number}: {n} changes")
@@ -90,6 +143,21 @@ class MaintenanceLoop:
             raise
         finally:
             self.metrics.milliseconds += round(1000 * (time.monotonic() - began))
+            if self.store.root:
+                self._save()
+
+    def _save(self) -> None:
+        """Keeps the metrics beside the checkpoint, so that a loop that is started anew goes on counting."""
+        m = self.metrics
+        row = [(m.processed, m.failed, m.symbols, m.milliseconds, m.last_batch, m.last_file)]
+        self.store.spark.createDataFrame(row, METRICS).coalesce(1).write.mode("overwrite").parquet(f"{self.checkpoint.rstrip('/')}-metrics")
+
+    def _load(self) -> Metrics:
+        fs, path = self.store._fs(f"{self.checkpoint.rstrip('/')}-metrics")
+        if not fs.exists(path):
+            return Metrics()
+        rows = self.store.spark.read.schema(METRICS).parquet(f"{self.checkpoint.rstrip('/')}-metrics").take(1)
+        return Metrics(**rows[0].asDict()) if rows else Metrics()
 
     def start(self, available_now: bool = False) -> StreamingQuery:
         if self.query is not None and self.query.isActive:
@@ -113,12 +181,33 @@ class MaintenanceLoop:
         self.stop()
         return self.start()
 
+    def supervise(self, until: Callable[[], bool] = lambda: False) -> int:
+        """Keeps the stream running until ``until()``: after a failure it waits, twice as long each time, and starts again. Returns the failures.
+
+        A batch in between ends the row of failures. Raises the failure that is one too many.
+        """
+        failures = row = 0
+        while not until():
+            batch = self.metrics.last_batch
+            query = self.start()
+            try:
+                while query.isActive and not until():
+                    query.awaitTermination(0.5)
+            except Exception as e:
+                failures, row = failures + 1, row + 1 if self.metrics.last_batch == batch else 1
+                self.metrics.log("failure", str(e)[:500])
+                if row >= self.config.attempts:
+                    raise
+                time.sleep(min(self.config.longest_wait, self.config.wait * 2 ** (row - 1)))
+        self.stop()
+        return failures
+
     def status(self) -> dict:
         active = self.query is not None and self.query.isActive
         failure = self.query.exception() if self.query is not None else None
         return {
             "running": active, "healthy": failure is None, "error": str(failure)[:500] if failure else None, "uptime_seconds": time.time() - self.started if active else 0.0,
-            "processed": self.metrics.processed, "failed": self.metrics.failed, "symbols": self.metrics.symbols, "milliseconds": self.metrics.milliseconds,
+            "processed": self.metrics.processed, "failed": self.metrics.failed, "symbols": self.metrics.symbols, "milliseconds": self.metrics.milliseconds, "last_file": self.metrics.last_file,
             "progress": self.query.lastProgress if self.query is not None else None,
         }
 
@@ -134,6 +223,55 @@ class MaintenanceLoop:
         return self.config
 
 
+class ChangeQueue:
+    """Changes that wait, first in first out by number, and what became of them; each step is one commit of its store."""
+
+    TABLE, DONE = "queue", "queue_done"
+
+    def __init__(self, store: Store):
+        self.store = store
+        if not store.exists(self.TABLE):
+            empty = store.spark.createDataFrame([], f"seq long, {schemas.CHANGES}")
+            store.commit({self.TABLE: empty, self.DONE: store.spark.createDataFrame([], "seq long, ok boolean")})
+
+    def add(self, changes: DataFrame) -> None:
+        """Adds changes behind those that wait, in the order of their times and paths."""
+        last = self.store.read(self.TABLE).agg(F.max("seq")).first()[0]
+        names = [c.split()[0] for c in schemas.CHANGES.split(", ")]
+        rows = changes.select(*[F.col(c) if c in changes.columns else F.lit(None).alias(c) for c in names])
+        rows = rows.withColumn("ts", F.coalesce(F.col("ts").cast("timestamp"), F.current_timestamp()))
+        # ranges of the order, then places in each: no single task holds the queue
+        parts = rows.repartitionByRange("ts", "file_path").sortWithinPartitions("ts", "file_path").withColumn("__id", F.monotonically_increasing_id())
+        seq = (F.col("__id") + F.lit(0 if last is None else last + 1)).alias("seq")
+        self.store.append(self.TABLE, parts.select(seq, *names))
+
+    def pending(self, n: int | None = None) -> DataFrame:
+        """The changes that wait, or the first ``n`` of them; they stay."""
+        waiting = self.store.read(self.TABLE).join(self.store.read(self.DONE), "seq", "left_anti")
+        return waiting if n is None else waiting.orderBy("seq").limit(n)
+
+    def mark(self, done: DataFrame, ok: bool = True) -> None:
+        """Marks changes ``done(seq)`` as processed, or as failed."""
+        self.store.append(self.DONE, done.select("seq", F.lit(ok).alias("ok")).distinct())
+
+    def consume(self, n: int) -> DataFrame:
+        """Takes the first ``n`` changes that wait: they are returned, and wait no more."""
+        taken = [r.seq for r in self.pending(n).select("seq").collect()]  # at most n numbers
+        self.mark(self.store.spark.createDataFrame([(s,) for s in taken], "seq long"))
+        return self.store.read(self.TABLE).filter(F.col("seq").isin(taken) if taken else F.lit(False))
+
+    def clear(self) -> int:
+        """Drops what waits; how many changes that was."""
+        waiting = self.pending()
+        n = waiting.count()
+        self.mark(waiting, ok=False)
+        return n
+
+    def status(self) -> DataFrame:
+        """(change_type, n) of the changes that wait."""
+        return queue_status(self.pending())
+
+
 def queue_status(pending: DataFrame) -> DataFrame:
     """(change_type, n) of changes that wait."""
     return pending.groupBy("change_type").agg(F.count(F.lit(1)).alias("n"))
