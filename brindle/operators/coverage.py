@@ -24,20 +24,43 @@ def overall(coverage: DataFrame) -> DataFrame:
 
 
 def covered_functions(functions: DataFrame, coverage: DataFrame, match: str = "basename") -> DataFrame:
-    """Functions (path, name, start_line, end_line) with an executed line: a semi join by file with the range behind the key.
+    """Functions (path, name, start_line, end_line) with an executed line.
 
-    ``match="basename"`` takes files of equal base name for the same, ``"path"`` needs the whole path.
+    ``match="basename"`` takes files of equal base name for the same, ``"path"`` needs the whole path. Executed lines are
+    one sorted list a file name, so that a name that many files have, such as ``__init__.py``, is one row to join with.
     """
     key = paths.basename if match == "basename" else paths.normalized
     lines = coverage.select(key(F.col("path")).alias("__key"), F.explode("executed_lines").alias("__line"))
-    keyed = functions.withColumn("__key", key(F.col("path")))
-    hit = (keyed["__key"] == lines["__key"]) & lines["__line"].between(keyed["start_line"], keyed["end_line"])
-    return keyed.join(lines, hit, "left_semi").drop("__key")
+    executed = lines.groupBy("__key").agg(F.collect_set("__line").alias("__lines"))
+    keyed = functions.withColumn("__key", key(F.col("path"))).join(executed, "__key")
+    hit = F.exists("__lines", lambda n: n.between(F.col("start_line"), F.col("end_line")))
+    return keyed.filter(hit).drop("__key", "__lines")
+
+
+SUITE = "suite"
 
 
 def coverage_edges(functions: DataFrame, tests: DataFrame) -> DataFrame:
-    """(src, dst, COVERED_BY): every covered function (id) with every test (id), as the reports name no single test."""
-    return functions.select(F.col("id").alias("src")).crossJoin(tests.select(F.col("id").alias("dst"))).withColumn("type", F.lit("COVERED_BY"))
+    """(src, dst, type): every covered function (id) is COVERED_BY the suite, which HAS_TEST every test (id).
+
+    Reports name no single test, so that each function is covered by all of them: that is functions plus tests rows.
+    """
+    covered = functions.select(F.col("id").alias("src"), F.lit(SUITE).alias("dst"), F.lit("COVERED_BY").alias("type"))
+    return covered.unionByName(tests.select(F.lit(SUITE).alias("src"), F.col("id").alias("dst"), F.lit("HAS_TEST").alias("type"))).distinct()
+
+
+def expanded_coverage(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(src, dst, COVERED_BY) of the functions ``wanted(id)`` with every test, through the suite: for the few that are asked for."""
+    asked = edges.filter("type = 'COVERED_BY'").join(wanted.select(F.col("id").alias("src")), "src", "left_semi").select("src", F.col("dst").alias("suite"))
+    tests = edges.filter("type = 'HAS_TEST'").select(F.col("src").alias("suite"), "dst")
+    return asked.join(tests, "suite").select("src", "dst", F.lit("COVERED_BY").alias("type"))
+
+
+def coverage_edges_by_name(mapping: DataFrame, functions: DataFrame, tests: DataFrame) -> DataFrame:
+    """(src, dst, COVERED_BY) of pairs ``mapping(function, test)`` of names, among the nodes ``functions(id, name)`` and ``tests(id, name)``."""
+    pairs = mapping.select("function", "test").distinct()
+    found = pairs.join(functions.select(F.col("id").alias("src"), F.col("name").alias("function")), "function").join(tests.select(F.col("id").alias("dst"), F.col("name").alias("test")), "test")
+    return found.select("src", "dst", F.lit("COVERED_BY").alias("type")).distinct()
 
 
 def test_imports(extracted: DataFrame, match: str = "first_segment") -> DataFrame:

@@ -165,12 +165,28 @@ def removal_counts(graph: Graph, ids: DataFrame) -> DataFrame:
 
 
 def modify(graph: Graph, changes: DataFrame) -> Graph:
-    """Symbols of ``changes(path, name, signature, invalidated)`` with a new signature and mark; a null signature keeps the old one."""
-    new = changes.select("path", "name", F.col("signature").alias("__signature"), F.lit(True).alias("__hit"))
-    nodes = graph.nodes.join(new, ["path", "name"], "left")
-    touched = F.col("__hit").isNotNull() & F.col("label").isin(*SYMBOLS)
-    nodes = nodes.withColumn("signature", F.when(touched, F.coalesce("__signature", "signature")).otherwise(F.col("signature"))).withColumn("updated_at", F.when(touched, F.current_timestamp()).otherwise(F.col("updated_at")))
-    return Graph(nodes.select(*graph.nodes.columns), graph.edges)
+    """Symbols of ``changes(path, name[, label][, signature][, docstring][, invalidated][, modified_at])`` changed in place.
+
+    A null signature or docstring keeps the old one; ``invalidated`` is true and ``modified_at`` now unless they are given.
+    Of several changes of one symbol the last by ``modified_at`` counts. Nodes get the columns that they lack.
+    """
+    on = [c for c in ("path", "name", "label") if c in changes.columns]
+    given = lambda c, other: F.col(c) if c in changes.columns else other
+    none = F.lit(None).cast("string")
+    new = changes.select(*[F.col(c).alias(f"__{c}") for c in on], F.struct(
+        F.coalesce(given("modified_at", F.lit(None)).cast("timestamp"), F.current_timestamp()).alias("modified_at"), given("signature", none).cast("string").alias("signature"),
+        given("docstring", none).cast("string").alias("docstring"), F.coalesce(given("invalidated", F.lit(True)).cast("boolean"), F.lit(True)).alias("invalidated"),
+    ).alias("__new"))
+    new = new.groupBy(*[f"__{c}" for c in on]).agg(F.max_by("__new", "__new").alias("__new"))
+    kinds = {"docstring": "string", "invalidated": "boolean", "modified_at": "timestamp", "signature": "string"}
+    nodes = graph.nodes.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in graph.nodes.columns})
+    hit = [F.col(c) == F.col(f"__{c}") for c in on]
+    joined = nodes.join(new, [*hit, F.col("label").isin(*SYMBOLS)], "left")
+    touched = F.col("__new").isNotNull()
+    values = {c: F.coalesce(F.col(f"__new.{c}"), F.col(c)) for c in kinds}
+    if "updated_at" in nodes.columns:
+        values["updated_at"] = F.when(touched, F.col("__new.modified_at")).otherwise(F.col("updated_at"))
+    return Graph(joined.withColumns(values).select(*nodes.columns), graph.edges)
 
 
 def update_files(files: DataFrame, old: DataFrame, repository: str = "repository", **how) -> tuple[DataFrame, Graph]:

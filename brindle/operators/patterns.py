@@ -15,9 +15,15 @@ HELPERS = ("validate_", "sanitize_", "parse_", "format_")
 
 
 def siblings(changed: DataFrame, symbols: DataFrame, limit: int = SIBLINGS) -> DataFrame:
-    """(path, symbol, name, content, score): up to ``limit`` other symbols of the changed symbol's file, by name, at a constant score."""
-    other = symbols.select("path", F.col("name").alias("other"), "content")
-    rows = changed.select("path", F.col("name").alias("symbol")).join(other, "path").filter(F.col("symbol") != F.col("other"))
+    """(path, symbol, name, content, score): up to ``limit`` other symbols of the changed symbol's file, by name, at a constant score.
+
+    Of a file, the first ``limit + 1`` names and ``limit`` symbols of each are all that any of its symbols can need. They are
+    cut before the join, so that a file of many symbols never meets itself.
+    """
+    names = F.dense_rank().over(W.partitionBy("path").orderBy("other"))
+    same = F.row_number().over(W.partitionBy("path", "other").orderBy("content"))
+    other = symbols.select("path", F.col("name").alias("other"), "content").withColumn("names", names).filter(F.col("names") <= limit + 1).withColumn("same", same).filter(F.col("same") <= limit)
+    rows = changed.select("path", F.col("name").alias("symbol")).distinct().join(other.drop("names", "same"), "path").filter(F.col("symbol") != F.col("other"))
     rank = F.row_number().over(W.partitionBy("path", "symbol").orderBy("other", "content"))
     return rows.withColumn("n", rank).filter(F.col("n") <= limit).select("path", "symbol", F.col("other").alias("name"), "content", F.lit(SIBLING_SCORE).alias("score"))
 

@@ -1,13 +1,19 @@
-"""Retrieval: BM25 over an inverted index, exact nearest vectors, and their hybrid."""
+"""Retrieval: BM25 over an inverted index, exact nearest vectors, and their hybrid.
+
+``build_index`` stores an index once; ``Index`` answers questions from it. A question reads the postings of its own words
+alone: they are sorted by term, so that Parquet's statistics skip the rest, and a frequent term spans many files. Texts
+are read by ``build_index`` and by nothing else. ``bm25`` answers one question without an index, in two passes over texts.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,23 +44,89 @@ def idf(terms: DataFrame, n: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def asked(spark: SparkSession, query: str) -> Counter[str]:
+    """The words of a question, with their counts."""
+    return Counter(spark.range(1).select(tokens(F.lit(query)).alias("w")).first()["w"])
+
+
+def build_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> "Index":
+    """Stores the index of ``docs`` below ``path``, which must not exist, and opens it."""
+    spark = docs.sparkSession
+    # exploding a list of one keeps the optimizer from cutting the text into words for each use of them
+    words = docs.select(F.col(key).alias("key"), F.explode(F.array(tokens(F.col(text)))).alias("words"))
+    counted = words.select("key", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term")).groupBy("key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # sorted by term and key: a term that most documents hold is dealt to several files
+    counted.repartitionByRange(F.col("term"), F.xxhash64("key")).sortWithinPartitions("term", "key").write.parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    postings.groupBy("key").agg(F.max("dl").alias("dl")).write.parquet(f"{path}/lengths")
+    lengths = spark.read.parquet(f"{path}/lengths")
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    terms = idf(postings.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats.select("n"))
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    stats.write.parquet(f"{path}/stats")
+    return Index(spark, path)
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored index: ``postings`` (term, key, dl, tf), ``lengths`` (key, dl), ``terms`` (term, df, idf) and one row of ``stats``."""
+
+    spark: SparkSession
+    path: str
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def weights(self, query: str) -> dict[str, float]:
+        """The weight of each word of the question that the index knows: its idf, as often as the question says it."""
+        words = asked(self.spark, query)
+        known = self.table("terms").filter(F.col("term").isin(*words)).select("term", "idf").collect() if words else []  # at most the question's words
+        return {r.term: words[r.term] * r.idf for r in known}
+
+    def hits(self, weights: dict[str, float]) -> DataFrame:
+        """(key, score) of the documents that hold a word of the question."""
+        if not weights:
+            return self.table("lengths").select("key", F.lit(0.0).alias("score")).limit(0)
+        found = self.table("postings").filter(F.col("term").isin(*weights))
+        weight = F.lit(0.0)
+        for term, w in sorted(weights.items()):
+            weight = F.when(F.col("term") == term, F.lit(float(w))).otherwise(weight)
+        scale = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+        part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + scale)
+        return found.join(F.broadcast(self.table("stats").select("avgdl"))).groupBy("key").agg(F.sum(part).alias("score"))
+
+    def scores(self, query: str) -> DataFrame:
+        """(key, score) of every document, 0 where no word of the question occurs."""
+        return self.table("lengths").select("key").join(self.hits(self.weights(query)), "key", "left").select("key", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+    def top(self, query: str, k: int = 10, digits: int = 6) -> DataFrame:
+        """(key, score): the ``k`` best documents by rounded score and key. Those without a word of the question are read only where hits are too few, or worth less than none."""
+        weights = self.weights(query)
+        rounded = lambda df: top(df.select("key", F.round("score", digits).alias("score")), k, "key")
+        if all(w > 0 for w in weights.values()):
+            best = rounded(self.hits(weights).filter(F.round("score", digits) > 0))
+            found = best.collect()  # k rows
+            if len(found) == k:
+                return self.spark.createDataFrame(found, best.schema)
+        return rounded(self.scores(query))
+
+
 def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every document, 0 where no query word occurs. A word that the query repeats counts so often.
 
     Per-document counts of the few query words are array expressions over the words of the row: no postings are shuffled.
     Document frequencies of *all* terms are aggregated, since the floor of negative idf values is their mean.
     """
-    spark = docs.sparkSession
-    asked = Counter(spark.range(1).select(tokens(F.lit(query)).alias("w")).first()["w"])
+    words_asked = asked(docs.sparkSession, query)
     # exploding a list of one keeps the optimizer from cutting the text into words anew for each use of them
     words = docs.select(key, F.explode(F.array(tokens(F.col(text)))).alias("words"))
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl"))
     # stop words go behind the explode, where the filter is compiled
     flat = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_BREAK))).alias("term"))
     counts = flat.filter((F.col("term") != "") & ~F.col("term").isin(*STOP_WORDS)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    known = idf(counts, stats.select("n")).filter(F.col("term").isin(*asked))
+    known = idf(counts, stats.select("n")).filter(F.col("term").isin(*words_asked))
     weights = known.agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))  # at most as many as the query has words
-    hits = F.filter("words", lambda w: w.isin(*asked)) if asked else F.array().cast("array<string>")
+    hits = F.filter("words", lambda w: w.isin(*words_asked)) if words_asked else F.array().cast("array<string>")
     rows = words.select(key, F.size("words").alias("dl"), hits.alias("hits")).join(F.broadcast(stats.select("avgdl"))).join(F.broadcast(weights))
 
     def part(term: str, times: int) -> Column:
@@ -63,7 +135,7 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -
         return times * F.coalesce(F.try_element_at(F.col("idf"), F.lit(term)) * tf * (K1 + 1) / (tf + scale), F.lit(0.0))
 
     score = F.lit(0.0)
-    for term, times in sorted(asked.items()):
+    for term, times in sorted(words_asked.items()):
         score = score + part(term, times)
     return rows.select(key, score.alias("score"))
 
@@ -88,6 +160,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_
 
     Both sides are packed into blocks of ``BLOCK`` rows; a pair of blocks is one matrix product, which keeps the best ``k``
     of each query, so that only ``k`` rows a query and block are shuffled. Rows of a null key or vector are left out.
+    It is exact, and its work grows as queries times vectors.
     """
 
     def packed(df: DataFrame, name: str) -> DataFrame:

@@ -43,7 +43,10 @@ def test_coverage(spark, rows):
     functions = spark.createDataFrame([("pkg/a.py", "f", 4, 4), ("pkg/a.py", "g", 5, 7), ("pkg/ya.py", "h", 1, 9)], "path string, name string, start_line int, end_line int")
     assert rows(coverage.covered_functions(functions, cov), "name") == [("g",)] and coverage.covered_functions(functions, cov, "path").count() == 0
     ids = functions.select(F.col("name").alias("id"))
-    assert coverage.coverage_edges(ids, spark.createDataFrame([("t1",), ("t2",)], "id string")).count() == 6
+    suite = coverage.coverage_edges(ids, spark.createDataFrame([("t1",), ("t2",)], "id string"))
+    assert suite.count() == 5 and coverage.expanded_coverage(suite, ids.filter("id <> 'h'")).count() == 4
+    named = coverage.coverage_edges_by_name(spark.createDataFrame([("f", "t1"), ("f", "gone")], "function string, test string"), ids.withColumn("name", F.col("id")), spark.createDataFrame([("x", "t1")], "id string, name string"))
+    assert rows(named) == [("f", "x", "COVERED_BY")]
     files = [("tests/test_a.py", "from pkg.a import x\nimport a, c.d\n"), ("pkg/a.py", ""), ("pkg/c.py", ""), ("pkg/__init__.py", ""), ("z.py", "")]
     ex = extract(spark.createDataFrame(files, "path string, content string"))
     mapping = coverage.tested_sources(ex, coverage.test_imports(ex))
@@ -72,6 +75,17 @@ def test_bm25_and_nearest_edges(spark):
     assert [r.vec_id for r in search.vector_search(vectors.filter("vec_id <> 3"), [1.0, 0.0], 2).collect()] == [0, 4]
 
 
+def test_stored_index_answers_as_the_texts_do(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta alpha"), (2, None), (3, "gamma beta"), (4, "beta beta the beta"), (5, "delta"), (6, "delta alpha")], "doc_id long, text string")
+    index = search.build_index(docs, str(tmp_path / "i"))
+    for question in ("alpha", "beta gamma beta", "the", "", "nothing known", "Delta ALPHA"):
+        plain = {r.doc_id: round(r.score, 6) for r in search.bm25(docs, question).collect()}
+        assert {r.key: round(r.score, 6) for r in index.scores(question).collect()} == plain
+        for k in (1, 2, 6):
+            assert [(r.key, r.score) for r in index.top(question, k).collect()] == sorted(plain.items(), key=lambda x: (-x[1], x[0]))[:k]
+    assert search.build_index(docs.limit(0), str(tmp_path / "e")).top("alpha", 3).count() == 0
+
+
 def test_commit(spark, rows):
     schema = "path string, status string, language string, additions int, deletions int, newContent string, hunks array<string>, changedSymbols array<struct<name:string,type:string,startLine:int,content:string>>"
     staged = lambda *r: spark.createDataFrame(list(r), schema)
@@ -144,10 +158,29 @@ def test_diffs(spark, rows):
     assert "! b | x" in df.select(text.diff(F.col("old"), F.col("new"), F.col("path"), "side_by_side").alias("d")).first().d
 
 
+ANSWERS = (
+    ("Sure:\n```python\ndef f():\n    pass\n```\nDone", "def f():\n    pass"),
+    ("  x = 1  ", "x = 1"),
+    ("Here it is\n\nimport os\nx = os\n", "import os\nx = os"),
+    ("```\na = 1\n```\nand\n  ```py\nb = 2\n```", "a = 1\nb = 2"),
+    ("```\nopen", "open"),
+    ("```\na\n```\nprose\n    more", "a\n    more"),
+    ("say\n@wraps\ndef g(): pass\n```\nleft out\n```\nend", "@wraps\ndef g(): pass\nend"),
+    (None, None),
+    ("", ""),
+    ("```\n```", "```\n```"),
+)
+
+
+def test_code_of_response(spark):
+    df = spark.createDataFrame(list(ANSWERS), "r string, code string")
+    assert df.select(text.code_of_response(F.col("r")).eqNullSafe(F.col("code")).alias("same"), "r").filter("not same").collect() == []
+
+
 def test_text_artefacts(spark):
-    df = spark.createDataFrame([("Sure:\n```python\ndef f():\n    pass\n```\nDone", "x = 1\nreturn x", "try:\n    return validate_a (\n    return 2", "return-style-drift", None)], "r string, a string, b string, p string, c string")
-    row = df.select(text.code_of_response(F.col("r")).alias("code"), text.explanation(F.col("a"), F.col("b"), F.col("p"), F.col("c")).alias("said")).first()
-    assert row.code == "def f():\n    pass" and row.said.startswith("Addresses Return Style Drift issue.") and "Added error handling" in row.said
+    df = spark.createDataFrame([("x = 1\nreturn x", "try:\n    return validate_a (\n    return 2", "return-style-drift", None), ("a", "a", "", "")], "a string, b string, p string, c string")
+    said = [r.said for r in df.select(text.explanation(F.col("a"), F.col("b"), F.col("p"), F.col("c")).alias("said")).collect()]
+    assert said == ["answers the finding return-style-drift; returns in 2 places instead of 1; handles errors; calls validate_a", "has the shape of similar code"]
     given = spark.sql("SELECT array(struct('f' AS name, 0.8D AS score, 'doc' AS docstring)) r, array(struct('f' AS name, 'a.py' AS path, 'def f(): pass' AS code, array('g') AS neighbours)) c")
     assert "relevance: High" in given.select(text.prompt(F.lit("do"), F.col("r"), F.col("c")).alias("p")).first().p
 

@@ -108,14 +108,21 @@ def test_integrity_invalidation_and_update(spark, repo):
     assert key(same) == key(new)
     touched = G.modify(g, spark.createDataFrame([("main.py", "total", "def total(x, y)")], "path string, name string, signature string"))
     assert touched.nodes.filter("name = 'total'").first().signature == "def total(x, y)"
+    twice = [("main.py", "total", "def total(a)", None, "2024-01-01 00:00:01", None), ("main.py", "total", "def total(b)", "says", "2024-01-01 00:00:02", False), ("main.py", "total", None, "was", "2024-01-01 00:00:00", True)]
+    touched = G.modify(g, spark.createDataFrame(twice, "path string, name string, signature string, docstring string, modified_at string, invalidated boolean"))
+    row = touched.nodes.filter("name = 'total'").collect()
+    assert len(row) == 1 and (row[0].signature, row[0].docstring, row[0].invalidated, str(row[0].modified_at)) == ("def total(b)", "says", False, "2024-01-01 00:00:02")
+    assert touched.nodes.count() == g.nodes.count() and touched.nodes.filter("invalidated").count() == 0
 
 
-def test_expand_and_retrieve(spark, repo):
+def test_expand_and_retrieve(spark, repo, tmp_path):
     g = G.build(repo)
     row = G.expand(g, spark.createDataFrame([("total",), ("absent",)], "name string")).collect()
     assert len(row) == 1 and [(n.name, n.direction) for n in row[0].neighbours] == [("add", "callee"), ("multiply", "callee")]
     found = retrieval.retrieve_context(g, "multiply two numbers", 3).collect()
     assert found[0].name == "multiply" and found[0].neighbours[0].name == "total"
+    index = retrieval.build_index(g, str(tmp_path / "index"))
+    assert [(r.name, round(r.score, 6)) for r in retrieval.retrieve_context(g, "multiply two numbers", 3, index=index).collect()] == [(r.name, round(r.score, 6)) for r in found]
 
 
 def test_symbol_diff(spark):
