@@ -29,13 +29,25 @@ def _hashed(size: int):
     return hashed_embedding(F.col("w"), size)
 
 
-def retrieve_context(graph: G.Graph, query: str, k: int = 10, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
-    """(name, score, code, path, neighbours): the ``k`` best symbols for a question, best first."""
+def build_index(graph: G.Graph, path: str) -> search.Index:
+    """The stored keyword index over the graph's symbols: built once, asked often."""
+    return search.build_index(symbol_documents(graph), path, "id")
+
+
+def with_context(graph: G.Graph, hits: DataFrame) -> DataFrame:
+    """(name, score, code, path, neighbours) of hits (name, score), best first."""
+    return hits.join(G.expand(graph, hits.select("name")), "name").orderBy(F.desc("score"), "name")
+
+
+def retrieve_context(graph: G.Graph, query: str, k: int = 10, vectors: DataFrame | None = None, query_vector: list[float] | None = None, index: search.Index | None = None) -> DataFrame:
+    """(name, score, code, path, neighbours): the ``k`` best symbols for a question, best first; by a stored ``index`` if there is one."""
     docs = symbol_documents(graph)
-    keyword = search.top(search.bm25(docs, query, "id").join(docs.select("id", "name"), "id").select("name", "score"), k, "name")
+    if index is not None:
+        keyword = index.top(query, k).withColumnRenamed("key", "id").join(docs.select("id", "name"), "id").select("name", "score")
+    else:
+        keyword = search.top(search.bm25(docs, query, "id").join(docs.select("id", "name"), "id").select("name", "score"), k, "name")
     vectors = symbol_vectors(graph) if vectors is None else vectors
     if query_vector is None:
         query_vector = graph.nodes.sparkSession.range(1).select(text.tokens(F.lit(query)).alias("w")).select(_hashed(64).alias("v")).first()["v"]
     near = search.vector_search(vectors, query_vector, k, "id").join(vectors.select("id", "name"), "id").select("name", "score")
-    hits = search.hybrid_search(near, keyword, k)
-    return hits.join(G.expand(graph, hits.select("name")), "name").orderBy(F.desc("score"), "name")
+    return with_context(graph, search.hybrid_search(near, keyword, k))

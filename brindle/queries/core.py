@@ -1,49 +1,18 @@
-"""Registered queries: every operator over the driver's tables, with DuckDB SQL of the same result.
-
-The driver's tables hold no source code and no traces. Each query therefore maps a table to the schema that its operator
-takes, and says how; the operators themselves are tested on code, traces and reports in ``tests/``.
-"""
+"""Search, graph, traces, coverage, symbol diffs, commits, validation, parsers and structure."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import paths, text
 from brindle.functions.structure import extract
 from brindle.functions.text import STOP_WORDS
-from brindle.operators import commit, coverage, graph, patterns, search, symbols, trace, validation
+from brindle.operators import commit, coverage, graph, search, symbols, trace, validation
+from brindle.queries.base import once, query, spread, stored, table
+from brindle.session import shared_path
 from brindle.sources import changes, hunks, reports
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function under its own name, with its SQL if there is one."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than there are cores, dealt to all cores. Larger tables are read where they are, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # --- search -----------------------------------------------------------------------------------------------------------
 
 QUESTION = "the token and that loser or that and license ention"
@@ -57,8 +26,8 @@ st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM words),
 raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 asked AS (SELECT term, count(*) AS times FROM (SELECT unnest(list_filter(regexp_split_to_array('{QUESTION}', '[^a-z0-9_]+'), lambda w: w <> '' AND w NOT IN ({_STOP}))) AS term) GROUP BY term),
-part AS (SELECT tf.doc_id, times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / avgdl)) AS s FROM tf JOIN asked USING (term) JOIN idf USING (term) JOIN words USING (doc_id), st),
-bm25 AS (SELECT words.doc_id, coalesce(sum(s), 0) AS score FROM words LEFT JOIN part USING (doc_id) GROUP BY words.doc_id)"""
+piece AS (SELECT tf.doc_id, times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / avgdl)) AS s FROM tf JOIN asked USING (term) JOIN idf USING (term) JOIN words USING (doc_id), st),
+bm25 AS (SELECT words.doc_id, coalesce(sum(s), 0) AS score FROM words LEFT JOIN piece USING (doc_id) GROUP BY words.doc_id)"""
 
 
 @query(f"WITH {_WORDS}, flat AS (SELECT doc_id, unnest(w) AS term FROM words) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM flat GROUP BY term")
@@ -68,11 +37,21 @@ def tok_terms(spark, d):
     return postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
+def document_index(spark: SparkSession, d: str) -> search.Index:
+    """The keyword index over a folder's documents, stored by the first question of a session and read by all others."""
+    return once(spark, "index", d, lambda: search.build_index(spread(table(spark, d, "documents")), shared_path(spark, "index")))
+
+
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm25 ORDER BY round(score, 6) DESC, doc_id LIMIT 20")
 def bm25_topk(spark, d):
-    """TXT2, TOP1: BM25 over documents."""
-    scored = search.bm25(spread(table(spark, d, "documents")), QUESTION).select("doc_id", F.round("score", 6).alias("score"))
-    return search.top(scored, 20, "doc_id")
+    """TXT2, TOP1: BM25 over documents, by the stored index."""
+    return document_index(spark, d).top(QUESTION, 20).withColumnRenamed("key", "doc_id")
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm25")
+def bm25_all(spark, d):
+    """TXT2: the score of every document, in two passes over the texts without an index."""
+    return search.bm25(spread(table(spark, d, "documents")), QUESTION).select("doc_id", F.round("score", 6).alias("score"))
 
 
 _COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
@@ -95,14 +74,16 @@ def vec_knn_join(spark, d):
     return search.nearest(vectors.filter("vec_id % 50 = 0"), vectors, 5)
 
 
-@query(f"""WITH {_BM25},
-kw AS (SELECT doc_id AS name, score FROM bm25 ORDER BY round(score, 6) DESC, doc_id LIMIT 50),
-vec AS (SELECT b.vec_id AS name, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY score DESC, b.vec_id LIMIT 50)
-SELECT name, round(sum(score), 6) AS score FROM (SELECT name, 0.6 * score AS score FROM vec UNION ALL SELECT name, 0.4 * score FROM kw) GROUP BY name ORDER BY round(sum(score), 6) DESC, name LIMIT 20""")
+_HYBRID = f"""{_BM25},
+kw AS (SELECT doc_id AS name, round(score, 6) AS score FROM bm25 ORDER BY round(score, 6) DESC, doc_id LIMIT 50),
+vec AS (SELECT b.vec_id AS name, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY score DESC, b.vec_id LIMIT 50),
+hits AS (SELECT name, round(sum(score), 6) AS score FROM (SELECT name, 0.6 * score AS score FROM vec UNION ALL SELECT name, 0.4 * score FROM kw) GROUP BY name ORDER BY round(sum(score), 6) DESC, name LIMIT 20)"""
+
+
+@query(f"WITH {_HYBRID} SELECT * FROM hits")
 def hybrid_topk(spark, d):
     """JN5, TOP3: documents by keywords and vectors, where doc_id and vec_id name the same symbol."""
-    scored = search.bm25(spread(table(spark, d, "documents")), QUESTION).select(F.col("doc_id").alias("name"), "score")
-    keyword = scored.orderBy(F.desc(F.round("score", 6)), "name").limit(50)
+    keyword = document_index(spark, d).top(QUESTION, 50).withColumnRenamed("key", "name")
     vectors = table(spark, d, "embeddings")
     one = vectors.filter("vec_id = 0").select(F.col("embedding").alias("q"))
     near = vectors.join(F.broadcast(one)).select(F.col("vec_id").alias("name"), F.round(search.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
@@ -156,10 +137,14 @@ def expand_1hop(spark, d):
     return graph.neighbours(g.edges, g.nodes.select("id"))
 
 
-@query(f"WITH {_GRAPH} SELECT id, label, name FROM nodes WHERE label <> 'Repository' AND id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)")
+_FEW = "few AS (SELECT * FROM edges WHERE type <> 'IMPORTS' OR right(dst, 1) IN ('1', '2'))"
+
+
+@query(f"WITH {_GRAPH}, {_FEW} SELECT id, label, name FROM nodes WHERE label <> 'Repository' AND id NOT IN (SELECT src FROM few) AND id NOT IN (SELECT dst FROM few)")
 def orphans(spark, d):
-    """JN16: nodes without edges."""
-    return graph.orphans(_graph(spark, d)).select("id", "label", "name")
+    """JN16: nodes without edges, where of the imports those of orders that end in 1 or 2 are left."""
+    g = _graph(spark, d)
+    return graph.orphans(graph.Graph(g.nodes, g.edges.filter("type <> 'IMPORTS' or right(dst, 1) in ('1', '2')"))).select("id", "label", "name")
 
 
 @query(f"WITH {_GRAPH} SELECT src, dst, type FROM edges WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes)")
@@ -196,14 +181,14 @@ def invalidation_impact(spark, d):
     return graph.impact(g, ids).select("relationships", "neighbours").join(graph.removal_counts(g, ids).select("nodes"))
 
 
-@query("""WITH c AS (SELECT DISTINCT p_brand AS caller, p_type AS callee FROM part), f AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS name FROM part WHERE p_size = 1 UNION SELECT CAST(p_partkey AS VARCHAR), p_type FROM part WHERE p_size = 2)
+@query("""WITH c AS (SELECT DISTINCT p_brand AS caller, p_type AS callee FROM part), f AS (SELECT p_brand || '#' || p_size AS id, p_brand AS name FROM part UNION SELECT p_type || '#' || p_size % 3, p_type FROM part)
 SELECT DISTINCT a.id AS src, b.id AS dst, 'CALLS' AS type FROM c JOIN f a ON a.name = c.caller JOIN f b ON b.name = c.callee""")
 def resolve_by_name(spark, d):
-    """JN1: calls from brands to types, resolved by name to the parts of sizes 1 and 2 that stand for definitions."""
+    """JN1: calls from brands to types, resolved by name: a brand is defined once for each size, a type for each size modulo 3."""
     part = table(spark, d, "part")
     calls = part.select(F.col("p_brand").alias("caller"), F.lit("").alias("from_path"), F.col("p_type").alias("callee"))
-    of = lambda size, name: part.filter(F.col("p_size") == size).select(F.col("p_partkey").cast("string").alias("id"), F.col(name).alias("name"), F.lit("").alias("path"))
-    return graph.resolve_calls(calls, of(1, "p_brand").union(of(2, "p_type")).distinct())
+    of = lambda name, size: part.select(F.concat(name, F.lit("#"), size).alias("id"), F.col(name).alias("name"), F.lit("").alias("path"))
+    return graph.resolve_calls(calls, of("p_brand", F.col("p_size")).union(of("p_type", F.col("p_size") % 3)).distinct())
 
 
 _EVENTS = """ev AS (SELECT user_id AS run, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'call' ELSE 'return' END AS event, event_type AS func, CAST(event_id % 5 AS INTEGER) AS depth FROM events)"""
@@ -354,11 +339,11 @@ def coverage_semi(spark, d):
     return coverage.covered_functions(functions, _coverage(spark, d)).select("name")
 
 
-@query("SELECT 'src/c' || c_custkey || '.py' AS path FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT 'src/c' || c_custkey || '.py' AS path FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
 def uncovered_anti(spark, d):
-    """JN12: customers as sources, orders as tests that map to them."""
+    """JN12: customers as sources, their urgent orders as tests that map to them."""
     name = lambda c: F.concat(F.lit("src/c"), c, F.lit(".py"))
-    mapping = table(spark, d, "orders").select(name("o_custkey").alias("source"))
+    mapping = table(spark, d, "orders").filter("o_orderpriority like '1%'").select(name("o_custkey").alias("source"))
     return coverage.uncovered_sources(table(spark, d, "customer").select(name("c_custkey").alias("path")), mapping)
 
 
@@ -505,7 +490,9 @@ def stage_rollup_early_stop(spark, d):
 
 # --- text, paths, parsers -------------------------------------------------------------------------------------------------
 
-_LINES = r"""ln AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents),
+_CODE_SQL = """code AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN 'if x:' || chr(10) || chr(10) || 'y = ' || o_orderkey WHEN 1 THEN 'def f' || o_orderkey || '()' || chr(10) || '    pass'
+WHEN 2 THEN 'if x:' || chr(10) || ' ' || chr(9) || 'z = ' || o_orderkey WHEN 3 THEN 'a::b' || chr(10) || 'print(' || o_orderkey || ') if a = 2 else 3' ELSE '# if x' || chr(10) || 'ok = ' || o_orderkey || chr(10) END AS text FROM orders)"""
+_LINES = _CODE_SQL + r""", ln AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM code),
 ind AS (SELECT *, length(text) - length(regexp_replace(text, '^\s+', '')) AS indent, trim(regexp_replace(text, '[\t\r\f\x0b]', ' ', 'g')) = '' AS blank FROM ln),
 nx AS (SELECT *, first_value(CASE WHEN NOT blank THEN indent END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_indent, regexp_replace(text, '\s+$', '') AS bare FROM ind),
 st AS (SELECT *, NOT blank AND regexp_replace(bare, '^\s+', '')[1] <> '#' AS code, regexp_replace(bare, '^\s+', '') AS stripped, regexp_matches(text, '^\s*(if|elif|else|for|while|def|class|with|try|except|finally)\b') AS block FROM nx)"""
@@ -518,8 +505,20 @@ UNION ALL SELECT doc_id, line, 'incomplete_block', 'warning' FROM st WHERE code
 UNION ALL SELECT doc_id, line, 'common_issue', 'warning' FROM st WHERE code AND contains(text, '::')
 UNION ALL SELECT doc_id, line, 'common_issue', 'warning' FROM st WHERE code AND contains(stripped, ' if ') AND NOT contains(stripped, '==') AND NOT contains(stripped, '!=') AND regexp_matches(stripped, 'if\s+\w+\s*=\s*')""")
 def line_rules(spark, d):
-    """EXT14, WIN6: the line rules over the lines of documents."""
-    return text.line_rules(spread(table(spark, d, "documents")), "doc_id", "text").select("doc_id", "line", "issue_type", "severity")
+    """EXT14, WIN6: the line rules over a piece of code for each order, which breaks one or two of them, or none."""
+    key = F.col("o_orderkey").cast("string")
+    lines = [["if x:", "", F.concat(F.lit("y = "), key)], [F.concat(F.lit("def f"), key, F.lit("()")), "    pass"], ["if x:", F.concat(F.lit(" \tz = "), key)], ["a::b", F.concat(F.lit("print("), key, F.lit(") if a = 2 else 3"))], ["# if x", F.concat(F.lit("ok = "), key), ""]]
+    made = [F.concat_ws("\n", *[x if not isinstance(x, str) else F.lit(x) for x in part]) for part in lines]
+    code = F.element_at(F.array(*made), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return text.line_rules(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), code.alias("text")), "doc_id", "text").select("doc_id", "line", "issue_type", "severity")
+
+
+@query("SELECT 0 AS findings, count(*) AS documents FROM documents")
+def line_rules_prose(spark, d):
+    """EXT14: the line rules find nothing in the prose of documents."""
+    docs = spread(table(spark, d, "documents"))
+    found = text.line_rules(docs, "doc_id", "text").agg(F.count(F.lit(1)).cast("int").alias("findings"))
+    return found.join(docs.agg(F.count(F.lit(1)).alias("documents")))
 
 
 @query("SELECT page_id, regexp_extract(url, '[^/]*$') AS base, NOT regexp_matches(url, '/(test|tests)/') AND regexp_matches(url, '/(de|fr)/') AS kept FROM pages")
@@ -556,13 +555,14 @@ def type_check_lines(spark, d):
     return reports.type_check(rows).drop("column")
 
 
-@query("""SELECT o_custkey AS run, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS INTEGER) AS passed, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS INTEGER) AS failed, CAST(count(*) AS INTEGER) AS total,
-count(*) FILTER (WHERE o_orderstatus = 'F') = 0 AND count(*) FILTER (WHERE o_orderstatus = 'O') > 0 AS all_passed FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY o_custkey""")
+@query("""SELECT o_custkey AS run, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS INTEGER) AS passed, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS INTEGER) AS failed, CAST(count(*) FILTER (WHERE o_orderstatus NOT IN ('O', 'F')) AS INTEGER) AS skipped, CAST(count(*) AS INTEGER) AS total,
+count(*) FILTER (WHERE o_orderstatus = 'F') = 0 AND count(*) FILTER (WHERE o_orderstatus = 'O') > 0 AS all_passed FROM orders GROUP BY o_custkey""")
 def test_summaries(spark, d):
-    """SRC12: open and filled orders of a customer as passed and failed tests."""
-    rows = table(spark, d, "orders").filter(F.col("o_orderstatus").isin("O", "F")).groupBy(F.col("o_custkey").alias("run")).agg(F.count_if(F.col("o_orderstatus") == "O").alias("p"), F.count_if(F.col("o_orderstatus") == "F").alias("f"))
-    said = rows.select("run", F.concat(F.lit("== "), "p", F.lit(" passed, "), "f", F.lit(" failed in 0.12s ==")).alias("stdout"))
-    return reports.test_summary(said).select("run", "passed", "failed", "total", "all_passed")
+    """SRC12: open and filled orders of a customer as passed and failed tests, others as skipped ones."""
+    status = lambda *s: F.count_if(F.col("o_orderstatus").isin(*s))
+    rows = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("run")).agg(status("O").alias("p"), status("F").alias("f"), F.count_if(~F.col("o_orderstatus").isin("O", "F")).alias("s"))
+    said = rows.select("run", F.concat(F.lit("== "), "p", F.lit(" passed, "), "f", F.lit(" failed, "), "s", F.lit(" skipped in 0.12s ==")).alias("stdout"))
+    return reports.test_summary(said).select("run", "passed", "failed", "skipped", "total", "all_passed")
 
 
 @query("""SELECT o_orderkey AS path, CAST(1 AS BIGINT) AS hunk, CAST(o_orderkey % 100 + 1 AS INTEGER) AS "oldStart", string_agg(CAST(o_orderkey % 100 + rn AS VARCHAR), ',' ORDER BY rn) AS added
@@ -588,6 +588,11 @@ def _code(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "part")).select(F.concat(F.lit("src/p"), key, F.lit(".py")).alias("path"), code.alias("content"))
 
 
+def extracted(spark: SparkSession, d: str) -> DataFrame:
+    """The extraction of these files, parsed and stored by the first query of a session that needs it."""
+    return once(spark, "extracted", d, lambda: stored(extract(_code(spark, d)), "extracted"))
+
+
 @query("SELECT 'src/p' || p_partkey || '.py' AS path, 'f' || p_partkey AS name, 8 AS start_line, 11 AS end_line, 'def f' || p_partkey || '(a, b)' AS signature, 3 AS complexity, 'f' || (p_partkey + 1) AS calls FROM part")
 def extract_functions(spark, d):
     """EXT1-EXT9: functions of generated files, with complexity and calls."""
@@ -600,38 +605,12 @@ def extract_functions(spark, d):
 UNION ALL SELECT 'CALLS', count(*) FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 UNION ALL SELECT 'INHERITS', count(*) FROM part a JOIN part b ON b.p_partkey = a.p_partkey - 1) WHERE n > 0""")
 def graph_build(spark, d):
     """GR1, JN1-JN3: the graph of generated files, edges by type."""
-    return graph.type_counts(graph.build(extract(_code(spark, d)).cache()).edges)
-
-
-@query()
-def pattern_findings(spark, d):
-    """GR11, AGG23-AGG25: each generated function with an even key against siblings that another file shape gives. No SQL: code is parsed."""
-    code = _code(spark, d).withColumn("path", F.concat(F.lit("g"), (F.crc32(F.col("path").cast("binary")) % 97).cast("string")))
-    named = code.select("path", F.regexp_extract("content", r"def (\w+)", 1).alias("name"), F.regexp_replace("content", r"(?s)^.*\n(?=def )", "").alias("content"))
-    changed = named.filter(F.col("name").rlike("[02468]$")).withColumn("content", F.replace("content", F.lit("return b"), F.lit("raise ValueError(b)")))
-    return patterns.detect(changed, named)
-
-
-@query()
-def diff_stats(spark, d):
-    """TXT5, TXT6, FLT8: each document against its text in lower case. No SQL: a sequence matcher."""
-    docs = table(spark, d, "documents").filter("text is not null")
-    stats = text.diff_stats(F.col("text"), F.lower("text"))
-    return docs.select("doc_id", stats.alias("s")).select("doc_id", "s.*", text.significant(F.col("s")).alias("significant"))
+    return graph.type_counts(graph.build(extracted(spark, d)).edges)
 
 
 # --- keys and time ----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, source, rank FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 8")
-def sibling_limit(spark, d):
-    """JN14, TOP4: at most eight documents of each source, by id."""
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").select("doc_id", "source", rank.cast("long").alias("rank")).filter("rank <= 8")
-
-
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def dedup_first(spark, d):
     """WIN2: the first event of each user and type."""
@@ -656,11 +635,3 @@ def recent_window(spark, d):
 def last_events(spark, d):
     """WIN5: the last hundred events."""
     return validation.ring(table(spark, d, "events").select("event_id", "event_type"), 100, "event_id")
-
-
-def queries() -> dict[str, Query]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)

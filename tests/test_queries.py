@@ -32,9 +32,14 @@ def test_same_as_sql(spark, duck, sf_dir, name):
     expected = duck.sql(library.SQL[name])
     assert sorted(expected.columns) == columns
     order = [expected.columns.index(c) for c in columns]
-    assert shown(df.select(*columns).collect()) == shown([r[i] for i in order] for r in expected.fetchall())
+    got = shown(df.select(*columns).collect())
+    assert got == shown([r[i] for i in order] for r in expected.fetchall())
+    assert got or name in MAY_BE_EMPTY
 
 
-@pytest.mark.parametrize("name", sorted(set(library.QUERIES) - set(library.SQL)))
-def test_runs(spark, sf_dir, name):
-    assert library.QUERIES[name](spark, sf_dir).count() >= 0
+#: Queries whose answer may be empty on the smallest tables.
+MAY_BE_EMPTY = {"missing_functions", "retrieve_context"}
+
+
+def test_every_query_has_sql():
+    assert set(library.QUERIES) == set(library.SQL)
