@@ -2,36 +2,50 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle import session
+from brindle.session import shared_root
+
+__all__ = ["named", "numbered", "removed", "scratch", "shared_path", "shared_root", "slices", "stored", "text_of"]
+
 #: Bytes of text that a Python worker holds as objects at once; a longer single text is a batch alone.
 BATCH_BYTES = 4 << 20
+#: Folders written inside each open ``scratch``, innermost last.
+_SCRATCHES: list[list[str]] = []
+
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder for a table that one call writes and reads again; an open ``scratch`` removes it."""
+    path = session.shared_path(spark, name)
+    if _SCRATCHES:
+        _SCRATCHES[-1].append(path)
+    return path
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset.
 
-    The fallback is for single-machine sessions (tests, bench); on a cluster the setting must name a shared store.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), f"brindle-{spark.sparkContext.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder below the shared one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a table that one call writes and reads again."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that operators wrote inside to the shared folder: for results that are written before it ends.
+
+    Results are lazy and read those tables, so that operators can't remove them on their own.
+    """
+    _SCRATCHES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCHES.pop():
+            removed(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +55,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns called c0, c1 and so on, and these by their own names: no helper column can clash with one."""
+    own = {name: f"c{i}" for i, name in enumerate(df.columns)}
+    return df.toDF(*own.values()), own
+
+
+def named(df: DataFrame, own: dict[str, str], **columns: Column) -> DataFrame:
+    """The columns of ``numbered`` under their own names again, some of them replaced."""
+    return df.select(*[columns.get(name, F.col(c)).alias(name) for name, c in own.items()])
+
+
 def text_of(name: str) -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

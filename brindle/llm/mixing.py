@@ -9,7 +9,7 @@ are joined by a broadcast only while there are at most ``MAX_BROADCAST`` sources
 
 Defined results: a null source is a source of its own; a null key draws as the text "null"; repeated rows draw alike and
 are each replicated; an empty table gives an empty result; a source without a weight given is left out (weight 0);
-extra columns pass through, but for ``copy`` and ``shuffle_key``, which are made anew.
+extra columns pass through, but for those named as ``copy`` and ``shuffle_key``, which are made anew.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import numbered, stored
 
 #: Weight of a source with n rows when none are given: n ** TEMPER.
 TEMPER = 0.5
@@ -66,23 +66,24 @@ def rates(df: DataFrame, source: str = "source", weights: Mapping[str, float] |
     return counts.select("source", "n", (F.lit(float(total.rows or 0) * scale) * share).alias("rate"))
 
 
-def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping[str, float] | None = None, scale: float = 1.0, seed: int = 17) -> DataFrame:
-    """The rows of ``df`` replicated to the target weights in a global random order, with ``copy`` from 1 and ``shuffle_key``."""
-    names = [c for c in df.columns if c not in ("copy", "shuffle_key")]
-    means = rates(df, source, weights, scale).withColumn("__draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_MEAN)).cast("int"))
-    means = means.select(F.col("source").alias("__source"), "__draws", distribution(F.col("rate") / F.col("__draws")).alias("__cdf"))
+def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping[str, float] | None = None, scale: float = 1.0, seed: int = 17, copy: str = "copy", shuffle_key: str = "shuffle_key") -> DataFrame:
+    """The rows of ``df`` replicated to the target weights in a global random order, with the columns ``copy``, from 1, and ``shuffle_key``."""
+    names = [c for c in df.columns if c not in (copy, shuffle_key)]
+    means = rates(df, source, weights, scale).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_MEAN)).cast("int"))
+    means = means.select("source", "draws", distribution(F.col("rate") / F.col("draws")).alias("cdf"))
     means = stored(means, "mixing-means")
-    own = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    plain, columns = numbered(df.select(*names))
+    rows = plain.withColumns({"own": F.coalesce(F.col(columns[key]).cast("string"), F.lit("null")), "from_source": F.col(columns[source]).cast("string")})
+    same = F.col("from_source").eqNullSafe(F.col("source"))
     if means.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        joined = df.join(F.broadcast(means), F.col(source).cast("string").eqNullSafe(F.col("__source")))
+        joined = rows.join(F.broadcast(means), same)
     else:
-        salted = means.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = df.withColumn("__mine", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(salted, F.col(source).cast("string").eqNullSafe(F.col("__source")) & (F.col("__mine") == F.col("__salt")))
-    draws = F.transform(F.sequence(F.lit(1), F.col("__draws")), lambda i: inverted(uniform(F.lit(str(seed)), own, i.cast("string")), F.col("__cdf")))
+        salted = means.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("mine", F.pmod(F.xxhash64("own"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("mine") == F.col("salt")))
+    draws = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda i: inverted(uniform(F.lit(str(seed)), F.col("own"), i.cast("string")), F.col("cdf")))
     copies = F.aggregate(draws, F.lit(0), lambda a, k: a + k)
-    counted = joined.withColumn("__copies", copies).filter("__copies > 0")
-    dealt = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    dealt = dealt.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), own, F.col("copy").cast("string"))))
+    counted = joined.select(*columns.values(), "own", copies.alias("copies")).filter("copies > 0")
+    dealt = counted.withColumn("number", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "own", F.col("number").cast("string")))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.select(*names, "copy", "shuffle_key").repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return dealt.select(*[F.col(c).alias(name) for name, c in columns.items()], F.col("number").alias(copy), order.alias(shuffle_key)).repartition(parts, shuffle_key).sortWithinPartitions(shuffle_key)

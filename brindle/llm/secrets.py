@@ -27,7 +27,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import named, numbered, text_of
 
 #: Words that name a secret, words that name something public, words of identifiers.
 SECRET_WORDS = "access.?key|api.?key|auth|bearer|client.?secret|credential|passphrase|passwd|password|private.?key|pwd|secret|token"
@@ -283,13 +283,13 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | Non
 
 def redact(df: DataFrame, text: str = "text", path: str | None = "source", chars: str | None = "n_chars", forest: str | None = None) -> DataFrame:
     """``df`` with every secret in its text replaced by ``MARK``; rows and columns stay, ``chars`` is counted anew where the text changed."""
-    names = df.columns
-    found = _found(df, text, path, forest)
+    plain, own = numbered(df)
+    found = _found(plain, own[text], own[path] if path else None, forest)
     scores = F.concat(F.array(F.lit(0.0)), F.flatten(F.transform("__findings", lambda f: F.array(f["score"], F.lit(0.0)))))  # of each part
     shown = F.zip_with("__parts", scores, lambda p, score: F.when(score >= THRESHOLD, MARK).otherwise(p))
     changed = F.exists("__findings", lambda f: f["score"] >= THRESHOLD)
     found = found.withColumn("__new", F.when(changed, F.array_join(shown, "")))
-    out = {text: F.coalesce("__new", text)}
-    if chars in names:
-        out[chars] = F.coalesce(F.length("__new").cast(df.schema[chars].dataType), chars)
-    return found.withColumns(out).select(*names)
+    out = {text: F.coalesce("__new", own[text])}
+    if chars in own:
+        out[chars] = F.coalesce(F.length("__new").cast(df.schema[chars].dataType), own[chars])
+    return named(found, own, **out)

@@ -98,6 +98,65 @@ def test_links_find_all_pairs(spark, monkeypatch, bucket):
     assert got == expected
 
 
+def shingles(text, n=5):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def cosine(a, b):
+    return 1.0 if a == b else len(a & b) / (len(a) * len(b)) ** 0.5 if a and b else 0.0
+
+
+def copies(rng, n, share):
+    """A text of ``n`` words, and a copy in which each word is another one with the given chance."""
+    words = [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    return " ".join(words), " ".join(f"x{rng.randint(0, 5000)}" if rng.random() < share else w for w in words)
+
+
+def node(text, i):
+    return i, [int(x) for x in simhash.segments(text)]
+
+
+NODES = "fp long, segments array<long>"
+
+
+def test_alike_finds_what_is_alike(spark):
+    rng = random.Random(8)
+    pairs = [copies(rng, rng.randint(80, 500), rng.choice((0.005, 0.02, 0.03, 0.04, 0.12))) for _ in range(400)]
+    nodes = [node(t, 2 * i + k) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = {(r.a, r.b) for r in simhash.alike(spark.createDataFrame(nodes, NODES)).collect()}
+    alike = {i: cosine(*map(shingles, p)) for i, p in enumerate(pairs)}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in got)  # unlike texts never meet
+    found = lambda low, high: [(2 * i, 2 * i + 1) in got for i, c in alike.items() if low <= c < high]
+    recall = lambda x: sum(x) / len(x)
+    assert recall(found(0.8, 1.1)) >= 0.9 and recall(found(0.9, 1.1)) >= 0.98 and not any(found(0.0, 0.58))
+
+
+@pytest.mark.parametrize(("crowd", "leaders"), [(64, 16), (8, 4), (4, 1)])
+def test_crowds_stay_connected_and_meet_in_blocks(spark, monkeypatch, crowd, leaders):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "MAX_LEADERS", leaders)
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(400)]
+    group = [" ".join(f"x{rng.randint(0, 5000)}" if rng.random() < 0.01 else w for w in base) for _ in range(120)]
+    others = [" ".join(f"y{rng.randint(0, 5000)}" for _ in range(100)) for _ in range(40)]
+    nodes = spark.createDataFrame([node(t, i) for i, t in enumerate([*group, *others])], NODES)
+    roots = {r.node: r.root for r in simhash.components(simhash.alike(nodes)).collect()}
+    assert roots == {i: 0 for i in range(1, 120)}
+
+
+def test_unlike_members_of_a_crowd_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 2)
+    rng = random.Random(6)
+    rows = []
+    for i in range(80):  # all share their first segment, and pairs share the rest
+        if i % 2 == 0:
+            rest = [rng.getrandbits(24) for _ in range(simhash.SEGMENTS - 1)]
+        rows.append((i, [77, *(x ^ (1 << rng.randrange(24)) for x in rest)]))
+    got = {(r.a, r.b) for r in simhash.alike(spark.createDataFrame(rows, NODES)).collect()}
+    assert got == {(i, i + 1) for i in range(0, 80, 2)}
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 900), (900, 700)]
     random.shuffle(edges)
@@ -106,6 +165,45 @@ def test_components_of_a_long_chain(spark):
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_in_a_crowd_are_cut_to_the_last_byte(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE_BUCKET", 8)
+    base = random.getrandbits(64)
+    prints = sorted({base ^ sum(1 << i for i in c) for n in range(4) for c in itertools.combinations(range(0, 64, 5), n)})[::3] + [base ^ 255, base ^ (7 << 8)]
+    prints = sorted(set(prints))
+    signed = [p - 2**64 if p >> 63 else p for p in prints]
+    got = [tuple(sorted((r.a, r.b))) for r in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()]
+    expected = {tuple(sorted((a, b))) for a, b in itertools.combinations(signed, 2) if ((a ^ b) % 2**64).bit_count() <= 3}
+    assert set(got) == expected and len(got) == len(expected)
+
+
+def test_one_row_of_each_group_stays(spark):
+    words = [f"w{random.randint(0, 400)}" for _ in range(300)]
+    a, b, c = " ".join(words), " ".join(["changed", *words[1:]]), "other words entirely for this text here"
+    assert brute_components([brute_print(a), brute_print(b)]) == [0, 0]
+    rows = [(1, a, "x"), (1, c, "x"), (1, a, "y"), (2, a, "x"), (3, b, "x"), (None, c, "z"), (None, "only here without any name at all", "z"), (None, None, "p"), (None, "", "o"), (4, c, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __note string").withColumn("extra", F.create_map(F.lit("k"), F.lit(1)))
+    got = sorted(((r.doc_id, r.text, r["__note"]) for r in simhash.keep_one(df).collect()), key=repr)
+    assert got == sorted([(1, a, "x"), (1, c, "x"), (None, "only here without any name at all", "z"), (None, "", "o")], key=repr)
+    assert simhash.keep_one(df).columns == df.columns and simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_hubs_and_hot_groups_are_dealt(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(400 + i, 900 + i) for i in range(50)], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert got == {i: 0 for i in range(1, 400)} | {900 + i: 400 + i for i in range(50)}
+    rows = spark.createDataFrame([(1, i) for i in range(100)] + [(k, k) for k in range(2, 40)], "fp long, v long")
+    names = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("best"))
+    for hot in (1000, 3, 1):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        out = simhash._named(rows, names, "fp")
+        assert sorted(map(tuple, out.select("fp", "v", "best").collect())) == sorted((f, v, 99 if f == 1 else f) for f, v in [(1, i) for i in range(100)] + [(k, k) for k in range(2, 40)])
+
+
+def test_very_long_texts(monkeypatch):
+    text = " ".join(f"w{i % 997}" for i in range(2 * simhash.CHUNK + 500))
+    assert simhash.fingerprint(text) == brute_print(text)
+
+
 def test_near_duplicates(spark, docs):
     words = [f"w{random.randint(0, 400)}" for _ in range(300)]
     near = [" ".join(words[:i] + ["changed"] + words[i + 1 :]) for i in (3, 150, 299)]
@@ -118,11 +216,11 @@ def test_near_duplicates(spark, docs):
     for r in rows:
         assert r.fingerprint == f"{prints[r.doc_id]:016x}" and r.component_id == expected[r.doc_id]
     kept = simhash.keep_one(df).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(expected))
+    assert sorted(r.doc_id for r in kept) == sorted(set(expected))  # here both ways agree
     assert simhash.keep_one(df).columns == df.columns and simhash.near_duplicates(df.limit(0)).count() == 0
     nameless = df.withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id")))
     assert simhash.near_duplicates(nameless).filter("component_id is null").count() == 4
-    assert simhash.keep_one(nameless).filter("doc_id is null").count() == 4
+    assert simhash.keep_one(nameless).count() == len(set(expected))
 
 
 # tokens ------------------------------------------------------------------------------------------------------------------
