@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier regularised by counterfactuals.
 
 Features of a text are its different words and their beginnings, as 64-bit hashes. Labelled texts that name a group also
-give their features with every identity term swapped for another; the loss holds the squared change of the logit under
-that swap, so that naming a group moves the score little whatever the labels say.
+give their features with every identity term swapped for others, several times; the loss holds the squared change of the
+logit under each swap, so that naming a group moves the score little whatever the labels say.
 
 Training takes a bounded sample of labelled rows (``MAX_ROWS`` of each class, those with the least hash); features are
 counted and chosen by a distributed aggregation over the sample, and at most ``MAX_FEATURES`` reach the driver. Scoring
@@ -38,7 +38,7 @@ PREFIXES = (4, 5, 6)
 CACHED_WORDS, CUT_ROWS = 200_000, 256
 FOLDS, HELD_OUT = 3, 1
 
-#: Identity terms, each swapped for another of its row.
+#: Identity terms in English, German, French and Spanish; each stands for any other of its row.
 IDENTITY = (
     "women men girls boys females males mothers fathers transgender nonbinary",
     "woman man girl boy female male mother father",
@@ -49,8 +49,23 @@ IDENTITY = (
     "immigrant refugee foreigner native citizen",
     "immigrants refugees foreigners natives citizens",
     "old young disabled blind deaf",
+    "frauen männer mädchen jungen mütter väter",
+    "muslime christen juden hindus buddhisten atheisten katholiken",
+    "schwule lesben heterosexuelle",
+    "einwanderer flüchtlinge ausländer einheimische",
+    "femmes hommes filles garçons mères pères",
+    "musulmans chrétiens juifs hindous bouddhistes athées catholiques",
+    "immigrés réfugiés étrangers citoyens",
+    "mujeres hombres niñas niños madres padres",
+    "musulmanes cristianos judíos hindúes budistas ateos católicos",
+    "inmigrantes refugiados extranjeros ciudadanos",
 )
-SWAP = {w: row[(i + 1) % len(row)] for row in map(str.split, IDENTITY) for i, w in enumerate(row)}
+#: Swaps that a text which names a group is given with: each term for that many others of its row.
+SWAPS = 3
+SWAP: dict[str, tuple[str, ...]] = {}
+for _row in map(str.split, IDENTITY):
+    for _i, _w in enumerate(_row):
+        SWAP.setdefault(_w, tuple(_row[(_i + _k * (len(_row) - 1) // SWAPS + 1) % len(_row)] for _k in range(SWAPS)))
 WORD = re.compile(r"\w+")
 
 
@@ -68,6 +83,11 @@ def features(words: set[str]) -> set[int]:
     return {f for w in words for f in word_features(w)}
 
 
+def swapped(words: set[str]) -> list[set[str]]:
+    """The words with every identity term swapped, once for each of ``SWAPS``; none where no group is named."""
+    return [{SWAP[w][k] if w in SWAP else w for w in words} for k in range(SWAPS)] if not words.isdisjoint(SWAP) else []
+
+
 def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
@@ -78,8 +98,8 @@ class Model:
     bias: float
 
 
-def fit(rows: list[tuple[int, float, list[int], list[int] | None]], counterfactual: float = COUNTERFACTUAL, steps: int = STEPS) -> Model:
-    """A model from (label, weight of the row, features, features after the swap or None).
+def fit(rows: list[tuple[int, float, list[int], list[list[int]]]], counterfactual: float = COUNTERFACTUAL, steps: int = STEPS) -> Model:
+    """A model from (label, weight of the row, features, features after each swap).
 
     Accelerated proximal gradient on the weighted logistic loss, the mean squared change of the logit over swapped rows, ridge and lasso.
     """
@@ -89,11 +109,11 @@ def fit(rows: list[tuple[int, float, list[int], list[int] | None]], counterfactu
         share = float(np.average(label, weights=weight)) if len(rows) else 0.0
         return Model({}, float(np.log(np.clip(share, 1e-9, 1 - 1e-9) / (1 - np.clip(share, 1e-9, 1 - 1e-9)))))
     weight /= weight.sum()
-    names = sorted({f for r in rows for f in (*r[2], *(r[3] or ()))})
+    names = sorted({f for r in rows for part in (r[2], *r[3]) for f in part})
     at = {f: i for i, f in enumerate(names)}
     row = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
     col = np.array([at[f] for r in rows for f in r[2]], int)
-    pairs = [(sorted(set(r[2]) - set(r[3])), sorted(set(r[3]) - set(r[2]))) for r in rows if r[3] is not None]
+    pairs = [(sorted(set(r[2]) - set(other)), sorted(set(other) - set(r[2]))) for r in rows for other in r[3]]
     pairs = [p for p in pairs if p[0] or p[1]]
     pair_row = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs])
     pair_col = np.array([at[f] for a, b in pairs for f in (*a, *b)], int)
@@ -139,21 +159,21 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
-            own, swapped = [], []
+            own, others = [], []
             for t in part.column(2).to_pylist():
                 words = words_of(t)
                 own.append(list(features(words)))
-                swapped.append(list(features({SWAP.get(w, w) for w in words})) if not words.isdisjoint(SWAP) else None)
-            cols = [pa.array(own, pa.list_(pa.int64())), pa.array(swapped, pa.list_(pa.int64()))]
+                others.append([list(features(w)) for w in swapped(words)])
+            cols = [pa.array(own, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["toxic", "weight", "features", "swapped"])
 
     chosen = stored(sample(labels, key, label), "toxicity-sample")
     texts = df.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "weight", "text")  # the sample is bounded
-    rows = stored(rows.mapInArrow(run, "toxic int, weight double, features array<long>, swapped array<long>"), "toxicity-features")
+    rows = stored(rows.mapInArrow(run, "toxic int, weight double, features array<long>, swapped array<array<long>>"), "toxicity-features")
     classes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(classes) < 2:
-        return fit([(c, 1.0, [], None) for c in classes])
+        return fit([(c, 1.0, [], []) for c in classes])
     n1, n0 = float(classes[1]), float(classes[0])
     counts = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
     share = (F.col("n1") + F.col("n0")) / (n1 + n0)
@@ -167,12 +187,12 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             for i in range(0, batch.num_rows, CUT_ROWS):
                 part = batch.slice(i, CUT_ROWS)
                 own = [sorted(keep.intersection(f)) for f in part.column(2).to_pylist()]
-                swapped = [None if f is None else sorted(keep.intersection(f)) for f in part.column(3).to_pylist()]
-                cols = [pa.array(x, pa.list_(pa.int64())) for x in (own, swapped)]
+                others = [[sorted(keep.intersection(f)) for f in x] for x in part.column(3).to_pylist()]
+                cols = [pa.array(own, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int64())))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=part.schema.names)
 
     small = rows.mapInArrow(cut, rows.schema).toArrow()
-    return fit(sorted(zip(*(small.column(i).to_pylist() for i in range(4))), key=lambda r: (r[0], r[1], r[2], r[3] or [])))
+    return fit(sorted(zip(*(small.column(i).to_pylist() for i in range(4))), key=lambda r: (r[0], r[1], r[2], r[3])))
 
 
 SCORED = "doc_id long, score double"

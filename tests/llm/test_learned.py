@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -167,11 +168,55 @@ def test_held_out_and_counterfactuals(spark):
     assert out[5000].score == out[5001].score == min(r.score for r in out.values()) or out[5001].predicted == 0
 
 
-def test_counterfactual_term_evens_groups():
-    rows = [(y, 1.0, sorted(toxicity.features(w := toxicity.words_of(t))), sorted(toxicity.features({toxicity.SWAP.get(x, x) for x in w})) if w & set(toxicity.SWAP) else None) for _, t, y in labelled()]
-    gap = lambda m: abs(sum(m.weights.get(f, 0) for f in toxicity.features({"muslims"})) - sum(m.weights.get(f, 0) for f in toxicity.features({toxicity.SWAP["muslims"]})))
-    free, held = toxicity.fit(rows, counterfactual=0.0), toxicity.fit(rows, counterfactual=20.0)
-    assert gap(free) > 0.3 and gap(held) < 0.3 * gap(free)
+GROUPS = ("muslims", "juden", "femmes", "inmigrantes")
+
+
+def biased(n=1200):
+    """Toxic texts hold insults; some insults are rare, and groups are named with them far more often than in neutral texts."""
+    draw, rows = random.Random(9), []
+    for i in range(n):
+        words = [draw.choice(WORDS) for _ in range(30)]
+        toxic = i % 4 == 0
+        if toxic:
+            words[7:7] = [draw.choice(INSULTS) if draw.random() < 0.3 else f"slur{draw.randrange(400)}"]
+        if toxic or draw.random() < 0.01:
+            words[20:20] = [draw.choice(GROUPS)]
+        rows.append((" ".join(words), int(toxic)))
+    return rows
+
+
+def model_of(rows, **how):
+    return toxicity.fit([(y, 1.0, sorted(toxicity.features(w := toxicity.words_of(t))), [sorted(toxicity.features(o)) for o in toxicity.swapped(w)]) for t, y in rows], **how)
+
+
+def score(model, text):
+    return 1 / (1 + math.exp(-model.bias - sum(model.weights.get(f, 0) for f in toxicity.features(toxicity.words_of(text)))))
+
+
+def test_counterfactuals_lower_false_positives_on_neutral_mentions():
+    """At the weight that the query uses."""
+    draw = random.Random(4)
+    neutral = [" ".join([*(draw.choice(WORDS) for _ in range(25)), g]) for g in GROUPS for _ in range(50)]
+    insulting = [" ".join([*(draw.choice(WORDS) for _ in range(25)), draw.choice(INSULTS)]) for _ in range(50)]
+    free, held = model_of(biased(), counterfactual=0.0), model_of(biased())
+    wrong = lambda m: sum(score(m, t) >= 0.5 for t in neutral) / len(neutral)
+    assert wrong(free) > 0.5 and wrong(held) < 0.02
+    assert sum(score(held, t) >= 0.5 for t in insulting) / len(insulting) > 0.9
+    for g in GROUPS:  # a swap moves the score little
+        gap = lambda m: max(abs(score(m, f"w1 {g}") - score(m, f"w1 {o}")) for o in toxicity.SWAP[g])
+        assert gap(held) < 0.3 * gap(free)
+
+
+def test_swaps():
+    assert all(w not in others and len(set(others)) == len(others) for w, others in toxicity.SWAP.items() if len({w, *others}) == 1 + toxicity.SWAPS)
+    assert toxicity.swapped({"a", "b"}) == [] and all("a" in s and "women" not in s for s in toxicity.swapped({"a", "women"}))
+
+
+def test_repeated_rows_and_long_texts(spark):
+    rows = labelled(300)
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows] * 2 + [(9999, "w1 " * 300_000 + "idiot"), (9998, "x" * 500_000)], "doc_id long, text string")
+    out = toxicity.classify(df, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).collect()
+    assert len(out) == 602 and len({(r.doc_id, r.score) for r in out}) == 302
 
 
 def test_degenerate_labels(spark, docs):
