@@ -253,15 +253,17 @@ def write(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", voc
             row = zip(([part], [number], [first], [size], [body]), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in row], names=["part", "segment", "first", "n_ids", "body"])
 
-        for batch in slices(batches, limit=BATCH_BYTES):
-            held.append((batch.column(0).to_pylist(), *own.encode(batch.column(1), end_id)))
-            size += len(held[-1][1])
-            if size >= SEGMENT_IDS:
+        try:
+            for batch in slices(batches, limit=BATCH_BYTES):
+                held.append((batch.column(0).to_pylist(), *own.encode(batch.column(1), end_id)))
+                size += len(held[-1][1])
+                if size >= SEGMENT_IDS:
+                    yield close()
+                    number, first, size, held = number + 1, first + size, 0, []
+            if held:
                 yield close()
-                number, first, size, held = number + 1, first + size, 0, []
-        if held:
-            yield close()
-        gc.enable()
+        finally:  # a worker is used again, also after a task that failed or was stopped
+            gc.enable()
 
     rows = df.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
