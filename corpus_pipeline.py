@@ -2,6 +2,11 @@
 
 Quality rules, near-duplicates, secrets, mixing, tokens: a stage takes all that its predecessor kept, and all but the
 last return the columns of ``documents``.
+
+Defined results, of every stage: an empty table gives an empty one; columns beside those of ``documents`` stay, whatever
+they are called, up to the tokens. A null or empty text holds no words and goes in the first stage. Rows that repeat an id
+are rows of their own for the quality rules, secrets, mixing and tokens; of near-duplicates one row stays, also where its
+id is null or stands on other texts as well. A null source is a source of its own, and an empty path for secrets.
 """
 
 from __future__ import annotations
@@ -9,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import bpe, mixing, quality, secrets, simhash
-from brindle.llm.common import stored
+from brindle.llm.common import removed, scratch
+from brindle.session import shared_path
 
 #: No SQL: line rules, fingerprints and the forest have no form in it. tests/llm tests the stages against brute force.
 ORACLE_SQL = None
@@ -21,7 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
     return simhash.keep_one(docs)
 
 
@@ -32,7 +38,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents replicated to tempered source weights, in a global random order."""
-    return mixing.mix(docs).drop("copy", "shuffle_key")
+    own = "_" * (1 + max(map(len, docs.columns)))  # longer than any column's name
+    return mixing.mix(docs, copy=f"{own}c", shuffle_key=f"{own}k").drop(f"{own}c", f"{own}k")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +57,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, in order."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over ``documents``, in order. What a stage wrote for itself goes with its end, its table when the next one's stands."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = shared_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if last:
+            removed(spark, last)
+        docs, last = spark.read.schema(out.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
