@@ -26,15 +26,14 @@ WEIGHTS = (0.6, 0.4)
 BLOCK = 4096
 
 
-def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, DataFrame]:
-    """The inverted index: ``postings(term, key, tf)``, ``lengths(key, dl)`` and ``terms(term, df)``.
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, dl, term, tf): how often each document says each term, beside its length in words; one row with a null term for a document without words.
 
-    Rows without words keep a length of 0. Counts combine on the map side; a frequent word is one row of a document.
+    Counts combine on the map side; a frequent word is one row of a document.
     """
-    words = docs.select(key, tokens(F.col(text)).alias("words"))
-    lengths = words.select(key, F.size("words").cast("long").alias("dl"))
-    postings = words.select(key, F.explode("words").alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
-    return {"postings": postings, "lengths": lengths, "terms": postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))}
+    # exploding a list of one keeps the optimizer from cutting the text into words for each use of them
+    words = docs.select(F.col(key).alias("key"), F.explode(F.array(tokens(F.col(text)))).alias("words"))
+    return words.select("key", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term")).groupBy("key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def idf(terms: DataFrame, n: DataFrame) -> DataFrame:
@@ -52,16 +51,13 @@ def asked(spark: SparkSession, query: str) -> Counter[str]:
 def build_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> "Index":
     """Stores the index of ``docs`` below ``path``, which must not exist, and opens it."""
     spark = docs.sparkSession
-    # exploding a list of one keeps the optimizer from cutting the text into words for each use of them
-    words = docs.select(F.col(key).alias("key"), F.explode(F.array(tokens(F.col(text)))).alias("words"))
-    counted = words.select("key", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term")).groupBy("key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     # sorted by term and key: a term that most documents hold is dealt to several files
-    counted.repartitionByRange(F.col("term"), F.xxhash64("key")).sortWithinPartitions("term", "key").write.parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    postings.groupBy("key").agg(F.max("dl").alias("dl")).write.parquet(f"{path}/lengths")
+    postings(docs, key, text).repartitionByRange(F.col("term"), F.xxhash64("key")).sortWithinPartitions("term", "key").write.parquet(f"{path}/postings")
+    counted = spark.read.parquet(f"{path}/postings")
+    counted.groupBy("key").agg(F.max("dl").alias("dl")).write.parquet(f"{path}/lengths")
     lengths = spark.read.parquet(f"{path}/lengths")
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    terms = idf(postings.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats.select("n"))
+    terms = idf(counted.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats.select("n"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
     stats.write.parquet(f"{path}/stats")
     return Index(spark, path)

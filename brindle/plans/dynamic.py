@@ -17,6 +17,12 @@ class DynamicAnalysis:
     stages: list[tuple[int, str, bool, float]] = field(default_factory=list)
     tables: dict[str, DataFrame] = field(default_factory=dict)
     error: str | None = None
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Lets go of the cached trace and tables, when what was made of them is written."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def analyze(graph: G.Graph, events: DataFrame, run: str = "run") -> DynamicAnalysis:
@@ -24,6 +30,7 @@ def analyze(graph: G.Graph, events: DataFrame, run: str = "run") -> DynamicAnaly
     out = DynamicAnalysis()
     functions = graph.nodes.filter("label = 'Function'")
     events = events.cache()
+    out.cached.append(events)
     calls = events.filter("event = 'call' and arg_types is not null").select("func", "arg_types")
     steps = {
         "profile": lambda: T.summary(events),
@@ -36,6 +43,7 @@ def analyze(graph: G.Graph, events: DataFrame, run: str = "run") -> DynamicAnaly
         began = time.monotonic()
         try:
             table = step().cache()
+            out.cached.append(table)
             table.count()
         except Exception as e:
             out.stages.append((position, name, False, time.monotonic() - began))

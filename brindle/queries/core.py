@@ -33,7 +33,7 @@ bm25 AS (SELECT words.doc_id, coalesce(sum(s), 0) AS score FROM words LEFT JOIN
 @query(f"WITH {_WORDS}, flat AS (SELECT doc_id, unnest(w) AS term FROM words) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM flat GROUP BY term")
 def tok_terms(spark, d):
     """TXT1: term and document frequencies of the inverted index."""
-    postings = search.index(spread(table(spark, d, "documents")))["postings"]
+    postings = search.postings(spread(table(spark, d, "documents"))).filter("term is not null")
     return postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 

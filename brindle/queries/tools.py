@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import paths
 from brindle.operators import commit, coverage, graph, trace, validation
 from brindle.plans import dynamic
-from brindle.queries.base import query, spread, table
+from brindle.queries.base import once, query, spread, stored, table
 from brindle.queries.code import pick, said
 from brindle.queries.core import _PAIRS, _calls, _pairs, _stages, _trace
 from brindle.session import shared_path
@@ -186,7 +186,18 @@ def enriched_overview(spark, d):
 
 
 def _dynamic(spark: SparkSession, d: str) -> graph.Graph:
-    """The events' functions as nodes that call each other as the trace says; tests and the coverage of two of them are added."""
+    """The events' functions as nodes that call each other as the trace says; tests and the coverage of two of them are added. Made once a session."""
+
+    def make() -> graph.Graph:
+        g, done, whole = _enriched_graph(spark, d)
+        edges = stored(whole.edges, "dynamic")
+        done.release()
+        return graph.Graph(g.nodes, edges)
+
+    return once(spark, "dynamic", d, make)
+
+
+def _enriched_graph(spark: SparkSession, d: str) -> tuple[graph.Graph, dynamic.DynamicAnalysis, graph.Graph]:
     names = table(spark, d, "events").select(F.col("event_type").alias("name")).distinct()
     nodes = names.select(F.concat(F.lit("id-"), "name").alias("id"), F.lit("Function").alias("label"), "name", F.lit("m.py").alias("path"), F.current_timestamp().alias("updated_at"))
     edges = spark.createDataFrame([], "src string, dst string, type string, count long, updated_at timestamp")
@@ -194,7 +205,7 @@ def _dynamic(spark: SparkSession, d: str) -> graph.Graph:
     done = dynamic.analyze(g, _trace(spark, d).withColumn("arg_types", F.when(F.col("event") == "call", F.array(F.col("func")))))
     tests = graph.test_nodes(table(spark, d, "nation").select(said("tests/test_n", F.col("n_nationkey"), ".py").alias("path")))
     covered = coverage.coverage_edges(nodes.filter("name in ('click', 'view')").select("id"), tests.select("id"))
-    return dynamic.enriched_graph(g, done, covered, tests)
+    return g, done, dynamic.enriched_graph(g, done, covered, tests)
 
 
 @query(f"""WITH {_PAIRS} SELECT 'DYNAMICALLY_CALLS' AS type, count(*) AS n FROM pairs UNION ALL SELECT 'COVERED_BY', 2 UNION ALL SELECT 'HAS_TEST', count(*) FROM nation""")
