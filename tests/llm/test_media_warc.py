@@ -216,3 +216,9 @@ def test_cut_off_record(spark, tmp_path):
     assert [(r.offset, r.payload_bytes) for r in rows] == [(0, 5), (len(inner_record("first")), 6)]
     (tmp_path / "b.warc").write_bytes(b"no archive")
     assert warc.read(spark, str(tmp_path)).count() == 2
+
+
+def test_repeated_media_rows(spark, docs):
+    df = docs(TEXTS[:7])
+    once, twice = ({tuple(r) for r in media.round_trip(x).collect()} for x in (df, df.unionByName(df)))
+    assert once == twice and media.round_trip(df.unionByName(df)).count() == 14

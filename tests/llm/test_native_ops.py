@@ -162,5 +162,7 @@ def test_mixing_weights_large_means_and_salted_join(spark, docs, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_BROADCAST", 0)
     assert sorted(map(tuple, mixing.mix(df).collect()), key=repr) == plain
     assert mixing.mix(df.limit(0)).count() == 0
+    twice = mixing.mix(df.unionByName(df), weights={"src0": 1.0}).groupBy("doc_id", "copy").count().collect()
+    assert twice and {r["count"] for r in twice} == {2}  # repeated rows draw alike, and each is replicated
     keys = df.withColumn("doc_id", F.lit(None).cast("long"))
     assert mixing.mix(keys).columns[:5] == df.columns

@@ -252,6 +252,12 @@ def test_bpe_columns(spark, docs, library):
     assert {r.doc_id: r.n_tokens for r in bpe.digests(df).collect()}[0] == 0 and bpe.digests(df.limit(0)).count() == 0
 
 
+def test_bpe_of_repeated_rows(spark, docs):
+    df = docs([*HARD, "x " * 100_000])
+    once, twice = ([tuple(r) for r in bpe.digests(x).collect()] for x in (df, df.unionByName(df)))
+    assert sorted(once * 2) == sorted(twice) and set(once) == set(twice)
+
+
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "CACHED_WORDS", 10)
     own = bpe.Codec(bpe.VOCABULARY)
