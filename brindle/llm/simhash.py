@@ -18,8 +18,7 @@ of five-word shingles are alike by a cosine of 0.8, which is what a share of dif
 bits, so that the fingerprint is longer (``SEGMENTS`` segments of ``WIDTH`` bits) and the ball of a segment is directed: the
 segment, and the segment with one of its ``LOOSE`` least certain bits turned. Both sides enter a table under their balls, meet
 at up to two differing bits, and complete distances are verified. Distances estimate: a cosine of 0.8 passes nine times in ten,
-one of 0.7 sometimes, one of 0.6 hardly ever. What meets under no segment is missed: recall is measured by a test. Of a table entry that very many share, members that are near to one of its leaders are linked to it and leave; what
-is left meets in pairs, block by block, so that no group of copies pairs all its members.
+one of 0.7 sometimes, one of 0.6 hardly ever. What meets under no segment is missed: recall is measured by a test. Of a table entry that many share, members meet two others at most, so that no group of copies pairs all its members.
 
 Defined results: a null text is the empty text, and texts without words have fingerprint zero and link like any other;
 rows with a null key belong to the component of their fingerprint without naming it; repeated rows come out as often
@@ -34,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import named, numbered, slices, stored, text_of
@@ -53,8 +53,8 @@ LONG_SHINGLE, SEGMENTS, WIDTH, LOOSE, SIMILARITY = 5, 16, 24, 8, 0.8
 SLACK = 1.28
 #: Bits of the first segments that are compared before complete distances, and how many may differ: two standard deviations over the share.
 FIRST, FIRST_DISTANCE = 60, 20
-#: A table entry with more members than this has leaders, one for each so many, and at most so many leaders.
-CROWD, MAX_LEADERS = 64, 16
+#: Members of a table entry up to which each meets each.
+CROWD = 8
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -205,57 +205,37 @@ def _named(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
 
 
 def alike(nodes: DataFrame) -> DataFrame:
-    """(a, b) with a < b: nodes of ``nodes(fp, segments)`` whose long fingerprints are alike, as far as they meet."""
+    """(a, b) with a < b: nodes of ``nodes(fp, segments)`` whose long fingerprints are alike, as far as they meet.
+
+    Table entries are dealt and sorted by bucket once. Members of a bucket of up to ``CROWD`` meet each other; of a larger
+    one, those that are in it by their segment as it is, no bit turned, meet the first and the next by the order of all nodes:
+    that is two others a segment, so that rows grow with a group of copies, and not with its square.
+    """
     mask = (1 << WIDTH) - 1
     share, bits = np.arccos(SIMILARITY) / np.pi, SEGMENTS * WIDTH
     differ = int(bits * share + SLACK * np.sqrt(bits * share * (1 - share)))
     first = F.aggregate(F.slice("segments", 1, FIRST // WIDTH + 1), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, WIDTH).bitwiseOR(x.bitwiseAND(mask))).bitwiseAND((1 << FIRST) - 1)
-    ball = lambda x: F.concat(F.array(x.bitwiseAND(mask)), *[F.array(x.bitwiseAND(mask).bitwiseXOR(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x, {WIDTH + 5 * j}) & 31 as int))"))) for j in range(LOOSE)])
+    turned = lambda j: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x, {WIDTH + 5 * j}) & 31 as int))")
+    own = F.col("x").bitwiseAND(mask)
+    ball = F.concat(F.array(own), *[F.array(own.bitwiseXOR(turned(j))) for j in range(LOOSE)])
     cut = nodes.select("fp", first.alias("first"), F.posexplode("segments").alias("segment", "x"))
-    table = cut.select("fp", "first", F.col("segment"), F.explode(ball(F.col("x"))).alias("key")).select("fp", "first", (F.shiftleft(F.col("segment").cast("long"), WIDTH).bitwiseOR(F.col("key"))).alias("bucket"))
-    close = F.bit_count(F.col("first").bitwiseXOR(F.col("first_b"))) <= FIRST_DISTANCE
-    other = lambda df: df.select("bucket", F.col("fp").alias("b"), F.col("first").alias("first_b"))
-    far = lambda: F.aggregate(F.zip_with("segments", "segments_b", lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(mask))), F.lit(0), lambda a, x: a + x)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(nodes.withColumnRenamed("fp", "a"), "a").join(nodes.select(F.col("fp").alias("b"), F.col("segments").alias("segments_b")), "b")
-        return both.filter(far() <= differ).drop("segments", "segments_b")
-
-    def paired(df: DataFrame) -> DataFrame:
-        # always dealt by bucket: what is small enough for a broadcast here, is not at another size
-        return df.join(other(df).hint("merge"), "bucket").filter((F.col("fp") < F.col("b")) & close).select(F.col("fp").alias("a"), "b").distinct()
-
-    crowds = stored(table.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD), "simhash-crowds")
-    found = [stored(verified(paired(table.join(crowds, "bucket", "left_anti"))), "simhash-alike")]
-    crowded, before = stored(table.join(crowds, "bucket"), "simhash-crowded"), None
-    while (left := crowded.count()) and (before is None or 2 * left <= before):
-        # the leaders of a bucket: of each of its classes, which its own number deals members to, the first by hash
-        place = F.xxhash64("fp", "bucket", F.lit(left))
-        dealt = crowded.withColumns({"place": place, "class": F.pmod(place, F.least(F.ceil(F.col("n") / CROWD), F.lit(MAX_LEADERS)))})
-        leaders = dealt.groupBy("bucket", "class").agg(F.min_by(F.struct("fp", "first"), "place").alias("l")).select("bucket", F.col("l.fp").alias("b"), F.col("l.first").alias("first_b"))
-        leaders = stored(leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), "simhash-leaders")
-        met = dealt.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS))).join(leaders, ["bucket", "salt"]).filter((F.col("fp") != F.col("b")) & close)
-        linked = stored(verified(met.select("bucket", F.col("fp").alias("a"), "b")), "simhash-linked")
-        found.append(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        gone = linked.select("bucket", F.col("a").alias("fp")).unionByName(leaders.filter("salt = 0").select("bucket", F.col("b").alias("fp"))).distinct()
-        rest = crowded.drop("n").join(gone, ["bucket", "fp"], "left_anti")
-        rest = stored(rest.join(rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket"), "simhash-crowded")
-        found.append(stored(verified(paired(rest.filter(F.col("n") <= CROWD).drop("n"))), "simhash-alike"))
-        before, crowded = left, rest.filter(F.col("n") > CROWD)
-    if left:  # many members that are not alike: blocks of them, each with each
-        blocks = F.ceil(F.col("n") / (16 * CROWD)).cast("int")
-        mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-        every = F.sequence(F.lit(0), blocks - 1)
-        rows = crowded.select("bucket", "fp", "first", mine.alias("i"), F.explode(every).alias("j"))
-        one = rows.select("bucket", "fp", "first", "i", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"))
-        two = one.select("bucket", "low", "high", F.col("fp").alias("b"), F.col("first").alias("first_b"), F.col("i").alias("i_b"))
-        across = (F.col("low") == F.col("high")) | (F.col("i") != F.col("i_b"))
-        pairs = one.join(two.hint("merge"), ["bucket", "low", "high"]).filter(across & (F.col("fp") < F.col("b")) & close)
-        found.append(stored(verified(pairs.select(F.col("fp").alias("a"), "b").distinct()), "simhash-alike"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return stored(out.distinct(), "simhash-links")
+    table = cut.select("fp", "first", "segment", F.posexplode(ball).alias("turned", "key"))
+    as_it_is = 1 << FIRST  # a bit beside the first ones says that none was turned
+    marked = F.when(F.col("turned") == 0, F.col("first").bitwiseOR(as_it_is)).otherwise(F.col("first")).alias("first")
+    table = table.select("fp", marked, F.shiftleft(F.col("segment").cast("long"), WIDTH).bitwiseOR(F.col("key")).alias("bucket"))
+    bucket = W.partitionBy("bucket")
+    order = bucket.orderBy("fp")
+    member = F.struct("fp", "first")
+    shared = table.withColumn("n", F.count(F.lit(1)).over(bucket)).filter("n > 1")
+    after = [F.lead(member, i).over(order) for i in range(1, CROWD)]
+    lead = F.first(member).over(order.rowsBetween(W.unboundedPreceding, 0))
+    met = F.when(F.col("n") <= CROWD, F.array(*after)).when(F.col("first") >= as_it_is, F.array(after[0], lead)).otherwise(F.array().cast("array<struct<fp:long,first:long>>"))
+    pairs = shared.withColumn("met", met).select("fp", "first", F.explode(F.filter("met", lambda m: m.isNotNull() & (m["fp"] != F.col("fp")))).alias("m"))
+    pairs = pairs.filter(F.bit_count(F.col("first").bitwiseXOR(F.col("m.first")).bitwiseAND(as_it_is - 1)) <= FIRST_DISTANCE)
+    pairs = pairs.select(F.least("fp", "m.fp").alias("a"), F.greatest("fp", "m.fp").alias("b")).distinct()
+    far = F.aggregate(F.zip_with("segments", "segments_b", lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(mask))), F.lit(0), lambda a, x: a + x)
+    both = pairs.join(nodes.withColumnRenamed("fp", "a"), "a").join(nodes.select(F.col("fp").alias("b"), F.col("segments").alias("segments_b")), "b")
+    return stored(both.filter(far <= differ).select("a", "b"), "simhash-alike")
 
 
 def _classes(distinct: DataFrame, linked: DataFrame) -> DataFrame:

@@ -132,29 +132,16 @@ def test_alike_finds_what_is_alike(spark):
     assert recall(found(0.8, 1.1)) >= 0.9 and recall(found(0.9, 1.1)) >= 0.98 and not any(found(0.0, 0.58))
 
 
-@pytest.mark.parametrize(("crowd", "leaders"), [(64, 16), (8, 4), (4, 1)])
-def test_crowds_stay_connected_and_meet_in_blocks(spark, monkeypatch, crowd, leaders):
+@pytest.mark.parametrize("crowd", [8, 3])
+def test_crowds_stay_connected(spark, monkeypatch, crowd):
     monkeypatch.setattr(simhash, "CROWD", crowd)
-    monkeypatch.setattr(simhash, "MAX_LEADERS", leaders)
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 5000)}" for _ in range(400)]
     group = [" ".join(f"x{rng.randint(0, 5000)}" if rng.random() < 0.01 else w for w in base) for _ in range(120)]
     others = [" ".join(f"y{rng.randint(0, 5000)}" for _ in range(100)) for _ in range(40)]
-    nodes = spark.createDataFrame([node(t, i) for i, t in enumerate([*group, *others])], NODES)
-    roots = {r.node: r.root for r in simhash.components(simhash.alike(nodes)).collect()}
-    assert roots == {i: 0 for i in range(1, 120)}
-
-
-def test_unlike_members_of_a_crowd_meet_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CROWD", 2)
-    rng = random.Random(6)
-    rows = []
-    for i in range(80):  # all share their first segment, and pairs share the rest
-        if i % 2 == 0:
-            rest = [rng.getrandbits(24) for _ in range(simhash.SEGMENTS - 1)]
-        rows.append((i, [77, *(x ^ (1 << rng.randrange(24)) for x in rest)]))
-    got = {(r.a, r.b) for r in simhash.alike(spark.createDataFrame(rows, NODES)).collect()}
-    assert got == {(i, i + 1) for i in range(0, 80, 2)}
+    links = simhash.alike(spark.createDataFrame([node(t, i) for i, t in enumerate([*group, *others])], NODES))
+    assert {r.node: r.root for r in simhash.components(links).collect()} == {i: 0 for i in range(1, 120)}
+    assert links.count() < 120 * 119 / 4  # far from all pairs
 
 
 def test_components_of_a_long_chain(spark):
