@@ -18,7 +18,8 @@ of five-word shingles are alike by a cosine of 0.8, which is what a share of dif
 bits, so that the fingerprint is longer (``SEGMENTS`` segments of ``WIDTH`` bits) and the ball of a segment is directed: the
 segment, and the segment with one of its ``LOOSE`` least certain bits turned. Both sides enter a table under their balls, meet
 at up to two differing bits, and complete distances are verified. Distances estimate: a cosine of 0.8 passes nine times in ten,
-one of 0.7 sometimes, one of 0.6 hardly ever. What meets under no segment is missed: recall is measured by a test. Of a table entry that many share, members meet two others at most, so that no group of copies pairs all its members.
+one of 0.7 sometimes, one of 0.6 hardly ever. What meets under no segment is missed: recall is measured by a test. Members of a table entry that many share meet two others, and then what is of another component: no group of copies
+pairs all its members, and no pair that would join two groups is left out.
 
 Defined results: a null text is the empty text, and texts without words have fingerprint zero and link like any other;
 rows with a null key belong to the component of their fingerprint without naming it; repeated rows come out as often
@@ -205,22 +206,30 @@ def _named(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
 
 
 def alike(nodes: DataFrame) -> DataFrame:
-    """(a, b) with a < b: nodes of ``nodes(fp, segments)`` whose long fingerprints are alike, as far as they meet.
+    """(a, b) with a < b: links between alike nodes of ``nodes(fp, segments)`` that reach as far as those of all alike pairs that meet.
 
-    Table entries are dealt and sorted by bucket once. Members of a bucket of up to ``CROWD`` meet each other; of a larger
-    one, those that are in it by their segment as it is, no bit turned, meet the first and the next by the order of all nodes:
-    that is two others a segment, so that rows grow with a group of copies, and not with its square.
+    Table entries are dealt and sorted by bucket once. Members of a bucket of up to ``CROWD`` meet each other. Of a larger
+    one, those that are in it by their segment as it is, no bit turned, first meet the next and the first one: two others a
+    segment. A pair of one component needs no link more. So in a second step, members of a large bucket that are not of the
+    component that most of it belongs to meet all of its members of other components: no pair that could join two is left out.
     """
     mask = (1 << WIDTH) - 1
     share, bits = np.arccos(SIMILARITY) / np.pi, SEGMENTS * WIDTH
     differ = int(bits * share + SLACK * np.sqrt(bits * share * (1 - share)))
-    first = F.aggregate(F.slice("segments", 1, FIRST // WIDTH + 1), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, WIDTH).bitwiseOR(x.bitwiseAND(mask))).bitwiseAND((1 << FIRST) - 1)
+    as_it_is = 1 << FIRST  # a bit beside the first ones says that none was turned
+    first = F.aggregate(F.slice("segments", 1, FIRST // WIDTH + 1), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, WIDTH).bitwiseOR(x.bitwiseAND(mask))).bitwiseAND(as_it_is - 1)
+    close = lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(as_it_is - 1)) <= FIRST_DISTANCE
     turned = lambda j: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x, {WIDTH + 5 * j}) & 31 as int))")
     own = F.col("x").bitwiseAND(mask)
     ball = F.concat(F.array(own), *[F.array(own.bitwiseXOR(turned(j))) for j in range(LOOSE)])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        far = F.aggregate(F.zip_with("segments", "segments_b", lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(mask))), F.lit(0), lambda a, x: a + x)
+        both = pairs.join(nodes.withColumnRenamed("fp", "a"), "a").join(nodes.select(F.col("fp").alias("b"), F.col("segments").alias("segments_b")), "b")
+        return stored(both.filter(far <= differ).select("a", "b"), "simhash-alike")
+
     cut = nodes.select("fp", first.alias("first"), F.posexplode("segments").alias("segment", "x"))
     table = cut.select("fp", "first", "segment", F.posexplode(ball).alias("turned", "key"))
-    as_it_is = 1 << FIRST  # a bit beside the first ones says that none was turned
     marked = F.when(F.col("turned") == 0, F.col("first").bitwiseOR(as_it_is)).otherwise(F.col("first")).alias("first")
     table = table.select("fp", marked, F.shiftleft(F.col("segment").cast("long"), WIDTH).bitwiseOR(F.col("key")).alias("bucket"))
     bucket = W.partitionBy("bucket")
@@ -229,13 +238,27 @@ def alike(nodes: DataFrame) -> DataFrame:
     shared = table.withColumn("n", F.count(F.lit(1)).over(bucket)).filter("n > 1")
     after = [F.lead(member, i).over(order) for i in range(1, CROWD)]
     lead = F.first(member).over(order.rowsBetween(W.unboundedPreceding, 0))
-    met = F.when(F.col("n") <= CROWD, F.array(*after)).when(F.col("first") >= as_it_is, F.array(after[0], lead)).otherwise(F.array().cast("array<struct<fp:long,first:long>>"))
-    pairs = shared.withColumn("met", met).select("fp", "first", F.explode(F.filter("met", lambda m: m.isNotNull() & (m["fp"] != F.col("fp")))).alias("m"))
-    pairs = pairs.filter(F.bit_count(F.col("first").bitwiseXOR(F.col("m.first")).bitwiseAND(as_it_is - 1)) <= FIRST_DISTANCE)
-    pairs = pairs.select(F.least("fp", "m.fp").alias("a"), F.greatest("fp", "m.fp").alias("b")).distinct()
-    far = F.aggregate(F.zip_with("segments", "segments_b", lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(mask))), F.lit(0), lambda a, x: a + x)
-    both = pairs.join(nodes.withColumnRenamed("fp", "a"), "a").join(nodes.select(F.col("fp").alias("b"), F.col("segments").alias("segments_b")), "b")
-    return stored(both.filter(far <= differ).select("a", "b"), "simhash-alike")
+    nobody = F.array(F.struct(F.lit(None).cast("long").alias("fp"), F.lit(None).cast("long").alias("first")))  # marks a member of a crowd
+    crowded = F.when(F.col("first") >= as_it_is, F.concat(nobody, F.array(after[0], lead))).otherwise(nobody)
+    met = shared.select("bucket", "fp", "first", F.when(F.col("n") <= CROWD, F.array(*after)).otherwise(crowded).alias("met"))
+    met = met.select("bucket", "fp", "first", F.explode(F.filter("met", lambda m: m.isNotNull())).alias("m"))
+    met = met.filter(F.col("m.fp").isNull() | ((F.col("m.fp") != F.col("fp")) & close(F.col("first"), F.col("m.first"))))
+    alone = F.col("m.fp").isNull()
+    met = met.select(F.least("fp", "m.fp").alias("a"), F.when(~alone, F.greatest("fp", "m.fp")).alias("b"), F.when(alone, F.col("bucket")).alias("bucket"), F.when(alone, F.col("first")).alias("first"))
+    met = stored(met.distinct(), "simhash-met")
+    links = verified(met.filter("b is not null").select("a", "b"))
+    crowds = met.filter("b is null").select("bucket", F.col("a").alias("fp"), "first")
+    if crowds.isEmpty():
+        return links
+    crowds = crowds.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    crowds = stored(crowds, "simhash-crowds")
+    most = crowds.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
+    mixed = crowds.join(most.filter("roots > 1").drop("roots"), "bucket").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    others = mixed.filter("root <> most").select("bucket", F.col("fp").alias("o"), F.col("first").alias("o_first"), F.col("root").alias("o_root"))
+    others = others.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    across = (mixed["bucket"] == others["bucket"]) & (mixed["salt"] == others["salt"]) & (F.col("root") != F.col("o_root")) & close(F.col("first"), F.col("o_first"))
+    late = mixed.join(others.hint("merge"), across).select(F.least("fp", "o").alias("a"), F.greatest("fp", "o").alias("b")).distinct()
+    return links.unionByName(verified(late))
 
 
 def _classes(distinct: DataFrame, linked: DataFrame) -> DataFrame:

@@ -145,6 +145,23 @@ def test_crowds_stay_connected_with_few_links(spark):
     assert counts[800] < 6 * counts[200]  # in proportion to the group, not to its square
 
 
+def test_crowds_leave_no_group_apart(spark, monkeypatch):
+    """Components are those of all pairs that meet, whatever the size of a crowd."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(200)]
+        for _ in range(3):  # copies of copies: groups that hang together by few pairs
+            base = [f"x{rng.randint(0, 3000)}" if rng.random() < 0.03 else w for w in base]
+            texts += [" ".join(f"x{rng.randint(0, 3000)}" if rng.random() < 0.02 else w for w in base) for _ in range(15)]
+    nodes = spark.createDataFrame([node(t, i) for i, t in enumerate(texts)], NODES)
+    found = []
+    for crowd in (10_000, 8, 2):
+        monkeypatch.setattr(simhash, "CROWD", min(crowd, 300))
+        found.append({r.node: r.root for r in simhash.components(simhash.alike(nodes)).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 200
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 900), (900, 700)]
     random.shuffle(edges)
