@@ -10,7 +10,7 @@ halves of what is left of them: 32 bits, then 16, until 8 bits are left, of whic
 pairs all its members.
 
 Links become components by alternating large-star and small-star steps over tables; nothing is collected. The links of a
-hub are dealt to ``SALTS`` tasks, and groups that hold over a thousandth of all rows, which are fewer than a thousand, are
+node are dealt to ``SALTS`` tasks, and groups that hold over a thousandth of all rows, which are fewer than a thousand, are
 named by a broadcast.
 
 ``near_duplicates`` links 64-bit fingerprints of three words at 3 differing bits. ``keep_one`` looks further: texts whose sets
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import named, numbered, slices, stored, text_of
+from .common import named, numbered, shared_path, slices, stored, text_of
 
 SHINGLE = 3
 SEED = 42
@@ -45,7 +45,7 @@ DISTANCE = 3
 #: A table entry with more fingerprints than this is cut again.
 LARGE_BUCKET = 64
 #: Tasks that the links of one node are dealt to; a key is hot if it holds more than one of so many rows.
-SALTS, HOT = 16, 1000
+SALTS, HOT = 8, 1000
 #: Shingles whose hash bits are held unpacked at once.
 CHUNK = 1 << 15
 #: The long fingerprint: words of a shingle, segments and their bits, least certain bits of a segment that a ball turns, and the cosine that counts as alike.
@@ -54,8 +54,8 @@ LONG_SHINGLE, SEGMENTS, WIDTH, LOOSE, SIMILARITY = 5, 16, 24, 8, 0.8
 SLACK = 1.28
 #: Bits of the first segments that are compared before complete distances, and how many may differ: two standard deviations over the share.
 FIRST, FIRST_DISTANCE = 60, 20
-#: Members of a table entry up to which each meets each.
-CROWD = 8
+#: Members of a table entry up to which each meets each; rows that go (40 bytes each) up to which they are broadcast to the texts.
+CROWD, MAX_BROADCAST = 4, 500_000
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -241,13 +241,17 @@ def alike(nodes: DataFrame) -> DataFrame:
     nobody = F.array(F.struct(F.lit(None).cast("long").alias("fp"), F.lit(None).cast("long").alias("first")))  # marks a member of a crowd
     crowded = F.when(F.col("first") >= as_it_is, F.concat(nobody, F.array(after[0], lead))).otherwise(nobody)
     met = shared.select("bucket", "fp", "first", F.when(F.col("n") <= CROWD, F.array(*after)).otherwise(crowded).alias("met"))
-    met = met.select("bucket", "fp", "first", F.explode(F.filter("met", lambda m: m.isNotNull())).alias("m"))
-    met = met.filter(F.col("m.fp").isNull() | ((F.col("m.fp") != F.col("fp")) & close(F.col("first"), F.col("m.first"))))
+    # distances are compared within the array, so that members that only happen to meet make no rows
+    stays = lambda m, x: m.isNotNull() & (m["fp"].isNull() | ((m["fp"] != x["fp"]) & close(x["first"], m["first"])))
+    kept = F.transform(F.array(F.struct("fp", "first", "met")), lambda x: F.filter(x["met"], lambda m: stays(m, x)))[0]
+    met = met.select("bucket", "fp", "first", F.explode(kept).alias("m"))
     alone = F.col("m.fp").isNull()
-    met = met.select(F.least("fp", "m.fp").alias("a"), F.when(~alone, F.greatest("fp", "m.fp")).alias("b"), F.when(alone, F.col("bucket")).alias("bucket"), F.when(alone, F.col("first")).alias("first"))
-    met = stored(met.distinct(), "simhash-met")
-    links = verified(met.filter("b is not null").select("a", "b"))
-    crowds = met.filter("b is null").select("bucket", F.col("a").alias("fp"), "first")
+    met = met.select(F.least("fp", "m.fp").alias("a"), F.when(~alone, F.greatest("fp", "m.fp")).alias("b"), F.when(alone, F.col("bucket")).alias("bucket"), F.when(alone, F.col("first")).alias("first"), alone.cast("int").alias("alone"))
+    path = shared_path(nodes.sparkSession, "simhash-met")
+    met.distinct().write.partitionBy("alone").parquet(path)
+    met = nodes.sparkSession.read.schema("a long, b long, bucket long, first long, alone int").parquet(path)
+    links = verified(met.filter("alone = 0").select("a", "b"))
+    crowds = met.filter("alone = 1").select("bucket", F.col("a").alias("fp"), "first")
     if crowds.isEmpty():
         return links
     crowds = crowds.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -288,7 +292,7 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
     That with the smallest key stays (a null key is larger than any), of texts of one key that with the smallest hash, and of
     rows that agree in both the first by their columns as JSON. Rows are told apart by key and a hash of the text, so that
-    texts are neither stored nor sorted: those that go are a table without texts, which Catalyst broadcasts if it is small.
+    those that go are a table without texts, which is broadcast up to ``MAX_BROADCAST`` rows, so that no text is shuffled.
     """
     members = stored(df.select(F.col(key).cast("long").alias("id"), _text_hash(F.col(text)).alias("hash"), text_of(text).alias("text")).mapInArrow(_segmented, "id long, hash long, segments array<long>").withColumn("fp", F.xxhash64("segments")), "simhash-prints")
     row = F.struct(F.col("id").isNull().alias("nameless"), "id", "hash")
@@ -299,7 +303,9 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     plain, columns = numbered(df)
     keyed = plain.withColumns({"id": F.col(columns[key]).cast("long"), "hash": _text_hash(F.col(columns[text]))})
     same = lambda c: keyed["id"].eqNullSafe(c["id"]) & (keyed["hash"] == c["hash"])
-    rest = keyed.join(counts, same(counts), "left_anti").select(*columns.values())
+    few = counts.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    gone = F.broadcast(counts) if few else counts.hint("merge")
+    rest = keyed.join(gone, same(counts), "left_anti").select(*columns.values())
     repeated = counts.filter("stays").select("id", "hash")
     if not repeated.isEmpty():
         again = keyed.join(repeated, same(repeated), "left_semi").withColumn("row", F.struct(*columns.values()))
