@@ -18,8 +18,9 @@ of five-word shingles are alike by a cosine of 0.8, which is what a share of dif
 bits, so that the fingerprint is longer (``SEGMENTS`` segments of ``WIDTH`` bits) and the ball of a segment is directed: the
 segment, and the segment with one of its ``LOOSE`` least certain bits turned. Both sides enter a table under their balls, meet
 at up to two differing bits, and complete distances are verified. Distances estimate: a cosine of 0.8 passes nine times in ten,
-one of 0.7 sometimes, one of 0.6 hardly ever. What meets under no segment is missed: recall is measured by a test. Members of a table entry that many share meet two others, and then what is of another component: no group of copies
-pairs all its members, and no pair that would join two groups is left out.
+one of 0.7 sometimes, one of 0.6 hardly ever. What meets under no segment is missed: recall is measured by a test. Members of
+a table entry that many share meet two others, and then what is of another component: no group of copies pairs all its
+members, and no pair that would join two groups is left out.
 
 Defined results: a null text is the empty text, and texts without words have fingerprint zero and link like any other;
 rows with a null key belong to the component of their fingerprint without naming it; repeated rows come out as often
@@ -291,8 +292,8 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     """One row of ``df`` of each group of texts that are alike by ``SIMILARITY`` in steps, all columns as they were.
 
     That with the smallest key stays (a null key is larger than any), of texts of one key that with the smallest hash, and of
-    rows that agree in both the first by their columns as JSON. Rows are told apart by key and a hash of the text, so that
-    those that go are a table without texts, which is broadcast up to ``MAX_BROADCAST`` rows, so that no text is shuffled.
+    rows that agree in both the first by their columns as JSON. Rows are told apart by key and a hash of the text: those that
+    go are a table without texts. It is broadcast up to ``MAX_BROADCAST`` rows; beyond, texts are shuffled once to meet it.
     """
     members = stored(df.select(F.col(key).cast("long").alias("id"), _text_hash(F.col(text)).alias("hash"), text_of(text).alias("text")).mapInArrow(_segmented, "id long, hash long, segments array<long>").withColumn("fp", F.xxhash64("segments")), "simhash-prints")
     row = F.struct(F.col("id").isNull().alias("nameless"), "id", "hash")
