@@ -221,11 +221,12 @@ def test_near_duplicates(spark, docs):
     for r in rows:
         assert r.fingerprint == f"{prints[r.doc_id]:016x}" and r.component_id == expected[r.doc_id]
     kept = simhash.keep_one(df).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(expected))  # here both ways agree
+    groups = set(expected) - {1, 2, 3}  # a word changed in 300, whatever its fingerprint's distance
+    assert sorted(r.doc_id for r in kept) == sorted(groups)
     assert simhash.keep_one(df).columns == df.columns and simhash.near_duplicates(df.limit(0)).count() == 0
     nameless = df.withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id")))
     assert simhash.near_duplicates(nameless).filter("component_id is null").count() == 4
-    assert simhash.keep_one(nameless).count() == len(set(expected))
+    assert simhash.keep_one(nameless).count() == len(groups)
 
 
 # tokens ------------------------------------------------------------------------------------------------------------------
