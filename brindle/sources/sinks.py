@@ -38,7 +38,7 @@ class Store:
         if number is None:
             numbers = self._numbers()
             if not numbers:
-                return {"batch": None, "tables": {}}
+                return {"batches": {}, "tables": {}}
             number = numbers[-1]
         fs, path = self._fs(f"{self.root}/_manifests/{number:012d}")
         stream = fs.open(path)
@@ -64,10 +64,9 @@ class Store:
                 fs.delete(self._fs(f"{self.root}/{folder}")[1], True)
             fs.delete(self._fs(f"{self.root}/_manifests/{old:012d}")[1], False)
 
-    @property
-    def batch(self) -> int | None:
-        """The number of the last batch that was committed with one."""
-        return self._manifest()["batch"]
+    def batch(self, source: str = "") -> int | None:
+        """The number of the last batch of a source that was committed with one."""
+        return self._manifest()["batches"].get(source)
 
     def tables(self) -> list[str]:
         return sorted(self._manifest()["tables"])
@@ -85,7 +84,7 @@ class Store:
         reader = self.spark.read.schema(schema)
         return reader.parquet(*[f"{self.root}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
 
-    def commit(self, whole: dict[str, DataFrame] | None = None, parts: dict[str, tuple[DataFrame, str, list[str]]] | None = None, batch: int | None = None) -> None:
+    def commit(self, whole: dict[str, DataFrame] | None = None, parts: dict[str, tuple[DataFrame, str, list[str]]] | None = None, batch: int | None = None, source: str = "") -> None:
         """Replaces tables in one step. ``whole``: by name, all rows. ``parts``: by name, rows, the column that holds their part, and the parts they replace.
 
         A frame may read the tables that it replaces. Of a table with parts, all others stay as they are and are not read.
@@ -103,7 +102,7 @@ class Store:
             written = {n.split("=", 1)[1]: f"{folder}/{n}" for n in (s.getPath().getName() for s in fs.listStatus(path)) if n.startswith(f"{column}=")}
             kept = {p: f for p, f in tables.get(name, {"parts": {}})["parts"].items() if p not in replaced}
             tables[name] = {"schema": df.drop(column).schema.jsonValue(), "parts": kept | written}
-        self._point({"batch": manifest["batch"] if batch is None else batch, "tables": tables})
+        self._point({"batches": manifest["batches"] | ({} if batch is None else {source: batch}), "tables": tables})
 
     def write(self, name: str, df: DataFrame) -> None:
         """Replaces one table by ``df``, which may read the table itself."""

@@ -9,7 +9,9 @@ joins when it is read, since a new definition in one file can add edges between
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -75,13 +77,15 @@ def settled(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return last.select("path", F.when(~F.col("gone"), F.col("content")).alias("content")).filter("path is not null"), last.filter(moved).select("path", "origin")
 
 
-def apply_changes(store: Store, changes: DataFrame, config: Config = Config(), batch: int | None = None) -> DataFrame:
+def apply_changes(store: Store, changes: DataFrame, config: Config = Config(), batch: int | None = None, source: str = "") -> DataFrame:
     """Applies a batch of changes (file_path, change_type, ts, old_path, content) and returns its symbol changes.
 
-    A batch of a number that the store has seen, or of an earlier one, is not applied again.
+    A batch of a number that the store has seen from this source, or of an earlier one, is not applied again.
     """
-    if batch is not None and store.batch is not None and batch <= store.batch:
-        return store.read("symbol_changes", [str(batch)])
+    number = "-".join(filter(None, (source, uuid.uuid4().hex if batch is None else str(batch))))
+    last = store.batch(source)
+    if batch is not None and last is not None and batch <= last:
+        return store.read("symbol_changes", [number])
     held, moved = settled(changes)
     held, moved = held.cache(), moved.cache()
     try:
@@ -92,10 +96,9 @@ def apply_changes(store: Store, changes: DataFrame, config: Config = Config(), b
         came = old.join(moved.withColumnRenamed("path", "__new"), F.col("path") == F.col("origin")).withColumn("path", F.col("__new")).select(*old.columns)
         fresh = parsed.unionByName(came)
         before = S.snapshot(old.join(held, "path", "left_semi"))
-        differences = S.diff(before, S.snapshot(fresh)).withColumn("batch", F.lit(str(-1 if batch is None else batch)))
+        differences = S.diff(before, S.snapshot(fresh)).withColumn("batch", F.lit(number))
         after = old.join(held, "path", "left_anti").unionByName(fresh).withColumn("part", part_of(F.col("path")))
-        number = str(-1 if batch is None else batch)
-        store.commit(parts={"extracted": (after, "part", parts), "symbol_changes": (differences, "batch", [number])}, batch=batch)
+        store.commit(parts={"extracted": (after, "part", parts), "symbol_changes": (differences, "batch", [number])}, batch=batch, source=source)
         parsed.unpersist()
     finally:
         held.unpersist(), moved.unpersist()
@@ -132,7 +135,7 @@ class MaintenanceLoop:
             seen = changes.agg(F.count(F.lit(1)).alias("n"), F.max_by("file_path", "ts").alias("last")).first()
             n = seen.n
             if n:
-                self.metrics.symbols += apply_changes(self.store, changes, self.config, number).count()
+                self.metrics.symbols += apply_changes(self.store, changes, self.config, number, self._source()).count()
                 self.metrics.last_file = seen.last
             self.metrics.processed += n
             self.metrics.last_batch = number
@@ -146,6 +149,15 @@ class MaintenanceLoop:
             if self.store.root:
                 self._save()
 
+    def _source(self) -> str:
+        """The identity of the stream, which its checkpoint keeps: batches of a new checkpoint are counted anew."""
+        fs, path = self.store._fs(f"{self.checkpoint.rstrip('/')}/metadata")
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())["id"]
+        finally:
+            stream.close()
+
     def _save(self) -> None:
         """Keeps the metrics beside the checkpoint, so that a loop that is started anew goes on counting."""
         m = self.metrics

@@ -28,6 +28,10 @@ def test_stream_is_batch(spark, tmp_path):
     assert not status["running"] and status["healthy"] and status["processed"] == 4 and status["failed"] == 0
     assert runner.events(5) and runner.configure(interval="1 second").interval == "1 second"
     assert [r.file_path for r in loop.peek(spark, landing, 2).collect()][0] == "a.py"
+    other = str(tmp_path / "other")  # a new stream counts its batches from 0 and is not taken for one that was seen
+    loop.enqueue(spark, other, [{"file_path": "d.py", "change_type": "added", "content": "def d():\n    pass\n"}])
+    loop.MaintenanceLoop(lambda: changes.watch(spark, other, 1), store, str(tmp_path / "new")).start(available_now=True).awaitTermination()
+    assert sorted(r.path for r in store.read("extracted").collect()) == ["a.py", "b.py", "d.py"]
     assert loop.queue_status(spark.read.json(landing)).count() == 3
 
 
@@ -85,7 +89,7 @@ def test_retries_change_nothing_and_parts_stay(spark, tmp_path, monkeypatch):
         raise AssertionError
     except OSError:
         monkeypatch.setattr(Store, "_point", point)
-    assert held(store)["f1.py"] == ["f1"] and store.batch == 0
+    assert held(store)["f1.py"] == ["f1"] and store.batch() == 0
     first = sorted(map(tuple, loop.apply_changes(store, step, batch=1).collect()))
     again = sorted(map(tuple, loop.apply_changes(store, step, batch=1).collect()))
     assert first == again and len(first) == 2 and held(store)["f1.py"] == ["new"]
