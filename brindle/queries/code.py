@@ -10,7 +10,7 @@ from brindle.functions.structure import extract
 from brindle.functions.vectors import hashed_embedding
 from brindle.operators import coverage, graph, patterns, search, symbols
 from brindle.plans import retrieval
-from brindle.queries.base import once, query, spread, table
+from brindle.queries.base import once, query, spread, stored, table
 from brindle.queries.core import _COS, _GRAPH, _HYBRID, QUESTION, _code, _graph, document_index, extracted
 from brindle.session import shared_path
 from brindle.sources import changes, files, hunks
@@ -255,6 +255,16 @@ def modify_symbols(spark, d):
     return graph.modify(graph.Graph(nodes, g.edges), changed).nodes.filter("label = 'Function'").select("id", "signature", "docstring", "invalidated")
 
 
+def _stored_graph(spark: SparkSession, d: str) -> graph.Graph:
+    """The graph of suppliers and parts as stored tables, as a question meets it; made by the first query of a session that needs it."""
+
+    def make() -> graph.Graph:
+        g = _graph(spark, d)
+        return graph.Graph(stored(g.nodes.withColumns({"content": F.lit(""), "start_line": F.lit(1)}), "nodes"), stored(g.edges, "edges"))
+
+    return once(spark, "graph", d, make)
+
+
 @query(f"""WITH {_HYBRID}, {_GRAPH}, named AS (SELECT name AS hit, score, 'Supplier#' || lpad(CAST(name AS VARCHAR), 9, '0') AS symbol FROM hits)
 SELECT symbol AS name, score, count(DISTINCT p.name) AS neighbours, min(p.name) AS first FROM named JOIN nodes s ON s.name = symbol LEFT JOIN edges e ON e.src = s.id AND e.type = 'CALLS' LEFT JOIN nodes p ON p.id = e.dst GROUP BY symbol, score""")
 def retrieve_context(spark, d):
@@ -265,9 +275,7 @@ def retrieve_context(spark, d):
     near = search.top(vectors.join(F.broadcast(one)).select(F.col("vec_id").alias("name"), F.round(search.cosine(F.col("embedding"), F.col("q")), 6).alias("score")), 50, "name")
     hits = search.top(search.hybrid(near, keyword).select("name", F.round("score", 6).alias("score")), 20, "name")
     hits = hits.select(F.concat(F.lit("Supplier#"), F.lpad(F.col("name").cast("string"), 9, "0")).alias("name"), "score")
-    g = _graph(spark, d)
-    nodes = g.nodes.withColumns({"content": F.lit(""), "start_line": F.lit(1)})
-    found = retrieval.with_context(graph.Graph(nodes, g.edges), hits)
+    found = retrieval.with_context(_stored_graph(spark, d), hits)
     return found.select("name", "score", F.size("neighbours").cast("long").alias("neighbours"), F.array_min("neighbours.name").alias("first"))
 
 
