@@ -186,7 +186,11 @@ def labelled_findings(spark: SparkSession, n: int = MAX_FINDINGS) -> DataFrame:
 def fit(findings: DataFrame) -> RandomForestClassificationModel:
     """A forest on labelled findings (found, left, right, path, secret), at most ``MAX_FINDINGS`` of them."""
     rows = findings.limit(MAX_FINDINGS).select(array_to_vector(_features(F.col("found"), F.col("left"), F.col("right"), F.col("path"))).alias("features"), F.col("secret").cast("double").alias("label"))
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=4).fit(rows.coalesce(1))
+    rows = rows.coalesce(1).cache()  # training reads them several times
+    try:
+        return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=4).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def compiled(model: RandomForestClassificationModel, features: str) -> str:
