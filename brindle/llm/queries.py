@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, media, mixing, pii, quality, secrets, simhash, sql, tokenbin, toxicity, warc
+from . import bpe, media, merkle, mixing, packing, pii, quality, secrets, simhash, sql, tokenbin, toxicity, trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(table(spark, sf_dir, "documents"))[0]
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality": sql.QUALITY, "op9_warc": sql.WARC, "op10_mixing": sql.MIXING}
+    return {"op7_quality": sql.QUALITY, "op9_warc": sql.WARC, "op10_mixing": sql.MIXING, "op11_prefix_trie": sql.TRIE, "op13_merkle": sql.MERKLE}
