@@ -30,8 +30,8 @@ from .common import slices, stored, text_of
 from .tokenbin import BATCH_BYTES, END_ID, VOCABULARY, encoder
 
 CAPACITY = 1024
-#: Items of a group, about; exchanges at most, and how many of them may gain nothing before they end.
-GROUP, ROUNDS, PATIENCE = 1 << 14, 8, 1
+#: Items of a group, about, and how many times as many of a group that exchanges; exchanges at most, and how many of them may gain nothing before they end.
+GROUP, WIDER, ROUNDS, PATIENCE = 1 << 14, 4, 8, 1
 PIECE = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -156,7 +156,8 @@ def packed(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> tu
     schema = ", ".join(f"{c} {t}" for c, t in items.dtypes) + ", bin long, offset long, room long, head long, gap long"
     free, n_free, settled = items.withColumn("bin", F.lit(-1).cast("long")), int(counts.sum()), 0
     for turn in range(ROUNDS + 1 if n_free else 0):
-        dealt = free.select(*names, "bin", F.pmod(F.xxhash64("bin" if turn else "row", F.lit(turn)), F.lit(-(-n_free // group))).alias("group"))
+        groups = -(-n_free // (group * WIDER if turn else group))
+        dealt = free.select(*names, "bin", F.pmod(F.xxhash64("bin" if turn else "row", F.lit(turn)), F.lit(groups)).alias("group"))
         out = stored(dealt.groupBy("group").applyInArrow(_packed(capacity, turn), schema), "packing-round")
         bins, gaps = out.agg(F.sum("head"), F.count_if(F.col("gap") > 0)).first()
         history.append((settled + bins, bound))
