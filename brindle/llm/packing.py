@@ -2,13 +2,13 @@
 
 Texts are encoded where they are read; from there on a document is a row of numbers. A document longer than a sequence is cut
 so that all of its pieces but the first are whole sequences; what remains, one item a document, is packed. Items are dealt evenly
-to groups of about ``GROUP`` items. A group packs its own by best fit, larger items first, and certifies the number of its sequences
-by dual feasible functions, each of which gives a lower bound for any packing of them. A group that meets its bound can't be packed
-better and is settled. Groups with a *gap* give the documents of sequences that have room, and of half of the full ones, to the next
+to groups of about ``GROUP`` items. Dual feasible functions give lower bounds for any packing; the one that bounds all items best is
+found from a histogram of their lengths, which has at most ``CAPACITY`` rows. A group packs its own by best fit, larger items first, and
+certifies the number of its sequences by that function: a group that meets its bound can't be packed better and is settled, also as
+a part of the whole. Groups with a *gap* give the documents of sequences that have room, and of half of the full ones, to the next
 round, in which they are dealt anew with those of other such groups and packed again; an exchange never makes more sequences, since a
-group keeps what it was given where the new packing isn't better. Rounds end at the lower bound of all items, which a histogram of at
-most ``CAPACITY`` lengths gives, or when exchanges gain nothing more. Settled groups may still lack each other's items: when no gap
-is left, rounds go on with all sequences that have room.
+group keeps what it was given where the new packing isn't better. Rounds end at the lower bound of all items, or when exchanges gain
+nothing more. Bounds are whole numbers: when no gap is left and yet a sequence too many, rounds go on with all that have room.
 
 Defined results: a null text is the empty text and is its end id alone; rows without a doc_id or with equal ones are packed each on
 its own; an empty table gives an empty result; extra columns never enter. Numbers of sequences are any, and differ by run.
@@ -94,30 +94,37 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> np.nda
     return bins
 
 
-def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
-    """No packing of ``counts[x]`` items of each length x up to ``capacity`` has fewer bins: the best of dual feasible functions.
+def certificate(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
+    """The dual feasible function that bounds best the bins of ``counts[x]`` items of each length x: its values and that of a whole bin.
 
-    Such a function maps lengths so that what fits into a bin, fits still; then the sum of all lengths bounds the bins. Three
-    families: thresholds (long items count whole, short ones not at all), multiples rounded down, and parts of a threshold.
+    Such a function maps lengths so that what fits into a bin, fits still; then the sum over all items bounds the bins of any packing.
+    Three families: thresholds (long items count whole, short ones not at all), parts of a threshold, and multiples rounded down.
     """
     x, n = np.arange(capacity + 1, dtype=np.int64), counts.astype(np.int64)
-    if not n.sum():
-        return 0
-    most = [-(-int((x * n).sum()) // capacity)]
+    best, most = (x, capacity), -1
     for t in range(1, capacity // 2 + 1):
-        f = np.where(x > capacity - t, capacity, np.where(x < t, 0, x))
-        most.append(-(-int((f * n).sum()) // capacity))
         parts = capacity // t
-        g = np.where(2 * x > capacity, parts - (capacity - x) // t, np.where(x >= t, 1, 0))
-        most.append(-(-int((g * n).sum()) // parts))
+        for f, whole in ((np.where(x > capacity - t, capacity, np.where(x < t, 0, x)), capacity), (np.where(2 * x > capacity, parts - (capacity - x) // t, np.where(x >= t, 1, 0)), parts)):
+            if (bound := bins_of(f, whole, n)) > most:
+                best, most = (f, whole), bound
     for k in range(1, 100):
-        scaled = (k + 1) * x
-        f = np.where(scaled % capacity == 0, k * x, scaled // capacity * capacity)
-        most.append(-(-int((f * n).sum()) // (k * capacity)))
-    return max(most)
+        f = np.where((k + 1) * x % capacity == 0, k * x, (k + 1) * x // capacity * capacity)
+        if (bound := bins_of(f, k * capacity, n)) > most:
+            best, most = (f, k * capacity), bound
+    return best
+
+
+def bins_of(f: np.ndarray, whole: int, counts: np.ndarray) -> int:
+    """The bins that a dual feasible function asks for."""
+    return -(-int((f * counts).sum()) // whole)
+
+
+def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """No packing of ``counts[x]`` items of each length x has fewer bins."""
+    return bins_of(*certificate(counts, capacity), counts)
 
 
-def _packed(capacity: int, turn: int) -> Callable[[tuple, pa.Table], pa.Table]:
+def _packed(capacity: int, turn: int, f: np.ndarray, whole: int) -> Callable[[tuple, pa.Table], pa.Table]:
     """A group with its bins anew: bin, offset in it, room left in it, whether the item is its first, and the group's gap."""
 
     def run(key: tuple, items: pa.Table) -> pa.Table:
@@ -136,7 +143,7 @@ def _packed(capacity: int, turn: int) -> Callable[[tuple, pa.Table], pa.Table]:
         offset[order] = ends - length[order] - begin[np.cumsum(first) - 1]
         heads[order] = first
         fill = np.bincount(bins, weights=length).astype(np.int64)
-        gap = len(fill) - lower_bound(np.bincount(length, minlength=capacity + 1), capacity)
+        gap = len(fill) - bins_of(f, whole, np.bincount(length, minlength=capacity + 1))
         made = {"bin": bins + ((turn << 54) | (key[0].as_py() << 24)), "offset": offset, "room": capacity - fill[bins], "head": heads.astype(np.int64), "gap": np.full(len(length), gap, np.int64)}
         for name, values in made.items():
             items = items.drop_columns([name]) if name in items.column_names else items
@@ -151,14 +158,15 @@ def packed(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> tu
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in items.groupBy("length").agg(F.count(F.lit(1))).collect():  # at most one row a length
         counts[length] = n
-    bound, history, done, idle = lower_bound(counts, capacity), [], [], 0
+    f, whole = certificate(counts, capacity)
+    bound, history, done, idle = bins_of(f, whole, counts), [], [], 0
     names = items.columns
     schema = ", ".join(f"{c} {t}" for c, t in items.dtypes) + ", bin long, offset long, room long, head long, gap long"
     free, n_free, settled = items.withColumn("bin", F.lit(-1).cast("long")), int(counts.sum()), 0
     for turn in range(ROUNDS + 1 if n_free else 0):
         groups = -(-n_free // (group * WIDER if turn else group))
         dealt = free.select(*names, "bin", F.pmod(F.xxhash64("bin" if turn else "row", F.lit(turn)), F.lit(groups)).alias("group"))
-        out = stored(dealt.groupBy("group").applyInArrow(_packed(capacity, turn), schema), "packing-round")
+        out = stored(dealt.groupBy("group").applyInArrow(_packed(capacity, turn, f, whole), schema), "packing-round")
         bins, gaps = out.agg(F.sum("head"), F.count_if(F.col("gap") > 0)).first()
         history.append((settled + bins, bound))
         idle = idle + 1 if turn and history[-1][0] == history[-2][0] else 0
