@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from typing import Any
 
@@ -12,7 +13,7 @@ from brindle.session import shared_path
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-_MADE: dict[tuple[str, str, str], Any] = {}
+_MADE: dict[tuple[str, str, str], tuple[str, Any]] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -44,9 +45,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(spark: SparkSession, d: str) -> str:
+    """A digest of the names, sizes and times of all files below a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(d)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    files = []
+    while found.hasNext():
+        status = found.next()
+        files.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(files)).encode()).hexdigest()
+
+
 def once(spark: SparkSession, what: str, d: str, make: Callable[[], Any]) -> Any:
-    """What ``make`` stores, made by the first query of an application that asks for it over the folder ``d``."""
-    name = (spark.sparkContext.applicationId, what, d)
-    if name not in _MADE:
-        _MADE[name] = make()
-    return _MADE[name]
+    """What ``make`` stores, made by the first query of an application that asks for it over the folder ``d``, and again once files there have changed."""
+    name, now = (spark.sparkContext.applicationId, what, d), fingerprint(spark, d)
+    if name not in _MADE or _MADE[name][0] != now:
+        _MADE[name] = (now, make())
+    return _MADE[name][1]

@@ -16,6 +16,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,7 +24,7 @@ from brindle import schemas
 from brindle.functions.structure import extract
 from brindle.operators import graph as G
 from brindle.operators import symbols as S
-from brindle.operators.validation import latest
+from brindle.session import shared_path
 from brindle.sources.sinks import Store
 
 #: Parts of the extraction table. It is fixed with the first batch of a store.
@@ -61,20 +62,52 @@ def part_of(path: Column) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(PARTS)).cast("string")
 
 
+def versions(changes: DataFrame) -> DataFrame:
+    """(path, n, last, content, gone, origin, went, ts): what each path came to hold in a batch, from its first version, n = 1, on.
+
+    A rename is two versions: its old path goes (``went``: to where), and its new path comes, with content or from its ``origin``. A change
+    that is neither a deletion nor a rename and comes without its content says nothing yet. At one time, what goes comes first.
+    """
+    none = F.lit(None).cast("string")
+    renamed = F.col("change_type") == "renamed"
+    own = changes.select(F.col("file_path").alias("path"), "ts", "content", F.when(renamed, F.col("old_path")).alias("origin"), (F.col("change_type") == "deleted").alias("gone"), none.alias("went"))
+    away = changes.filter(renamed & F.col("old_path").isNotNull()).select(F.col("old_path").alias("path"), "ts", none.alias("content"), none.alias("origin"), F.lit(True).alias("gone"), F.col("file_path").alias("went"))
+    every = own.unionByName(away).filter("path is not null and (gone or content is not null or origin is not null)").distinct()
+    of_path = W.partitionBy("path")
+    n = F.row_number().over(of_path.orderBy("ts", ~F.col("gone"), F.coalesce("content", F.lit("")), "origin", "went"))
+    return every.withColumns({"n": n, "last": n == F.count(F.lit(1)).over(of_path)})
+
+
 def settled(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((path, content), (path, origin)) of a batch: for each path that changes what it holds in the end, null for nothing; and renames without content.
+    """((path, content), (path, origin)) of a batch: for each path that changes what it holds in the end, null for nothing; and where that is what another path held before the batch.
 
-    A rename takes its old path away at its time. Of one path the last change counts; one that is neither a deletion nor a
-    rename and comes without its content says nothing yet. A rename without content moves what the old path held before
-    the batch.
+    A rename without content takes what its old path held just then: its version points at the one before the old path went.
+    Such pointers are joined to each other, which doubles how far they reach, until none leads to a pointer: to a version with
+    content, to one that is gone, or to what a path held before the batch (n = 0).
     """
-    own = changes.select(F.col("file_path").alias("path"), "ts", "content", F.when(F.col("change_type") == "renamed", F.col("old_path")).alias("origin"), (F.col("change_type") == "deleted").alias("gone"))
-    away = changes.filter("change_type = 'renamed' and old_path is not null").select(F.col("old_path").alias("path"), "ts", F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("origin"), F.lit(True).alias("gone"))
-    every = own.unionByName(away).filter("gone or content is not null or origin is not null")
-    # at one time, what gives content comes after what takes a path away
-    last = latest(every, ["path"], F.col("ts"), ~F.col("gone"), F.coalesce("content", F.lit("")))
-    moved = "not gone and content is null"
-    return last.select("path", F.when(~F.col("gone"), F.col("content")).alias("content")).filter("path is not null"), last.filter(moved).select("path", "origin")
+    every = _stored(versions(changes), "versions")
+    links = every.filter("content is null and not gone")
+    taken = every.sparkSession.createDataFrame([], "path string, given string, origin string")
+    if not links.isEmpty():
+        before = every.filter("went is not null").select(F.col("path").alias("origin"), F.col("went").alias("path"), "ts", F.col("path").alias("to_path"), (F.col("n") - 1).alias("to_n"))
+        links = _stored(links.join(before, ["path", "origin", "ts"]).select("path", "n", "last", "to_path", "to_n"), "links")
+        while True:
+            further = links.select(F.col("path").alias("to_path"), F.col("n").alias("to_n"), F.col("to_path").alias("far_path"), F.col("to_n").alias("far_n"))
+            hops = links.join(further, ["to_path", "to_n"], "left")
+            if hops.filter("far_path is not null").isEmpty():
+                break
+            links = _stored(hops.select("path", "n", "last", F.coalesce("far_path", "to_path").alias("to_path"), F.coalesce("far_n", "to_n").alias("to_n")), "links")
+        given = every.select(F.col("path").alias("to_path"), F.col("n").alias("to_n"), F.col("content").alias("given"))
+        taken = links.filter("last").join(given, ["to_path", "to_n"], "left").select("path", "given", F.when(F.col("to_n") == 0, F.col("to_path")).alias("origin"))
+    last = every.filter("last").drop("origin").join(taken, "path", "left")
+    return last.select("path", F.coalesce("content", "given").alias("content")), last.filter("origin is not null").select("path", "origin")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: each of these tables is read several times, and stands on those before."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def apply_changes(store: Store, changes: DataFrame, config: Config = Config(), batch: int | None = None, source: str = "") -> DataFrame:

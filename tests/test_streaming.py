@@ -103,7 +103,7 @@ def test_random_batches_with_retries_equal_a_rebuild(spark, tmp_path):
     draw, store, files, clock = random.Random(3), Store(spark, str(tmp_path / "s")), {}, 0
     for number in range(5):
         rows = []
-        for _ in range(6):
+        for _ in range(7):
             clock += 1
             kind, path = draw.choice(["added", "modified", "deleted", "renamed", "modified"]), f"p{draw.randrange(6)}.py"
             content = f"def g{draw.randrange(5)}():\n    g{draw.randrange(5)}()\n"
@@ -114,9 +114,12 @@ def test_random_batches_with_retries_equal_a_rebuild(spark, tmp_path):
                 old = f"p{draw.randrange(6)}.py"
                 if old == path:
                     continue
-                files.pop(old, None)
-                files[path] = content
-                rows.append(change(path, kind, clock, content, old))
+                given = draw.choice((content, None, None))
+                held_then = files.pop(old, None)
+                files[path] = given or held_then
+                if files[path] is None:
+                    files.pop(path)
+                rows.append(change(path, kind, clock, given, old))
             else:
                 files[path] = content
                 rows.append(change(path, kind, clock, content))
@@ -128,6 +131,24 @@ def test_random_batches_with_retries_equal_a_rebuild(spark, tmp_path):
     assert edges(loop.graph(store).edges) == edges(whole.edges)
 
 
+def test_renames_without_content_take_what_was_there_just_then(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    loop.apply_changes(store, batch_of(spark, *[change(f"{n}.py", "added", 1, CODE.format(n)) for n in "adgx"]), batch=0)
+    moves = [change("a.py", "modified", 2, CODE.format("new")), change("b.py", "renamed", 3, None, "a.py")]  # what the batch itself gave
+    moves += [change("e.py", "renamed", 2, None, "d.py"), change("f.py", "renamed", 3, None, "e.py")]  # twice
+    moves += [change("y.py", "added", 2, CODE.format("y")), change("z.py", "renamed", 3, None, "y.py")]  # new in the batch
+    moves += [change(f"h{i}.py", "renamed", 3 + i, None, f"h{i - 1}.py" if i else "g.py") for i in range(20)]  # a long chain
+    moves += [change("x.py", "deleted", 2), change("w.py", "renamed", 3, None, "x.py"), change("v.py", "renamed", 3, None, "nowhere.py")]  # nothing
+    moves += [change("b.py", "modified", 4)]  # without content
+    loop.apply_changes(store, batch_of(spark, *moves).repartition(3), batch=1)
+    assert held(store) == {"b.py": ["new"], "f.py": ["d"], "z.py": ["y"], "h19.py": ["g"]}
+    swap = [change("t.py", "renamed", 5, None, "b.py"), change("b.py", "renamed", 6, None, "f.py"), change("f.py", "renamed", 7, None, "t.py")]
+    loop.apply_changes(store, batch_of(spark, *swap), batch=2)
+    assert held(store) == {"b.py": ["d"], "f.py": ["new"], "z.py": ["y"], "h19.py": ["g"]}
+    loop.apply_changes(store, batch_of(spark, change("q.py", "renamed", 8, None, "b.py"), change("r.py", "renamed", 8, None, "q.py")), batch=3)
+    assert held(store) == {"q.py": ["d"], "f.py": ["new"], "z.py": ["y"], "h19.py": ["g"]}  # at one time, all take what was there before
+
+
 def test_queue(spark, tmp_path):
     queue = loop.ChangeQueue(Store(spark, str(tmp_path / "q")))
     queue.add(batch_of(spark, *[change(f"f{i}.py", "added", i, "") for i in range(5)]))
