@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from brindle.functions import text
 from brindle.functions.structure import extract
 from brindle.functions.vectors import hashed_embedding
-from brindle.operators import coverage, graph, patterns, search, symbols
-from brindle.plans import retrieval
+from brindle.operators import coverage, graph, patterns, search, symbols, vector_index
+from brindle.plans import drift, retrieval
 from brindle.queries.base import once, query, spread, stored, table
 from brindle.queries.core import _COS, _GRAPH, _HYBRID, QUESTION, _code, _graph, document_index, extracted
 from brindle.session import shared_path
@@ -164,6 +164,38 @@ def pattern_findings(spark, d):
     return patterns.detect(*_drift(spark, d)).drop("suggested_fix")
 
 
+_LABELLED = "round(list_cosine_similarity(list_concat(a.embedding::DOUBLE[], [CASE WHEN i = a.label THEN 1.0 ELSE 0.0 END FOR i IN range(64)]::DOUBLE[]), list_concat(b.embedding::DOUBLE[], [CASE WHEN i = b.label THEN 1.0 ELSE 0.0 END FOR i IN range(64)]::DOUBLE[])), 6)"
+_SIMILAR = f"""near AS (SELECT query, vec_id, score FROM (SELECT a.vec_id AS query, b.vec_id, {_LABELLED} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_LABELLED} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 6),
+beside AS (SELECT query, vec_id + 1 AS vec_id, 0.8 * score AS score FROM near WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings) UNION ALL SELECT query, vec_id - 1, 0.8 * score FROM near WHERE vec_id - 1 IN (SELECT vec_id FROM embeddings)),
+best AS (SELECT query, vec_id, max(score) AS score FROM (SELECT * FROM near UNION ALL SELECT * FROM beside) WHERE vec_id <> query AND score >= 0.45 GROUP BY ALL),
+five AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, 's' || vec_id) AS rank FROM best)"""
+
+
+@query(f"WITH {_SIMILAR} SELECT 'g' || query AS path, 's' || vec_id AS name, round(score, 6) AS score, rank FROM five WHERE rank <= 5")
+def pattern_similar(spark, d):
+    """GR11: candidates of every symbol whose number is divisible by 50: its nearest by the stored lists of vectors, and what these call or are called by."""
+    return patterns.candidates(drift.similar(*_near_symbols(spark, d), exact=True)).select("path", "name", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {_SIMILAR}, k AS (SELECT query, (query // 50) % 6 AS kind, count(*) AS n, max(score) AS top FROM five WHERE rank <= 5 GROUP BY query),
+f AS (SELECT *, unnest(list_filter(CASE kind WHEN 1 THEN ['return-style-drift'] WHEN 2 THEN ['exception-flow-drift'] WHEN 3 THEN ['helper-call-drift'] WHEN 4 THEN ['signature-shape-drift'] WHEN 5 THEN ['return-style-drift', 'exception-flow-drift', 'helper-call-drift', 'signature-shape-drift'] ELSE [] END, lambda x: n > 1 OR x <> 'helper-call-drift')) AS matched_pattern FROM k)
+SELECT 'g' || query AS affected_file, matched_pattern, CASE WHEN kind = 5 AND matched_pattern IN ('return-style-drift', 'exception-flow-drift') THEN 'error' ELSE 'warning' END AS severity FROM f""")
+def pattern_drift(spark, d):
+    """GR11: vector hits and their neighbours as one plan with what they show of the changed symbols."""
+    return drift.findings(*_near_symbols(spark, d), exact=True).select("affected_file", "matched_pattern", "severity")
+
+
+def _near_symbols(spark: SparkSession, d: str) -> tuple:
+    """Changed symbols of six kinds, an index of vectors that say the label as well, all symbols by vec_id, each alike, and calls of each to the next."""
+    label = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i == F.col("label"), 1.0).otherwise(0.0))
+    vectors, key = table(spark, d, "embeddings").withColumn("embedding", F.concat(F.col("embedding").cast("array<double>"), label)), F.col("vec_id")
+    index = once(spark, "labelled", d, lambda: vector_index.build(vectors, shared_path(spark, "labelled")))
+    changed = vectors.filter(key % 50 == 0).select(key.alias("key"), said("g", key).alias("path"), said("s", key).alias("name"), pick(F.floor(key / 50), *_KINDS).alias("content"), "embedding")
+    symbols = vectors.select(key.alias("key"), key.cast("string").alias("id"), said("s", key).alias("name"), F.lit(_ALIKE.format("one")).alias("content"))
+    edges = vectors.select(key.cast("string").alias("src"), (key + 1).cast("string").alias("dst"), F.lit("CALLS").alias("type"))
+    return changed, index, symbols, edges
+
+
 @query("""SELECT 'g' || p_partkey AS path, 'new' AS symbol, 'dict' AS return_style, true AS has_try_except, 2 AS parameter_count, 'check,log' AS calls, CAST(0.58 AS DOUBLE) AS score, 'four,one,three,two' AS examples FROM part""")
 def pattern_conventions(spark, d):
     """AGG23: what the candidates of each new symbol have in common."""
@@ -321,6 +353,28 @@ def loop_changes(spark, d):
     return _maintained(spark, d).read("symbol_changes", ["1"]).select("path", "name", "change_type")
 
 
+@query("""SELECT CASE s_suppkey % 5 WHEN 0 THEN 'y' WHEN 1 THEN 'x' WHEN 2 THEN 'n' WHEN 3 THEN 's' END || s_suppkey || '.py' AS path, CASE s_suppkey % 5 WHEN 0 THEN 'f' WHEN 1 THEN 'g' WHEN 2 THEN 'h' WHEN 3 THEN 'g' END || s_suppkey AS name FROM supplier WHERE s_suppkey % 5 <> 4""")
+def loop_renames(spark, d):
+    """STR3: renames without content within a batch: twice in a row, behind a change, of a new file, of what was renamed away and came again, and of what was deleted."""
+    key, none = F.col("s_suppkey"), F.lit(None).cast("string")
+    rows, code = spread(table(spark, d, "supplier")), lambda name: said("def ", name, key, "():\n    pass\n")
+    step = lambda ts, path, kind, old=None, content=none: F.struct(said(path, key, ".py").alias("file_path"), F.lit(kind).alias("change_type"), F.timestamp_seconds(F.lit(ts)).alias("ts"), (said(old, key, ".py") if old else none).alias("old_path"), content.alias("content"))
+    store = Store(spark, shared_path(spark, "renames"))
+    loop.apply_changes(store, rows.select(F.inline(F.array(step(0, "s", "added", None, code("f"))))), batch=0)
+    moves = {
+        0: [step(1, "x", "renamed", "s"), step(2, "y", "renamed", "x")],
+        1: [step(1, "s", "modified", None, code("g")), step(2, "x", "renamed", "s")],
+        2: [step(1, "m", "added", None, code("h")), step(2, "n", "renamed", "m"), step(3, "s", "deleted")],
+        3: [step(1, "x", "renamed", "s"), step(2, "s", "added", None, code("g")), step(3, "x", "deleted")],
+        4: [step(1, "s", "deleted"), step(2, "x", "renamed", "s")],
+    }
+    every = rows.select(F.inline(F.array(*moves[4])), key.alias("k")).limit(0)
+    for rest, steps in moves.items():
+        every = every.unionByName(rows.filter(key % 5 == rest).select(F.inline(F.array(*steps)), key.alias("k")))
+    loop.apply_changes(store, every.drop("k"), batch=1)
+    return symbols.snapshot(store.read("extracted")).select("path", "name")
+
+
 @query("""WITH f AS (SELECT count(*) AS n FROM supplier WHERE s_suppkey % 10 <> 3) SELECT 'CONTAINS' AS type, n FROM f UNION ALL SELECT 'DEFINES', n FROM f
 UNION ALL SELECT 'CALLS', count(*) FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 WHERE a.s_suppkey % 10 BETWEEN 4 AND 8""")
 def loop_graph(spark, d):

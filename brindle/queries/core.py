@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import paths, text
 from brindle.functions.structure import extract
 from brindle.functions.text import STOP_WORDS
-from brindle.operators import commit, coverage, graph, search, symbols, trace, validation
+from brindle.operators import commit, coverage, graph, search, symbols, trace, validation, vector_index
 from brindle.queries.base import once, query, spread, stored, table
 from brindle.session import shared_path
 from brindle.sources import changes, hunks, reports
@@ -74,6 +74,26 @@ def vec_knn_join(spark, d):
     return search.nearest(vectors.filter("vec_id % 50 = 0"), vectors, 5)
 
 
+def vector_lists(spark: SparkSession, d: str) -> vector_index.VectorIndex:
+    """The inverted file of a folder's embeddings, stored by the first question of a session."""
+    return once(spark, "vectors", d, lambda: vector_index.build(table(spark, d, "embeddings"), shared_path(spark, "vectors")))
+
+
+@query(f"SELECT b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY score DESC, b.vec_id LIMIT 10")
+def vec_index_topk(spark, d):
+    """TOP2, TXT4: the nearest vectors by the stored lists, exactly: only lists that may hold a better one are read."""
+    one = table(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first()
+    return vector_lists(spark, d).top(list(one.embedding), 10, exact=True).withColumnRenamed("key", "vec_id")
+
+
+@query(f"""SELECT query, vec_id, score, rank FROM (SELECT a.vec_id AS query, b.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank
+FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5""")
+def vec_index_knn(spark, d):
+    """TOP2, GR11: the five nearest vectors of every vector whose id is divisible by 50, exactly, by the stored lists."""
+    found = vector_lists(spark, d).nearest(table(spark, d, "embeddings").filter("vec_id % 50 = 0"), 5, exact=True)
+    return found.withColumnRenamed("key", "vec_id")
+
+
 _HYBRID = f"""{_BM25},
 kw AS (SELECT doc_id AS name, round(score, 6) AS score FROM bm25 ORDER BY round(score, 6) DESC, doc_id LIMIT 50),
 vec AS (SELECT b.vec_id AS name, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY score DESC, b.vec_id LIMIT 50),
