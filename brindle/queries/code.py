@@ -385,6 +385,16 @@ def loop_graph(spark, d):
     return graph.type_counts(store.read("edges"))
 
 
+@query("""WITH f AS (SELECT count(*) AS n FROM supplier WHERE s_suppkey % 10 <> 3) SELECT 'CONTAINS' AS type, n FROM f UNION ALL SELECT 'DEFINES', n FROM f
+UNION ALL SELECT 'CALLS', count(*) FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 WHERE a.s_suppkey % 10 BETWEEN 4 AND 8""")
+def delta_graph(spark, d):
+    """GR7, GR8: the graph after these batches, kept by deltas and not built."""
+    store, config = Store(spark, shared_path(spark, "deltas")), loop.Config(maintain=True)
+    for batch in (0, 1):
+        loop.apply_changes(store, _changes(spark, d, batch), config, batch=batch)
+    return graph.type_counts(loop.graph(store, config).edges)
+
+
 @query("""SELECT 's' || s_suppkey || '.py' AS path, 'f' || s_suppkey AS name FROM supplier WHERE s_suppkey % 4 <> 0 UNION ALL SELECT 's' || s_suppkey || '.py', 'h' || s_suppkey FROM supplier WHERE s_suppkey % 4 = 0""")
 def update_files(spark, d):
     """GR7: extracted files, of which a fourth are replaced."""

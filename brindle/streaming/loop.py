@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from brindle import schemas
 from brindle.functions.structure import extract
+from brindle.operators import delta
 from brindle.operators import graph as G
 from brindle.operators import symbols as S
 from brindle.session import shared_path
@@ -42,6 +43,8 @@ class Config:
     repository: str = "repository"
     identity: str = "path"
     resolve: str = "name"
+    #: Keeps nodes and edges current with each batch, by deltas; else ``graph`` builds them when it is asked.
+    maintain: bool = False
 
 
 @dataclass
@@ -131,7 +134,8 @@ def apply_changes(store: Store, changes: DataFrame, config: Config = Config(), b
         before = S.snapshot(old.join(held, "path", "left_semi"))
         differences = S.diff(before, S.snapshot(fresh)).withColumn("batch", F.lit(number))
         after = old.join(held, "path", "left_anti").unionByName(fresh).withColumn("part", part_of(F.col("path")))
-        store.commit(parts={"extracted": (after, "part", parts), "symbol_changes": (differences, "batch", [number])}, batch=batch, source=source)
+        kept = delta.changes(store, old.join(held, "path", "left_semi"), fresh, held.select("path"), config.repository) if config.maintain else {}
+        store.commit(parts={"extracted": (after, "part", parts), "symbol_changes": (differences, "batch", [number])} | kept, batch=batch, source=source)
         parsed.unpersist()
     finally:
         held.unpersist(), moved.unpersist()
@@ -139,7 +143,9 @@ def apply_changes(store: Store, changes: DataFrame, config: Config = Config(), b
 
 
 def graph(store: Store, config: Config = Config()) -> G.Graph:
-    """The graph of what the store holds now."""
+    """The graph of what the store holds now: as it is kept by deltas, or built."""
+    if config.maintain:
+        return delta.graph(store)
     return G.build(store.read("extracted"), config.repository, config.identity, config.resolve)
 
 
