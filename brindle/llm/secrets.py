@@ -47,19 +47,23 @@ MARK = "[SECRET]"
 THRESHOLD = 0.5
 
 _BOUND = "PRIVATE KEY[A-Z ]*+-----"
+_EVEN = r"(?<=[^\\](?:\\\\){0,32})"  # an even number of backslashes, or none, before a quote
 #: (what stands before, the candidate) of each kind; a match is both, in groups of their own. No kind repeats a group, so that long texts need no stack.
 KINDS = (
     # a private key to its closing line, or as far as its lines go
     ("", rf"-----BEGIN [A-Z0-9 ]*?{_BOUND}(?:[\r\n]*+(?:Proc-Type:[^\n]*+\n)?+(?:DEK-Info:[^\n]*+\n)?+[^-]*+-----END [A-Z0-9 ]*?{_BOUND}|[A-Za-z0-9+/=\r\n]*(?=[\r\n]|$)|)"),
     # prefixes that are issued
     ("", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)"),
-    # a value assigned to a key that names a secret
-    (rf"(?=[abcpstABCPST])(?i:{SECRET_WORDS})[\w.-]*+[\"']?+[ \t]*+(?:=>|:=|==?|:)[ \t]*+(?:(?i:bearer|basic|token)[ \t]++)?+[\"']?+", r"(?!\[SECRET\])(?:(?<=\")[^\"\n]++(?=\")|(?<=')[^'\n]++(?=')|[^\s\"'&;,<>()]++)"),
+    # a value assigned to a key that names a secret: quoted, to the quote that no backslash escapes; else to white space, or to what begins another value
+    (rf"(?=[abcpstABCPST])(?i:{SECRET_WORDS})[\w.-]*+[\"']?+[ \t]*+(?:=>|:=|==?|:)[ \t]*+(?:(?i:bearer|basic|token)[ \t]++)?+[\"']?+", rf"(?!\[SECRET\])(?:(?<=\")(?!\")[^\n]+?(?=\"){_EVEN}|(?<=')(?!')[^\n]+?(?='){_EVEN}|(?![\"',;)>])\S+?(?=[\"',;)>]{{0,8}}+(?:\s|$)|&[\w.-]{{1,64}}+=|</|[,;][\w.-]{{1,64}}+[=:]))"),
+    # the password of a URL, and what stands in an element that names a secret
+    (r"(?<=[a-z0-9])://[^\s/:@<>\"']{0,64}+:", r"(?!\[SECRET\])[^\s/@\"'<>]++(?=@)"),
+    (rf"<(?i:{SECRET_WORDS})[\w.-]*+>[ \t]*+", r"(?!\[SECRET\])[^\s<>][^<>\n]*+(?=</)"),
     # another quoted value that is no key; one behind =; a run of token characters with a digit
     ("", r"(?<=[\"'])(?!\[SECRET\])[^\"'\s]{8,}+(?=[\"'](?!\s*+:))|(?<==)[^\s\"'&;,<>()]{8,}+|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"),
 )
 #: What every text with a candidate holds, found in a fraction of the time.
-HINT = "[0-9=:\"']|AKIA|gh[pousr]_|xox|-----BEGIN "
+HINT = "[0-9=:\"']|</|AKIA|gh[pousr]_|xox|-----BEGIN "
 CANDIDATE = "|".join(f"({before})({found})" for before, found in KINDS)
 #: What surrounds a candidate while a text is cut: a noncharacter, which texts do not hold. A text that does is cut by positions.
 _CUT = "\ufdd0"
@@ -93,8 +97,8 @@ def _features(found: Column, left: Column, right: Column, path: Column) -> Colum
         flag(found.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
         flag(found.rlike(ISSUED)),
         flag(found.rlike("^[$%{<*\\[]|\\w[.]\\w|[\\[\\]{}]$")),
-        flag(left.rlike("(=|:|=>)\\s*(?i:bearer |basic |token )?[\"']?$")),
-        flag(F.lower(left).rlike(f"(?:{SECRET_WORDS})[\\w.-]*+\\W*(?:(?:bearer|basic|token)\\s+)?[\"']?$")),
+        flag(left.rlike("(=|:|>)\\s*(?i:bearer |basic |token )?[\"']?$")),
+        flag(F.lower(left).rlike(f"(?:{SECRET_WORDS})[\\w.-]*+\\W*(?:(?:bearer|basic|token)\\s+)?[\"']?$|://[^\\s:/@]*:$")),
         flag(near.rlike(f"(?<![a-z])(?:{PUBLIC_WORDS})(?![a-z])")),
         flag(F.lower(path).rlike(PUBLIC_PATHS)),
     )
@@ -159,6 +163,17 @@ LABELLED = (
     (1, "{w} pwd: ", "left(b, 8)", "\n", "conf/app.yml"),
     (1, 'passphrase = "', "concat('{w} ', left(h, 2), ' {w}{w} ', left(b, 3))", '"', "src/vault.py"),
     (1, "secret => '", "concat(left(b, 5), '$', left(h, 5))", "'", "billing.rb"),
+    (1, "{w} postgres://{w}:", "concat(left(b, 6), '%', left(h, 4))", "@{w}:5432/{w}", "src17"),
+    (1, "https://{w}:", "concat('{w}', left(translate(h, 'abcdef', '123456'), 1), '{w}')", "@{w}.example/{w}", "src18"),
+    (1, "<{w}><password>", "concat(left(b, 8), '#', left(h, 3))", "</password>", "conf/app.xml"),
+    (1, "{w} password: ", "concat(left(b, 5), '&', left(h, 3), ';', left(b, 4))", " {w}", "src19"),
+    (1, "api_key: ", "concat(left(h, 3), '(', left(b, 1), ')', left(b, 9))", "\n", "conf/app.yml"),
+    (1, "password = \"", "concat(left(b, 4), chr(92), '\"', left(h, 5), ',', left(b, 5))", "\"", "src/db.go"),
+    (0, "{w} password=", "'get_{w}(user,{w})'", "\n", "src/api.py"),
+    (0, "<{w}><token>", "'{w}'", "</token>", "docs/page.xml"),
+    (0, '{w} = "', "concat(left(translate(h, '0123456789', 'ghijklmnop'), 7), left(translate(h, 'abcdef', '012345'), 1))", '"', "src/app.py"),
+    (0, '{w}="', "concat(left(translate(h, '0123456789', 'ghijklmnop'), 9), left(translate(h, 'abcdef', '012345'), 2))", '" {w}', "src20"),
+    (0, '{w} = "{w}""', "concat(left(translate(h, '0123456789', 'ghijklmnop'), 8), left(translate(h, 'abcdef', '012345'), 1))", '""{w}"', "src21"),
     (0, "{w} token: ", "'{w}'", " {w} {w}", "src1"),
     (0, "{w} the password: ", "'{w}{w}{w}'", " {w}", "src2"),
     (0, "{w} the secret = ", "'{w}{w}'", " {w}", "src2"),

@@ -166,3 +166,39 @@ def test_mixing_weights_large_means_and_salted_join(spark, docs, monkeypatch):
     assert twice and {r["count"] for r in twice} == {2}  # repeated rows draw alike, and each is replicated
     keys = df.withColumn("doc_id", F.lit(None).cast("long"))
     assert mixing.mix(keys).columns[:5] == df.columns
+
+
+WHOLE = [
+    ("see password=ab,cdeF9gh12QzXw and", "ab,cdeF9gh12QzXw"),
+    ("see api_key: k9(s)Ff82hQz71mm\nmore", "k9(s)Ff82hQz71mm"),
+    ("see password: Tr0ub4dor&3xyZZy and", "Tr0ub4dor&3xyZZy"),
+    ('see secret = "abc\\"defGHI93kLmQz7" end', 'abc\\"defGHI93kLmQz7'),
+    ("use postgres://root:hunter2pass@db now", "hunter2pass"),
+    ("<password>S3cr3tP4ssw0rd</password>", "S3cr3tP4ssw0rd"),
+    ('at ?token=9f86d081884c7d65&page=2 end', "9f86d081884c7d65"),
+    ('call(password="x9K;d8,f<2>q", user="me")', "x9K;d8,f<2>q"),
+    ('{"secret": "a\\\\", "name": "kept"}', "a\\\\"),
+]
+
+
+def test_no_part_of_a_secret_stays(spark, docs):
+    got = {r.doc_id: r.text for r in secrets.redact(docs([t for t, _ in WHOLE])).collect()}
+    found = {r.doc_id: r.candidate for r in secrets.scan(docs([t for t, _ in WHOLE])).filter("is_secret").collect()}
+    for i, (text, value) in enumerate(WHOLE[:-1]):
+        assert got[i] == text.replace(value, "[SECRET]") and found[i] == value
+    assert '"name": "kept"' in got[8]  # a value that ends with an escaped backslash ends there
+
+
+def test_every_character_within_a_value(spark, docs):
+    marks = [chr(c) for c in range(33, 127)]
+    quoted = [f'the password = "x9Kd{m}8fQ2{m}zW7" end' for m in marks if m not in '"\\']
+    bare = [f"the password=x9Kd{m}8fQ2{m}zW7 end" for m in marks]
+    texts = quoted + bare
+    got = {r.doc_id: r.text for r in secrets.redact(docs(texts)).collect()}
+    left = [t for i, t in enumerate(texts) if "zW7" in got[i] or "x9Kd" in got[i]]
+    assert not left
+
+
+def test_long_lines_of_marks_take_linear_time(spark, docs):
+    texts = ["password=" + m * 200_000 + " end" for m in (")", "&a", ",a", "\\", '"')] + ['password="' + "\\\\" * 100_000 + '" end', "password=\"x " * 20_000]
+    assert secrets.redact(docs(texts)).count() == len(texts) and secrets.scan(docs(texts)).agg(F.max("stop")).first()[0]
