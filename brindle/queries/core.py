@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import paths, text
 from brindle.functions.structure import extract
-from brindle.functions.text import STOP_WORDS
+from brindle.functions.text import STOP_WORDS, TOKEN_BREAK
 from brindle.operators import commit, coverage, graph, search, symbols, trace, validation, vector_index
 from brindle.queries.base import once, query, spread, stored, table
 from brindle.session import shared_path
@@ -17,7 +17,7 @@ from brindle.sources import changes, hunks, reports
 
 QUESTION = "the token and that loser or that and license ention"
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_WORDS = f"""words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9_]+'), lambda w: w <> '' AND w NOT IN ({_STOP})) AS w FROM documents)"""
+_WORDS = f"""words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{TOKEN_BREAK}'), lambda w: w <> '' AND w NOT IN ({_STOP})) AS w FROM documents)"""
 _BM25 = f"""{_WORDS},
 flat AS (SELECT doc_id, unnest(w) AS term FROM words),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM flat GROUP BY ALL),
@@ -25,7 +25,7 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM words),
 raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-asked AS (SELECT term, count(*) AS times FROM (SELECT unnest(list_filter(regexp_split_to_array('{QUESTION}', '[^a-z0-9_]+'), lambda w: w <> '' AND w NOT IN ({_STOP}))) AS term) GROUP BY term),
+asked AS (SELECT term, count(*) AS times FROM (SELECT unnest(list_filter(regexp_split_to_array('{QUESTION}', '{TOKEN_BREAK}'), lambda w: w <> '' AND w NOT IN ({_STOP}))) AS term) GROUP BY term),
 piece AS (SELECT tf.doc_id, times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / avgdl)) AS s FROM tf JOIN asked USING (term) JOIN idf USING (term) JOIN words USING (doc_id), st),
 bm25 AS (SELECT words.doc_id, coalesce(sum(s), 0) AS score FROM words LEFT JOIN piece USING (doc_id) GROUP BY words.doc_id)"""
 

@@ -219,3 +219,28 @@ def test_dynamic_plan(spark):
     assert graph.edge_totals(more.edges).first().total == 1
     bad = dynamic.analyze(g, events.drop("depth"))
     assert bad.error and not bad.stages[-1][2]
+
+
+def test_words_of_any_script(spark):
+    from brindle.functions.text import tokens
+
+    said = {"Größe der Straße für naïve": ["größe", "der", "straße", "für", "naïve"], "stra e": ["stra", "e"], "数据 处理_1, и слово!": ["数据", "处理_1", "и", "слово"], "été x2": ["été", "x2"], "the — and…": []}
+    df = spark.createDataFrame([(t,) for t in said], "t string")
+    assert {r.t: r.w for r in df.select("t", tokens(F.col("t")).alias("w")).collect()} == said
+
+
+def test_search_tells_letters_apart(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Die Straße ist lang"), (2, "stra e und anderes"), (3, "nichts")], "doc_id long, text string")
+    index = search.build_index(docs, str(tmp_path / "i"))
+    assert [r.key for r in index.top("Straße", 1).collect()] == [1] and [r.key for r in index.top("stra", 1).collect()] == [2]
+
+
+def test_answers_follow_a_folder_that_is_written_again(spark, tmp_path):
+    from brindle.queries import base
+
+    made, d = [], str(tmp_path / "in")
+    make = lambda: made.append(1) or len(made)
+    spark.range(3).write.parquet(f"{d}/t.parquet")
+    assert [base.once(spark, "x", d, make) for _ in range(2)] == [1, 1]
+    spark.range(4).write.mode("overwrite").parquet(f"{d}/t.parquet")
+    assert [base.once(spark, "x", d, make) for _ in range(2)] == [2, 2] and base.once(spark, "y", d, make) == 3
