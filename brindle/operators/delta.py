@@ -46,6 +46,11 @@ def part(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in columns]), F.lit(PARTS)).cast("string")
 
 
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with their part, dealt so that a part is one file, or several where it is large."""
+    return rows.withColumn("part", part(*columns)).hint("rebalance", "part")
+
+
 def said(extracted: DataFrame) -> dict[str, DataFrame]:
     """What files say, as the tables of ``NAMES``."""
     functions = extracted.select("path", F.inline("functions")).filter("class_name is null and not is_nested").withColumn("id", G.symbol_id("Function", "path"))
@@ -85,7 +90,7 @@ class Names:
             key, kept = NAMES[table].split()[0], f"names_{table}"
             changed = [r[0] for r in self.old[table].select(key).union(self.new[table].select(key)).select(part(key)).distinct().collect()]  # at most PARTS
             there = self.store.read(kept, changed).join(self.paths, "path", "left_anti") if self.store.exists(kept) else self.new[table].limit(0)
-            out[kept] = (there.unionByName(self.new[table]).withColumn("part", part(key)), "part", changed)
+            out[kept] = (_dealt(there.unionByName(self.new[table]), key), "part", changed)
         return out
 
 
@@ -114,11 +119,16 @@ def _bases(of, classes: DataFrame, bases: DataFrame) -> DataFrame:
 
 def changes(store: Store, before: DataFrame, after: DataFrame, paths: DataFrame, repository: str = "repository") -> Parts:
     """What to commit when the files ``paths(path)``, extracted as ``before``, are extracted as ``after``: parts of the names, of ``graph_nodes`` and of ``graph_edges``."""
+    if not store.exists("graph_edges"):  # nothing is kept yet: all is new
+        first, whole = said(after), G.build(after, repository)
+        dealt = lambda df, *on: (_dealt(df, *on), "part", [])
+        return {f"names_{t}": dealt(df, NAMES[t].split()[0]) for t, df in first.items()} | {"graph_edges": dealt(whole.edges.select(*EDGE), *EDGE), "graph_nodes": dealt(whole.nodes, "id")}
     paths = paths.select("path").distinct()
     old, new = ({t: _stored(df, f"said-{t}") for t, df in said(rows).items()} for rows in (before, after))
     names = Names(store, paths, old, new)
     minus = lambda a, b, t: _stored(a[t].join(b[t], list(a[t].columns), "left_anti"), f"delta-{t}")
-    came, went = {t: minus(new, old, t) for t in NAMES}, {t: minus(old, new, t) for t in NAMES}
+    came = {t: minus(new, old, t) for t in ("functions", "by_caller", "classes", "bases")}
+    went = {t: minus(old, new, t) for t in ("functions", "by_caller", "classes", "bases", "imports")}
     asked = came["by_caller"].unionByName(went["by_caller"]).select("caller", "callee").distinct()
     support = lambda of, name: of("by_caller", asked.select("caller")).join(asked, ["caller", "callee"], "left_semi").groupBy("caller", "callee").agg(F.count(F.lit(1)).alias(name))
     counted = _stored(support(names.before, "was").join(support(names.after, "now"), ["caller", "callee"], "full_outer"), "support")
@@ -141,7 +151,7 @@ def _replaced(store: Store, name: str, gone: DataFrame, come: DataFrame, on: lis
     """The parts of a table in which rows go or come, without the first and with the second."""
     touched = [r[0] for r in gone.select(*on).union(come.select(*on)).select(part(*on)).distinct().collect()]  # at most PARTS
     rows = come if not store.exists(name) else store.read(name, touched).join(gone.select(*on).distinct(), on, "left_anti").unionByName(come)
-    return rows.withColumn("part", part(*on)), "part", touched
+    return _dealt(rows, *on), "part", touched
 
 
 def graph(store: Store) -> G.Graph:
