@@ -74,7 +74,7 @@ def test_run_and_registered_names(spark, sf_dir):
     out = P.run(spark, sf_dir)
     assert out.columns == ["doc_id", "ids"] and out.count() > 0
     names = [n for n in Q.queries()]
-    assert names[-1] == "pipeline" and [int(n[2:].split("_")[0]) for n in names[:-1]] == list(range(1, 11))
+    assert names[-1] == "pipeline" and [int(n[2:].split("_")[0]) for n in names[:-1]] == list(range(1, 14))
 
 
 HARD = [None, "", " \t", "one", "word " * 3000, "\n".join(" ".join(f"stone{i * j % 97}" for j in range(1, 21)) + "." for i in range(1, 7))]
