@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from brindle.functions import paths, text
 from brindle.functions.structure import extract
 from brindle.functions.text import STOP_WORDS, TOKEN_BREAK
-from brindle.operators import commit, coverage, graph, search, symbols, trace, validation, vector_index
+from brindle.operators import commit, coverage, graph, live_index, search, symbols, trace, validation, vector_index
 from brindle.queries.base import once, query, spread, stored, table
 from brindle.session import shared_path
 from brindle.sources import changes, hunks, reports
+from brindle.sources.sinks import Store
 
 # --- search -----------------------------------------------------------------------------------------------------------
 
@@ -54,6 +55,21 @@ def bm25_all(spark, d):
     return search.bm25(spread(table(spark, d, "documents")), QUESTION).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm25 ORDER BY round(score, 6) DESC, doc_id LIMIT 20")
+def live_bm25_topk(spark, d):
+    """TXT2, TOP1: BM25 by an index that followed changes: every document came with words more, and another beside it; then all changed to what they are, and the others went."""
+
+    def make() -> live_index.LiveIndex:
+        docs = table(spark, d, "documents").select("doc_id", "text")
+        others = docs.select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+        store = Store(spark, shared_path(spark, "live"))
+        live_index.apply(store, docs.withColumn("text", F.concat_ws(" ", F.lit("loser token"), "text")).unionByName(others), batch=0)
+        live_index.apply(store, docs, others.select("doc_id"), batch=1)
+        return live_index.LiveIndex(spark, store.root)
+
+    return once(spark, "live", d, make).top(QUESTION, 20).withColumnRenamed("key", "doc_id")
+
+
 _COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
 
 

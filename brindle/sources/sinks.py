@@ -74,6 +74,10 @@ class Store:
     def exists(self, name: str) -> bool:
         return name in self._manifest()["tables"]
 
+    def parts(self, name: str) -> list[str]:
+        """The parts of a table; none if there is no such table."""
+        return sorted(self._manifest()["tables"].get(name, {"parts": {}})["parts"])
+
     def read(self, name: str, parts: list[str] | None = None) -> DataFrame:
         """A table, or those of its ``parts`` that there are."""
         table = self._manifest()["tables"].get(name)

@@ -22,9 +22,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from brindle import schemas
 from brindle.functions.structure import extract
-from brindle.operators import delta
+from brindle.operators import delta, live_index
 from brindle.operators import graph as G
 from brindle.operators import symbols as S
+from brindle.plans import retrieval
 from brindle.session import shared_path
 from brindle.sources.sinks import Store
 
@@ -45,6 +46,8 @@ class Config:
     resolve: str = "name"
     #: Keeps nodes and edges current with each batch, by deltas; else ``graph`` builds them when it is asked.
     maintain: bool = False
+    #: Keeps a keyword index of the symbols current with each batch (``operators.live_index``), by their ids.
+    keywords: bool = False
 
 
 @dataclass
@@ -135,7 +138,14 @@ def apply_changes(store: Store, changes: DataFrame, config: Config = Config(), b
         differences = S.diff(before, S.snapshot(fresh)).withColumn("batch", F.lit(number))
         after = old.join(held, "path", "left_anti").unionByName(fresh).withColumn("part", part_of(F.col("path")))
         kept = delta.changes(store, old.join(held, "path", "left_semi"), fresh, held.select("path"), config.repository) if config.maintain else {}
-        store.commit(parts={"extracted": (after, "part", parts), "symbol_changes": (differences, "batch", [number])} | kept, batch=batch, source=source)
+        whole = {}
+        if config.keywords:
+            now, then = (retrieval.symbol_documents(G.build(x, config.repository)) for x in (fresh, old.join(held, "path", "left_semi")))
+            whole, words = live_index.changes(store, now, then.select("id"), "id")
+            kept |= words
+        store.commit(whole, {"extracted": (after, "part", parts), "symbol_changes": (differences, "batch", [number])} | kept, batch, source)
+        if config.keywords:
+            live_index.merge(store)
         parsed.unpersist()
     finally:
         held.unpersist(), moved.unpersist()
