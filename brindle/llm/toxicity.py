@@ -4,9 +4,9 @@ Features of a text are its different words and their beginnings, as 64-bit hashe
 give their features with every identity term swapped for others, several times; the loss holds the squared change of the
 logit under each swap, so that naming a group moves the score little whatever the labels say.
 
-Training takes a bounded sample of labelled rows (``MAX_ROWS`` of each class, those with the least hash); features are
-counted and chosen by a distributed aggregation over the sample, and at most ``MAX_FEATURES`` reach the driver. Scoring
-is one narrow pass over all whole texts with the chosen weights.
+Training takes a bounded sample of labelled rows (``MAX_ROWS`` of each class, those with the least hash). Features are
+counted by a distributed aggregation over the sample; all whose shares differ significantly between the classes take part,
+however many they are, and the lasso chooses among them. Scoring is one narrow pass over all whole texts with the weights.
 
 Defined results: a null or empty text scores as a text without features; rows with a null key are never held out and
 never learnt from; several labels of a key count as toxic if one is, null labels are none; without rows of both classes
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, text_of
 
-#: Labelled rows of each class, features, and rows of a feature at least.
-MAX_ROWS, MAX_FEATURES, MIN_ROWS = 10_000, 4_096, 5
-#: A feature stays if its shares among toxic and other rows differ by this many standard errors.
+#: Labelled rows of each class, and rows of a feature at least.
+MAX_ROWS, MIN_ROWS = 10_000, 5
+#: A feature takes part if its shares among toxic and other rows differ by this many standard errors.
 MIN_Z = 6.0
 THRESHOLD = 0.7
 #: Weights of the counterfactual, the lasso and the ridge term; steps of the optimiser.
@@ -178,9 +178,8 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     counts = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
     share = (F.col("n1") + F.col("n0")) / (n1 + n0)
     z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-    counts = counts.filter(F.col("n1") + F.col("n0") >= MIN_ROWS).select("feature", F.abs(z).alias("z")).filter(F.col("z") >= MIN_Z)
-    best = counts.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature").collect()
-    keep = {r.feature for r in best} | {f for w in SWAP for f in word_features(w)}
+    differ = counts.filter(F.col("n1") + F.col("n0") >= MIN_ROWS).filter(F.abs(z) >= MIN_Z).select("feature")
+    keep = {r.feature for r in differ.collect()} | {f for w in SWAP for f in word_features(w)}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

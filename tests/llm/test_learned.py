@@ -227,3 +227,16 @@ def test_degenerate_labels(spark, docs):
     assert {r.predicted for r in toxicity.classify(df, one).collect()} == {0}
     assert toxicity.classify(df.limit(0), one).count() == 0
     assert toxicity.held_out(F.lit(None).cast("long")) is not None
+
+
+def test_every_feature_that_differs_takes_part(spark):
+    """Toxic texts hold insults of three hundred, none of which tells more than another: none is left out."""
+    draw, rows = random.Random(3), []
+    for i in range(6000):
+        words = [draw.choice(WORDS) for _ in range(8)]
+        if i % 2:
+            words += [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{k:04d}slur" for k in ((3 * i + j) % 300 for j in range(30))]
+        rows.append((i, " ".join(words), i % 2))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, y int"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    slurs = {f for _, t, y in rows if y for w in t.split() if w.endswith("slur") for f in toxicity.word_features(w)[:1]}
+    assert len(slurs) == 300 and slurs <= set(model.weights)
