@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import paths
+from brindle.operators import lines
 
 
 def percent(covered, missing):
@@ -23,18 +24,30 @@ def overall(coverage: DataFrame) -> DataFrame:
     return row.withColumn("percent", percent(F.col("covered"), F.col("missing")))
 
 
+def _key(match: str, path: Column) -> Column:
+    return paths.basename(path) if match == "basename" else paths.normalized(path)
+
+
+def _lines(coverage: DataFrame, column: str, match: str) -> DataFrame:
+    return coverage.select(_key(match, F.col("path")).alias("key"), F.explode(column).alias("line"))
+
+
 def covered_functions(functions: DataFrame, coverage: DataFrame, match: str = "basename") -> DataFrame:
     """Functions (path, name, start_line, end_line) with an executed line.
 
-    ``match="basename"`` takes files of equal base name for the same, ``"path"`` needs the whole path. Executed lines are
-    one sorted list a file name, so that a name that many files have, such as ``__init__.py``, is one row to join with.
+    ``match="basename"`` takes files of equal base name for the same, ``"path"`` needs the whole path. A function looks up
+    the block of lines that it starts in, so that a name that many files have, such as ``__init__.py``, is not one task.
     """
-    key = paths.basename if match == "basename" else paths.normalized
-    lines = coverage.select(key(F.col("path")).alias("__key"), F.explode("executed_lines").alias("__line"))
-    executed = lines.groupBy("__key").agg(F.collect_set("__line").alias("__lines"))
-    keyed = functions.withColumn("__key", key(F.col("path"))).join(executed, "__key")
-    hit = F.exists("__lines", lambda n: n.between(F.col("start_line"), F.col("end_line")))
-    return keyed.filter(hit).drop("__key", "__lines")
+    return lines.holding(functions, _lines(coverage, "executed_lines", match), _key(match, F.col("path")))
+
+
+def function_coverage(functions: DataFrame, coverage: DataFrame, match: str = "basename") -> DataFrame:
+    """``functions`` with their executed lines (covered), lines that no report executes (missing) and percent; 0 without lines."""
+    executed = _lines(coverage, "executed_lines", match).distinct()
+    missing = _lines(coverage, "missing_lines", match).distinct().join(executed, ["key", "line"], "left_anti")
+    rows = lines.counted(functions, executed, _key(match, F.col("path")), "covered")
+    rows = lines.counted(rows, missing, _key(match, F.col("path")), "missing")
+    return rows.withColumn("percent", percent(F.col("covered"), F.col("missing")))
 
 
 SUITE = "suite"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import paths, text
 from brindle.functions.structure import extract
 from brindle.functions.text import STOP_WORDS, TOKEN_BREAK
-from brindle.operators import commit, coverage, graph, live_index, search, symbols, trace, validation, vector_index
+from brindle.operators import commit, coverage, graph, live_index, replay, search, symbols, trace, validation, vector_index
 from brindle.queries.base import once, query, spread, stored, table
 from brindle.session import shared_path
 from brindle.sources import changes, hunks, reports
@@ -249,6 +249,16 @@ def call_pairs(spark, d):
     return _pairs(spark, d)
 
 
+@query("""WITH ev AS (SELECT event_id AS seq, user_id % 2 = 0 AS is_call, event_type AS func FROM events), s AS (SELECT *, sum(CASE WHEN is_call THEN 1 ELSE -1 END) OVER (ORDER BY seq) AS s FROM ev),
+h AS (SELECT *, s - least(0, min(s) OVER (ORDER BY seq)) AS h FROM s),
+lk AS (SELECT is_call, func AS callee, last_value(CASE WHEN is_call THEN func END IGNORE NULLS) OVER (PARTITION BY h ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS caller FROM h WHERE h > 0)
+SELECT caller, callee, count(*) AS n FROM lk WHERE NOT is_call AND caller IS NOT NULL GROUP BY ALL""")
+def replayed_pairs(spark, d):
+    """WIN1, JN20: all events as one run without depths, users of even ids call and others return; the stack is replayed in chunks."""
+    kind = F.when(F.col("user_id") % 2 == 0, "call").otherwise("return")
+    return replay.call_pairs(table(spark, d, "events").select(F.lit(0).alias("run"), F.col("event_id").alias("seq"), kind.alias("event"), F.col("event_type").alias("func")))
+
+
 _FUNCS = "fn AS (SELECT caller AS f FROM pairs UNION SELECT callee FROM pairs)"
 
 
@@ -375,6 +385,20 @@ def coverage_semi(spark, d):
     return coverage.covered_functions(functions, _coverage(spark, d)).select("name")
 
 
+@query("""WITH f AS (SELECT p_partkey AS name, p_partkey % 300 AS a, p_partkey % 300 + p_size * 3 AS b FROM part), executed AS (SELECT DISTINCT l_partkey % 1000 AS line FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7),
+missing AS (SELECT DISTINCT l_partkey % 1000 AS line FROM lineitem WHERE l_returnflag <> 'R' AND l_linenumber = 6 EXCEPT SELECT line FROM executed),
+n AS (SELECT name, (SELECT count(*) FROM executed WHERE line BETWEEN a AND b) AS covered, (SELECT count(*) FROM missing WHERE line BETWEEN a AND b) AS missing FROM f)
+SELECT name, covered, missing, coalesce(round(covered / nullif(covered + missing, 0) * 100, 2), 0) AS percent FROM n""")
+def function_coverage(spark, d):
+    """JN7, AGG16: parts as functions that all lie in files of one base name; their executed and missing lines, of parts that were sold."""
+    part, item = table(spark, d, "part"), table(spark, d, "lineitem")
+    start = (F.col("p_partkey") % 300).cast("int")
+    functions = part.select(F.concat(F.lit("p"), "p_partkey", F.lit("/__init__.py")).alias("path"), F.col("p_partkey").alias("name"), start.alias("start_line"), (start + F.col("p_size") * 3).cast("int").alias("end_line"))
+    line, returned = F.array(F.col("l_partkey") % 1000), F.col("l_returnflag") == "R"
+    reports_of = item.select(F.concat(F.lit("q"), "l_orderkey", F.lit("/__init__.py")).alias("path"), F.when(returned & (F.col("l_linenumber") == 7), line).alias("executed_lines"), F.when(~returned & (F.col("l_linenumber") == 6), line).alias("missing_lines"))
+    return coverage.function_coverage(functions, reports_of).select("name", "covered", "missing", "percent")
+
+
 @query("SELECT 'src/c' || c_custkey || '.py' AS path FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
 def uncovered_anti(spark, d):
     """JN12: customers as sources, their urgent orders as tests that map to them."""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brindle.operators.lines import inside
+
 HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
@@ -41,15 +43,13 @@ def parse_hunks(diffs: DataFrame, key: str = "path", patch: str = "patch") -> Da
 def changed_symbols(hunks: DataFrame, new_symbols: DataFrame, old_symbols: DataFrame | None = None, key: str = "path") -> DataFrame:
     """(key, name, type, start_line, end_line, changedLines): symbols that a changed line falls into.
 
-    New line numbers meet new symbols, old line numbers the old ones, so that deletions count. A file is one row
-    of changed lines, which each of its symbols filters.
+    New line numbers meet new symbols, old line numbers the old ones, so that deletions count. Symbols meet the blocks of
+    lines that they cover, so that a file is never one row or one task.
     """
 
-    def touched(lines: str, symbols: DataFrame) -> DataFrame:
-        changed = hunks.select(key, F.explode(lines).alias("line")).groupBy(key).agg(F.collect_set("line").alias("lines"))
-        on = symbols.select(key, "name", "type", "start_line", "end_line").join(changed, key)
-        inside = F.filter("lines", lambda n: n.between(F.col("start_line"), F.col("end_line")))
-        return on.select(key, "name", "type", "start_line", "end_line", F.explode(inside).alias("changed"))
+    def touched(side: str, symbols: DataFrame) -> DataFrame:
+        changed = hunks.select(F.col(key).alias("key"), F.explode(side).alias("line"))
+        return inside(symbols.select(key, "name", "type", "start_line", "end_line"), changed, key, "changed")
 
     rows = touched("changedNewLines", new_symbols)
     if old_symbols is not None:
