@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text
 from brindle.functions.structure import extract
-from brindle.functions.vectors import hashed_embedding
+from brindle.functions.vectors import cosine, hashed_embedding
 from brindle.operators import coverage, graph, patterns, search, symbols, vector_index
 from brindle.plans import drift, retrieval
 from brindle.queries.base import once, query, spread, stored, table
@@ -88,12 +88,86 @@ def symbol_documents(spark, d):
     return retrieval.symbol_documents(graph.build(extracted(spark, d))).select("name", "text")
 
 
-@query("SELECT p_partkey, CAST(1 AS BIGINT) AS buckets, CAST(2 AS DOUBLE) AS weight FROM part")
+@query("""WITH p AS (SELECT p_partkey AS key, p_partkey % 5 AS n FROM part) SELECT key, CAST(n > 0 AS BIGINT) AS buckets, CAST(n AS DOUBLE) AS weight, n > 0 AS same_as_said, CASE WHEN n > 0 THEN 1 ELSE 0 END::DOUBLE AS cosine_once, true AS sums, CAST(64 AS BIGINT) AS size FROM p""")
 def hashed_vectors(spark, d):
-    """TXT3: a text of one word, said twice, is one bucket of weight 2."""
-    words = F.array_repeat(said("w", F.col("p_partkey")), 2)
-    vectors = table(spark, d, "part").select("p_partkey", hashed_embedding(words).alias("v"))
-    return vectors.select("p_partkey", F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("buckets"), F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("weight"))
+    """TXT3: a word said none to four times is one bucket of that weight; more words do not turn a vector, other words do, and a vector of two texts is the sum of theirs."""
+    key, word, other = F.col("p_partkey"), F.array(said("w", F.col("p_partkey"))), F.array(F.col("p_name"), F.col("p_brand"))
+    times = F.array_repeat(word[0], (key % 5).cast("int"))
+    vectors = table(spark, d, "part").select(key.alias("key"), *[hashed_embedding(w).alias(n) for n, w in (("v", times), ("once", word), ("other", other), ("both", F.concat(times, other)))])
+    sums = F.zip_with("v", "other", lambda a, b: a + b) == F.col("both")
+    weight = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x))
+    # the bucket that is filled is the one of the word
+    same = F.exists(F.zip_with("v", "once", lambda a, b: (a != 0) & (b != 0)), lambda x: x)
+    return vectors.select("key", F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("buckets"), weight.alias("weight"), same.alias("same_as_said"), F.round(cosine(F.col("v"), F.col("once")), 6).alias("cosine_once"), sums.alias("sums"), F.size("v").cast("long").alias("size"))
+
+
+# --- code of many shapes: each customer a file ------------------------------------------------------------------------------
+
+
+def _varied(spark: SparkSession, d: str) -> DataFrame:
+    """Files of four shapes: an async function with all kinds of parameters, a decorator and a nested one; a class with methods; relative and nested imports; one that does not parse."""
+    k = F.col("c_custkey")
+    loops = F.array_join(F.array_repeat(F.lit("    while b:\n        b = 0\n"), (k % 3).cast("int")), "")
+    first = said(
+        "from ..pkg", k % 7, " import thing as t", k, ", other\n\n@route('/", k, "')\nasync def load", k, "(a, /, b: int, *args, c=", k % 5, ", **kw) -> dict:\n    \"\"\"Loads.\"\"\"\n    def inner(x):\n        return t", k,
+        ".run(x).close(x)\n    for i in args:\n        if i and b or c:\n            inner(i)\n", loops, "    return {}\n",
+    )
+    second = said(
+        "import os.path as p", k, ", sys\n\nclass Box", k, "(base.Box, Generic[T]):\n    size = make(1)\n    @staticmethod\n    def open(path=None):\n        try:\n            return p", k,
+        ".exists(path)\n        except (OSError, ValueError):\n            return None\n    async def close(self) -> None:\n        await self.pool.end", k, "(", k, ", 'x')\n",
+    )
+    third = said("from . import x", k, "\ndef f", k, "(*, key, other=", k, "):\n    from ...deep.er import *\n    return [y for y in x", k, ".all() if y and key]\n")
+    return spread(table(spark, d, "customer")).select(said("v/c", k, ".py").alias("path"), pick(k, first, second, third, said("def broken", k, "(:\n")).alias("content"))
+
+
+def _varied_extracted(spark: SparkSession, d: str) -> DataFrame:
+    return once(spark, "varied", d, lambda: stored(extract(_varied(spark, d)), "varied"))
+
+
+_VARIED = "c AS (SELECT c_custkey AS k, c_custkey % 4 AS kind, c_custkey % 3 AS loops, 'v/c' || c_custkey || '.py' AS path FROM customer)"
+
+
+@query(f"""WITH {_VARIED} SELECT path, 'load' || k AS name, 4 AS start_line, 11 + 2 * loops AS end_line, true AS is_async, false AS is_nested, CAST(NULL AS VARCHAR) AS class_name,
+'a:positional_only,b:positional_or_keyword:int,args:var_positional,c:keyword_only=' || k % 5 || ',kw:var_keyword' AS parameters, 'dict' AS returns, 'def load' || k || '(b, *args, c, **kw)' AS signature, 'Loads.' AS docstring, 'inner,route' AS calls FROM c WHERE kind = 0
+UNION ALL SELECT path, 'inner', 6, 7, false, true, NULL, 'x:positional_or_keyword', NULL, 'def inner(x)', NULL, 't' || k || '.run' FROM c WHERE kind = 0
+UNION ALL SELECT path, 'open', 6, 10, false, false, 'Box' || k, 'path:positional_or_keyword=None', NULL, 'def open(path)', NULL, 'p' || k || '.exists' FROM c WHERE kind = 1
+UNION ALL SELECT path, 'close', 11, 12, true, false, 'Box' || k, 'self:positional_or_keyword', 'None', 'def close(self)', NULL, 'self.pool.end' || k FROM c WHERE kind = 1
+UNION ALL SELECT path, 'f' || k, 2, 4, false, false, NULL, 'key:keyword_only,other:keyword_only=' || k, NULL, 'def f' || k || '(key, other)', NULL, 'x' || k || '.all' FROM c WHERE kind = 2""")
+def varied_functions(spark, d):
+    """EXT1, EXT2, EXT5: functions of every shape: async, nested, methods, kinds of parameters with defaults and annotations, calls of the innermost function."""
+    f = _varied_extracted(spark, d).select("path", F.inline("functions"))
+    shown = F.transform("parameters", lambda p: F.concat(p["name"], F.lit(":"), p["kind"], F.coalesce(F.concat(F.lit(":"), p["annotation"]), F.lit("")), F.coalesce(F.concat(F.lit("="), p["default"]), F.lit(""))))
+    calls = F.array_join(F.array_sort(F.transform("calls", lambda c: c["name"])), ",")
+    return f.select("path", "name", "start_line", "end_line", "is_async", "is_nested", "class_name", F.array_join(shown, ",").alias("parameters"), F.col("return_annotation").alias("returns"), "signature", "docstring", calls.alias("calls"))
+
+
+@query(f"""WITH {_VARIED} SELECT path, 'from_import' AS type, 1 AS lineno, 'pkg' || k % 7 AS module, 'thing' AS name, 't' || k AS alias, 2 AS level FROM c WHERE kind = 0
+UNION ALL SELECT path, 'from_import', 1, 'pkg' || k % 7, 'other', NULL, 2 FROM c WHERE kind = 0
+UNION ALL SELECT path, 'import', 1, 'os.path', NULL, 'p' || k, 0 FROM c WHERE kind = 1
+UNION ALL SELECT path, 'import', 1, 'sys', NULL, NULL, 0 FROM c WHERE kind = 1
+UNION ALL SELECT path, 'from_import', 1, NULL, 'x' || k, NULL, 1 FROM c WHERE kind = 2
+UNION ALL SELECT path, 'from_import', 3, 'deep.er', '*', NULL, 3 FROM c WHERE kind = 2""")
+def varied_imports(spark, d):
+    """EXT4: imports with levels and aliases, nested ones as well."""
+    return _varied_extracted(spark, d).select("path", F.inline("imports")).select("path", "type", "lineno", "module", "name", "alias", "level")
+
+
+@query(f"""WITH {_VARIED} SELECT path, 'load' || k AS name, 'function' AS type, 'route(''/' || k || ''')' AS decorators, 'b:int,*args,c=' || k % 5 || ',**kw' AS parameters, 'dict' AS returns, '' AS bases, '' AS methods,
+'close(x) of t' || k || '.run(x);inner(i);route(''/' || k || ''');run(x) of t' || k AS calls, 5 + loops AS complexity, 8 + 2 * loops AS lines, 2 AS imports FROM c WHERE kind = 0
+UNION ALL SELECT path, 'inner', 'function', '', 'x', NULL, '', '', 'close(x) of t' || k || '.run(x);run(x) of t' || k, 1, 2, 2 FROM c WHERE kind = 0
+UNION ALL SELECT path, 'Box' || k, 'class', '', '', NULL, 'base.Box,Generic[T]', 'open,close', 'end' || k || '(' || k || ', ''x'') of self.pool;exists(path) of p' || k || ';make(1)', 2, 10, 2 FROM c WHERE kind = 1
+UNION ALL SELECT path, 'open', 'function', 'staticmethod', 'path=None', NULL, '', '', 'exists(path) of p' || k, 2, 5, 2 FROM c WHERE kind = 1
+UNION ALL SELECT path, 'close', 'function', '', 'self', 'None', '', '', 'end' || k || '(' || k || ', ''x'') of self.pool', 1, 2, 2 FROM c WHERE kind = 1
+UNION ALL SELECT path, 'f' || k, 'function', '', 'key,other=' || k, NULL, '', '', 'all() of x' || k, 2, 3, 1 FROM c WHERE kind = 2""")
+def varied_symbols(spark, d):
+    """EXT6, EXT7, EXT8: symbols in depth: decorators, parameters, return types, bases, methods, calls with arguments, complexity, lines and imports of the module."""
+    s = _varied_extracted(spark, d).select("path", F.inline("deep"))
+    shown = F.transform("parameters", lambda p: F.concat(p["name"], F.coalesce(F.concat(F.lit(":"), p["annotation"]), F.lit("")), F.coalesce(F.concat(F.lit("="), p["default_value"]), F.lit(""))))
+    call = F.transform("functions_called", lambda c: F.concat(c["function_name"], F.lit("("), F.array_join(c["arguments"], ", "), F.lit(")"), F.when(c["is_method_call"], F.concat(F.lit(" of "), c["object_name"])).otherwise("")))
+    return s.select(
+        "path", F.col("symbol_name").alias("name"), F.col("symbol_type").alias("type"), F.array_join("decorators", ",").alias("decorators"), F.array_join(shown, ",").alias("parameters"), F.col("return_type").alias("returns"),
+        F.array_join("base_classes", ",").alias("bases"), F.array_join("methods", ",").alias("methods"), F.array_join(F.array_sort(call), ";").alias("calls"), F.col("cyclomatic_complexity").alias("complexity"), F.col("lines_of_code").alias("lines"), F.size("imports_used").alias("imports"),
+    )
 
 
 @query("SELECT doc_id, md5(left(text, 1200)) AS content, md5(left(text, 100)) AS docstring FROM documents")
