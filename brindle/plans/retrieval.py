@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text
 from brindle.operators import graph as G
 from brindle.operators import search
+from brindle.operators.context import MAX_NAMES, Context
 
 
 def symbol_documents(graph: G.Graph) -> DataFrame:
@@ -34,9 +35,16 @@ def build_index(graph: G.Graph, path: str) -> search.Index:
     return search.build_index(symbol_documents(graph), path, "id")
 
 
-def with_context(graph: G.Graph, hits: DataFrame) -> DataFrame:
-    """(name, score, code, path, neighbours) of hits (name, score), best first."""
-    return hits.join(G.expand(graph, hits.select("name")), "name").orderBy(F.desc("score"), "name")
+def with_context(graph: G.Graph | Context, hits: DataFrame) -> DataFrame:
+    """(name, score, code, path, neighbours) of hits (name, score), best first; from a stored neighbourhood if ``graph`` is one."""
+    if isinstance(graph, Context):
+        few = hits.limit(MAX_NAMES + 1).collect()
+        if len(few) <= MAX_NAMES:  # found once, not once for their names and once for their scores
+            hits = hits.sparkSession.createDataFrame(few, hits.schema)
+        expanded = graph.expand(hits)
+    else:
+        expanded = G.expand(graph, hits.select("name"))
+    return hits.join(expanded, "name").orderBy(F.desc("score"), "name")
 
 
 def retrieve_context(graph: G.Graph, query: str, k: int = 10, vectors: DataFrame | None = None, query_vector: list[float] | None = None, index: search.Index | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text
 from brindle.functions.structure import extract
 from brindle.functions.vectors import cosine, hashed_embedding
-from brindle.operators import coverage, graph, patterns, search, symbols, vector_index
+from brindle.operators import context, coverage, graph, patterns, search, symbols, vector_index
 from brindle.plans import drift, retrieval
 from brindle.queries.base import once, query, spread, stored, table
 from brindle.queries.core import _COS, _GRAPH, _HYBRID, QUESTION, _code, _graph, document_index, extracted
@@ -361,14 +361,14 @@ def modify_symbols(spark, d):
     return graph.modify(graph.Graph(nodes, g.edges), changed).nodes.filter("label = 'Function'").select("id", "signature", "docstring", "invalidated")
 
 
-def _stored_graph(spark: SparkSession, d: str) -> graph.Graph:
-    """The graph of suppliers and parts as stored tables, as a question meets it; made by the first query of a session that needs it."""
+def _neighbourhoods(spark: SparkSession, d: str) -> context.Context:
+    """The stored neighbourhoods of suppliers and parts, as a question meets them; made by the first query of a session that needs them."""
 
-    def make() -> graph.Graph:
+    def make() -> context.Context:
         g = _graph(spark, d)
-        return graph.Graph(stored(g.nodes.withColumns({"content": F.lit(""), "start_line": F.lit(1)}), "nodes"), stored(g.edges, "edges"))
+        return context.build(graph.Graph(g.nodes.withColumns({"content": F.lit(""), "start_line": F.lit(1)}), g.edges), shared_path(spark, "context"))
 
-    return once(spark, "graph", d, make)
+    return once(spark, "context", d, make)
 
 
 @query(f"""WITH {_HYBRID}, {_GRAPH}, named AS (SELECT name AS hit, score, 'Supplier#' || lpad(CAST(name AS VARCHAR), 9, '0') AS symbol FROM hits)
@@ -381,7 +381,7 @@ def retrieve_context(spark, d):
     near = search.top(vectors.join(F.broadcast(one)).select(F.col("vec_id").alias("name"), F.round(search.cosine(F.col("embedding"), F.col("q")), 6).alias("score")), 50, "name")
     hits = search.top(search.hybrid(near, keyword).select("name", F.round("score", 6).alias("score")), 20, "name")
     hits = hits.select(F.concat(F.lit("Supplier#"), F.lpad(F.col("name").cast("string"), 9, "0")).alias("name"), "score")
-    found = retrieval.with_context(_stored_graph(spark, d), hits)
+    found = retrieval.with_context(_neighbourhoods(spark, d), hits)
     return found.select("name", "score", F.size("neighbours").cast("long").alias("neighbours"), F.array_min("neighbours.name").alias("first"))
 
 
