@@ -41,7 +41,7 @@ class Context:
     spark: SparkSession
     path: str
 
-    def _of(self, table: str, names: DataFrame, known: list[str] | None) -> DataFrame:
+    def _of(self, table: str, names: DataFrame | None, known: list[str] | None) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.path}/{table}")
         return rows.join(names, "name", "left_semi") if known is None else rows.filter(F.col("name").isin(*known))
 
@@ -49,7 +49,13 @@ class Context:
         """(name, code, path, neighbours) of ``names(name)``, as ``graph.expand`` gives them."""
         asked = names.select("name").filter("name is not null").distinct()
         few = asked.limit(MAX_NAMES + 1).collect()
-        known = [r.name for r in few] if len(few) <= MAX_NAMES else None
+        return self._expanded(asked, [r.name for r in few] if len(few) <= MAX_NAMES else None)
+
+    def expand_known(self, names: list[str]) -> DataFrame:
+        """``expand`` of a few names that are at hand."""
+        return self._expanded(None, names)
+
+    def _expanded(self, asked: DataFrame | None, known: list[str] | None) -> DataFrame:
         listed = F.sort_array(F.collect_list(F.struct(F.col("other").alias("name"), "direction", "path")))
         near = self._of("near", asked, known).groupBy("name").agg(listed.alias("neighbours"))
         return self._of("symbols", asked, known).join(near, "name", "left").select("name", "code", "path", F.coalesce("neighbours", F.array().cast(_EMPTY)).alias("neighbours"))

@@ -13,9 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from brindle.functions.text import STOP_WORDS, TOKEN_BREAK, tokens
 from brindle.functions.vectors import cosine
@@ -48,6 +51,11 @@ def asked(spark: SparkSession, query: str) -> Counter[str]:
     return Counter(spark.range(1).select(tokens(F.lit(query)).alias("w")).first()["w"])
 
 
+def local(spark: SparkSession, rows: list, schema: StructType) -> DataFrame:
+    """A few collected rows as a table that lies in the plan: by Arrow, so that no Python worker reads them back."""
+    return spark.createDataFrame(pa.Table.from_pylist([r.asDict() for r in rows], schema=to_arrow_schema(schema)), schema)
+
+
 def build_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> "Index":
     """Stores the index of ``docs`` below ``path``, which must not exist, and opens it."""
     spark = docs.sparkSession
@@ -103,7 +111,7 @@ class Index:
             best = rounded(self.hits(weights).filter(F.round("score", digits) > 0))
             found = best.collect()  # k rows
             if len(found) == k:
-                return self.spark.createDataFrame(found, best.schema)
+                return local(self.spark, found, best.schema)
         return rounded(self.scores(query))
 
 

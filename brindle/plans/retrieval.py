@@ -37,14 +37,15 @@ def build_index(graph: G.Graph, path: str) -> search.Index:
 
 def with_context(graph: G.Graph | Context, hits: DataFrame) -> DataFrame:
     """(name, score, code, path, neighbours) of hits (name, score), best first; from a stored neighbourhood if ``graph`` is one."""
-    if isinstance(graph, Context):
-        few = hits.limit(MAX_NAMES + 1).collect()
-        if len(few) <= MAX_NAMES:  # found once, not once for their names and once for their scores
-            hits = hits.sparkSession.createDataFrame(few, hits.schema)
-        expanded = graph.expand(hits)
-    else:
-        expanded = G.expand(graph, hits.select("name"))
-    return hits.join(expanded, "name").orderBy(F.desc("score"), "name")
+    ordered = lambda hits, expanded: hits.join(expanded, "name").orderBy(F.desc("score"), "name")
+    if not isinstance(graph, Context):
+        return ordered(hits, G.expand(graph, hits.select("name")))
+    few = hits.limit(MAX_NAMES + 1).collect()
+    if len(few) > MAX_NAMES:
+        return ordered(hits, graph.expand(hits))
+    # found once, not once for their names and once for their scores; as many rows as hits are a top-k and no sort by range
+    known = [r.name for r in few if r.name is not None]
+    return ordered(search.local(hits.sparkSession, few, hits.schema), graph.expand_known(known)).limit(MAX_NAMES)
 
 
 def retrieve_context(graph: G.Graph, query: str, k: int = 10, vectors: DataFrame | None = None, query_vector: list[float] | None = None, index: search.Index | None = None) -> DataFrame:
