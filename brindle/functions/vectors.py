@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +24,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 def hashed_embedding(words: Column, size: int = 64) -> Column:
     """A bag-of-words vector by hashing, for texts that come without embeddings: signed counts of ``size`` buckets."""
-    bucket = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    sign = F.transform(words, lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0))
-    pairs = F.arrays_zip(bucket.alias("b"), sign.alias("s"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(pairs, lambda p: p["b"] == i), F.lit(0.0), lambda a, p: a + p["s"]).cast("float"))
+    # each word is hashed once, to its bucket and sign as one number; a batch of texts is then counted at once
+    codes = F.transform(words, lambda w: (2 * F.pmod(F.xxhash64(w), F.lit(size)) + F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2))).cast("int"))
+
+    @F.arrow_udf("array<float>")
+    def counted(codes: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(codes), 0).to_numpy(zero_copy_only=False))
+        said = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.searchsorted(ends, np.arange(len(said)), side="right")
+        sums = np.bincount(row * size + said // 2, weights=1.0 - 2.0 * (said % 2), minlength=len(codes) * size)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * size), pa.array(sums, pa.float32()), mask=pc.is_null(codes))
+
+    return counted(codes)

@@ -93,7 +93,7 @@ def hashed_vectors(spark, d):
     """TXT3: a word said none to four times is one bucket of that weight; more words do not turn a vector, other words do, and a vector of two texts is the sum of theirs."""
     key, word, other = F.col("p_partkey"), F.array(said("w", F.col("p_partkey"))), F.array(F.col("p_name"), F.col("p_brand"))
     times = F.array_repeat(word[0], (key % 5).cast("int"))
-    vectors = table(spark, d, "part").select(key.alias("key"), *[hashed_embedding(w).alias(n) for n, w in (("v", times), ("once", word), ("other", other), ("both", F.concat(times, other)))])
+    vectors = spread(table(spark, d, "part")).select(key.alias("key"), *[hashed_embedding(w).alias(n) for n, w in (("v", times), ("once", word), ("other", other), ("both", F.concat(times, other)))])
     sums = F.zip_with("v", "other", lambda a, b: a + b) == F.col("both")
     weight = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x))
     # the bucket that is filled is the one of the word

@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from brindle import queries as library
+from brindle.functions.vectors import hashed_embedding
 
 
 def test_prose_that_begins_like_code(spark, tmp_path):
@@ -12,3 +13,17 @@ def test_prose_that_begins_like_code(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert [tuple(r) for r in library.QUERIES["line_rules_prose"](spark, str(tmp_path)).collect()] == con.execute(library.SQL["line_rules_prose"]).fetchall()
+
+
+def test_words_are_hashed_once(spark):
+    size = 64
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, None), (4, [f"w{i}" for i in range(500)]), (5, ["a", None])], "id int, words array<string>").repartition(1)
+    hashed = F.explode("words")
+    said = rows.select("id", hashed.alias("w")).groupBy("id", F.pmod(F.xxhash64("w"), F.lit(size)).alias("b")).agg(F.sum(F.when(F.pmod(F.xxhash64("w", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)).alias("s"))
+    expected = {i: [0.0] * size for i in (1, 2, 4, 5)}
+    for r in said.collect():
+        expected[r.id][r.b] = r.s
+    found = rows.select("id", hashed_embedding(F.col("words")).alias("v"))
+    assert {r.id: r.v for r in found.collect()} == expected | {3: None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == 2  # the bucket and the sign, and not for each of the buckets
