@@ -1,10 +1,17 @@
 """Steps whose work or memory once grew faster than their input."""
 
 import duckdb
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from brindle import queries as library
+from brindle.functions.structure import FILES, extract
 from brindle.functions.vectors import hashed_embedding
+from brindle.operators import lines, patterns, search, vector_index
+from brindle.sources.sinks import Store
+from brindle.streaming import loop
 
 
 def test_prose_that_begins_like_code(spark, tmp_path):
@@ -27,3 +34,62 @@ def test_words_are_hashed_once(spark):
     assert {r.id: r.v for r in found.collect()} == expected | {3: None}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("xxhash64") == 2  # the bucket and the sign, and not for each of the buckets
+
+
+def test_structure_leaves_in_small_batches(spark):
+    files = spark.range(0, 3 * FILES, 1, 1).select(F.concat(F.lit("p"), "id").alias("path"), F.concat(F.lit("def f"), "id", F.lit("(a: int = 1):\n    return g(a)\n")).alias("content"))
+    sizes = extract(files).mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n long")
+    assert sum(r.n for r in sizes.collect()) == 3 * FILES
+
+    def run(f, batch):
+        return [b.num_rows for b in f(iter([batch]))]
+
+    # what a worker makes of one batch
+    seen = {}
+
+    class Files:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, f, schema: seen.update(f=f)
+
+    extract(Files())
+    whole = pa.RecordBatch.from_pydict({"path": ["p"] * (2 * FILES + 1), "content": ["x = 1"] * (2 * FILES + 1)})
+    assert run(seen["f"], whole) == [FILES, FILES, 1]
+
+
+def test_candidates_are_parsed_once(spark):
+    rows = [("p", "s", f"c{i}", f"def c{i}(a):\n    validate(a)\n    return {i}\n", 0.9 - i / 10, i + 1) for i in range(3)]
+    found = patterns.conventions(spark.createDataFrame(rows, "path string, symbol string, name string, content string, score double, rank int"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    row = found.first()
+    assert (row.return_style, row.parameter_count, row.common_calls, row.common_imports, row.examples, row.score) == ("int", 1, ["validate"], [], ["c0", "c1", "c2"], 0.9)
+
+
+def test_a_part_of_the_extraction_is_few_files(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/store")
+    changes = spark.range(0, 400, 1, 8).select(F.concat(F.lit("p"), "id").alias("file_path"), F.lit("added").alias("change_type"), F.timestamp_seconds("id").alias("ts"), F.lit(None).cast("string").alias("old_path"), F.lit("def f():\n    pass\n").alias("content"))
+    loop.apply_changes(store, changes, batch=0)
+    assert len(store.read("extracted").inputFiles()) == len(store.parts("extracted"))
+
+
+def test_questions_of_wide_lists_leave_in_blocks(spark, tmp_path):
+    draw = np.random.default_rng(3)
+    rows = [(i, draw.normal(size=16).tolist()) for i in range(1500)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1)
+    index = vector_index.build(vectors, f"{tmp_path}/index", lists=40)
+    found = index.nearest(vectors.filter("vec_id % 3 = 0"), 5, exact=True)
+    assert "RepartitionByExpression" not in found._jdf.queryExecution().logical().toString()  # questions are not one row for each list
+    same = lambda df: sorted((r.query, r[1], r.rank) for r in df.collect())
+    assert same(found) == same(search.nearest(vectors.filter("vec_id % 3 = 0"), vectors, 5).select("query", "vec_id", "score", "rank"))
+
+
+def test_blocks_are_repeated_for_shared_names_alone(spark):
+    ranges = spark.range(0, 100).select(F.concat(F.lit("k"), F.col("id") % 50).alias("path"), F.lit("f").alias("name"), (F.col("id") % 7).cast("int").alias("start_line"), F.lit(130).alias("end_line"))
+    lines_ = spark.range(0, 150).select(F.concat(F.lit("k"), F.col("id") % 50).alias("key"), F.col("id").cast("int").alias("line"))
+    found = lines.inside(ranges, lines_, "path", "line")
+    expected = sorted((r.path, r.start_line, x.line) for r in ranges.collect() for x in lines_.collect() if x.key == r.path and r.start_line <= x.line <= 130)
+    assert sorted((r.path, r.start_line, r.line) for r in found.collect()) == expected and found.schema["line"].dataType.simpleString() == "int"
+    try:
+        many, lines.MANY = lines.MANY, 1
+        assert sorted((r.path, r.start_line, r.line) for r in lines.inside(ranges, lines_, "path", "line").collect()) == expected
+    finally:
+        lines.MANY = many
