@@ -14,9 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ SAMPLE, FITS, MAX_LISTS = 50_000, 10, 4096
 PROBES = 8
 #: Rows of a block of vectors and of questions that are compared at once, and tasks that the blocks of one list are dealt to.
 BLOCK, ASKED, SALTS = 2048, 512, 8
+#: Bytes of questions, about, that a task sends to their lists at once.
+BYTES = 8 << 20
 DIGITS = 6
 #: Angles, in radians, that a rounded score may be off.
 SLACK = 2e-3
@@ -68,26 +72,27 @@ def _assigned(centroids: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Itera
     return run
 
 
-def _packed(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows of one list as blocks of ids and vectors of length one."""
+def _packed(size: int, salts: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows of one list as blocks of ids and vectors of length one, dealt to the tasks of their list."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for number, own in batch.groupby("list", sort=False):
                 for i in range(0, len(own), size):
                     part = own.iloc[i : i + size]
-                    rows = unit(np.stack([np.asarray(v, np.float64) for v in part["v"]]))
-                    yield pd.DataFrame({"list": [number], "ids": [part["id"].to_numpy(np.int64).tobytes()], "rows": [rows.tobytes()]})
+                    ids, rows = part["id"].to_numpy(np.int64).tobytes(), unit(np.stack([np.asarray(v, np.float64) for v in part["v"]]))
+                    yield pd.DataFrame({"list": [number], "salt": [crc32(ids) % salts[number]], "ids": [ids], "rows": [rows.tobytes()]})
 
     return run
 
 
-def _compared(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The best ``k`` of each pair of blocks, for each question."""
+def _compared(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The best ``k`` of each pair of blocks, for each question. Blocks are read where they lie in their batch."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q_rows, ids, rows in zip(batch["q_ids"], batch["q_rows"], batch["ids"], batch["rows"]):
+            for i in range(batch.num_rows):
+                q_ids, q_rows, ids, rows = (batch.column(c)[i].as_buffer() for c in ("q_ids", "q_rows", "ids", "rows"))
                 q, c = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
                 score = np.round(np.frombuffer(q_rows).reshape(len(q), -1) @ np.frombuffer(rows).reshape(len(c), -1).T, DIGITS) + 0.0
                 score[q[:, None] == c[None, :]] = -np.inf
@@ -96,7 +101,7 @@ def _compared(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
                 kept = np.take_along_axis(score, best, axis=1)
                 asked, found = np.repeat(q, best.shape[1]), c[best].ravel()
                 real = np.isfinite(kept.ravel())
-                yield pd.DataFrame({"query": asked[real], "key": found[real], "score": kept.ravel()[real]})
+                yield pa.RecordBatch.from_arrays([pa.array(asked[real]), pa.array(found[real]), pa.array(kept.ravel()[real])], ["query", "key", "score"])
 
     return run
 
@@ -148,33 +153,36 @@ class VectorIndex:
         """(query, key, score, rank): the best ``k`` of each query but itself, of the ``probes`` nearest lists; with ``exact`` of all.
 
         A question meets the vectors of its lists alone. Both sides are packed into blocks, so that a meeting is one matrix product that
-        keeps ``k`` rows a question; blocks of a list are dealt to ``SALTS`` tasks.
+        keeps ``k`` rows a question; blocks of a list are dealt to at most ``SALTS`` tasks. Questions leave a task in blocks, of ``BYTES`` at once.
         """
         stats, centroids = self.stats(), self.centroids
         filled, radius = stats["n"].to_numpy() > 0, stats["radius"].to_numpy()
+        salts = np.clip(-(-stats["n"].to_numpy().astype(np.int64) // BLOCK), 1, SALTS)  # a list of one block is one task's
 
         def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if not len(batch) or not len(centroids):
                     continue
-                away = angles(unit(np.stack([np.asarray(v, np.float64) for v in batch["v"]])) @ centroids.T)
-                away[:, ~filled] = np.inf
-                rank = np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1, kind="stable")
-                hit = (rank < probes) & np.isfinite(away)
-                if "reach" in batch:  # what the first lists did not settle
-                    hit = ~hit & (away - radius[None, :] <= batch["reach"].to_numpy()[:, None])
-                row, number = np.nonzero(hit)
-                yield pd.DataFrame({"list": number, "id": batch["id"].to_numpy()[row], "v": batch["v"].to_numpy()[row]})
+                for i in range(0, len(batch), ASKED):
+                    part = batch.iloc[i : i + ASKED]
+                    ids, rows = part["id"].to_numpy(np.int64), unit(np.stack([np.asarray(v, np.float64) for v in part["v"]]))
+                    away = angles(rows @ centroids.T)
+                    away[:, ~filled] = np.inf
+                    rank = np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1, kind="stable")
+                    hit = (rank < probes) & np.isfinite(away)
+                    if "reach" in part:  # what the first lists did not settle
+                        hit = ~hit & (away - radius[None, :] <= part["reach"].to_numpy()[:, None])
+                    lists = np.flatnonzero(hit.any(0))
+                    for some in np.array_split(lists, -(-len(lists) * rows.nbytes // BYTES) or 1):  # where lists are wide, all questions ask all lists
+                        yield pd.DataFrame({"list": some, "salts": salts[some], "q_ids": [ids[hit[:, n]].tobytes() for n in some], "q_rows": [rows[hit[:, n]].tobytes() for n in some]})
 
         rows = _rows(queries, key, embedding)
-        kind = rows.schema["v"].dataType.simpleString()
 
         def met(asked: DataFrame) -> DataFrame:
-            asked = asked.mapInPandas(probed, f"list int, id long, v {kind}").repartition("list").sortWithinPartitions("list")
-            asked = asked.mapInPandas(_packed(ASKED), "list int, ids binary, rows binary").select("list", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
-            asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            held = self._held().select("list", "id", "v").mapInPandas(_packed(BLOCK), "list int, ids binary, rows binary").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int"))
-            return held.join(asked, ["list", "salt"]).select("q_ids", "q_rows", "ids", "rows").mapInPandas(_compared(k), "query long, key long, score double")
+            asked = asked.mapInPandas(probed, "list int, salts int, q_ids binary, q_rows binary")
+            asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            held = self._held().select("list", "id", "v").mapInPandas(_packed(BLOCK, salts), "list int, salt int, ids binary, rows binary")
+            return held.join(asked, ["list", "salt"]).select("q_ids", "q_rows", "ids", "rows").mapInArrow(_compared(k), "query long, key long, score double")
 
         place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))
         best = lambda found: found.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k)
