@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,34 +38,35 @@ def candidates(*sources: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     return best.withColumn("rank", rank).filter(F.col("rank") <= limit).select("path", "symbol", "name", "b.content", "b.score", "rank")
 
 
-def most_frequent(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """(keys, value): the most frequent value of each group; of equally frequent ones that seen first by ``order``."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__first"))
-    return counts.groupBy(*keys).agg(F.max_by(value, F.struct("__n", -F.col("__first"), F.lit(0))).alias(value))
+def _most_frequent(rows: Column, value: str) -> Column:
+    """The most frequent value in a group's rows, which stand by rank; of equally frequent ones that seen first."""
+    values = F.transform(rows, lambda r: r["f"][value])
+    times = F.transform(F.array_distinct(values), lambda v: F.struct(F.size(F.filter(values, lambda w: w == v)).alias("n"), (-F.array_position(values, v)).alias("first"), v.alias("v")))
+    return F.array_max(times)["v"]
+
+
+def _common(rows: Column, value: str) -> Column:
+    """Up to eight names that two of a group's rows hold, in the order of the first rows that do; in one row by name."""
+    every = F.array_distinct(F.flatten(F.transform(rows, lambda r: F.array_sort(r["f"][value]))))
+    return F.slice(F.filter(every, lambda v: F.size(F.filter(rows, lambda r: F.array_contains(r["f"][value], v))) >= 2), 1, 8)
 
 
 def conventions(found: DataFrame) -> DataFrame:
     """(path, symbol, return_style, has_try_except, raises, parameter_count, common_calls, common_imports, score, examples) of candidates.
 
-    Helpers count only where there are no other candidates. A call or import is common if two candidates have it.
+    Helpers count only where there are no other candidates. A call or import is common if two candidates have it. The few candidates
+    of a symbol are one row, and their code is parsed once.
     """
-    keys = ["path", "symbol"]
     helper = F.lower("name").rlike("^(" + "|".join(HELPERS) + ")")
-    rows = found.withColumn("helper", helper).withColumn("others", F.bool_or(~helper).over(W.partitionBy(*keys)))
-    rows = rows.filter(~(F.col("helper") & F.col("others"))).withColumn("f", structural_features(F.col("content"))).select(*keys, "rank", "f.*")
-    out = found.groupBy(*keys).agg(F.max("score").alias("score"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda s: s["name"]).alias("examples"))
-    for c in ("return_style", "has_try_except", "raises", "parameter_count"):
-        out = out.join(most_frequent(rows, keys, c, "rank"), keys)
-
-    def common(column: str) -> DataFrame:
-        used = rows.select(*keys, "rank", F.explode(column).alias("v")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")).filter("n >= 2")
-        listed = F.transform(F.sort_array(F.collect_list(F.struct("first", "v"))), lambda s: s["v"])
-        return used.groupBy(*keys).agg(F.slice(listed, 1, 8).alias(f"common_{column}"))
-
-    none = F.array().cast("array<string>")
-    for c in ("calls", "imports"):
-        out = out.join(common(c), keys, "left").withColumn(f"common_{c}", F.coalesce(f"common_{c}", none))
-    return out
+    row = F.struct("rank", "name", helper.alias("helper"), "score", structural_features(F.col("content")).alias("f"))
+    groups = found.groupBy("path", "symbol").agg(F.sort_array(F.collect_list(row)).alias("all"))
+    rows = F.when(F.exists("all", lambda r: ~r["helper"]), F.filter("all", lambda r: ~r["helper"])).otherwise(F.col("all"))
+    # exploding a list of one keeps the optimizer from filtering the rows for each use of them
+    groups = groups.select("path", "symbol", "all", F.explode(F.array(rows)).alias("rows"))
+    kinds = [_most_frequent(F.col("rows"), c).alias(c) for c in ("return_style", "has_try_except", "raises", "parameter_count")]
+    common = [_common(F.col("rows"), c).alias(f"common_{c}") for c in ("calls", "imports")]
+    score = F.array_max(F.transform("all", lambda r: r["score"]))
+    return groups.select("path", "symbol", score.alias("score"), F.transform("all", lambda r: r["name"]).alias("examples"), *kinds, *common)
 
 
 def compare(changed: DataFrame, convention: DataFrame) -> DataFrame:
