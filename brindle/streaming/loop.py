@@ -136,7 +136,7 @@ def apply_changes(store: Store, changes: DataFrame, config: Config = Config(), b
         fresh = parsed.unionByName(came)
         before = S.snapshot(old.join(held, "path", "left_semi"))
         differences = S.diff(before, S.snapshot(fresh)).withColumn("batch", F.lit(number))
-        after = old.join(held, "path", "left_anti").unionByName(fresh).withColumn("part", part_of(F.col("path")))
+        after = old.join(held, "path", "left_anti").unionByName(fresh).withColumn("part", part_of(F.col("path"))).hint("rebalance", "part")  # else each task writes a file into each part
         kept = delta.changes(store, old.join(held, "path", "left_semi"), fresh, held.select("path"), config.repository) if config.maintain else {}
         whole = {}
         if config.keywords:
