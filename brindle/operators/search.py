@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,16 +28,80 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 WEIGHTS = (0.6, 0.4)
 #: Rows of a block of vectors, which is compared with a block of queries at once.
 BLOCK = 4096
+#: Postings of one term that leave a task as one row, and postings that a task puts together at once.
+RUN, CHUNK = 32, 3_000_000
+
+
+def repeats(rows: DataFrame, key: str) -> bool:
+    """Whether rows share a key, or several lack one. Keys alone are read and shuffled."""
+    return not rows.groupBy(F.col(key)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("n").limit(1).isEmpty()
+
+
+def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, dl, terms, tfs): a row for each row of ``docs``, with its length in words, its different words, sorted and joined by blanks, and how often it says each.
+
+    Words are counted within the row, so that nothing is shuffled, and no table of counts is held.
+    """
+    # exploding a list of one keeps the optimizer from cutting the text into words for each use of them
+    words = docs.select(F.col(key).alias("key"), F.explode(F.array(F.sort_array(tokens(F.col(text))))).alias("words"))
+    first = lambda w, i: (i == 0) | (w != F.get("words", i - 1))
+    starts = F.filter(F.transform("words", lambda w, i: F.when(first(w, i), i)), F.isnotnull)
+    rows = words.select("key", F.size("words").alias("n"), F.array_join(F.array_distinct("words"), " ").alias("terms"), F.explode(F.array(starts)).alias("starts"))
+    tfs = F.transform("starts", lambda s, i: F.coalesce(F.get("starts", i + 1), F.col("n")) - s)
+    return rows.select("key", F.col("n").cast("long").alias("dl"), "terms", tfs.alias("tfs"))
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, dl, term, tf): how often each document says each term, beside its length in words; one row with a null term for a document without words.
 
-    Counts combine on the map side; a frequent word is one row of a document.
+    Only where rows share a key are counts shuffled, to become one row for each key, length and term.
     """
-    # exploding a list of one keeps the optimizer from cutting the text into words for each use of them
-    words = docs.select(F.col(key).alias("key"), F.explode(F.array(tokens(F.col(text)))).alias("words"))
-    return words.select("key", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term")).groupBy("key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    of = counted(docs, key, text).select("key", "dl", F.explode_outer(F.when(F.col("dl") > 0, F.arrays_zip(F.split("terms", " ").alias("term"), F.col("tfs").alias("tf")))).alias("p"))
+    rows = of.select("key", "dl", "p.term", F.coalesce(F.col("p.tf"), F.lit(1)).cast("long").alias("tf"))
+    return rows.groupBy("key", "dl", "term").agg(F.sum("tf").alias("tf")) if repeats(docs, key) else rows
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, keys, counts): the postings of (key, dl, terms, tfs), at most ``RUN`` of one term in a row; a count is dl and tf as one number."""
+
+    def block(rows: pa.Table) -> pa.RecordBatch:
+        words = pc.split_pattern(rows.column("terms").combine_chunks(), " ")
+        doc = np.repeat(np.arange(rows.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        coded = words.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        codes, doc, place = codes[order], doc[order], np.arange(len(order))
+        begins = np.concatenate([[True], codes[1:] != codes[:-1]])
+        starts = np.flatnonzero((place - np.maximum.accumulate(np.where(begins, place, 0))) % RUN == 0)
+        counts = (rows.column("dl").to_numpy()[doc] << 32) | rows.column("tfs").combine_chunks().flatten().to_numpy()[order]
+        offsets, keys = pa.array(np.append(starts, len(order)), pa.int32()), rows.column("key").combine_chunks().take(pa.array(doc))
+        return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(codes[starts])), pa.ListArray.from_arrays(offsets, keys), pa.ListArray.from_arrays(offsets, pa.array(counts))], names=["term", "keys", "counts"])
+
+    held, size = [], 0
+    for batch in batches:
+        ends, at = np.cumsum(pc.list_value_length(batch.column("tfs")).to_numpy(zero_copy_only=False)), 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + CHUNK - size, "right")))
+            held.append(batch.slice(at, to - at))
+            size, at = size + ends[to - 1] - done, to
+            if at < batch.num_rows or size >= CHUNK:
+                yield block(pa.Table.from_batches(held))
+                held, size = [], 0
+    if held:
+        yield block(pa.Table.from_batches(held))
+
+
+def by_term(counts: DataFrame) -> DataFrame:
+    """(term, key, dl, tf): the postings of ``counts(key, dl, terms, tfs)``, dealt and sorted by term. A term that most documents hold is dealt to several files.
+
+    Postings of one term leave a task together, so that a shuffled row is up to ``RUN`` of them and not one.
+    """
+    kind = counts.schema["key"].dataType.simpleString()
+    blocks = counts.filter("dl > 0").select("key", "dl", "terms", "tfs").mapInArrow(_blocks, f"term string, keys array<{kind}>, counts array<bigint>")
+    dealt = blocks.repartitionByRange(F.col("term"), F.xxhash64(F.col("keys")[0])).sortWithinPartitions("term", F.col("keys")[0])
+    rows = dealt.select("term", F.inline(F.arrays_zip("keys", "counts")).alias("key", "count"))
+    return rows.select("term", "key", F.shiftright("count", 32).alias("dl"), F.col("count").bitwiseAND((1 << 32) - 1).alias("tf"))
 
 
 def idf(terms: DataFrame, n: DataFrame) -> DataFrame:
@@ -59,13 +124,18 @@ def local(spark: SparkSession, rows: list, schema: StructType) -> DataFrame:
 def build_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> "Index":
     """Stores the index of ``docs`` below ``path``, which must not exist, and opens it."""
     spark = docs.sparkSession
-    # sorted by term and key: a term that most documents hold is dealt to several files
-    postings(docs, key, text).repartitionByRange(F.col("term"), F.xxhash64("key")).sortWithinPartitions("term", "key").write.parquet(f"{path}/postings")
-    counted = spark.read.parquet(f"{path}/postings")
-    counted.groupBy("key").agg(F.max("dl").alias("dl")).write.parquet(f"{path}/lengths")
-    lengths = spark.read.parquet(f"{path}/lengths")
+    if repeats(docs, key):
+        # rows of one key and length are one document
+        flat = postings(docs, key, text).filter("term is not null").repartitionByRange(F.col("term"), F.xxhash64("key")).sortWithinPartitions("term", "key").select("term", "key", "dl", "tf")
+        lengths = docs.select(F.col(key).alias("key"), F.size(tokens(F.col(text))).cast("long").alias("dl")).groupBy("key").agg(F.max("dl").alias("dl"))
+        lengths.write.parquet(f"{path}/lengths")
+    else:
+        counted(docs, key, text).write.option("compression", "zstd").parquet(f"{path}/lengths")
+        flat = by_term(spark.read.parquet(f"{path}/lengths"))
+    flat.write.option("compression", "zstd").parquet(f"{path}/postings")
+    counted_terms, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    terms = idf(counted.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats.select("n"))
+    terms = idf(counted_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats.select("n"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
     stats.write.parquet(f"{path}/stats")
     return Index(spark, path)
@@ -73,7 +143,7 @@ def build_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
 
 @dataclass(frozen=True)
 class Index:
-    """A stored index: ``postings`` (term, key, dl, tf), ``lengths`` (key, dl), ``terms`` (term, df, idf) and one row of ``stats``."""
+    """A stored index: ``postings`` (term, key, dl, tf), ``lengths`` (key, dl, and beside them what ``counted`` gives), ``terms`` (term, df, idf) and one row of ``stats``."""
 
     spark: SparkSession
     path: str

@@ -85,3 +85,29 @@ def test_questions_of_wide_lists_leave_in_blocks(spark, tmp_path):
 def test_orphans_tell_ends_apart_once(spark, sf_dir):
     plan = library.QUERIES["orphans"](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
     assert plan.count("Deduplicate") == 1  # of ends, not of edges before
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_different_documents_are_not_shuffled(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "blue red blue"), (2, None), (3, "red " * 70 + "blue")], "doc_id long, text string")
+    found = search.postings(docs)
+    assert "Exchange" not in _plan(found)
+    assert {tuple(r) for r in found.select("key", "dl", "term", "tf").collect()} == {(1, 3, "red", 1), (1, 3, "blue", 2), (2, 0, None, 1), (3, 71, "red", 70), (3, 71, "blue", 1)}
+    again = search.postings(docs.union(docs))  # rows of one key and length are one document
+    assert {tuple(r) for r in again.select("key", "term", "tf").collect()} == {(1, "red", 2), (1, "blue", 4), (2, None, 2), (3, "red", 140), (3, "blue", 2)}
+    many = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("every w"), F.col("id") % 7).alias("text"))
+    index = search.build_index(many, f"{tmp_path}/many")
+    held = [tuple(r) for r in index.table("postings").select("term", "key", "dl", "tf").collect()]
+    assert sorted(held) == sorted([("every", i, 2, 1) for i in range(300)] + [(f"w{i % 7}", i, 2, 1) for i in range(300)])
+
+
+def test_postings_leave_a_task_by_term(spark, monkeypatch):
+    monkeypatch.setattr(search, "CHUNK", 6)
+    rows = pa.RecordBatch.from_pydict({"key": ["x", "y", "z"], "dl": pa.array([2, 3, 9], pa.int64()), "terms": ["a b", "b", "a b c d e f g"], "tfs": pa.array([[1, 1], [3], [1, 1, 1, 1, 1, 1, 3]], pa.list_(pa.int32()))})
+    made = list(search._blocks(iter([rows.slice(0, 1), rows.slice(1)])))
+    got = [(t, k, c >> 32, c & 0xFFFFFFFF) for b in made for t, keys, counts in zip(*(c.to_pylist() for c in b.columns)) for k, c in zip(keys, counts)]
+    assert sorted(got) == sorted([("a", "x", 2, 1), ("b", "x", 2, 1), ("b", "y", 3, 3), ("g", "z", 9, 3)] + [(t, "z", 9, 1) for t in "abcdef"])
+    assert [b.num_rows for b in made] == [2, 7]  # of one term one row
