@@ -3,7 +3,7 @@
 A batch of documents that came, changed or went is one new segment; no segment that stands is written again. Its tables:
 
 * ``keyword_postings``: words of the documents that came, sorted by term;
-* ``keyword_docs``: the same documents with their different words, dealt by key, so that a later batch learns which words go with a document;
+* ``keyword_docs``: the same documents with their different words and how often they say them, dealt by key, so that a later batch learns which words go with a document;
 * ``keyword_dead``: documents that an earlier segment holds and this one replaces or removes: what stands there below its number counts no more;
 * ``keyword_terms``: by how much the document frequency of each term of the batch rose or fell.
 
@@ -27,17 +27,17 @@ from pyspark.sql import functions as F
 
 from brindle.operators import search
 from brindle.session import shared_path
-from brindle.sources.sinks import Store
+from brindle.sources.sinks import Staged, Store
 
 #: Segments of one level that become one of the next; parts of a segment's documents by key.
 FANOUT, BUCKETS = 4, 64
 POSTINGS, DOCS, DEAD, TERMS, FREQUENCIES, TOTALS = (f"keyword_{t}" for t in ("postings", "docs", "dead", "terms", "frequencies", "totals"))
-Parts = dict[str, tuple[DataFrame, str, list[str]]]
+Parts = dict[str, tuple[DataFrame | Staged, str, list[str]]]
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,39 +74,45 @@ def _by_term(rows: DataFrame) -> DataFrame:
 
 def changes(store: Store, docs: DataFrame, gone: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> tuple[dict[str, DataFrame], Parts]:
     """What to commit, as whole tables and as parts, when ``docs(key, text)`` come or change and ``gone(key)`` go."""
-    came = docs.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    new = _stored(search.postings(came, "key", "text"), "keyword-new")
-    held = new.groupBy("key", "dl").agg(F.collect_list("term").alias("terms"))  # nulls are not collected
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # texts are shuffled only if keys repeat
+    came = rows.groupBy("key").agg(F.max("text").alias("text")) if search.repeats(rows, "key") else rows
     number = max((n for n, _ in segments(store)), default=-1) + 1
     part, of_batch = _name(number, 0), F.lit(number).cast("long").alias("segment")
-    none = held.select("key", "dl", "terms", of_batch).limit(0)
-    old, terms = none, None
+    dealt = lambda df: df.withColumn("part", F.concat(F.lit(f"{part}-"), _bucket(F.col("key")))).hint("rebalance", "part")
+    held = store.stage(DOCS, dealt(search.counted(came, "key", "text")).withColumn("segment", of_batch), "part")
+    new = held.rows
+    # a constant for a part needs no sort, which would undo that by term
+    listed = store.stage(POSTINGS, search.by_term(new).select("term", "key", "dl", "tf", of_batch, F.lit(part).alias("part")), "part")
+    old, terms = new.select("key", "dl", "segment").limit(0), None
+    said = listed.rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if store.exists(DOCS):
         touched = new.select("key")
         if gone is not None:
             touched = touched.unionByName(gone.filter(F.col(key).isNotNull()).select(F.col(key).alias("key")))
         touched = _stored(touched.distinct(), "keyword-touched")
         buckets = {r[0] for r in touched.select(_bucket(F.col("key"))).distinct().collect()}  # at most BUCKETS
-        there = store.read(DOCS, _parts(store, DOCS, buckets=buckets)).join(touched, "key", "left_semi")
-        old, terms = _stored(_alive(there, store.read(DEAD)), "keyword-old"), store.read(TERMS)
-    said = new.filter("term is not null").select("term", F.lit(1).alias("df")).unionByName(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("df")))
+        there = store.read(DOCS, _parts(store, DOCS, buckets=buckets))
+        # which documents go is found without their words, and their words are read once
+        old, terms = _stored(_alive(there.select("key", "dl", "segment").join(touched, "key", "left_semi"), store.read(DEAD)), "keyword-old"), store.read(TERMS)
+        words = there.filter("dl > 0").select("key", "segment", "terms").join(old.select("key", "segment"), ["key", "segment"], "left_semi")
+        said = said.unionByName(words.select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df")))
     risen = _stored(said.groupBy("term").agg(F.sum("df").cast("long").alias("df")).filter("df <> 0"), "keyword-risen")
     was = risen.select("term", F.lit(0).cast("long").alias("was")) if terms is None else risen.select("term").join(terms, "term", "left").groupBy("term").agg(F.coalesce(F.sum("df"), F.lit(0)).cast("long").alias("was"))
     moves = risen.join(was, "term").select(F.explode(F.array(F.struct(F.col("was").alias("df"), F.lit(-1).alias("n")), F.struct((F.col("was") + F.col("df")).alias("df"), F.lit(1).alias("n")))).alias("m")).select("m.*")
     if store.exists(FREQUENCIES):
         moves = moves.unionByName(store.read(FREQUENCIES))
     frequencies = _stored(moves.filter("df > 0").groupBy("df").agg(F.sum("n").cast("long").alias("n")).filter("n <> 0"), "keyword-frequencies")
-    sums = held.select("dl", F.lit(1).alias("n")).unionByName(old.select((-F.col("dl")).alias("dl"), F.lit(-1).alias("n"))).select(F.col("n").cast("long"), F.col("dl").alias("words"))
+    sums = new.select("dl", F.lit(1).alias("n")).unionByName(old.select((-F.col("dl")).alias("dl"), F.lit(-1).alias("n"))).select(F.col("n").cast("long"), F.col("dl").alias("words"))
     if store.exists(TOTALS):
         sums = sums.unionByName(store.read(TOTALS).select("n", "words"))
     totals = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("words"))
     raw = F.ln(F.col("all") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     mean = frequencies.join(F.broadcast(totals.select(F.col("n").alias("all")))).agg((F.sum(raw * F.col("n")) / F.sum("n")).alias("mean"))
-    dealt = lambda df: df.withColumn("part", F.concat(F.lit(f"{part}-"), _bucket(F.col("key")))).hint("rebalance", "part")
     whole = {FREQUENCIES: frequencies, TOTALS: totals.join(F.broadcast(mean))}
     return whole, {
-        POSTINGS: (_by_term(new.filter("term is not null").select("term", "key", "dl", "tf", of_batch).withColumn("part", F.lit(part))), "part", []),
-        DOCS: (dealt(held.select("key", "dl", "terms", of_batch)), "part", []),
+        POSTINGS: (listed, "part", []),
+        DOCS: (held, "part", []),
         DEAD: (old.select("key", of_batch.alias("below")).withColumn("part", F.lit(part)), "part", []),
         TERMS: (risen.withColumn("part", F.lit(part)).repartitionByRange("term").sortWithinPartitions("part", "term"), "part", []),
     }
@@ -126,7 +132,7 @@ def merge(store: Store) -> int:
         dead = store.read(DEAD, list(names))
         rows = lambda t: store.read(t, _parts(store, t, names))
         left = _alive(rows(POSTINGS), dead).select("term", "key", "dl", "tf", of_merged).withColumn("part", F.lit(part))
-        docs = _alive(rows(DOCS), dead).select("key", "dl", "terms", of_merged).withColumn("part", F.concat(F.lit(f"{part}-"), _bucket(F.col("key")))).hint("rebalance", "part")
+        docs = _alive(rows(DOCS), dead).select("key", "dl", "terms", "tfs", of_merged).withColumn("part", F.concat(F.lit(f"{part}-"), _bucket(F.col("key")))).hint("rebalance", "part")
         risen = rows(TERMS).groupBy("term").agg(F.sum("df").cast("long").alias("df")).filter("df <> 0").withColumn("part", F.lit(part))
         # what is dead in the oldest segment is gone; else older segments may still hold it
         still = (dead.limit(0) if len(last) == len(every) else dead.groupBy("key").agg(F.max("below").alias("below"))).withColumn("part", F.lit(part))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,15 @@ KEPT = 2
 WHOLE = "whole"
 
 
+@dataclass(frozen=True)
+class Staged:
+    """Rows that lie in a fresh folder of a store, which no manifest names yet."""
+
+    rows: DataFrame
+    schema: StructType
+    parts: dict[str, str]
+
+
 class Store:
     """Named tables below one folder on any store that Spark writes to."""
 
@@ -88,7 +98,17 @@ class Store:
         reader = self.spark.read.schema(schema)
         return reader.parquet(*[f"{self.root}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
 
-    def commit(self, whole: dict[str, DataFrame] | None = None, parts: dict[str, tuple[DataFrame, str, list[str]]] | None = None, batch: int | None = None, source: str = "") -> None:
+    def stage(self, name: str, df: DataFrame, column: str) -> Staged:
+        """Writes rows of a table with parts, to be read before they are committed, and committed without being written again."""
+        folder = f"{name}/v{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").partitionBy(column).parquet(f"{self.root}/{folder}")
+        fs, path = self._fs(f"{self.root}/{folder}")
+        written = {n.split("=", 1)[1]: f"{folder}/{n}" for n in (s.getPath().getName() for s in fs.listStatus(path)) if n.startswith(f"{column}=")}
+        schema = df.drop(column).schema
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in written.values()]) if written else self.spark.createDataFrame([], schema)
+        return Staged(rows, schema, written)
+
+    def commit(self, whole: dict[str, DataFrame] | None = None, parts: dict[str, tuple[DataFrame | Staged, str, list[str]]] | None = None, batch: int | None = None, source: str = "") -> None:
         """Replaces tables in one step. ``whole``: by name, all rows. ``parts``: by name, rows, the column that holds their part, and the parts they replace.
 
         A frame may read the tables that it replaces. Of a table with parts, all others stay as they are and are not read.
@@ -100,12 +120,9 @@ class Store:
             df.write.parquet(f"{self.root}/{folder}")
             tables[name] = {"schema": df.schema.jsonValue(), "parts": {WHOLE: folder}}
         for name, (df, column, replaced) in (parts or {}).items():
-            folder = f"{name}/v{uuid.uuid4().hex}"
-            df.write.partitionBy(column).parquet(f"{self.root}/{folder}")
-            fs, path = self._fs(f"{self.root}/{folder}")
-            written = {n.split("=", 1)[1]: f"{folder}/{n}" for n in (s.getPath().getName() for s in fs.listStatus(path)) if n.startswith(f"{column}=")}
+            new = df if isinstance(df, Staged) else self.stage(name, df, column)
             kept = {p: f for p, f in tables.get(name, {"parts": {}})["parts"].items() if p not in replaced}
-            tables[name] = {"schema": df.drop(column).schema.jsonValue(), "parts": kept | written}
+            tables[name] = {"schema": new.schema.jsonValue(), "parts": kept | new.parts}
         self._point({"batches": manifest["batches"] | ({} if batch is None else {source: batch}), "tables": tables})
 
     def write(self, name: str, df: DataFrame) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from brindle import queries as library
 from brindle.functions.structure import FILES, extract
 from brindle.functions.vectors import hashed_embedding
-from brindle.operators import patterns, search, vector_index
+from brindle.operators import live_index, patterns, search, vector_index
 from brindle.sources.sinks import Store
 from brindle.streaming import loop
 
@@ -111,3 +111,15 @@ def test_postings_leave_a_task_by_term(spark, monkeypatch):
     got = [(t, k, c >> 32, c & 0xFFFFFFFF) for b in made for t, keys, counts in zip(*(c.to_pylist() for c in b.columns)) for k, c in zip(keys, counts)]
     assert sorted(got) == sorted([("a", "x", 2, 1), ("b", "x", 2, 1), ("b", "y", 3, 3), ("g", "z", 9, 3)] + [(t, "z", 9, 1) for t in "abcdef"])
     assert [b.num_rows for b in made] == [2, 7]  # of one term one row
+
+
+def test_words_of_a_batch_are_written_once(spark, tmp_path, monkeypatch):
+    made = {}
+    monkeypatch.setattr(live_index, "_stored", lambda df, name, stored=live_index._stored: made.update({name: stored(df, name)}) or made[name])
+    store = Store(spark, f"{tmp_path}/store")
+    docs = spark.createDataFrame([(1, "red blue red"), (2, None), (3, "blue")], "doc_id long, text string")
+    live_index.apply(store, docs, batch=0)
+    live_index.apply(store, docs.filter("doc_id = 1"), docs.filter("doc_id = 3").select("doc_id"), batch=1)
+    assert "keyword-new" not in made and made["keyword-old"].columns == ["key", "dl", "segment"]  # which documents went, without their words
+    assert {(r.key, r.terms, tuple(r.tfs)) for r in store.read(live_index.DOCS).filter("segment = 1").collect()} == {(1, "blue red", (1, 2))}
+    assert {(r.term, r.df) for r in live_index.LiveIndex(spark, store.root).table("terms").collect()} == {("red", 1), ("blue", 1)}
