@@ -96,9 +96,20 @@ def counted(ranges: DataFrame, lines: DataFrame, key: Column, name: str, start:
 
 
 def inside(ranges: DataFrame, lines: DataFrame, key: str, name: str, start: str = "start_line", end: str = "end_line") -> DataFrame:
-    """A row for each of ``ranges`` and each line of ``lines(key, line)`` that it holds, as ``name``: ranges meet the blocks that they cover."""
-    known = lines.filter("key is not null and line >= 0").select(F.col("key").alias("__key"), _block(F.col("line")).alias("__block"), "line")
-    table = _dealt(known.groupBy("__key", "__block").agg(F.collect_set("line").alias("__lines")))  # at most 64 of a block
-    asked = _ranges(ranges, F.col(key), start, end).filter("__high >= __low").withColumn("__block", F.explode(F.sequence(_block(F.col("__low")), _block(F.col("__high")))))
-    held = F.filter("__lines", lambda n: n.between(F.col(start), F.col(end)))
-    return asked.join(table, ["__key", "__block", "__salt"]).select(*[F.col(c) for c in ranges.columns], F.explode(held).alias(name))
+    """A row for each of ``ranges`` and each line of ``lines(key, line)`` that it holds, as ``name``: ranges meet the blocks that they cover.
+
+    A block is one number and is not repeated. Both sides are shuffled for the join alone, so that adaptive execution splits the ranges of a name that very many share.
+    """
+    known = lines.filter("key is not null and line >= 0").select(F.col("key").alias("__key"), _block(F.col("line")).alias("__at"), F.col("line").cast("long").alias("line"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _place(F.col("line")))
+    # a further key of the join keeps the counted blocks from being joined where they were counted
+    turn = lambda key, block: F.pmod(F.xxhash64(key, block), F.lit(SALTS))
+    table = known.groupBy("__key", "__at").agg(F.bit_or(bit).alias("__bits")).withColumn("__turn_at", turn("__key", "__at"))
+    low, high = F.greatest(F.col(start).cast("long"), F.lit(0)), F.col(end).cast("long")
+    covered = F.explode(F.sequence(_block(low), _block(high))).alias("__block")
+    asked = ranges.filter(F.col(key).isNotNull() & F.col(start).isNotNull() & (high >= low)).select(*ranges.columns, covered).withColumn("__turn", turn(key, "__block"))
+    met = asked.join(table, [F.col(key) == F.col("__key"), F.col("__block") == F.col("__at"), F.col("__turn") == F.col("__turn_at")])
+    first, last = F.greatest(low, F.col("__block") * _BITS), F.least(high, F.col("__block") * _BITS + (_BITS - 1))
+    met = met.withColumns({"__low": first, "__high": last}).filter(_between("__bits", _place(F.col("__low")), _place(F.col("__high"))) != 0)
+    held = F.filter(F.sequence("__low", "__high"), lambda n: F.getbit("__bits", n.bitwiseAND(_BITS - 1).cast("int")) == 1)
+    return met.select(*[F.col(c) for c in ranges.columns], F.explode(held.cast(f"array<{lines.schema['line'].dataType.simpleString()}>")).alias(name))

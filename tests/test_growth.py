@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from brindle import queries as library
 from brindle.functions.structure import FILES, extract
 from brindle.functions.vectors import hashed_embedding
-from brindle.operators import live_index, patterns, search, vector_index
+from brindle.operators import lines, live_index, patterns, search, vector_index
 from brindle.sources.sinks import Store
 from brindle.streaming import loop
 
@@ -123,3 +123,11 @@ def test_words_of_a_batch_are_written_once(spark, tmp_path, monkeypatch):
     assert "keyword-new" not in made and made["keyword-old"].columns == ["key", "dl", "segment"]  # which documents went, without their words
     assert {(r.key, r.terms, tuple(r.tfs)) for r in store.read(live_index.DOCS).filter("segment = 1").collect()} == {(1, "blue red", (1, 2))}
     assert {(r.term, r.df) for r in live_index.LiveIndex(spark, store.root).table("terms").collect()} == {("red", 1), ("blue", 1)}
+
+
+def test_blocks_of_changed_lines_are_not_repeated(spark):
+    ranges = spark.createDataFrame([("m", "f", 0, 130), ("m", "g", 63, 64), ("n", "h", 5, 5)], "path string, name string, start_line int, end_line int")
+    points = spark.createDataFrame([("m", i) for i in (0, 63, 64, 127, 131)] + [("m", 0), ("n", 6)], "key string, line int")
+    found = lines.inside(ranges, points, "path", "at")
+    assert found.schema["at"].dataType.simpleString() == "int" and _plan(found).count("Generate") == 2  # blocks of ranges, and lines that are found
+    assert sorted((r.name, r.at) for r in found.collect()) == [("f", 0), ("f", 63), ("f", 64), ("f", 127), ("g", 63), ("g", 64)]
