@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,12 +31,28 @@ def diff_lines(diffs: DataFrame, key: str = "path", patch: str = "patch") -> Dat
 
 
 def parse_hunks(diffs: DataFrame, key: str = "path", patch: str = "patch") -> DataFrame:
-    """One row a hunk: header, ranges, changed lines of both sides."""
-    rows = diff_lines(diffs, key, patch)
+    """One row a hunk: header, ranges, changed lines of both sides.
+
+    A patch is parsed within its row: a changed line's number is its place among those lines of the hunk that its side
+    has, so that no line becomes a row, and nothing is sorted or shuffled. Rows of one key are patches of their own.
+    """
+    split = diffs.select(key, F.explode(F.array(F.split(F.coalesce(patch, F.lit("")), "\n"))).alias("lines"))
+    places = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(HEADER), i)), F.isnotnull)
+    found = split.select(key, "lines", F.explode(F.array(places)).alias("heads"))
+    parts = F.transform("heads", lambda h, i: F.slice("lines", h + 1, F.coalesce(F.get("heads", i + 1), F.size("lines")) - h))
+    rows = found.select(key, F.posexplode(parts).alias("n", "lines")).select(key, (F.col("n") + 1).cast("long").alias("hunk"), F.col("lines")[0].alias("head"), "lines")
     size = lambda i: F.when(F.regexp_extract("head", HEADER, i) == "", 1).otherwise(F.regexp_extract("head", HEADER, i).cast("int"))
     start = lambda i: F.regexp_extract("head", HEADER, i).cast("int")
-    changed = lambda mark, line: F.sort_array(F.collect_set(F.when(F.col("mark") == mark, F.col(line))))
-    hunks = rows.groupBy(key, "hunk", "head").agg(changed("-", "old_line").alias("changedOldLines"), changed("+", "new_line").alias("changedNewLines"))
+    marked = lambda x, *marks: F.substring(x, 1, 1).isin(*marks)
+    # lines that look like a file's header are counted, but are no change
+    own = lambda x: ~x.rlike(r"^(--- |\+\+\+ )")
+
+    def changed(mark: str, first: str) -> Column:
+        side = F.filter("lines", lambda x: marked(x, " ", mark))
+        return F.filter(F.transform(side, lambda x, i: F.when(marked(x, mark) & own(x), F.col(first) + i)), F.isnotnull)
+
+    rows = rows.filter(F.exists("lines", lambda x: marked(x, " ", "+", "-") & own(x))).withColumns({"old": start(1), "new": start(3)})
+    hunks = rows.select(key, "hunk", "head", changed("-", "old").alias("changedOldLines"), changed("+", "new").alias("changedNewLines"))
     return hunks.select(key, "hunk", F.col("head").alias("header"), start(1).alias("oldStart"), size(2).alias("oldLines"), start(3).alias("newStart"), size(4).alias("newLines"), "changedOldLines", "changedNewLines")
 
 

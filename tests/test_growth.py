@@ -10,6 +10,7 @@ from brindle import queries as library
 from brindle.functions.structure import FILES, extract
 from brindle.functions.vectors import hashed_embedding
 from brindle.operators import lines, live_index, patterns, search, vector_index
+from brindle.sources import hunks
 from brindle.sources.sinks import Store
 from brindle.streaming import loop
 
@@ -131,3 +132,11 @@ def test_blocks_of_changed_lines_are_not_repeated(spark):
     found = lines.inside(ranges, points, "path", "at")
     assert found.schema["at"].dataType.simpleString() == "int" and _plan(found).count("Generate") == 2  # blocks of ranges, and lines that are found
     assert sorted((r.name, r.at) for r in found.collect()) == [("f", 0), ("f", 63), ("f", 64), ("f", 127), ("g", 63), ("g", 64)]
+
+
+def test_patches_are_parsed_within_rows(spark):
+    patch = "diff --git a/m b/m\n--- a/m\n+++ b/m\n@@ -5,3 +5,4 @@ def f\n a\n-b\n+c\n+d\n\\ No newline at end of file\n+++ e\n-f\n@@ -20 +30,0 @@\n-g\n@@ -40,0 +50,0 @@\n@@ -60,1 +70,1 @@\n x"
+    found = hunks.parse_hunks(spark.createDataFrame([("p", patch), ("q", None), (None, "@@ -1 +1 @@\n+z")], "path string, patch string"))
+    assert "Window" not in _plan(found) and "Exchange" not in _plan(found)
+    rows = {(r.path, r.hunk, r.oldStart, r.oldLines, r.newStart, r.newLines, tuple(r.changedOldLines), tuple(r.changedNewLines)) for r in found.collect()}
+    assert rows == {("p", 1, 5, 3, 5, 4, (6, 7), (6, 7)), ("p", 2, 20, 1, 30, 0, (20,), ()), ("p", 4, 60, 1, 70, 1, (), ()), (None, 1, 1, 1, 1, 1, (), (1,))}
