@@ -102,12 +102,13 @@ def top_degree(edges: DataFrame, side: str = "src", k: int = 10) -> DataFrame:
 def neighbours(edges: DataFrame, ids: DataFrame, kind: str = "CALLS") -> DataFrame:
     """(id, neighbour, direction): callers and callees of ``ids(id)``, one row for each neighbour; a caller wins over a callee.
 
-    The two sides are united, never joined with one another, so that callers times callees never appear.
+    An edge is a row for each of its ends, dealt by both, so that callers times callees never appear, and edges that repeat
+    count once. Rows are counted where they were dealt, not before: that would hold a task's edges, which hardly repeat.
     """
-    of = edges.filter(F.col("type") == kind)
-    callers = of.join(ids.select(F.col("id").alias("dst")), "dst").select(F.col("dst").alias("id"), F.col("src").alias("neighbour"), F.lit("caller").alias("direction"))
-    callees = of.join(ids.select(F.col("id").alias("src")), "src").select(F.col("src").alias("id"), F.col("dst").alias("neighbour"), F.lit("callee").alias("direction"))
-    return callers.unionByName(callees).groupBy("id", "neighbour").agg(F.max("direction").alias("direction"))
+    end = lambda a, b, caller: F.struct(F.col(a).alias("id"), F.col(b).alias("neighbour"), F.lit(caller).alias("caller"))
+    ends = edges.filter(F.col("type") == kind).select(F.inline(F.array(end("dst", "src", True), end("src", "dst", False))))
+    near = ends.repartition("id", "neighbour").groupBy("id", "neighbour").agg(F.max("caller").alias("caller"))
+    return near.join(ids.select("id"), "id", "left_semi").select("id", "neighbour", F.when(F.col("caller"), "caller").otherwise("callee").alias("direction"))
 
 
 def expand(graph: Graph, names: DataFrame) -> DataFrame:

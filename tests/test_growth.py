@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from brindle import queries as library
 from brindle.functions.structure import FILES, extract
 from brindle.functions.vectors import hashed_embedding
-from brindle.operators import lines, live_index, patterns, search, vector_index
+from brindle.operators import graph, lines, live_index, patterns, search, vector_index
 from brindle.sources import hunks
 from brindle.sources.sinks import Store
 from brindle.streaming import loop
@@ -140,3 +140,11 @@ def test_patches_are_parsed_within_rows(spark):
     assert "Window" not in _plan(found) and "Exchange" not in _plan(found)
     rows = {(r.path, r.hunk, r.oldStart, r.oldLines, r.newStart, r.newLines, tuple(r.changedOldLines), tuple(r.changedNewLines)) for r in found.collect()}
     assert rows == {("p", 1, 5, 3, 5, 4, (6, 7), (6, 7)), ("p", 2, 20, 1, 30, 0, (20,), ()), ("p", 4, 60, 1, 70, 1, (), ()), (None, 1, 1, 1, 1, 1, (), (1,))}
+
+
+def test_edges_are_shuffled_before_they_are_counted(spark):
+    edges = spark.createDataFrame([("a", "b", "CALLS"), ("a", "b", "CALLS"), ("b", "a", "CALLS"), ("a", "a", "CALLS"), ("a", "c", "DEFINES")], "src string, dst string, type string")
+    found = graph.neighbours(edges, spark.createDataFrame([("a",), ("a",), (None,)], "id string"))
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "a", "caller"), ("a", "b", "caller")]
+    plan = _plan(graph.neighbours(edges, edges.select(F.col("src").alias("id"))))
+    assert "SortAggregate" not in plan and plan.index("partial_max") < plan.index("REPARTITION_BY_COL")  # plans are printed from their end
