@@ -19,16 +19,23 @@ MAX_NAMES = 1000
 _EMPTY = "array<struct<name:string,direction:string,path:string>>"
 
 
-def build(graph: Graph, path: str) -> "Context":
-    """Stores the neighbourhoods of ``graph`` below ``path``, which must not exist, and opens them."""
+def neighbours_by_name(graph: Graph) -> DataFrame:
+    """(name, other, direction, path): the callers and callees of each name, sorted by both names."""
     symbols = graph.nodes.filter(F.col("label").isin(*SYMBOLS))
     ends = symbols.select("id", "name", "path")
     of = lambda side: ends.withColumnsRenamed({c: f"{side}_{c}" for c in ends.columns})
     calls = graph.edges.filter("type = 'CALLS'").select(F.col("src").alias("a_id"), F.col("dst").alias("b_id")).join(of("a"), "a_id").join(of("b"), "b_id")
     side = lambda name, other, path, direction: F.struct(F.col(name).alias("name"), F.col(other).alias("other"), F.lit(direction).alias("direction"), F.col(path).alias("path"))
     both = F.array(side("a_name", "b_name", "b_path", "callee"), side("b_name", "a_name", "a_path", "caller"))
-    near = calls.select(F.explode(both).alias("n")).select("n.*").groupBy("name", "other").agg(F.max(F.struct("direction", "path")).alias("best")).select("name", "other", "best.direction", "best.path")
-    near.repartitionByRange("name", "other").sortWithinPartitions("name", "other").write.parquet(f"{path}/near")
+    # dealt by name before they are counted, so that no task holds what it has read, and sorted once, for counting and for writing
+    dealt = calls.select(F.inline(both)).repartitionByRange("name", "other")
+    return dealt.groupBy("name", "other").agg(F.max(F.struct("direction", "path")).alias("best")).select("name", "other", "best.direction", "best.path").sortWithinPartitions("name", "other")
+
+
+def build(graph: Graph, path: str) -> "Context":
+    """Stores the neighbourhoods of ``graph`` below ``path``, which must not exist, and opens them."""
+    symbols = graph.nodes.filter(F.col("label").isin(*SYMBOLS))
+    neighbours_by_name(graph).write.parquet(f"{path}/near")
     first = symbols.groupBy("name").agg(F.min_by(F.struct("content", "path"), F.struct("path", "start_line")).alias("at")).select("name", F.col("at.content").alias("code"), "at.path")
     first.repartitionByRange("name").sortWithinPartitions("name").write.parquet(f"{path}/symbols")
     return Context(graph.nodes.sparkSession, path)

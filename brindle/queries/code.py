@@ -365,7 +365,7 @@ def _neighbourhoods(spark: SparkSession, d: str) -> context.Context:
     """The stored neighbourhoods of suppliers and parts, as a question meets them; made by the first query of a session that needs them."""
 
     def make() -> context.Context:
-        g = _graph(spark, d)
+        g = _graph(spark, d, distinct=False)  # neighbours are told apart by name
         return context.build(graph.Graph(g.nodes.withColumns({"content": F.lit(""), "start_line": F.lit(1)}), g.edges), shared_path(spark, "context"))
 
     return once(spark, "context", d, make)

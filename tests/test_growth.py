@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from brindle import queries as library
 from brindle.functions.structure import FILES, extract
 from brindle.functions.vectors import hashed_embedding
-from brindle.operators import graph, lines, live_index, patterns, search, vector_index
+from brindle.operators import context, graph, lines, live_index, patterns, search, vector_index
 from brindle.sources import hunks
 from brindle.sources.sinks import Store
 from brindle.streaming import loop
@@ -148,3 +148,10 @@ def test_edges_are_shuffled_before_they_are_counted(spark):
     assert sorted(tuple(r) for r in found.collect()) == [("a", "a", "caller"), ("a", "b", "caller")]
     plan = _plan(graph.neighbours(edges, edges.select(F.col("src").alias("id"))))
     assert "SortAggregate" not in plan and plan.index("partial_max") < plan.index("REPARTITION_BY_COL")  # plans are printed from their end
+
+
+def test_neighbours_are_dealt_before_they_are_counted(spark):
+    g = graph.Graph(spark.createDataFrame([("1", "Function", "f", "p"), ("2", "Function", "g", "q"), ("3", "Class", "g", "r")], "id string, label string, name string, path string"), spark.createDataFrame([("1", "2", "CALLS"), ("1", "2", "CALLS"), ("1", "3", "CALLS"), ("2", "1", "CALLS")], "src string, dst string, type string"))
+    plan, found = _plan(context.neighbours_by_name(g)), context.neighbours_by_name(g)
+    assert sorted(tuple(r) for r in found.collect()) == [("f", "g", "caller", "q"), ("g", "f", "caller", "p")]
+    assert plan.index("partial_max") < plan.index("rangepartitioning") and plan.count("rangepartitioning") == 1  # plans are printed from their end
