@@ -2,7 +2,7 @@
 
 A batch of documents that came, changed or went is one new segment; no segment that stands is written again. Its tables:
 
-* ``keyword_postings``: words of the documents that came, sorted by term;
+* ``keyword_postings``: words of the documents that came, in runs that are sorted by term (``search.in_runs``);
 * ``keyword_docs``: the same documents with their different words and how often they say them, dealt by key, so that a later batch learns which words go with a document;
 * ``keyword_dead``: documents that an earlier segment holds and this one replaces or removes: what stands there below its number counts no more;
 * ``keyword_terms``: by how much the document frequency of each term of the batch rose or fell.
@@ -31,6 +31,8 @@ from brindle.sources.sinks import Staged, Store
 
 #: Segments of one level that become one of the next; parts of a segment's documents by key.
 FANOUT, BUCKETS = 4, 64
+#: Postings of a page of a file, which is what a question reads of each run for each of its words at least.
+PAGE = {"parquet.page.row.count.limit": 2000}
 POSTINGS, DOCS, DEAD, TERMS, FREQUENCIES, TOTALS = (f"keyword_{t}" for t in ("postings", "docs", "dead", "terms", "frequencies", "totals"))
 Parts = dict[str, tuple[DataFrame | Staged, str, list[str]]]
 
@@ -67,11 +69,6 @@ def _alive(rows: DataFrame, dead: DataFrame) -> DataFrame:
     return rows.join(gone, (F.col("key") == F.col("__key")) & (F.col("segment") < F.col("below")), "left_anti")
 
 
-def _by_term(rows: DataFrame) -> DataFrame:
-    # a term that most documents hold is dealt to several files
-    return rows.repartitionByRange(F.col("part"), F.col("term"), F.xxhash64("key")).sortWithinPartitions("part", "term", "key")
-
-
 def changes(store: Store, docs: DataFrame, gone: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> tuple[dict[str, DataFrame], Parts]:
     """What to commit, as whole tables and as parts, when ``docs(key, text)`` come or change and ``gone(key)`` go."""
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -82,10 +79,9 @@ def changes(store: Store, docs: DataFrame, gone: DataFrame | None = None, key: s
     dealt = lambda df: df.withColumn("part", F.concat(F.lit(f"{part}-"), _bucket(F.col("key")))).hint("rebalance", "part")
     held = store.stage(DOCS, dealt(search.counted(came, "key", "text")).withColumn("segment", of_batch), "part")
     new = held.rows
-    # a constant for a part needs no sort, which would undo that by term
-    listed = store.stage(POSTINGS, search.by_term(new).select("term", "key", "dl", "tf", of_batch, F.lit(part).alias("part")), "part")
+    listed = store.stage(POSTINGS, search.in_runs(new).withColumn("segment", of_batch), None, part, **PAGE)
     old, terms = new.select("key", "dl", "segment").limit(0), None
-    said = listed.rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    said = search.frequencies(new)
     if store.exists(DOCS):
         touched = new.select("key")
         if gone is not None:
@@ -95,11 +91,14 @@ def changes(store: Store, docs: DataFrame, gone: DataFrame | None = None, key: s
         there = store.read(DOCS, _parts(store, DOCS, buckets=buckets))
         # which documents go is found without their words, and their words are read once
         old, terms = _stored(_alive(there.select("key", "dl", "segment").join(touched, "key", "left_semi"), store.read(DEAD)), "keyword-old"), store.read(TERMS)
-        words = there.filter("dl > 0").select("key", "segment", "terms").join(old.select("key", "segment"), ["key", "segment"], "left_semi")
-        said = said.unionByName(words.select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df")))
-    risen = _stored(said.groupBy("term").agg(F.sum("df").cast("long").alias("df")).filter("df <> 0"), "keyword-risen")
-    was = risen.select("term", F.lit(0).cast("long").alias("was")) if terms is None else risen.select("term").join(terms, "term", "left").groupBy("term").agg(F.coalesce(F.sum("df"), F.lit(0)).cast("long").alias("was"))
-    moves = risen.join(was, "term").select(F.explode(F.array(F.struct(F.col("was").alias("df"), F.lit(-1).alias("n")), F.struct((F.col("was") + F.col("df")).alias("df"), F.lit(1).alias("n")))).alias("m")).select("m.*")
+        words = there.select("key", "segment", "dl", "terms").join(old.select("key", "segment"), ["key", "segment"], "left_semi")
+        said = said.unionByName(search.frequencies(words).select("term", (-F.col("df")).alias("df")))
+    said = said.select("term", "df", F.lit(0).cast("long").alias("was"))
+    if terms is not None:
+        # what terms had meets how they change in one shuffle
+        said = said.unionByName(terms.select("term", F.lit(0).cast("long").alias("df"), F.col("df").alias("was")))
+    risen = _stored(said.groupBy("term").agg(F.sum("df").cast("long").alias("df"), F.sum("was").cast("long").alias("was")).filter("df <> 0"), "keyword-risen")
+    moves = risen.select(F.explode(F.array(F.struct(F.col("was").alias("df"), F.lit(-1).alias("n")), F.struct((F.col("was") + F.col("df")).alias("df"), F.lit(1).alias("n")))).alias("m")).select("m.*")
     if store.exists(FREQUENCIES):
         moves = moves.unionByName(store.read(FREQUENCIES))
     frequencies = _stored(moves.filter("df > 0").groupBy("df").agg(F.sum("n").cast("long").alias("n")).filter("n <> 0"), "keyword-frequencies")
@@ -114,7 +113,7 @@ def changes(store: Store, docs: DataFrame, gone: DataFrame | None = None, key: s
         POSTINGS: (listed, "part", []),
         DOCS: (held, "part", []),
         DEAD: (old.select("key", of_batch.alias("below")).withColumn("part", F.lit(part)), "part", []),
-        TERMS: (risen.withColumn("part", F.lit(part)).repartitionByRange("term").sortWithinPartitions("part", "term"), "part", []),
+        TERMS: (risen.select("term", "df", F.lit(part).alias("part")).repartitionByRange("term").sortWithinPartitions("part", "term"), "part", []),
     }
 
 
@@ -131,14 +130,15 @@ def merge(store: Store) -> int:
         of_merged = F.lit(number).cast("long").alias("segment")
         dead = store.read(DEAD, list(names))
         rows = lambda t: store.read(t, _parts(store, t, names))
-        left = _alive(rows(POSTINGS), dead).select("term", "key", "dl", "tf", of_merged).withColumn("part", F.lit(part))
         docs = _alive(rows(DOCS), dead).select("key", "dl", "terms", "tfs", of_merged).withColumn("part", F.concat(F.lit(f"{part}-"), _bucket(F.col("key")))).hint("rebalance", "part")
+        held = store.stage(DOCS, docs, "part")
+        listed = store.stage(POSTINGS, search.in_runs(held.rows).withColumn("segment", of_merged), None, part, **PAGE)
         risen = rows(TERMS).groupBy("term").agg(F.sum("df").cast("long").alias("df")).filter("df <> 0").withColumn("part", F.lit(part))
         # what is dead in the oldest segment is gone; else older segments may still hold it
         still = (dead.limit(0) if len(last) == len(every) else dead.groupBy("key").agg(F.max("below").alias("below"))).withColumn("part", F.lit(part))
         replaced = lambda t: _parts(store, t, names)
         store.commit(parts={
-            POSTINGS: (_by_term(left), "part", replaced(POSTINGS)), DOCS: (docs, "part", replaced(DOCS)), DEAD: (still, "part", replaced(DEAD)),
+            POSTINGS: (listed, "part", replaced(POSTINGS)), DOCS: (held, "part", replaced(DOCS)), DEAD: (still, "part", replaced(DEAD)),
             TERMS: (risen.repartitionByRange("term").sortWithinPartitions("part", "term"), "part", replaced(TERMS)),
         })
         merges += 1

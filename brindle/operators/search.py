@@ -30,6 +30,11 @@ WEIGHTS = (0.6, 0.4)
 BLOCK = 4096
 #: Postings of one term that leave a task as one row, and postings that a task puts together at once.
 RUN, CHUNK = 32, 3_000_000
+#: Bytes of texts whose words a task counts at once.
+PIECE = 1_000_000
+#: What stands between words beyond ASCII, and each byte with a blank for what stands there in ASCII.
+BREAK_BEYOND = TOKEN_BREAK.replace("[^", r"[^\x00-\x7f", 1)
+BLANKED = bytes(b if b > 127 or chr(b).isalnum() or chr(b) == "_" else 32 for b in range(256))
 
 
 def repeats(rows: DataFrame, key: str) -> bool:
@@ -37,18 +42,54 @@ def repeats(rows: DataFrame, key: str) -> bool:
     return not rows.groupBy(F.col(key)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("n").limit(1).isEmpty()
 
 
+def _ranked(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Words as places in the sorted list of those that differ, and that list."""
+    coded = words.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()], coded.dictionary.take(order)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, dl, terms, tfs) of (key, text), where text is in lower case and what is no word in it is ASCII: words are cut, named by numbers and counted for ``PIECE`` bytes of texts at once."""
+    left_out = pa.array(["", *STOP_WORDS])
+
+    def count(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        n, ends = len(texts), np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        plain = bytes(memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]]).translate(BLANKED)
+        cut = pc.split_pattern(pa.StringArray.from_buffers(n, pa.py_buffer(ends - ends[0]), pa.py_buffer(plain)), " ")
+        said, known = _ranked(cut.flatten())
+        kept = ~pc.is_in(known, value_set=left_out).to_numpy(zero_copy_only=False)
+        both = (np.repeat(np.arange(n) * len(known), np.diff(cut.offsets.to_numpy())) + said)[kept[said]]
+        both.sort()
+        starts = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+        tf = np.diff(np.append(starts, len(both)))
+        row, word = np.divmod(both[starts], max(len(known), 1))
+        offsets = pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32())
+        dl = pa.array(np.bincount(row, tf, n).astype(np.int64))
+        terms = pc.binary_join(pa.ListArray.from_arrays(offsets, known.take(pa.array(word))), " ")
+        return pa.RecordBatch.from_arrays([keys, dl, terms, pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int32()))], names=["key", "dl", "terms", "tfs"])
+
+    for batch in batches:
+        keys, texts, at = batch.column("key"), batch.column("text"), 0
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PIECE, "right")))
+            yield count(keys.slice(at, to - at), texts.slice(at, to - at))
+            at = to
+
+
 def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, dl, terms, tfs): a row for each row of ``docs``, with its length in words, its different words, sorted and joined by blanks, and how often it says each.
 
-    Words are counted within the row, so that nothing is shuffled, and no table of counts is held.
+    Words are those of ``tokens``. They are counted within a batch of rows, so that nothing is shuffled, and no table of counts is held.
     """
-    # exploding a list of one keeps the optimizer from cutting the text into words for each use of them
-    words = docs.select(F.col(key).alias("key"), F.explode(F.array(F.sort_array(tokens(F.col(text))))).alias("words"))
-    first = lambda w, i: (i == 0) | (w != F.get("words", i - 1))
-    starts = F.filter(F.transform("words", lambda w, i: F.when(first(w, i), i)), F.isnotnull)
-    rows = words.select("key", F.size("words").alias("n"), F.array_join(F.array_distinct("words"), " ").alias("terms"), F.explode(F.array(starts)).alias("starts"))
-    tfs = F.transform("starts", lambda s, i: F.coalesce(F.get("starts", i + 1), F.col("n")) - s)
-    return rows.select("key", F.col("n").cast("long").alias("dl"), "terms", tfs.alias("tfs"))
+    lower = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    # what is no word beyond ASCII is found as ``tokens`` finds it, in texts that go beyond it; the rest is a look-up of bytes
+    rows = lower.select("key", F.when(F.octet_length("text") == F.length("text"), F.col("text")).otherwise(F.regexp_replace("text", BREAK_BEYOND, " ")).alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(_counts, f"key {kind}, dl bigint, terms string, tfs array<int>")
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -62,20 +103,21 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, keys, counts): the postings of (key, dl, terms, tfs), at most ``RUN`` of one term in a row; a count is dl and tf as one number."""
+    """(term, keys, counts): the postings of (key, dl, terms, tfs), at most ``RUN`` of one term in a row, those of ``CHUNK`` postings sorted by term; a count is dl and tf as one number."""
 
     def block(rows: pa.Table) -> pa.RecordBatch:
         words = pc.split_pattern(rows.column("terms").combine_chunks(), " ")
         doc = np.repeat(np.arange(rows.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
-        coded = words.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy()
-        order = np.argsort(codes, kind="stable")
-        codes, doc, place = codes[order], doc[order], np.arange(len(order))
-        begins = np.concatenate([[True], codes[1:] != codes[:-1]])
+        codes, known = _ranked(words.flatten())
+        order = codes << 32 | np.arange(len(codes))  # sorted as one number: faster than an order that is stable
+        order.sort()
+        codes, order = order >> 32, order & 0xFFFFFFFF
+        doc, place = doc[order], np.arange(len(order))
+        begins = np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]
         starts = np.flatnonzero((place - np.maximum.accumulate(np.where(begins, place, 0))) % RUN == 0)
         counts = (rows.column("dl").to_numpy()[doc] << 32) | rows.column("tfs").combine_chunks().flatten().to_numpy()[order]
         offsets, keys = pa.array(np.append(starts, len(order)), pa.int32()), rows.column("key").combine_chunks().take(pa.array(doc))
-        return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(codes[starts])), pa.ListArray.from_arrays(offsets, keys), pa.ListArray.from_arrays(offsets, pa.array(counts))], names=["term", "keys", "counts"])
+        return pa.RecordBatch.from_arrays([known.take(pa.array(codes[starts])), pa.ListArray.from_arrays(offsets, keys), pa.ListArray.from_arrays(offsets, pa.array(counts))], names=["term", "keys", "counts"])
 
     held, size = [], 0
     for batch in batches:
@@ -92,16 +134,41 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block(pa.Table.from_batches(held))
 
 
+def _made(counts: DataFrame) -> DataFrame:
+    kind = counts.schema["key"].dataType.simpleString()
+    return counts.filter("dl > 0").select("key", "dl", "terms", "tfs").mapInArrow(_blocks, f"term string, keys array<{kind}>, counts array<bigint>")
+
+
+def _rows(blocks: DataFrame) -> DataFrame:
+    rows = blocks.select("term", F.inline(F.arrays_zip("keys", "counts")).alias("key", "count"))
+    return rows.select("term", "key", F.shiftright("count", 32).alias("dl"), F.col("count").bitwiseAND((1 << 32) - 1).alias("tf"))
+
+
 def by_term(counts: DataFrame) -> DataFrame:
     """(term, key, dl, tf): the postings of ``counts(key, dl, terms, tfs)``, dealt and sorted by term. A term that most documents hold is dealt to several files.
 
-    Postings of one term leave a task together, so that a shuffled row is up to ``RUN`` of them and not one.
+    Postings of one term leave a task together, so that a shuffled row is up to ``RUN`` of them and not one. It is for what is written once and asked often.
     """
-    kind = counts.schema["key"].dataType.simpleString()
-    blocks = counts.filter("dl > 0").select("key", "dl", "terms", "tfs").mapInArrow(_blocks, f"term string, keys array<{kind}>, counts array<bigint>")
-    dealt = blocks.repartitionByRange(F.col("term"), F.xxhash64(F.col("keys")[0])).sortWithinPartitions("term", F.col("keys")[0])
-    rows = dealt.select("term", F.inline(F.arrays_zip("keys", "counts")).alias("key", "count"))
-    return rows.select("term", "key", F.shiftright("count", 32).alias("dl"), F.col("count").bitwiseAND((1 << 32) - 1).alias("tf"))
+    return _rows(_made(counts).repartitionByRange(F.col("term"), F.xxhash64(F.col("keys")[0])).sortWithinPartitions("term", F.col("keys")[0]))
+
+
+def in_runs(counts: DataFrame) -> DataFrame:
+    """(term, key, dl, tf): the same postings in runs of ``CHUNK``, which each task sorts by term. It is for what is merged again: nothing is shuffled, and one run is held.
+
+    What is written from it is a file for each task, of one or a few runs; a reader of a few terms skips the pages of all others by Parquet's statistics of pages.
+    """
+    return _rows(_made(counts))
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = pc.split_pattern(batch.column("terms"), " ").flatten().value_counts()
+        yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["term", "df"])
+
+
+def frequencies(counts: DataFrame) -> DataFrame:
+    """(term, df): how many rows of ``counts(dl, terms)`` say each term, a row for each batch that holds it."""
+    return counts.filter("dl > 0").select("terms").mapInArrow(_frequencies, "term string, df bigint")
 
 
 def idf(terms: DataFrame, n: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Manifests, and the folders that they alone name, that stay for readers who have them open.
@@ -36,6 +37,9 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _none(self, schema: StructType) -> DataFrame:
+        return self.spark.createDataFrame(to_arrow_schema(schema).empty_table(), schema)  # lies in the plan, so that no Python worker starts for it
+
     def _fs(self, path: str):
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
@@ -96,16 +100,21 @@ class Store:
         schema = StructType.fromJson(table["schema"])
         folders = [f for part, f in table["parts"].items() if parts is None or part in parts]
         reader = self.spark.read.schema(schema)
-        return reader.parquet(*[f"{self.root}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
+        return reader.parquet(*[f"{self.root}/{f}" for f in folders]) if folders else self._none(schema)
 
-    def stage(self, name: str, df: DataFrame, column: str) -> Staged:
-        """Writes rows of a table with parts, to be read before they are committed, and committed without being written again."""
+    def stage(self, name: str, df: DataFrame, column: str | None, part: str = WHOLE, **options: int | str) -> Staged:
+        """Writes rows of a table with parts, to be read before they are committed, and committed without being written again. Without a ``column`` all rows are of one ``part``, if there are any. ``options``: the writer's."""
         folder = f"{name}/v{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").partitionBy(column).parquet(f"{self.root}/{folder}")
+        writer = df.write.options(compression="zstd", **options)
+        if column is None:
+            writer.parquet(f"{self.root}/{folder}")
+            rows = self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}")
+            return Staged(rows, df.schema, {} if rows.isEmpty() else {part: folder})
+        writer.partitionBy(column).parquet(f"{self.root}/{folder}")
         fs, path = self._fs(f"{self.root}/{folder}")
         written = {n.split("=", 1)[1]: f"{folder}/{n}" for n in (s.getPath().getName() for s in fs.listStatus(path)) if n.startswith(f"{column}=")}
         schema = df.drop(column).schema
-        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in written.values()]) if written else self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in written.values()]) if written else self._none(schema)
         return Staged(rows, schema, written)
 
     def commit(self, whole: dict[str, DataFrame] | None = None, parts: dict[str, tuple[DataFrame | Staged, str, list[str]]] | None = None, batch: int | None = None, source: str = "") -> None:

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from brindle import queries as library
+from brindle.functions import text
 from brindle.functions.structure import FILES, extract
 from brindle.functions.vectors import hashed_embedding
 from brindle.operators import context, graph, lines, live_index, patterns, search, vector_index
@@ -155,3 +156,56 @@ def test_neighbours_are_dealt_before_they_are_counted(spark):
     plan, found = _plan(context.neighbours_by_name(g)), context.neighbours_by_name(g)
     assert sorted(tuple(r) for r in found.collect()) == [("f", "g", "caller", "q"), ("g", "f", "caller", "p")]
     assert plan.index("partial_max") < plan.index("rangepartitioning") and plan.count("rangepartitioning") == 1  # plans are printed from their end
+
+
+ODD = [(1, "Red, red—BLUE;\tthe x_1 _"), (2, None), (3, ""), (4, "end"), (5, "start END"), (6, "— “” …"), (7, "Straße İstanbul ΟΔΟΣ naïve áb z‍q 日本語、東京 ٣٤ Ⅷ ½ 😀ok a\x00b"), (None, "the and"), (8, "w" * 50 + " " + "é" * 50), (9, "x")]
+
+
+def test_words_are_counted_by_batches(spark, monkeypatch):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string").coalesce(1)
+    found = search.counted(docs)
+    plan = _plan(found)
+    assert "MapInArrow" in plan and "array_distinct" not in plan and "lambda" not in plan and "Exchange" not in plan
+    words = {r.doc_id: r.w for r in docs.select("doc_id", text.tokens(F.col("text")).alias("w")).collect()}
+    expected = {k: (len(w), " ".join(sorted(set(w), key=str.encode)), [w.count(x) for x in sorted(set(w), key=str.encode)]) for k, w in words.items()}
+    assert {r.key: (r.dl, r.terms, r.tfs) for r in found.collect()} == expected
+    assert search.counted(docs.limit(0)).count() == 0
+    # what a worker makes of pieces that hold one text, several, or less than one
+    rows = pa.RecordBatch.from_pydict({"key": [1, 2, 3, 4, 5], "text": ["b q", "q", "", "the b.b", "c" * 30]}).slice(1)
+    for size in (1, 3, 100):
+        monkeypatch.setattr(search, "PIECE", size)
+        made = [r for b in search._counts(iter([rows])) for r in b.to_pylist()]
+        assert [(r["key"], r["dl"], r["terms"], r["tfs"]) for r in made] == [(2, 1, "q", [1]), (3, 0, "", []), (4, 2, "b", [2]), (5, 1, "c" * 30, [1])]
+
+
+def test_postings_are_written_where_they_are_made(spark, monkeypatch):
+    monkeypatch.setattr(search, "CHUNK", 6)
+    docs = spark.createDataFrame([(i, f"every w{i % 3} again w{i % 2}") for i in range(9)] + [(9, None)], "doc_id long, text string").coalesce(1)
+    counts = search.counted(docs)
+    found = search.in_runs(counts)
+    assert "Exchange" not in _plan(found) and "Sort" not in _plan(found)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((r.term, r.key, r.dl, r.tf) for r in search.postings(docs).filter("term is not null").collect())
+    rows = pa.RecordBatch.from_pydict({"key": ["x", "y"], "dl": pa.array([2, 2], pa.int64()), "terms": ["b c", "a b"], "tfs": pa.array([[1, 1], [1, 1]], pa.list_(pa.int32()))})
+    assert [b.column("term").to_pylist() for b in search._blocks(iter([rows]))] == [["a", "b", "c"]]  # a run lies by term
+    said = {}
+    for r in search.frequencies(counts).collect():
+        said[r.term] = said.get(r.term, 0) + r.df
+    assert said == {"every": 9, "w0": 6, "w1": 5, "w2": 3}
+
+
+def test_merged_segments_are_listed_from_their_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live_index, "FANOUT", 2)
+    store, read = Store(spark, f"{tmp_path}/store"), []
+    monkeypatch.setattr(Store, "read", lambda self, name, parts=None, of=Store.read: read.append(name) or of(self, name, parts))
+    live_index.apply(store, spark.createDataFrame([(1, "red blue red"), (2, "blue")], "doc_id long, text string"), batch=0)
+    live_index.apply(store, spark.createDataFrame([(1, "green")], "doc_id long, text string"), batch=1)
+    assert live_index.POSTINGS not in read and live_index.segments(store) == [(1, 1)]
+    assert sorted((r.term, r.key, r.tf) for r in store.read(live_index.POSTINGS).collect()) == [("blue", 2, 1), ("green", 1, 1)]
+
+
+def test_a_part_without_rows_is_none(spark, tmp_path):
+    store, rows = Store(spark, f"{tmp_path}/store"), spark.range(3)
+    assert store.stage("t", rows.limit(0), None, "p").parts == {} and store.stage("t", rows, None, "p").rows.count() == 3
+    store.commit(parts={"t": (store.stage("t", rows, None, "p"), "part", [])})
+    assert store.parts("t") == ["p"] and store.read("t").count() == 3 and store.read("t", ["q"]).count() == 0
+    assert "Python" not in _plan(store.read("t", ["q"])) and "ExistingRDD" not in _plan(store.read("t", ["q"]))
